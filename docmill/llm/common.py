@@ -71,3 +71,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def to_ranges(schema: pa.Schema, kind: int, key: np.ndarray, bits: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """Elements dealt into 2**bits ranges of an unsigned 64-bit key: one row a range, (kind, range, an array for each column).
+    Far smaller to shuffle than a row for each element."""
+    of = (key >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    offsets = pa.array(np.append(starts, len(of)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order], type=f.type.value_type)) for c, f in zip(columns, list(schema)[2:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), kind), pa.int32()), pa.array(of[starts], pa.int64()), *lists], schema=schema)
+
+
+def by_range(batches):
+    """Rows of to_ranges, sorted by kind and range, gathered again: (kind, arrays) of one range at a time."""
+    open_key, parts = None, []
+    for b in batches:
+        kind, of = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+        lists = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in b.columns[2:]]
+        offsets = [c.offsets.to_numpy() for c in lists]
+        values = [c.values.to_numpy(zero_copy_only=False) for c in lists]
+        edges = np.append(np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (kind[1:] != kind[:-1]))), len(of)) if len(of) else [0]
+        for i, j in zip(edges[:-1], edges[1:]):
+            if open_key != (kind[i], of[i]):
+                if parts:
+                    yield open_key[0], [np.concatenate(p) for p in zip(*parts)]
+                open_key, parts = (kind[i], of[i]), []
+            parts.append([v[o[i] : o[j]] for v, o in zip(values, offsets)])
+    if parts:
+        yield open_key[0], [np.concatenate(p) for p in zip(*parts)]
+
+
+def range_bits(spark: SparkSession, least: int = 12) -> int:
+    """Ranges enough for 16 to each shuffle partition, so that one stays a small part of a task."""
+    return max(least, (16 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())

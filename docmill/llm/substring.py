@@ -4,10 +4,10 @@ A repeat of ``window`` words is an inner node, ``window`` words deep, of the suf
 never built whole. First step: short prefixes. Of every suffix only its minimizer, the least hashed prefix of ``SEED``
 words among the next few, is dealt out; any two equal windows share it, so a prefix that one document alone holds
 cannot lie in a repeat, and its suffixes go. Second step: the suffixes that are left get prefixes of the full depth,
-are dealt out by them and sorted by prefix and document; equal neighbours are a deep node, whose first row is the
-smallest document. Prefixes thus grow only where the corpus repeats, a group is streamed and never held, and each
-batch of documents is combined before it is shuffled, so a passage that a third of all documents hold sends a few rows
-a batch.
+are dealt out by them into groups (ranges of the hashed prefix) of which a task holds one at a time, sorted by prefix and
+document; equal neighbours are a deep node, whose first suffix is the smallest document. Prefixes thus grow only where the
+corpus repeats, and each batch of documents is combined before it is shuffled, so a passage that a third of all
+documents hold sends a few suffixes a batch. The number of groups follows spark.sql.shuffle.partitions.
 
 Words are runs of anything but space and \\t..\\r, unchanged. A null text has none. A document with fewer words than a
 window keeps them all. Rows that share a doc_id never remove each other's words; a null doc_id ranks after all others.
@@ -23,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import batch, keyed, mix64, sliced, texts
+from docmill.llm.common import batch, by_range, keyed, mix64, range_bits, sliced, texts, to_ranges
 
 #: Words in a short prefix.
-SEED = 6
+SEED = 5
 _CACHED_WORDS = 500_000
-_SEEDS = "kind int, seed long, rid long, th int"
-_SEEDS_ARROW = pa.schema([("kind", pa.int32()), ("seed", pa.int64()), ("rid", pa.int64()), ("th", pa.int32())])
-_NODES = "kind int, k1 long, k2 long, rid long, th int, start int, stop int"
-_NODES_ARROW = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("rid", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+_SEEDS = "kind int, `range` long, seed array<long>, rid array<long>, th array<int>"
+_SEEDS_ARROW = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("seed", pa.list_(pa.int64())), ("rid", pa.list_(pa.int64())), ("th", pa.list_(pa.int32()))])
+_NODES = "kind int, `range` long, k1 array<long>, k2 array<int>, rid array<long>, th array<int>, start array<int>"
+_NODES_ARROW = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("k1", pa.list_(pa.int64())), ("k2", pa.list_(pa.int32())), ("rid", pa.list_(pa.int64())), ("th", pa.list_(pa.int32())), ("start", pa.list_(pa.int32()))])
 _SPAN = "rid long, th int, start int, stop int"
 _SPAN_ARROW = pa.schema([("rid", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 
@@ -81,7 +81,9 @@ def _windows(hashes: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.nd
     return at, doc[at], least[at]
 
 
-def _seed_rows(window: int):
+def _seed_rows(window: int, bits: int):
+    """Each seed of the batch once, with one of its documents; kind 1: the documents of seeds that several of the batch hold."""
+
     def rows(batches):
         cache = _WordHash()
         for b in batches:
@@ -89,46 +91,38 @@ def _seed_rows(window: int):
             at, doc, seed = _windows(*_hashed(cache, texts(b.column(2))), window)
             if not len(at):
                 continue
-            new = np.ones(len(at), bool)
-            new[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])
+            new = np.append(True, (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]))
             doc, seed = doc[new], seed[new]
             order = np.lexsort((doc, seed))
             doc, seed = doc[order], seed[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])
+            new = np.append(True, (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]))
             doc, seed = doc[new], seed[new]
-            head = np.ones(len(doc), bool)
-            head[1:] = seed[1:] != seed[:-1]
-            starts = np.flatnonzero(head)
+            starts = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
             size = np.diff(np.append(starts, len(doc)))
             local = np.flatnonzero(np.repeat(size, size) > 1)
-            both = np.concatenate([starts, local])
-            yield from sliced(batch(_SEEDS_ARROW, np.repeat([0, 1], [len(starts), len(local)]).astype(np.int32), seed[both].view(np.int64), rid[doc[both]], th[doc[both]]))
+            for kind, rows_of in ((0, starts), (1, local)):
+                yield to_ranges(_SEEDS_ARROW, kind, seed[rows_of], bits, seed[rows_of].view(np.int64), rid[doc[rows_of]], th[doc[rows_of]])
 
     return rows
 
 
 def _repeated_seeds(batches):
-    """Rows sorted by kind and seed: those of seeds with two rows or more, and all of kind 1."""
+    """(rid, th, seed) of seeds that came with two documents or more, and all of kind 1."""
     schema = pa.schema([("rid", pa.int64()), ("th", pa.int32()), ("seed", pa.int64())])
-    held = None
-    for b in batches:
-        kind, seed, rid, th = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        if held is not None:
-            kind, seed, rid, th = (np.concatenate([[h], c]).astype(c.dtype) for h, c in zip(held, (kind, seed, rid, th)))
-        if not len(kind):
-            continue
-        same = (seed[1:] == seed[:-1]) & (kind[1:] == kind[:-1])
-        out = kind == 1
-        out[1:] |= same
-        out[:-1] |= same
-        # the last row waits for the next batch; if it has been given out already, it is given out again, which does no harm
-        held = (kind[-1], seed[-1], rid[-1], th[-1])
-        if out.any():
-            yield batch(schema, rid[out], th[out], seed[out])
-
-
-def _node_rows(window: int):
+    for kind, (seed, rid, th) in by_range(batches):
+        if kind == 0:
+            order = np.argsort(seed, kind="stable")
+            seed, rid, th = seed[order], rid[order], th[order]
+            same = seed[1:] == seed[:-1]
+            out = np.append(False, same) | np.append(same, False)
+            seed, rid, th = seed[out], rid[out], th[out]
+        if len(seed):
+            yield from sliced(batch(schema, rid, th, seed))
+
+
+def _node_rows(window: int, bits: int):
+    """Windows whose seed repeats. Of each that the batch holds, only the smallest document's; kind 1: all others, which are settled."""
+
     def rows(batches):
         cache = _WordHash()
         for b in batches:
@@ -142,65 +136,45 @@ def _node_rows(window: int):
             wanted.sort()
             hit = wanted[np.minimum(np.searchsorted(wanted, seed), len(wanted) - 1)] == seed
             at, doc = at[hit], doc[hit]
-            k1, k2 = _grams(hashes, window, 101)[at], _grams(hashes, window, 202)[at]
+            k1, k2 = _grams(hashes, window, 101)[at], _grams(hashes, window, 202)[at].astype(np.uint32)
             start = at - (np.cumsum(counts) - counts)[doc]
-            order = np.lexsort((start, doc, rid[doc], k2, k1))
+            order = np.lexsort((start, rid[doc], k2, k1))
             k1, k2, doc, start = k1[order], k2[order], doc[order], start[order]
-            head = np.ones(len(doc), bool)
-            head[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-            least = rid[doc[head]][np.cumsum(head) - 1]
-            gone = rid[doc] > least
-            # settled here: runs of neighbouring starts, one row each
-            d, s = doc[gone], start[gone]
-            order = np.lexsort((s, d))
-            d, s = d[order], s[order]
-            first = np.ones(len(d), bool)
-            first[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)
-            i = np.flatnonzero(first)
-            j = np.append(i[1:], len(d)) - 1 if len(i) else i
-            k1, k2, doc, start = k1[~gone], k2[~gone], doc[~gone], start[~gone]
-            out = batch(
-                _NODES_ARROW,
-                np.repeat([0, 1], [len(doc), len(i)]).astype(np.int32),
-                np.concatenate([k1.view(np.int64), rid[d[i]] * np.int64(-7046029254386353131) + s[i]]),
-                np.concatenate([k2.view(np.int64), np.zeros(len(i), np.int64)]),
-                np.concatenate([rid[doc], rid[d[i]]]),
-                np.concatenate([th[doc], th[d[i]]]),
-                np.concatenate([start, s[i]]).astype(np.int32),
-                np.concatenate([start, s[j]]).astype(np.int32),
-            )
-            yield from sliced(out)
+            head = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))[: len(k1)]
+            gone = rid[doc] > rid[doc[head]][np.cumsum(head) - 1]
+            for kind, at in ((0, ~gone), (1, gone)):
+                # what is settled lies together by document, what is open by prefix
+                key = mix64(rid[doc[at]].view(np.uint64)) if kind else k1[at]
+                yield to_ranges(_NODES_ARROW, kind, key, bits, k1[at].view(np.int64), k2[at].view(np.int32), rid[doc[at]], th[doc[at]], start[at].astype(np.int32))
 
     return rows
 
 
 def _later_copies(batches):
-    """Rows sorted by kind, prefix and document: those of kind 1, and those whose document is not the first of their node."""
-    open_key, open_rid = None, 0
-    for b in batches:
-        kind, k1, k2, rid, th, start, stop = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        if not len(kind):
-            continue
-        head = np.ones(len(kind), bool)
-        head[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (kind[1:] != kind[:-1])
-        first = rid[head]
-        if open_key == (kind[0], k1[0], k2[0]):
-            first[0] = open_rid
-        gone = (rid > first[np.cumsum(head) - 1]) | (kind == 1)
-        open_key, open_rid = (kind[-1], k1[-1], k2[-1]), first[-1]
-        if gone.any():
-            yield batch(_SPAN_ARROW, rid[gone], th[gone], start[gone], stop[gone])
+    """Spans (rid, th, start, stop) of windows whose document is not the smallest of their node, neighbours joined."""
+    for kind, (k1, k2, rid, th, start) in by_range(batches):
+        if kind == 0:
+            order = np.lexsort((rid, k2, k1))
+            k1, k2, rid, th, start = k1[order], k2[order], rid[order], th[order], start[order]
+            head = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))[: len(k1)]
+            gone = rid > rid[head][np.cumsum(head) - 1]
+            rid, th, start = rid[gone], th[gone], start[gone]
+        order = np.lexsort((start, th, rid))
+        rid, th, start = rid[order], th[order], start[order]
+        first = np.append(True, (rid[1:] != rid[:-1]) | (th[1:] != th[:-1]) | (start[1:] > start[:-1] + 1))[: len(rid)]
+        i = np.flatnonzero(first)
+        if len(i):
+            yield from sliced(batch(_SPAN_ARROW, rid[i], th[i], start[i], start[np.append(i[1:], len(rid)) - 1]))
 
 
 def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(rid, th, spans): for each document with repeats, the [start, stop] runs of windows that a smaller document holds."""
-    base = keyed(docs)
-    seeds = base.select("__rid", "__th", "text").mapInArrow(_seed_rows(window), _SEEDS)
-    deal = F.when(F.col("kind") == 0, F.col("seed")).otherwise(F.xxhash64("seed", "rid"))
-    seeds = seeds.withColumn("deal", deal).repartition("deal").drop("deal").sortWithinPartitions("kind", "seed").mapInArrow(_repeated_seeds, "rid long, th int, seed long")
+    """(__rid, __th, spans): for each document with repeats, the [start, stop] runs of windows that a smaller document holds."""
+    base, bits = keyed(docs), range_bits(docs.sparkSession)
+    seeds = base.select("__rid", "__th", "text").mapInArrow(_seed_rows(window, bits), _SEEDS)
+    seeds = seeds.repartition("range").sortWithinPartitions("kind", "range").mapInArrow(_repeated_seeds, "rid long, th int, seed long")
     wanted = seeds.groupBy(F.col("rid").alias("__rid"), F.col("th").alias("__th")).agg(F.collect_set("seed").alias("seeds"))
     found = base.join(wanted.hint("merge"), ["__rid", "__th"]).select("__rid", "__th", "text", "seeds", "doc_id")
-    nodes = found.mapInArrow(_node_rows(window), _NODES).repartition("k1").sortWithinPartitions("kind", "k1", "k2", "rid")
+    nodes = found.mapInArrow(_node_rows(window, bits), _NODES).repartition("range").sortWithinPartitions("kind", "range")
     spans = nodes.mapInArrow(_later_copies, _SPAN)
     return spans.groupBy(F.col("rid").alias("__rid"), F.col("th").alias("__th")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
