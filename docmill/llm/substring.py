@@ -28,6 +28,8 @@ from docmill.llm.common import batch, by_range, keyed, mix64, range_bits, sliced
 #: Words in a short prefix.
 SEED = 5
 _CACHED_WORDS = 500_000
+#: Documents that are combined before they are shuffled; bounds a worker's memory.
+_DOCS_AT_ONCE = 5000
 _SEEDS = "kind int, `range` long, seed array<long>, rid array<long>, th array<int>"
 _SEEDS_ARROW = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("seed", pa.list_(pa.int64())), ("rid", pa.list_(pa.int64())), ("th", pa.list_(pa.int32()))])
 _NODES = "kind int, `range` long, k1 array<long>, k2 array<int>, rid array<long>, th array<int>, start array<int>"
@@ -86,7 +88,7 @@ def _seed_rows(window: int, bits: int):
 
     def rows(batches):
         cache = _WordHash()
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, _DOCS_AT_ONCE)):
             rid, th = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             at, doc, seed = _windows(*_hashed(cache, texts(b.column(2))), window)
             if not len(at):
@@ -125,7 +127,7 @@ def _node_rows(window: int, bits: int):
 
     def rows(batches):
         cache = _WordHash()
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, _DOCS_AT_ONCE)):
             rid, th = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             seeds = b.column(3).combine_chunks() if isinstance(b.column(3), pa.ChunkedArray) else b.column(3)
             wanted = np.unique(seeds.flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
@@ -142,6 +144,8 @@ def _node_rows(window: int, bits: int):
             k1, k2, doc, start = k1[order], k2[order], doc[order], start[order]
             head = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))[: len(k1)]
             gone = rid[doc] > rid[doc[head]][np.cumsum(head) - 1]
+            k1[gone] = 0
+            k2[gone] = 0
             for kind, at in ((0, ~gone), (1, gone)):
                 # what is settled lies together by document, what is open by prefix
                 key = mix64(rid[doc[at]].view(np.uint64)) if kind else k1[at]
@@ -168,7 +172,7 @@ def _later_copies(batches):
 
 
 def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(__rid, __th, spans): for each document with repeats, the [start, stop] runs of windows that a smaller document holds."""
+    """(__rid, __th, spans): for each document with repeats, the runs of windows that a smaller document holds, each as first * 2**32 + last."""
     base, bits = keyed(docs), range_bits(docs.sparkSession)
     seeds = base.select("__rid", "__th", "text").mapInArrow(_seed_rows(window, bits), _SEEDS)
     seeds = seeds.repartition("range").sortWithinPartitions("kind", "range").mapInArrow(_repeated_seeds, "rid long, th int, seed long")
@@ -176,17 +180,17 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     found = base.join(wanted.hint("merge"), ["__rid", "__th"]).select("__rid", "__th", "text", "seeds", "doc_id")
     nodes = found.mapInArrow(_node_rows(window, bits), _NODES).repartition("range").sortWithinPartitions("kind", "range")
     spans = nodes.mapInArrow(_later_copies, _SPAN)
-    return spans.groupBy(F.col("rid").alias("__rid"), F.col("th").alias("__th")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return spans.groupBy(F.col("rid").alias("__rid"), F.col("th").alias("__th")).agg(F.collect_set(F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")).alias("spans"))
 
 
-def without_spans(text: bytes, spans: list[dict] | None, window: int) -> tuple[list[bytes], int]:
+def without_spans(text: bytes, spans: list[int] | None, window: int) -> tuple[list[bytes], int]:
     """The words that stay, and how many there were."""
     words = text.split()
     if not spans:
         return words, len(words)
     edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, [s["start"] for s in spans], 1)
-    np.add.at(edge, [s["stop"] + window for s in spans], -1)
+    np.add.at(edge, [s >> 32 for s in spans], 1)
+    np.add.at(edge, [(s & 0xFFFFFFFF) + window for s in spans], -1)
     return [w for w, n in zip(words, np.cumsum(edge).tolist()) if not n], len(words)
 
 
