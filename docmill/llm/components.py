@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("up"))
             hook = hook.join(up.hint("merge"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
         hook = stored(hook, "hooks")
-        step = hook.withColumnsRenamed({"node": "root", "root": "up"})
+        step = hook.select(F.col("node").alias("root"), F.col("root").alias("up"))
         if result is None:
             result = hook
         else:
