@@ -4,11 +4,12 @@ Model: P(severity >= k) = sigmoid(w.x - t_k) for k = 1..K-1, one weight vector f
 the expected severity, the sum of these probabilities. Features: the words of a document (A-Z lower-cased, runs of ASCII
 letters, digits and any non-ASCII characters) and the first 4 and 6 bytes of longer ones, each 1 if present.
 
-The labels say only toxic or not. Grades come from them: 0 for documents that are not toxic; toxic ones get 1..3 by thirds of the share of
-their words that are marked, a word being marked where it is ``MARKED`` times as frequent in toxic documents of the sample as in others.
+The labels say only toxic or not. Grades come from them: 0 for documents that are not toxic; toxic ones get 1..3 by thirds of the number of
+different marked words in them, a word being marked where it is ``MARKED`` times as frequent in toxic documents of the sample as in others.
 
 Fitting: at most ``sample`` labelled documents (a documented bound), chosen by the hash of their ids, come to the driver as lists of distinct
-features; proximal gradient steps with an L1 penalty leave some hundreds of weights, which go to the executors with the function. Scoring is one
+features, near copies once; features whose log-likelihood ratio is at least ``SIGNIFICANT`` take part, and
+proximal gradient steps with an L1 penalty leave at most some hundreds of weights, which go to the executors with the function. Scoring is one
 pass over all whole texts without a shuffle.
 
 Labels that are null, lack an id or a document take no part; where an id has several labels the largest counts. Without both kinds of
@@ -20,14 +21,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import batch, stored, texts
+from docmill.llm.common import batch, mix64, stored, texts
 
 SAMPLE = 8000
 GRADES = 4
 MARKED = 8.0
+#: Least log-likelihood ratio of a feature that takes part.
+SIGNIFICANT = 25.0
+#: A document is toxic from this probability of grade 1 or more on.
+REJECT = 0.3
 _CACHED_WORDS = 500_000
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -41,14 +47,30 @@ def features_of(word: bytes) -> list[bytes]:
 
 
 def _sample_rows(batches):
-    schema = pa.schema([("toxic", pa.int32()), ("n_words", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("toxic", pa.int32()), ("words", pa.binary()), ("minhash", pa.binary())])
     for b in batches:
         for toxic, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
             words = words_of(text)
-            kinds = dict.fromkeys(words, 0)
-            for w in words:
-                kinds[w] += 1
-            yield batch(schema, [toxic], [len(words)], [b" ".join(kinds)], [np.array(list(kinds.values()), "<u4").tobytes()])
+            yield batch(schema, [toxic], [b" ".join(dict.fromkeys(words))], [minhashes(words).tobytes()])
+
+
+def minhashes(words: list[bytes], n: int = 4, shingle: int = 5) -> np.ndarray:
+    """n least hashes of the five-word shingles under n orders; near copies share one almost surely."""
+    shingles = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles))
+    return np.array([mix64(h ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)).min() for seed in range(1, n + 1)], "<u8")
+
+
+def one_of_each(taken: list) -> list:
+    """The sample without near copies, which would make every one of their words look telling."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for r in taken:
+        marks = set(enumerate(np.frombuffer(bytes(r.minhash), "<u8").tolist()))
+        if not marks & seen:
+            out.append(r)
+        seen |= marks
+    return out
 
 
 class OrdinalModel:
@@ -74,29 +96,45 @@ class OrdinalModel:
         return [float(1 / (1 + np.exp(-np.clip(score - t, -60, 60)))) for t in self.thresholds]
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, l1: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds for documents given as (row, feature) places of ones; accelerated proximal gradient."""
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, l1: float = 1e-5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds for documents given as (row, feature) places of ones; accelerated proximal gradient with restarts."""
     n = len(grades)
     y = grades[:, None] >= np.arange(1, n_grades)[None, :]
     share = np.clip(y.mean(axis=0), 1e-3, 1 - 1e-3)
     w, t = np.zeros(n_features), np.sort(-np.log(share / (1 - share)))
+    # features are scaled to one length, so that rare ones learn as fast as common ones
+    size = 1 / np.sqrt(np.maximum(np.bincount(cols, minlength=n_features), 1) / n)
+    x = size[cols]
+    # the step follows the largest curvature, found by power iteration over features and the common shift of the thresholds
+    v, shift = np.ones(n_features), 1.0
+    for _ in range(20):
+        s = np.bincount(rows, weights=v[cols] * x, minlength=n) + shift
+        v, shift = np.bincount(cols, weights=s[rows] * x, minlength=n_features), s.sum()
+        top = np.sqrt(v @ v + shift * shift)
+        v, shift = v / top, shift / top
+    rate = 1 / (0.25 * (n_grades - 1) * top / n)
     vw, vt, mom = w.copy(), t.copy(), 1.0
-    # coordinates are scaled by how often a feature occurs, as steps of one size would leave rare ones behind
-    often = np.maximum(np.bincount(cols, minlength=n_features), 1) / n
-    rate_w, rate_t = 0.02 / np.sqrt(often), 0.5
     for _ in range(steps):
-        s = np.bincount(rows, weights=vw[cols], minlength=n)
-        p = 1 / (1 + np.exp(-np.clip(s[:, None] - vt[None, :], -60, 60)))
-        g = (p - y) / n
-        gw, gt = np.bincount(cols, weights=g.sum(axis=1)[rows], minlength=n_features), -g.sum(axis=0)
-        w2 = vw - rate_w * gw * 20
-        w2 = np.sign(w2) * np.maximum(np.abs(w2) - rate_w * 20 * l1, 0)
-        t2 = np.maximum.accumulate(vt - rate_t * gt)
+        s = np.bincount(rows, weights=vw[cols] * x, minlength=n)
+        g = (1 / (1 + np.exp(-np.clip(s[:, None] - vt[None, :], -60, 60))) - y) / n
+        w2 = vw - rate * np.bincount(cols, weights=g.sum(axis=1)[rows] * x, minlength=n_features)
+        w2 = np.sign(w2) * np.maximum(np.abs(w2) - rate * l1, 0)
+        t2 = np.maximum.accumulate(vt + rate * g.sum(axis=0))
         m2 = (1 + np.sqrt(1 + 4 * mom * mom)) / 2
         restart = float((vw - w2) @ (w2 - w)) > 0
         k = 0.0 if restart else (mom - 1) / m2
         vw, vt, w, t, mom = w2 + k * (w2 - w), t2 + k * (t2 - t), w2, t2, 1.0 if restart else m2
-    return w, t
+    return w * size, t
+
+
+def g_squared(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Log-likelihood ratio of each feature's counts against even frequency."""
+    all_, n = in_toxic + in_clean, toxic + clean
+    total = np.zeros(len(all_))
+    for seen, size in ((in_toxic, toxic), (in_clean, clean)):
+        for got, expected in ((seen, all_ * size / n), (size - seen, (n - all_) * size / n)):
+            total += 2 * got * np.log(np.maximum(got, 1e-9) / np.maximum(expected, 1e-9))
+    return total
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel | None:
@@ -104,13 +142,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Or
     known = stored(known.orderBy(F.xxhash64("__id"), "__id").limit(sample), "labels")
     # at most sample rows of two numbers
     found = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(known), "__id").dropDuplicates(["__id"])
-    taken = found.select("__toxic", "__text").mapInArrow(_sample_rows, "toxic int, n_words long, words binary, counts binary").collect()
-    taken = sorted(taken, key=lambda r: (r.words, r.toxic))
+    taken = found.select("__toxic", "__text").mapInArrow(_sample_rows, "toxic int, words binary, minhash binary").collect()
+    taken = one_of_each(sorted(taken, key=lambda r: (r.words, r.toxic)))
     toxic = np.array([r.toxic > 0 for r in taken], bool)
     if not toxic.any() or toxic.all():
         return None
     number: dict[bytes, int] = {}
-    doc_of, feature, word_doc, word_of, word_n = [], [], [], [], []
+    doc_of, feature, word_doc, word_of = [], [], [], []
     for i, r in enumerate(taken):
         kinds = bytes(r.words).split()
         own = set()
@@ -120,19 +158,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Or
         feature.append(np.fromiter(own, np.int64, len(own)))
         word_doc.append(np.full(len(kinds), i))
         word_of.append(np.fromiter((number[w] for w in kinds), np.int64, len(kinds)))
-        word_n.append(np.frombuffer(bytes(r.counts), "<u4").astype(np.int64))
     rows, cols = np.concatenate(doc_of), np.concatenate(feature)
-    # features in few documents say nothing; of the rest, those that occur evenly on both sides neither
     in_toxic = np.bincount(cols[toxic[rows]], minlength=len(number))
     in_clean = np.bincount(cols[~toxic[rows]], minlength=len(number))
     ratio = ((in_toxic + 0.5) / (toxic.sum() + 1)) / ((in_clean + 0.5) / ((~toxic).sum() + 1))
-    marked = (ratio >= MARKED) & (in_toxic >= 3)
-    at, of, times = map(np.concatenate, (word_doc, word_of, word_n))
-    share = np.bincount(at, weights=times * marked[of], minlength=len(taken)) / np.maximum([r.n_words for r in taken], 1)
+    # features that chance alone could spread like this among so many are left out
+    use = g_squared(in_toxic, in_clean, int(toxic.sum()), int((~toxic).sum())) >= SIGNIFICANT
+    marked = use & (ratio >= MARKED)
+    at, of = map(np.concatenate, (word_doc, word_of))
+    share = np.bincount(at, weights=marked[of], minlength=len(taken))
     grades = np.zeros(len(taken), np.int64)
     edges = np.quantile(share[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
     grades[toxic] = 1 + np.searchsorted(edges, share[toxic], side="left")
-    use = (in_toxic + in_clean >= 3) & ((ratio >= 2) | (ratio <= 0.5))
     place = np.cumsum(use) - 1
     hit = use[cols]
     w, t = fit_ordinal(rows[hit], place[cols[hit]], grades, max(1, int(use.sum())), GRADES)
@@ -150,7 +187,7 @@ def _severity(model: OrdinalModel | None, text: bytes, cache: dict) -> tuple[flo
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row a document: doc_id, severity (expected), p_toxic, grade (0 to 3), toxic (grade at least 1)."""
+    """One row a document: doc_id, severity (expected), p_toxic, grade (0 to 3, the highest that is at least as likely as not), toxic (p_toxic at least ``REJECT``)."""
     model = fit_toxicity(docs, labels, sample)
     schema = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("p_toxic", pa.float64()), ("grade", pa.int32()), ("toxic", pa.bool_())])
 
@@ -158,19 +195,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         cache: dict = {}
         for b in batches:
             done = [_severity(model, t, cache) for t in texts(b.column(1))]
-            yield batch(schema, b.column(0), [x[0] for x in done], [x[1] for x in done], [x[2] for x in done], [x[2] > 0 for x in done])
+            yield batch(schema, b.column(0), [x[0] for x in done], [x[1] for x in done], [x[2] for x in done], [x[1] >= REJECT for x in done])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rate, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs, all columns, less those with grade 1 or more."""
+    """docs, all columns, less the toxic ones."""
     model = fit_toxicity(docs, labels, sample)
     at = docs.columns.index("text")
 
     def keep(batches):
         cache: dict = {}
         for b in batches:
-            yield b.filter(pa.array([_severity(model, t, cache)[2] == 0 for t in texts(b.column(at).cast(pa.string()))], pa.bool_()))
+            yield b.filter(pa.array([_severity(model, t, cache)[1] < REJECT for t in texts(b.column(at).cast(pa.string()))], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
