@@ -1,0 +1 @@
+"""docmill: document analytics on Spark DataFrames."""

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from docmill.plans import q_blocks, q_extract, q_joins, q_runs, q_text  # noqa: F401
+from docmill.plans.registry import QUERIES, SQL  # noqa: F401
