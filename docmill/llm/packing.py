@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm.common import batch, sliced, stored
 
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 800_000
 _PIECES = "task long, cls int, nth long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
 _PIECES_ARROW = pa.schema([(n, pa.int32() if n == "cls" else pa.int64()) for n in ("task", "cls", "nth", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 _OUT = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -34,6 +34,10 @@ _TASK_BITS = 36
 _ACROSS, _LAST = 1 << 61, 1 << 62
 
 
+class _Odd(Exception):
+    """A word that does not stand on its own."""
+
+
 class Words(dict):
     """Token ids of a word with the space before it, as little-endian bytes. A text falls apart into these before each space that stands before
     anything but white space: the tokenizer's pattern always starts anew there."""
@@ -43,6 +47,8 @@ class Words(dict):
         self.tokenizer, self.ranks = tokenizer, ranks
 
     def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or "<|" in word:
+            raise _Odd
         if len(self) > _CACHED_WORDS:
             self.clear()
         ids = self[word] = self.encode(" " + word)
@@ -57,9 +63,12 @@ class Words(dict):
         if not text:
             return b""
         first, *rest = text.split(" ")
-        if all(rest) and not any(w[0].isspace() for w in rest) and "<|" not in text:
-            return self.encode(first) + b"".join(map(self.__getitem__, rest)) if first else b"".join(map(self.__getitem__, rest))
-        return self.encode(text)
+        try:
+            if "<|" in first:
+                raise _Odd
+            return (self.encode(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+        except _Odd:  # runs of white space, a space at the end, or a special token: the text as a whole
+            return self.encode(text)
 
 
 @lru_cache(maxsize=2)
