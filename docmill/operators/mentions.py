@@ -141,7 +141,11 @@ def sentences(text: Column) -> Column:
 def evidence_sentences(docs: DataFrame, pack: RulePack) -> DataFrame:
     """(doc_id, metric, sentence): the first sentence that names a metric and a value. Sentences are cut first, so that no pattern runs over a whole text."""
     rows = docs.select("doc_id", sentences(F.col("text")).alias("s"))
-    hits = [F.struct(F.lit(n).alias("metric"), F.nullif(squeeze(F.try_element_at(F.filter("s", lambda x, p=p: x.rlike(p)), F.lit(1))), F.lit("")).alias("sentence")) for n, p in pack.evidence.items()]
+
+    def first(pattern: str) -> Column:
+        return F.nullif(squeeze(F.try_element_at(F.filter("s", lambda x: x.rlike(pattern)), F.lit(1))), F.lit(""))
+
+    hits = [F.struct(F.lit(n).alias("metric"), first(p).alias("sentence")) for n, p in pack.evidence.items()]
     return rows.select("doc_id", F.inline(F.array(*hits))).where("sentence is not null")
 
 

@@ -17,13 +17,13 @@ def field_completeness(df: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def noisy_ratio(df: DataFrame, notes: str, phrases: tuple[str, ...] = NOISE_PHRASES) -> DataFrame:
-    """A2: (records, noisy, percent with one decimal)."""
+    """A2: (records, noisy, percent with one decimal; null without records)."""
     low = F.lower(F.coalesce(notes, F.lit("")))
     hit = F.lit(False)
     for p in phrases:
         hit = hit | low.contains(p)
     rows = df.agg(F.count("*").alias("records"), F.count_if(hit).alias("noisy"))
-    return rows.withColumn("percent", F.round(F.col("noisy") * 100.0 / F.col("records"), 1))
+    return rows.withColumn("percent", F.when(F.col("records") > 0, F.round(F.col("noisy") * 100.0 / F.col("records"), 1)))
 
 
 def field_accuracy(pred: DataFrame, truth: DataFrame, key: str, fields: list[str]) -> DataFrame:

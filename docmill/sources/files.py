@@ -12,8 +12,8 @@ ERROR = T.StructType([T.StructField(n, t) for n, t in (("ts", T.TimestampType())
 
 def scan_corpus(spark: SparkSession, path: str, glob: str = "*.txt", recursive: bool = True, exclude: list[str] = ()) -> DataFrame:
     """(path, name, size, text) of the files under a folder whose names match, less those under excluded folders."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
-    rows = reader.text(path).select("_metadata.file_path", "_metadata.file_name", "_metadata.file_size", "value")
+    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
+    rows = reader.text(path, wholetext=True).select("_metadata.file_path", "_metadata.file_name", "_metadata.file_size", "value")
     for folder in exclude:
         rows = rows.where(~F.col("file_path").contains(f"/{folder.strip('/')}/"))
     return rows.select(F.col("file_path").alias("path"), F.col("file_name").alias("name"), F.col("file_size").alias("size"), F.col("value").alias("text"))
@@ -31,7 +31,7 @@ def read_tables_csv(spark: SparkSession, path: str) -> DataFrame:
     """S3: (path, caption, pos, header, cells): the rows of CSV tables of any width; the first row of a file is its header, its stem the caption.
 
     Cells may be quoted, with quotes doubled; a line break ends a row."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(path, wholetext=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("_metadata.file_name", r"\.csv$", "").alias("caption"), F.split(F.regexp_replace("value", "[\r\n]+$", ""), "\r?\n").alias("lines"))
     lines = files.select("path", "caption", F.posexplode("lines").alias("pos", "line"))
     # every cell is ended by a comma, the last one too
