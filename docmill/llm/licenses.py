@@ -1,8 +1,8 @@
 """License scans: ordered signature rules, gated by a keyword prefilter, overlaps resolved by priority and containment.
 
 A text is lower-cased in A-Z and cut into words (``WORDS``); rules are regular expressions over the words joined by one space, and
-match whole words only. A document is scanned only if one of the few keywords that every rule names stands in it, and a rule
-only if its own keyword does. Detections are then resolved: sorted by priority, length and place, a detection is suppressed
+match whole words only. Each rule names the words of which one must stand in a text that it matches; a document without any of
+these is not scanned, and a rule only where one of its own stands. Detections are then resolved: sorted by priority, length and place, a detection is suppressed
 if a stronger one of the same or a higher priority contains its words, so "gnu lesser general public license version 2.1"
 does not also count as the GPL. Base phrases are counted at every place where their words stand in a row; their labels are
 never suppressed.
@@ -31,17 +31,19 @@ _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <=
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 
+#: The least common word of each.
+BASE_KEYWORDS = {"cc by": "cc", "general public license": "general", "all rights reserved": "rights"}
+
+
 class Rule(NamedTuple):
     label: str
     pattern: str
+    #: Words, one of which every match holds.
     keyword: str
     priority: int
     confidence: float
 
 
-_VERSIONED = "(?: license)?,? (?:version |v ?)?"
-
-
 def _creative_commons() -> list[Rule]:
     names = {"by": "attribution", "by sa": "attribution share ?alike", "by nd": "attribution no ?deriv(?:ative)?s", "by nc": "attribution non ?commercial", "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s"}
     out = []
@@ -56,7 +58,7 @@ def _creative_commons() -> list[Rule]:
         out.append(Rule(label, f"creative commons {name}(?: (?:public )?licen[sc]e)?", "creative", 50 + more, 0.8))
         if short != "by":
             out.append(Rule(label, f"cc {short}", "cc", 48 + more, 0.8))
-    out.append(Rule("cc0-1.0", "cc0(?: 1 0)?(?: universal)?|creative commons zero(?: 1 0)?|creativecommons org publicdomain zero 1 0", "c", 70, 0.9))
+    out.append(Rule("cc0-1.0", "cc0(?: 1 0)?(?: universal)?|creative commons zero(?: 1 0)?|creativecommons org publicdomain zero 1 0", "cc0 creative creativecommons", 70, 0.9))
     out.append(Rule("cc-pdm-1.0", "creativecommons org publicdomain mark 1 0|public domain mark(?: 1 0)?", "mark", 66, 0.9))
     return out
 
@@ -71,10 +73,11 @@ def _gnu() -> list[Rule]:
             label = f"{kind}-{v.replace(' ', '.')}" + ("" if " " in v else ".0")
             tail = v if " " in v else f"{v}(?: 0)?"
             out.append(Rule(label, f"(?:gnu )?{name},? (?:version |v ?){tail}", word, 80 + more, 0.9))
-            out.append(Rule(label, f"{short} ?v?{tail}", short, 76 + more, 0.9))
+            joined = " ".join([short, f"{short}v", f"{short}{v[0]}", f"{short}v{v[0]}"])
+            out.append(Rule(label, f"{short} ?v?{tail}", joined, 76 + more, 0.9))
             for suffix, words in (("only", "only"), ("or-later", "(?:of the licen[sc]e )?(?:or (?:at your option )?(?:any )?later(?: version)?|or newer)")):
                 out.append(Rule(f"{label}-{suffix}", f"(?:gnu )?{name},? (?:version |v ?){tail} {words}", word, 82 + more, 1.0))
-                out.append(Rule(f"{label}-{suffix}", f"{short} ?v?{tail} {words}", short, 78 + more, 1.0))
+                out.append(Rule(f"{label}-{suffix}", f"{short} ?v?{tail} {words}", joined, 78 + more, 1.0))
         out.append(Rule(kind, f"gnu {name}", "gnu", 60 + more, 0.8))
         out.append(Rule(kind, f"{name}" if kind != "gpl" else "licensed under (?:the )?gpl", word if kind != "gpl" else "gpl", 58 + more, 0.7))
     return out
@@ -103,19 +106,19 @@ _NAMED = (
     ("zpl", "zope public", ("1 1", "2 0", "2 1"), "zope"),
     ("psf", "python software foundation", ("2",), "python"),
     ("php", "php", ("3 0", "3 01"), "php"),
-    ("qpl", "q public", ("1 0",), "q public"),
+    ("qpl", "q public", ("1 0",), "q"),
     ("apsl", "apple public source", ("1 0", "1 1", "1 2", "2 0"), "apple"),
     ("ipl", "ibm public", ("1 0",), "ibm"),
     ("lppl", "latex project public", ("1 0", "1 1", "1 2", "1 3"), "latex"),
     ("npl", "netscape public", ("1 0", "1 1"), "netscape"),
-    ("spl", "sun public", ("1 0",), "sun public"),
+    ("spl", "sun public", ("1 0",), "sun"),
     ("upl", "universal permissive", ("1 0",), "universal"),
     ("wtfpl", "do what the f u?c?k you want to public", ("2",), "want"),
     ("elastic", "elastic", ("2 0",), "elastic"),
     ("cecill", "cecill", ("1 0", "1 1", "2 0", "2 1"), "cecill"),
     ("ecl", "educational community", ("1 0", "2 0"), "educational"),
     ("efl", "eiffel forum", ("1", "2"), "eiffel"),
-    ("openrail", "(?:bigscience )?(?:open ?)?rail(?: m)?", ("1 0",), "rail"),
+    ("openrail", "(?:bigscience )?(?:open ?)?rail(?: m)?", ("1 0",), "rail openrail"),
     ("ncsa", "university of illinois ncsa open source", (), "ncsa"),
     ("vsl", "vovida software", ("1 0",), "vovida"),
     ("w3c", "w3c software(?: notice and)?", (), "w3c"),
@@ -132,11 +135,11 @@ _SENTENCES = (
     ("mit-0", "mit no attribution(?: licen[sc]e)?|mit 0", "mit", 66, 0.9),
     ("isc", "(?:the )?isc licen[sc]e", "isc", 60, 0.9),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "modify", 90, 1.0),
-    ("bsd", "(?:the )?(?:new |modified |simplified |original )?bsd licen[sc]e", "bsd", 50, 0.8),
-    ("bsd-2-clause", "(?:the )?(?:2 clause|simplified|freebsd) bsd(?: licen[sc]e)?|bsd 2 clause(?: licen[sc]e)?", "bsd", 62, 0.9),
-    ("bsd-3-clause", "(?:the )?(?:3 clause|new|modified|revised) bsd(?: licen[sc]e)?|bsd 3 clause(?: licen[sc]e)?", "bsd", 62, 0.9),
-    ("bsd-4-clause", "(?:the )?(?:4 clause|original|old) bsd(?: licen[sc]e)?|bsd 4 clause(?: licen[sc]e)?", "bsd", 62, 0.9),
-    ("bsd-0-clause", "(?:0 clause|zero clause) bsd(?: licen[sc]e)?|0bsd", "bsd", 62, 0.9),
+    ("bsd", "(?:the )?(?:new |modified |simplified |original )?bsd licen[sc]e", "bsd 0bsd", 50, 0.8),
+    ("bsd-2-clause", "(?:the )?(?:2 clause|simplified|freebsd) bsd(?: licen[sc]e)?|bsd 2 clause(?: licen[sc]e)?", "bsd 0bsd", 62, 0.9),
+    ("bsd-3-clause", "(?:the )?(?:3 clause|new|modified|revised) bsd(?: licen[sc]e)?|bsd 3 clause(?: licen[sc]e)?", "bsd 0bsd", 62, 0.9),
+    ("bsd-4-clause", "(?:the )?(?:4 clause|original|old) bsd(?: licen[sc]e)?|bsd 4 clause(?: licen[sc]e)?", "bsd 0bsd", 62, 0.9),
+    ("bsd-0-clause", "(?:0 clause|zero clause) bsd(?: licen[sc]e)?|0bsd", "bsd 0bsd", 62, 0.9),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution", 88, 1.0),
     ("bsd-3-clause", "neither the name of .{1,80} nor the names of its contributors may be used to endorse or promote", "endorse", 89, 1.0),
     ("zlib", "(?:the )?zlib(?: libpng)? licen[sc]e", "zlib", 60, 0.9),
@@ -157,9 +160,9 @@ _SENTENCES = (
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e", "redistribute", 95, 1.0),
     ("apache-2.0", "you may not use this file except in compliance with the licen[sc]e you may obtain a copy of the licen[sc]e at", "compliance", 92, 1.0),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0", "mozilla", 94, 1.0),
-    ("beerware", "beer ?ware licen[sc]e", "beer", 60, 0.9),
+    ("beerware", "beer ?ware licen[sc]e", "beer beerware", 60, 0.9),
     ("json", "the software shall be used for good not evil", "evil", 90, 1.0),
-    ("non-commercial", "(?:for )?non ?commercial (?:use|purposes)(?: only)?", "commercial", 42, 0.7),
+    ("non-commercial", "(?:for )?non ?commercial (?:use|purposes)(?: only)?", "commercial noncommercial", 42, 0.7),
     ("educational-use", "for (?:educational|research|academic) (?:use|purposes) only", "only", 44, 0.7),
     ("fair-use", "fair use (?:of|under|doctrine|policy)", "fair", 40, 0.6),
     ("terms-of-use", "subject to (?:the |our )?terms (?:of (?:use|service)|and conditions)", "terms", 32, 0.5),
@@ -198,24 +201,21 @@ def rules() -> list[Rule]:
             out.append(Rule(full, f"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?{name} licen[sc]e,? (?:version |v ?)?{v}", keyword, 74, 1.0))
         out.append(Rule(label, f"{name} licen[sc]e", keyword, 55, 0.8))
     out += [Rule(_dotted(s), f"spdx license identifier {s}", "spdx", 98, 1.0) for s in _SPDX]
-    out += [Rule(label, phrase, phrase.split()[0], 10, 0.5) for phrase, label in BASE.items()]
+    out += [Rule(label, phrase, BASE_KEYWORDS[phrase], 10, 0.5) for phrase, label in BASE.items()]
     return sorted(out, key=lambda r: -r.priority)
 
 
 class Scanner:
     def __init__(self, all_rules: list[Rule]):
-        self.rules = [(r, re.compile(b"(?<= )(?:" + r.pattern.encode() + b")(?= )"), r.keyword.encode()) for r in all_rules]
-        self.base = [(b" " + p.encode() + b" ", len(p.split()), label) for p, label in BASE.items()]
-        # keywords that hold another one say nothing more than it does
-        keys = sorted({k for _, _, k in self.rules if len(k) > 1}, key=len)
-        short = [k for i, k in enumerate(keys) if not any(j in k for j in keys[:i])]
-        self.gate = re.compile(b"|".join(map(re.escape, short)))
-
-    def detections(self, joined: bytes) -> list[tuple[Rule, int, int]]:
+        self.rules = [(r, re.compile(b"(?<= )(?:" + r.pattern.encode() + b")(?= )"), frozenset(r.keyword.encode().split())) for r in all_rules]
+        self.base = [(b" " + p.encode() + b" ", label) for p, label in BASE.items()]
+        self.keywords = frozenset().union(*(k for _, _, k in self.rules))
+
+    def detections(self, joined: bytes, present: set[bytes]) -> list[tuple[Rule, int, int]]:
         """Kept detections over b' w1 w2 ... ': rule, first word, end word."""
         found = []
-        for order, (rule, pattern, keyword) in enumerate(self.rules):
-            if keyword in joined:
+        for order, (rule, pattern, keywords) in enumerate(self.rules):
+            if not keywords.isdisjoint(present):
                 for m in pattern.finditer(joined):
                     first = joined.count(b" ", 0, m.start()) - 1
                     found.append((-rule.priority, -(m.end() - m.start()), first, order, first + 1 + joined.count(b" ", m.start(), m.end()), rule))
@@ -228,17 +228,18 @@ class Scanner:
     def scan(self, text: bytes) -> tuple:
         """n_words, n_base, first_word, last_word, base_labels, labels, score."""
         words = text.translate(_TO_WORDS).split()
-        joined = b" " + b" ".join(words) + b" "
-        if not self.gate.search(joined):
+        present = self.keywords.intersection(words)
+        if not present:
             return len(words), 0, None, None, "", "", 0.0
+        joined = b" " + b" ".join(words) + b" "
         starts, base = [], set()
-        for phrase, _, label in self.base:
+        for phrase, label in self.base:
             at = joined.find(phrase)
             while at >= 0:
                 starts.append(joined.count(b" ", 0, at))
                 base.add(label)
                 at = joined.find(phrase, at + 1)
-        kept = self.detections(joined)
+        kept = self.detections(joined, present)
         labels = base | {r.label for r, _, _ in kept}
         score = max([0.5 * bool(base), *(r.confidence for r, _, _ in kept)])
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
