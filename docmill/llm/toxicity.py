@@ -147,25 +147,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Or
     toxic = np.array([r.toxic > 0 for r in taken], bool)
     if not toxic.any() or toxic.all():
         return None
-    number: dict[bytes, int] = {}
+    # features are held by their hashes; only the chosen ones get their names back
+    digest = xxhash.xxh3_64_intdigest
     doc_of, feature, word_doc, word_of = [], [], [], []
     for i, r in enumerate(taken):
         kinds = bytes(r.words).split()
-        own = set()
-        for w in kinds:
-            own.update(number.setdefault(f, len(number)) for f in features_of(w))
-        doc_of.append(np.full(len(own), i))
-        feature.append(np.fromiter(own, np.int64, len(own)))
-        word_doc.append(np.full(len(kinds), i))
-        word_of.append(np.fromiter((number[w] for w in kinds), np.int64, len(kinds)))
-    rows, cols = np.concatenate(doc_of), np.concatenate(feature)
-    in_toxic = np.bincount(cols[toxic[rows]], minlength=len(number))
-    in_clean = np.bincount(cols[~toxic[rows]], minlength=len(number))
+        own = np.unique(np.fromiter((digest(f) for w in kinds for f in features_of(w)), np.uint64))
+        doc_of.append(np.full(len(own), i, np.int32))
+        feature.append(own)
+        word_doc.append(np.full(len(kinds), i, np.int32))
+        word_of.append(np.fromiter(map(digest, kinds), np.uint64, len(kinds)))
+    rows = np.concatenate(doc_of)
+    known_features, cols = np.unique(np.concatenate(feature), return_inverse=True)
+    in_toxic = np.bincount(cols[toxic[rows]], minlength=len(known_features))
+    in_clean = np.bincount(cols[~toxic[rows]], minlength=len(known_features))
     ratio = ((in_toxic + 0.5) / (toxic.sum() + 1)) / ((in_clean + 0.5) / ((~toxic).sum() + 1))
     # features that chance alone could spread like this among so many are left out
     use = g_squared(in_toxic, in_clean, int(toxic.sum()), int((~toxic).sum())) >= SIGNIFICANT
     marked = use & (ratio >= MARKED)
-    at, of = map(np.concatenate, (word_doc, word_of))
+    at, of = np.concatenate(word_doc), np.searchsorted(known_features, np.concatenate(word_of))
     share = np.bincount(at, weights=marked[of], minlength=len(taken))
     grades = np.zeros(len(taken), np.int64)
     edges = np.quantile(share[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
@@ -173,8 +173,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Or
     place = np.cumsum(use) - 1
     hit = use[cols]
     w, t = fit_ordinal(rows[hit], place[cols[hit]], grades, max(1, int(use.sum())), GRADES)
-    names = [f for f, u in zip(number, use) if u]
-    return OrdinalModel({f: float(x) for f, x in zip(names, w) if x}, t.tolist())
+    weight = dict(zip(known_features[use].tolist(), w.tolist()))
+    return OrdinalModel({f: x for r in taken for word in bytes(r.words).split() for f in features_of(word) if (x := weight.get(digest(f)))}, t.tolist())
 
 
 def _severity(model: OrdinalModel | None, text: bytes, cache: dict) -> tuple[float, float, int]:
