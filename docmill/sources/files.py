@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,9 +99,12 @@ def latest_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def admit_files(files: DataFrame, name: str, size: str, suffix: str = ".pdf", max_size: int = 100 * 1024 * 1024, max_files: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(admitted, rejected with reject_reason): suffix in any case, size, and the first ``max_files`` by name."""
+    """(admitted, rejected with reject_reason): suffix in any case, size, and the first ``max_files`` by name. Names are taken to be distinct."""
     reason = F.when(~F.lower(name).endswith(suffix), "type").when(F.col(size) > max_size, "size")
     rows = files.withColumn("reject_reason", reason)
-    fine = rows.where("reject_reason is null").drop("reject_reason").withColumn("__n", F.row_number().over(Window.orderBy(name)))
-    rejected = rows.where("reject_reason is not null").unionByName(fine.where(F.col("__n") > max_files).drop("__n").withColumn("reject_reason", F.lit("count")))
-    return fine.where(F.col("__n") <= max_files).drop("__n"), rejected
+    fine = rows.where("reject_reason is null").drop("reject_reason")
+    first = fine.orderBy(name).limit(max_files)
+    # one row: the last name that is admitted
+    last = F.broadcast(first.agg(F.max(name).alias("__last")))
+    over = fine.join(last, F.col(name) > F.col("__last")).drop("__last").withColumn("reject_reason", F.lit("count"))
+    return first, rows.where("reject_reason is not null").unionByName(over)
