@@ -41,7 +41,9 @@ def metric_values(text: Column, metric: Metric) -> Column:
             found.append(F.transform(raw, lambda v: F.nullif(F.regexp_replace(squeeze(v), r"^[ .;,)(]+|[ .;,)(]+$", ""), F.lit(""))))
         else:
             found.append(F.transform(raw, lambda v: F.when(_in_range(v.try_cast("double"), metric), _shown(v.try_cast("decimal(20,6)"), metric))))
-    return F.slice(F.array_distinct(F.array_compact(F.concat(*found))), 1, metric.cap)
+    # most texts match no pattern: the cheap test spares them the arrays
+    hit = reduce(lambda a, b: a | b, [text.rlike(p) for p in metric.patterns])
+    return F.when(hit, F.slice(F.array_distinct(F.array_compact(F.concat(*found))), 1, metric.cap)).otherwise(F.array().cast("array<string>"))
 
 
 def extract_mentions(docs: DataFrame, pack: RulePack) -> DataFrame:

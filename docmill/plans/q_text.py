@@ -280,3 +280,40 @@ def _w9(t):
 @query("s5_csv_cells", "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[,\"\\n\\r]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS cell FROM conversations")
 def _s5(t):
     return t("conversations").select("conv_id", "turn", R.csv_cell("text").alias("cell"))
+
+
+@query("u2_union_distinct", "SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' UNION SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O'")
+def _u2(t):
+    rows = t("lineitem")
+    return rows.where("l_returnflag = 'R'").select("l_orderkey").unionByName(rows.where("l_linestatus = 'O'").select("l_orderkey")).distinct()
+
+
+def _by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+@query("w4_neighbourhood", "SELECT event_id, max(CAST(event_type = 'error' AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near_error FROM events")
+def _w4(t):
+    near = F.max((F.col("event_type") == "error").cast("int")).over(_by_user().rowsBetween(-2, 2))
+    return t("events").select("event_id", near.alias("near_error"))
+
+
+@query("w5_carry_forward", "SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_error FROM events")
+def _w5(t):
+    last = F.last(F.when(F.col("event_type") == "error", F.col("event_id")), ignorenulls=True).over(_by_user().rowsBetween(Window.unboundedPreceding, 0))
+    return t("events").select("event_id", last.alias("last_error"))
+
+
+@query("w6_running_budget", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 60")
+def _w6(t):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, -1)
+    rows = t("lineitem").withColumn("before", F.coalesce(F.sum("l_quantity").over(w), F.lit(0.0)))
+    return rows.where("before < 60").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("w8_nearest_of_type", "SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, first_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM events")
+def _w8(t):
+    error = F.when(F.col("event_type") == "error", F.col("event_id"))
+    before = F.last(error, ignorenulls=True).over(_by_user().rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(error, ignorenulls=True).over(_by_user().rowsBetween(1, Window.unboundedFollowing))
+    return t("events").select("event_id", before.alias("before"), after.alias("after"))
