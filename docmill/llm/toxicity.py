@@ -31,7 +31,7 @@ SAMPLE = 8000
 GRADES = 4
 MARKED = 8.0
 #: Least log-likelihood ratio of a feature that takes part.
-SIGNIFICANT = 25.0
+SIGNIFICANT = 14.0
 #: A document is toxic from this probability of grade 1 or more on.
 REJECT = 0.3
 _CACHED_WORDS = 500_000
