@@ -175,13 +175,13 @@ def _j8(t):
 
 @query(
     "j10_fill_nulls_by_position",
-    """WITH r AS (SELECT l_orderkey, list({'q': CASE WHEN l_returnflag <> 'R' THEN l_quantity END, 'f': CASE WHEN l_linestatus = 'O' THEN l_linestatus END} ORDER BY l_linenumber, l_partkey, l_suppkey) AS a,
-list({'q': l_quantity + 100, 'f': l_returnflag} ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (l_linenumber <= 2 OR l_orderkey % 2 = 0) AS b FROM lineitem GROUP BY 1),
+    """WITH r AS (SELECT l_orderkey, list({'q': CASE WHEN l_returnflag <> 'R' THEN l_quantity END, 'f': CASE WHEN l_linestatus = 'O' THEN l_linestatus END} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS a,
+list({'q': l_quantity + 100, 'f': l_returnflag} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) FILTER (l_linenumber <= 2 OR l_orderkey % 2 = 0) AS b FROM lineitem GROUP BY 1),
 z AS (SELECT l_orderkey, unnest(a) AS x, generate_subscripts(a, 1) AS i, b FROM r)
 SELECT l_orderkey, CAST(i AS INTEGER) AS i, coalesce(x.q, CASE WHEN b IS NOT NULL THEN b[i].q END) AS q, coalesce(x.f, CASE WHEN b IS NOT NULL THEN b[i].f END) AS f FROM z""",
 )
 def _j10(t):
-    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
     def listed(q, f, when):
         rows = F.array_sort(F.collect_list(F.when(when, F.struct(*order, q.alias("q"), f.alias("f")))))
         return F.transform(rows, lambda x: F.struct(x["q"].alias("q"), x["f"].alias("f")))
