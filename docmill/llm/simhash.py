@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import batch, stored, texts
+from docmill.llm.common import NO_ID, batch, stored, texts
 from docmill.llm.components import components
 
 #: At most so many fingerprints are brought to the driver to place the vantage points.
@@ -28,32 +28,40 @@ TREE_SAMPLE = 65_536
 _PAIRS_AT_ONCE = 1 << 21
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
+def shingle_hashes(text: bytes, shingle: int = 3) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words; a shorter text is one run, one without words has none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     n = max(1, len(words) - shingle + 1)
     starts = (ends - sizes)[:n].tolist()
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(joined[i:j], 42) for i, j in zip(starts, stops)], dtype="<u8", count=n)
+    return np.fromiter([digest(joined[i:j], 42) for i, j in zip(starts, stops)], dtype="<u8", count=n)
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     total = np.zeros(64, np.int64)
     for i in range(0, n, 4096):
         total += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, shingle: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) of every row, and its ``keys`` (longs); fp is the fingerprint as a signed long."""
+    schema = pa.schema([(name, pa.int64()) for name in ("doc_id", "fp", *keys)])
 
     def rows(batches):
         for b in batches:
-            yield batch(schema, b.column(0), np.array([fingerprint(t, shingle) for t in texts(b.column(1))], np.uint64).view(np.int64))
+            yield batch(schema, b.column(0), np.array([fingerprint(t, shingle) for t in texts(b.column(1))], np.uint64).view(np.int64), *b.columns[2:])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keys).mapInArrow(rows, ", ".join(f"{name} long" for name in schema.names))
 
 
 def distance(a, b):
@@ -161,21 +169,41 @@ def fingerprint_links(points: DataFrame, radius: int = 2, shard_points: int = 40
     return routed.groupBy("shard").applyInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, shard_points: int = 4096) -> DataFrame:
-    """One row a document: doc_id, fingerprint (16 hex digits), component_id (least doc_id of its component)."""
-    of = stored(fingerprints(docs, shingle), "fingerprints")
+def _classes(docs: DataFrame, shingle: int, radius: int, shard_points: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """fingerprints() with the root fingerprint of the row's component and the component's least doc_id."""
+    of = stored(fingerprints(docs, shingle, keys), "fingerprints")
     points = stored(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     roots = components(fingerprint_links(points, radius, shard_points))
     rooted = points.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(rooted.join(named.hint("merge"), "root").select("fp", "component_id"), "classes")
-    return of.join(classes.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = stored(rooted.join(named.hint("merge"), "root").select("fp", "root", "component_id"), "classes")
+    return of.join(classes.hint("merge"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, shard_points: int = 4096) -> DataFrame:
+    """One row a document: doc_id, fingerprint (16 hex digits), component_id (least doc_id of its component)."""
+    return _classes(docs, shingle, radius, shard_points).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Key of a row: its id (nulls last), hashes of its text and of the whole row.
+KEYS = ("__rid", "__th", "__row")
+
+
+def row_keyed(docs: DataFrame) -> DataFrame:
+    rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return docs.withColumns(dict(zip(KEYS, (rid, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.xxhash64(*docs.columns)))))
+
+
+def least_rows(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of row_keyed() that are the least of their component by KEYS, without these; classes has KEYS and root.
+    Rows that are equal in all columns count once."""
+    heads = classes.groupBy("root").agg(F.min(F.struct(*KEYS)).alias("head")).select("head.*")
+    kept = stored(keyed.join(heads.hint("merge"), list(KEYS), "left_semi"), "kept")
+    return kept.dropDuplicates(list(KEYS)).drop(*KEYS)
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, shard_points: int = 4096) -> DataFrame:
-    """docs, all columns, less the documents whose component has a smaller doc_id. Of rows that share that doc_id one stays;
-    rows without a doc_id stay only where their whole component has none, one for each fingerprint."""
-    classes = near_duplicates(docs, shingle, radius, shard_points)
-    heads = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__head")).agg(F.lit(1).alias("__one"))
-    kept = docs.join(heads.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(heads["__head"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """docs, all columns, with one row of each component: that of the least doc_id (nulls last), then the least hash of the
+    text, then of the row. Ids need not be distinct or present: rows of different components never stand for each other."""
+    keyed = row_keyed(docs)
+    return least_rows(keyed, _classes(keyed, shingle, radius, shard_points, KEYS))

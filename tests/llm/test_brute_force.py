@@ -114,6 +114,15 @@ def test_near_duplicates(docs, rows):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {v for v in least.values()}
 
 
+def test_one_row_of_each_component(spark):
+    words = lambda at: " ".join(f"w{at}x{i}" for i in range(60))
+    # two unlike texts without an id, a repeated id with unlike texts of which one is a copy of a smaller id, and a copy without id
+    rows = [(None, words(1)), (None, words(2)), (3, words(3)), (7, words(3)), (7, words(4)), (None, words(4)), (8, words(5)), (8, words(5)), (9, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = Counter([(None, words(1)), (None, words(2)), (3, words(3)), (7, words(4)), (8, words(5)), (9, None)])
+    assert counted(keep_one_of_each(docs)) == expected
+
+
 @pytest.mark.parametrize("depth", [0, 3, 6])
 def test_vantage_tree_loses_no_pair(depth):
     rng = np.random.default_rng(depth)
