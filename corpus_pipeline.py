@@ -13,7 +13,7 @@ from docmill.llm.common import stored
 from docmill.llm.lines import drop_lines
 from docmill.llm.mixing import mixed_rows
 from docmill.llm.packing import harmonic_pack
-from docmill.llm.simhash import keep_one_of_each
+from docmill.llm.similar import keep_one_of_similar
 from docmill.llm.toxicity import without_toxic
 
 
@@ -30,7 +30,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one_of_each(docs)
+    """One of each group of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return keep_one_of_similar(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
