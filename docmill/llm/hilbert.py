@@ -3,9 +3,11 @@
 Each curve projects the vectors on ``dims`` seeded orthonormal directions, shifts and scales the result into a grid, and
 orders the cells along a Hilbert curve. Spark range-partitions the rows by curve, key and id; the counts of the partitions
 give every row its place in its curve, and places are cut into windows of ``window`` rows. A query meets the rows of its own
-window and of both neighbours, so at least ``window`` rows on either side, whatever the keys: ties and dense cells cannot
-overfill a window. Each window reranks by exact inner product in double precision and keeps its k best; the curves merge by
-one ranked shuffle. The work is rows * curves * 3 * window / query_every products, linear in the input.
+window and of ``reach`` neighbours on either side, whatever the keys: ties and dense cells cannot overfill a window. The
+reach is measured: the true neighbours of a bounded sample of queries are found by brute force, and the least reach, 1 at
+least, is taken at which ``RECALL`` of them would be met. Each window reranks by exact inner product in double precision and keeps its k best; the curves merge by
+one ranked shuffle. The work is rows * curves * (2 * reach + 1) * window / query_every products: linear
+in the input where near vectors are near on the curves, and up to that of brute force where the vectors have no structure.
 
 Every row is indexed; only the grid's bounds come from a bounded sample (``FIT_ROWS``). A vector that is null, all zero or
 holds a null or non-finite component takes no part, and nor does a row without an id; missing places of a shorter vector
@@ -24,6 +26,9 @@ from docmill.llm.maxscore import usable
 
 #: Rows from which the bounds of the grids are taken, and the number of places of a vector.
 FIT_ROWS = 4096
+#: Queries on which the reach is measured, and the recall it is set for: somewhat over the 0.9 that all queries shall have.
+REACH_QUERIES = 128
+RECALL = 0.94
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -99,6 +104,46 @@ def curve_windows(rows: DataFrame, fit: Curves, window: int) -> DataFrame:
     return placed.select("curve", F.floor(place / window).cast("long").alias("window"), "vec_id")
 
 
+def true_neighbours(rows: DataFrame, queries: list, width: int, k: int) -> dict[int, list[int]]:
+    """The k nearest of each of a few queries (vec_id, x), by brute force in one pass over rows."""
+    asked, q = np.array([r.vec_id for r in queries], np.int64), dense([r.x for r in queries], width)
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def best(batches):
+        ids, scores = np.zeros((len(asked), 0), np.int64), np.zeros((len(asked), 0))
+        for b in batches:
+            own = b.column(0).to_numpy(zero_copy_only=False)
+            score = q @ dense(b.column(1).to_pylist(), width).T
+            score[asked[:, None] == own[None, :]] = -np.inf
+            ids, scores = np.hstack([ids, np.broadcast_to(own, score.shape)]), np.hstack([scores, score])
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            ids, scores = np.take_along_axis(ids, top, 1), np.take_along_axis(scores, top, 1)
+        real = scores > -np.inf
+        yield batch(schema, np.repeat(asked, ids.shape[1])[real.ravel()], ids[real], scores[real])
+
+    found = rows.select("vec_id", "x").mapInArrow(best, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    out: dict[int, list[int]] = {}
+    for r in found.withColumn("rank", rank).where(F.col("rank") <= k).collect():
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    return out
+
+
+def measured_reach(rows: DataFrame, windows: DataFrame, width: int, k: int, query_every: int) -> int:
+    """Windows on either side that a query must meet, so that RECALL of the sample's true neighbours are met on some curve."""
+    queries = rows.where(F.col("vec_id") % query_every == 0).orderBy(F.xxhash64("vec_id", F.lit(1))).limit(REACH_QUERIES).collect()
+    if not queries:
+        return 1
+    near = true_neighbours(rows, queries, width, k)
+    ids = sorted({v for q, own in near.items() for v in (q, *own)})
+    wanted = rows.sparkSession.createDataFrame([(v,) for v in ids], "vec_id long")
+    at: dict[int, dict[int, int]] = {}
+    for r in windows.join(F.broadcast(wanted), "vec_id", "left_semi").collect():
+        at.setdefault(r.vec_id, {})[r.curve] = r.window
+    needed = sorted(min(abs(w - at[v][c]) for c, w in at[q].items()) for q, own in near.items() for v in own)
+    return max(1, needed[int(np.ceil(RECALL * len(needed))) - 1]) if needed else 1
+
+
 def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, curves: int = 8, dims: int = 6, bits: int = 5, window: int = 4096, seed: int = 11) -> DataFrame:
     """The k nearest found for each query: query_id, rank from 1, vec_id, score."""
     doubles = F.transform("embedding", lambda x: x.cast("double"))
@@ -107,11 +152,15 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, curves: int
     sample = [r.x for r in rows.orderBy(F.xxhash64("vec_id")).limit(FIT_ROWS).collect()]
     width = max(map(len, sample), default=1)
     fit = Curves(dense(sample, width) if sample else np.zeros((1, 1)), curves, dims, bits, seed)
-    placed = curve_windows(rows, fit, window).join(rows.hint("merge"), "vec_id")
+    windows = stored(curve_windows(rows, fit, window), "windows")
+    last = windows.agg(F.coalesce(F.max("window"), F.lit(0))).first()[0]
+    reach = measured_reach(rows, windows, width, k, query_every) if last > 1 else 1
+    placed = windows.join(rows.hint("merge"), "vec_id")
     is_query = F.col("vec_id") % query_every == 0
-    # a row goes to its own window; a query also to both neighbours, there as a query only
+    # a row goes to its own window; a query also to its neighbours, there as a query only
     homes = F.array(F.struct(F.col("window").alias("w"), F.lit(True).alias("home")))
-    guests = F.array(F.struct((F.col("window") - 1).alias("w"), F.lit(False).alias("home")), F.struct((F.col("window") + 1).alias("w"), F.lit(False).alias("home")))
+    around = F.sequence(F.greatest(F.col("window") - reach, F.lit(0)), F.least(F.col("window") + reach, F.lit(last)))
+    guests = F.transform(F.filter(around, lambda w: w != F.col("window")), lambda w: F.struct(w.alias("w"), F.lit(False).alias("home")))
     dealt = placed.select("curve", F.explode(F.when(is_query, F.concat(homes, guests)).otherwise(homes)).alias("to"), "vec_id", "x")
     dealt = dealt.select("curve", F.col("to.w").alias("window"), F.col("to.home").alias("home"), "vec_id", "x")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])

@@ -338,6 +338,19 @@ def test_nearest_recall_with_small_windows(spark):
     assert np.mean(recall) > 0.7 and len(got) == 25
 
 
+def test_nearest_recall_far_above_the_windows(spark):
+    x = np.random.default_rng(8).normal(size=(5000, 32)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = defaultdict(set)
+    # three windows hold a fiftieth of the table
+    for r in nearest(vectors, window=32).collect():
+        got[r.query_id].add(r.vec_id)
+    score = x[::20].astype(float) @ x.T.astype(float)
+    score[np.arange(250), np.arange(250) * 20] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(got[20 * q] & set(own.tolist())) / 20 for q, own in enumerate(best)]) >= 0.9
+
+
 def test_hilbert_neighbours_touch():
     side = np.array(np.meshgrid(*[np.arange(8)] * 3, indexing="ij")).reshape(3, -1).T
     path = side[np.argsort(hilbert_key(side, 3))]
