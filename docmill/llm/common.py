@@ -7,19 +7,17 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows without a doc_id rank after all others.
-NO_ID = 2**63 - 1
-
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only in local mode, where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="docmill-")
     spark.conf.set("spark.checkpoint.dir", path)
@@ -34,20 +32,55 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(text: str = "text") -> list[Column]:
-    """Key columns for a row: its id (nulls last) and a hash of its text, so that repeated ids stay apart."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__rid"), F.hash(F.col(text)).alias("__th")]
+#: Key columns of a row, see row_key().
+KEY = ("__no", "__rid", "__th")
+#: The same as columns of Arrow batches.
+KEY_ARROW = [("no", pa.bool_()), ("rid", pa.int64()), ("th", pa.int64())]
+
+
+def named(name: str) -> Column:
+    """The column of just this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_key() -> list[Column]:
+    """Key of a row: whether it lacks an id, its id, a 64-bit hash of its text. Without an id a second 64-bit hash of the text stands
+    for it, so unlike texts share a key only where both hashes agree, and repeated ids stay apart by their texts."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    no, rid, th = KEY
+    return [F.col("doc_id").isNull().alias(no), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), text)).alias(rid), F.xxhash64(text).alias(th)]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
+    """The key, doc_id and text of each row."""
     return docs.select(*row_key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """The key, all columns of docs as one struct (__row), and more: so no name of theirs meets one of ours. unpacked() undoes it."""
+    return docs.select(*row_key(), *more, F.struct(*map(named, docs.columns)).alias("__row"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("__row.*")
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def by_bytes(b: pa.RecordBatch, text: int, most: int = 16 << 20):
+    """The batch in pieces whose texts (column number text) hold about ``most`` bytes; a longer text is a piece of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield b.slice(at, stop - at)
+        at = stop
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

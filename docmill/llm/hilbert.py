@@ -11,7 +11,8 @@ in the input where near vectors are near on the curves, and up to that of brute
 
 Every row is indexed; only the grid's bounds come from a bounded sample (``FIT_ROWS``). A vector that is null, all zero or
 holds a null or non-finite component takes no part, and nor does a row without an id; missing places of a shorter vector
-count as 0. Rows that repeat an id count once, with the least of their vectors. Ties go to the smaller id.
+count as 0. Rows that repeat an id count once, with the least of their vectors. Ties go to the smaller id. An empty table gives an
+empty result. Only vec_id and embedding are read, so other columns may have any names, and there are no texts.
 """
 
 from __future__ import annotations
@@ -144,10 +145,9 @@ def measured_reach(rows: DataFrame, windows: DataFrame, width: int, k: int, quer
     return max(1, needed[int(np.ceil(RECALL * len(needed))) - 1]) if needed else 1
 
 
-def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, curves: int = 8, dims: int = 6, bits: int = 5, window: int = 4096, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, curves: int = 8, dims: int = 6, bits: int = 5, window: int = 1024, seed: int = 11) -> DataFrame:
     """The k nearest found for each query: query_id, rank from 1, vec_id, score."""
-    doubles = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), doubles.alias("x"))
+    rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("x"))
     rows = stored(rows.where(F.exists("x", lambda v: v != 0)).groupBy("vec_id").agg(F.min("x").alias("x")), "vectors")
     sample = [r.x for r in rows.orderBy(F.xxhash64("vec_id")).limit(FIT_ROWS).collect()]
     width = max(map(len, sample), default=1)
@@ -171,7 +171,7 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, curves: int
         values = values if isinstance(values, pa.Array) else pa.concat_arrays(values.chunks)
         lengths = values.value_lengths().to_numpy()
         wide = int(lengths.max())
-        x = values.flatten().to_numpy().reshape(len(ids), wide) if (lengths == wide).all() else dense(values.to_pylist(), wide)
+        x = values.flatten().to_numpy().reshape(len(ids), wide).astype(np.float64) if (lengths == wide).all() else dense(values.to_pylist(), wide)
         cand, query = np.flatnonzero(home), np.flatnonzero(ids % query_every == 0)
         out = []
         for at in range(0, len(query) if len(cand) else 0, 256):

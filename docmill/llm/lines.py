@@ -1,13 +1,14 @@
-"""Line dedup: hashes dealt out by range, sorted by document and position, answered by per-document keep bitmaps.
+"""Line dedup: hashes range-partitioned, sorted by document and position, answered by per-document keep bitmaps.
 
-Each task first looks at its own batch of documents. A line key that is frequent in the batch alone is settled there and
+Each task first looks at its own batch of documents (cut by bytes, so very long texts are batches of their own). A line key that is frequent in the batch alone is settled there and
 sends one summary row; all others send their (hash, document, position) rows. So a line that a third of all documents
-hold costs a few rows a batch, not one task. The rows are dealt by ranges of the hash and sorted by hash, document and
-position; one pass counts the documents of each key and streams out the lines to drop, buffering fewer than ``min_docs``
+hold costs a few rows a batch, not one task. The rows are range-partitioned by hash, all rows of a hash in one range, and sorted
+by hash, document and position; one pass counts the documents of each key and streams out the lines to drop, buffering fewer than ``min_docs``
 documents. Only positions travel back, packed as one compressed bitmap a document.
 
 Null and empty texts hold one empty line. Keys shorter than ``min_chars`` code points never count. Every row is a
-document of its own, also where doc_id repeats or is null. An empty table gives an empty result.
+document of its own, also where doc_id repeats or is null or the whole row repeats. Lines are kept in their order; there are no
+ties to break. An empty table gives an empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import batch, keyed, row_key, sliced, texts
+from docmill.llm.common import KEY, KEY_ARROW, batch, by_bytes, keyed, named, row_key, sliced, texts
 
-_ROWS = "kind int, h1 long, h2 long, rid long, th int, pos int, docs int"
-_ROWS_ARROW = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("rid", pa.int64()), ("th", pa.int32()), ("pos", pa.int32()), ("docs", pa.int32())])
-_DROPS_ARROW = pa.schema([("rid", pa.int64()), ("th", pa.int32()), ("pos", pa.int32())])
-#: The hash space is cut into so many ranges as 2 to this power.
+_ROWS = "kind int, h1 long, h2 long, no boolean, rid long, th long, pos int, docs int"
+_ROWS_ARROW = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), *KEY_ARROW, ("pos", pa.int32()), ("docs", pa.int32())])
+_DROPS_ARROW = pa.schema([*KEY_ARROW, ("pos", pa.int32())])
+#: The range of hashes is cut into so many parts of one width as 2 to this power.
 _RANGE_BITS = 16
 
 
@@ -36,10 +37,10 @@ def line_key(line: bytes) -> bytes:
 
 def _line_rows(min_docs: int, min_chars: int):
     def rows(batches):
-        for b in batches:
-            rid, th = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+        for b in (part for whole in batches for part in by_bytes(whole, 3)):
+            no, rid, th = (c.to_numpy(zero_copy_only=False) for c in b.columns[:3])
             seen: dict[bytes, list] = {}
-            for i, text in enumerate(texts(b.column(2))):
+            for i, text in enumerate(texts(b.column(3))):
                 for pos, line in enumerate(text.split(b"\n")):
                     key = line.strip().lower()
                     if len(key) < min_chars or (min_chars > 1 and len(key.decode("utf-8", "replace")) < min_chars):
@@ -71,8 +72,9 @@ def _line_rows(min_docs: int, min_chars: int):
                 np.concatenate([local.astype(np.int32), np.zeros(len(hot), np.int32)]),
                 np.concatenate([spread, digest[hot, 0]]),
                 np.concatenate([digest[of, 1], digest[hot, 1]]),
+                np.concatenate([no[doc], np.zeros(len(hot), bool)]),
                 np.concatenate([rid[doc], np.full(len(hot), -(2**63))]),
-                np.concatenate([th[doc], np.zeros(len(hot), np.int32)]),
+                np.concatenate([th[doc], np.zeros(len(hot), np.int64)]),
                 np.concatenate([pos, np.full(len(hot), -1, np.int32)]),
                 np.concatenate([first.astype(np.int32), n_docs[hot].astype(np.int32)]),
             )
@@ -87,7 +89,7 @@ def _stream_drops(min_docs: int):
     def drops(batches):
         open_key, open_docs, held = None, 0, []
         for b in batches:
-            kind, h1, h2, rid, th, pos, docs = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            kind, h1, h2, no, rid, th, pos, docs = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             n = len(h1)
             if not n:
                 continue
@@ -106,7 +108,7 @@ def _stream_drops(min_docs: int):
                     yield part
                 held = []
             if drop.any():
-                yield batch(_DROPS_ARROW, rid[drop], th[drop], pos[drop])
+                yield batch(_DROPS_ARROW, no[drop], rid[drop], th[drop], pos[drop])
             last = starts[-1]
             if len(starts) > 1:
                 held = []
@@ -114,31 +116,31 @@ def _stream_drops(min_docs: int):
             if open_docs < min_docs and kind[-1] == 0:
                 keep = np.flatnonzero(pos[last:] >= 0) + last
                 if len(keep):
-                    held.append(batch(_DROPS_ARROW, rid[keep], th[keep], pos[keep]))
+                    held.append(batch(_DROPS_ARROW, no[keep], rid[keep], th[keep], pos[keep]))
 
     return drops
 
 
 def _pack(batches):
-    schema = pa.schema([("rid", pa.int64()), ("th", pa.int32()), ("n_dropped", pa.int64()), ("keep", pa.binary())])
+    schema = pa.schema([*KEY_ARROW, ("n_dropped", pa.int64()), ("keep", pa.binary())])
     for b in batches:
         packed, counts = [], []
-        for positions in b.column(2).to_pylist():
+        for positions in b.column(3).to_pylist():
             bits = np.ones(-(-(max(positions) + 1) // 8) * 8, bool)
             bits[positions] = False
             packed.append(zlib.compress(np.packbits(bits, bitorder="little").tobytes()))
             counts.append(len(positions))
-        yield batch(schema, b.column(0), b.column(1), counts, packed)
+        yield batch(schema, *b.columns[:3], counts, packed)
 
 
 def line_keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """(__rid, __th, n_dropped, keep) for each document that loses lines. keep: zlib of one bit a line, low bit first,
+    """(__no, __rid, __th, n_dropped, keep) for each document that loses lines. keep: zlib of one bit a line, low bit first,
     1 for a line that stays; lines past its last bit stay."""
-    rows = keyed(docs).select("__rid", "__th", "text").mapInArrow(_line_rows(min_docs, max(1, min_chars)), _ROWS)
-    rows = rows.withColumn("range", F.shiftrightunsigned("h1", 64 - _RANGE_BITS)).repartition("range").sortWithinPartitions("kind", "h1", "h2", "rid", "pos")
-    drops = rows.drop("range").mapInArrow(_stream_drops(min_docs), "rid long, th int, pos int")
-    packed = drops.groupBy("rid", "th").agg(F.collect_set("pos").alias("pos")).mapInArrow(_pack, "rid long, th int, n_dropped long, keep binary")
-    return packed.withColumnsRenamed({"rid": "__rid", "th": "__th"})
+    rows = keyed(docs).select(*KEY, "text").mapInArrow(_line_rows(min_docs, max(1, min_chars)), _ROWS)
+    rows = rows.withColumn("range", F.shiftrightunsigned("h1", 64 - _RANGE_BITS)).repartition("range").sortWithinPartitions("kind", "h1", "h2", "no", "rid", "pos")
+    drops = rows.drop("range").mapInArrow(_stream_drops(min_docs), "no boolean, rid long, th long, pos int")
+    dropped = drops.groupBy("no", "rid", "th").agg(F.collect_set("pos").alias("pos"))
+    return dropped.mapInArrow(_pack, "no boolean, rid long, th long, n_dropped long, keep binary").withColumnsRenamed(dict(zip(("no", "rid", "th"), KEY)))
 
 
 def kept_lines(text: bytes, keep: bytes | None) -> tuple[bytes, int, int]:
@@ -161,23 +163,22 @@ def _digest(batches):
 def line_dedup_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """One row a document: doc_id, n_lines, n_dropped, kept_sha256."""
     maps = line_keep_bitmaps(docs, min_docs, min_chars)
-    joined = keyed(docs).join(maps.hint("merge"), ["__rid", "__th"], "left").select("doc_id", "text", "keep")
+    joined = keyed(docs).join(maps.hint("merge"), list(KEY), "left").select("doc_id", "text", "keep")
     return joined.mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs, all columns, with the frequent lines taken out of text. A text that loses no line stays as it is, null included."""
-    maps = line_keep_bitmaps(docs, min_docs, min_chars).withColumnsRenamed({"n_dropped": "__n_dropped", "keep": "__keep"})
-    joined = docs.select("*", *row_key()).join(maps.hint("merge"), ["__rid", "__th"], "left").select(*docs.columns, "__keep")
-    at = docs.columns.index("text")
+    maps = line_keep_bitmaps(docs, min_docs, min_chars).select(*KEY, "keep")
+    rest = F.struct(*[named(c) for c in docs.columns if c != "text"]).alias("__rest")
+    rows = docs.select(*row_key(), F.col("text").cast("string").alias("__text"), rest).join(maps.hint("merge"), list(KEY), "left").select("__text", "keep", "__rest")
 
     def apply(batches):
         for b in batches:
-            keep = b.column(len(b.schema) - 1).to_pylist()
-            old = b.column(at).cast(pa.binary()).to_pylist()
+            old, keep = b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()
             new = [t if k is None else kept_lines(t or b"", k)[0] for t, k in zip(old, keep)]
-            columns = list(b.columns[:-1])
-            columns[at] = pa.array(new, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()).cast(pa.string()), b.column(2)], names=["__text", "__rest"])
 
-    return joined.mapInArrow(apply, docs.schema)
+    done = rows.mapInArrow(apply, rows.drop("keep").schema)
+    kind = docs.schema["text"].dataType
+    return done.select(*[F.col("__text").cast(kind).alias(c) if c == "text" else F.col("__rest")[c].alias(c) for c in docs.columns])

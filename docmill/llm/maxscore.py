@@ -1,17 +1,19 @@
 """Exact top-k search with MaxScore over shards of postings.
 
-A vector component, rounded to an integer, is the weight of the term that its place names. A term's bound for a query is the
-most that it can add to a score: query weight times the largest or the smallest weight of its postings in the shard. Terms
-are sorted by bound; the longest prefix whose bounds cannot lift a document over the k-th best score so far is
-non-essential. The essential terms' postings are traversed first, as one product for a group of queries; a document whose
-partial score and the bounds of the rest do not fall below the threshold is probed in the rest, term group by term group,
-while it stays competitive. A query block carries its thresholds from one document shard to the next that its task sees.
-Each shard gives its k best a query; the shards merge by one ranked shuffle.
-
-Queries are a stated set (ids divisible by ``query_every``), met with all rows in blocks: a block of documents and a block of
-queries are one row each, joined on the shard. Scores are exact 64-bit integers. A vector that is null, or holds a null or
-non-finite component, takes no part, and nor does a row without an id; missing places of a shorter vector count as 0. Rows
-that repeat an id count once, with the least of their vectors. Ties go to the smaller id.
+A vector component, rounded to an integer, is the weight of the term that its place names; the posting list of a term is the column of
+its weights in a shard, kept term by term. A term's bound for a query is the most that it can add to a score: query weight times the
+largest or the smallest weight of its postings in the shard. Terms are sorted by bound; the longest prefix whose bounds cannot lift a
+document over the k-th best score so far is non-essential. Queries whose essential terms are alike form groups; a group traverses
+the postings of its essential terms alone, one product over these lists. A document whose partial score and the bounds of the
+rest do not fall below the threshold is probed in the remaining lists, a few terms at a time, while it stays competitive, the
+largest bounds first. Each shard gives its k best a query; the shards merge by one ranked shuffle.
+
+Queries are a stated set (ids divisible by ``query_every``), met with all rows in blocks: a shard of postings and a block of queries,
+joined on the shard; shards grow with the table (``shard_rows`` at least, ``MOST_ROWS`` at most), so that a query block is sent to few.
+Scores are exact: weights and products take the smallest number type that holds every sum. A vector that is null, or holds a
+null or non-finite component, takes no part, and nor does a row without an id; missing places of a shorter vector count as 0. Rows
+that repeat an id count once, with the least of their vectors. Ties go to the smaller id. An empty table gives an empty result.
+Only vec_id and embedding are read, so other columns may have any names, and there are no texts.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from pyspark.sql import functions as F
 
 from docmill.llm.common import batch, stored
 
-_QUERIES_AT_ONCE = 128
-_TERMS_AT_ONCE = 8
+#: Rows of a shard at most.
+MOST_ROWS = 65_536
+#: Queries of a group, ends of the first stretches of a shard's documents, terms probed at once.
+_GROUP = 8
+_STRETCHES = (512, 2048)
+_TERMS_AT_ONCE = 4
 
 
 def usable(vector: Column) -> Column:
@@ -40,35 +46,40 @@ def term_weights(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("weights").alias("weights"))
 
 
-def _padded(lists: list[np.ndarray], terms: int) -> np.ndarray:
-    out = np.zeros((len(lists), terms), np.int64)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
-    return out
+def _small(x: np.ndarray) -> np.ndarray:
+    """x in the smallest integer type that holds it."""
+    most = int(np.abs(x).max(initial=0))
+    return x.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.int64)
 
 
 def _block(table: pa.Table) -> pa.Table:
-    """The rows of one shard as one row: ids and weights, little-endian, and the number of terms."""
-    lists = [np.array(x, np.int64) for x in table.column("weights").to_pylist()]
-    terms = max(map(len, lists))
+    """The rows of one shard as one row: ids, and the posting lists of all terms one after the other; little-endian."""
     ids = np.array(table.column("vec_id").to_pylist(), np.int64)
-    return pa.table({"shard": [table.column("shard")[0].as_py()], "ids": [ids.tobytes()], "terms": [terms], "weights": [_padded(lists, terms).tobytes()]}, schema=_BLOCK_ARROW)
+    values = table.column("weights").combine_chunks()
+    values = values if isinstance(values, pa.Array) else pa.concat_arrays(values.chunks)
+    lengths = values.value_lengths().to_numpy()
+    terms = int(lengths.max())
+    lists = np.zeros((len(ids), terms), np.int64)
+    lists[np.arange(terms)[None, :] < lengths[:, None]] = values.flatten().to_numpy()
+    lists = _small(lists.T)
+    row = {"shard": [table.column("shard")[0].as_py()], "ids": [ids.tobytes()], "terms": [terms], "bytes": [lists.itemsize], "weights": [lists.tobytes()]}
+    return pa.table(row, schema=_BLOCK_ARROW)
 
 
-_BLOCK_ARROW = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("terms", pa.int64()), ("weights", pa.binary())])
-_BLOCK = "shard long, ids binary, terms long, weights binary"
+_BLOCK_ARROW = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("terms", pa.int64()), ("bytes", pa.int64()), ("weights", pa.binary())])
+_BLOCK = "shard long, ids binary, terms long, bytes long, weights binary"
 
 
-def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """rows dealt by id into shards of about size rows, one row a shard."""
-    shards = max(1, -(-rows.count() // size))
+def blocks(rows: DataFrame, shards: int) -> DataFrame:
+    """rows dealt by id into so many shards, one row a shard."""
     return rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).groupBy("shard").applyInArrow(_block, _BLOCK)
 
 
-def _unpacked(ids: bytes, terms: int, weights: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(ids: bytes, terms: int, size: int, weights: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and one line for each of width terms."""
     ids = np.frombuffer(ids, np.int64)
-    out = np.zeros((len(ids), width), np.int64)
-    out[:, :terms] = np.frombuffer(weights, np.int64).reshape(len(ids), terms)
+    out = np.zeros((width, len(ids)), f"i{size}")
+    out[:terms] = np.frombuffer(weights, f"i{size}").reshape(terms, len(ids))
     return ids, out
 
 
@@ -88,78 +99,98 @@ class TopK:
         self.scores[q], self.ids[q] = s[best], i[best]
 
 
-def search_block(doc_ids, docs, query_ids, queries, top: TopK) -> int:
-    """Offer a block's documents to the queries' tops. Returns the number of documents that were probed past the essential terms."""
-    exact = int(np.abs(docs).max(initial=0)) * int(np.abs(queries).max(initial=0)) * docs.shape[1] < 2**53
-    kind = np.float64 if exact else np.int64
-    d, probed = docs.astype(kind), 0
-    high, low = np.maximum(docs.max(axis=0), 0), np.minimum(docs.min(axis=0), 0)
-    k = top.scores.shape[1]
-    for at in range(0, len(queries), _QUERIES_AT_ONCE):
-        part = slice(at, at + _QUERIES_AT_ONCE)
-        q, own = queries[part], query_ids[part]
-        # a first threshold: the exact scores of a few documents of the block
-        few = q.astype(kind) @ d[: 8 * k].T
-        for j in range(len(q)):
-            if top.scores[at + j, -1] == -(2**63):
-                ok = doc_ids[: 8 * k] != own[j]
-                top.offer(at + j, few[j][ok].astype(np.int64), doc_ids[: 8 * k][ok])
-        bound = np.maximum(q * high, q * low)
-        order = np.argsort(bound, axis=1, kind="stable")
-        rising = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1)
-        theta = np.maximum(top.threshold()[part], -(2**62))  # so that a bound can be taken off
-        optional = rising < theta[:, None]
-        mask = np.zeros(q.shape, bool)
-        np.put_along_axis(mask, order, optional, axis=1)
-        rest = (bound * mask).sum(axis=1)
-        partial = np.where(mask, 0, q).astype(kind) @ d.T
-        alive = partial >= (theta - rest)[:, None]
-        for j in range(len(q)):
-            docs_j = np.flatnonzero(alive[j])
-            score, open_bound = partial[j][docs_j], int(rest[j])
-            terms = order[j][: int(optional[j].sum())][::-1]
-            probed += len(docs_j)
-            for t in range(0, len(terms), _TERMS_AT_ONCE):
-                some = terms[t : t + _TERMS_AT_ONCE]
-                score = score + d[docs_j[:, None], some] @ q[j, some].astype(kind)
-                open_bound -= int(bound[j, some].sum())
-                stay = score >= theta[j] - open_bound
-                docs_j, score = docs_j[stay], score[stay]
-            fresh = (doc_ids[docs_j] != own[j]) & ~np.isin(doc_ids[docs_j], top.ids[at + j])
-            if fresh.any():
-                top.offer(at + j, score[fresh].astype(np.int64), doc_ids[docs_j[fresh]])
-    return probed
+class Postings:
+    """The posting lists of a shard, term by term, and their bounds."""
+
+    def __init__(self, ids: np.ndarray, lists: np.ndarray):
+        self.ids, self.lists = ids, lists
+        self.high, self.low = np.maximum(lists.max(axis=1), 0).astype(np.int64), np.minimum(lists.min(axis=1), 0).astype(np.int64)
+
+    def numbers(self, queries: np.ndarray) -> np.ndarray:
+        """The lists in the fastest type in which every sum of products with these queries is exact."""
+        most = int((np.abs(queries).max(axis=0, initial=0).astype(object) * np.maximum(self.high, -self.low).astype(object)).sum())
+        kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+        return self.lists.astype(kind)
+
+
+def search(postings: Postings, query_ids: np.ndarray, queries: np.ndarray, top: TopK) -> int:
+    """Offer a shard's documents to the queries' tops. Returns the number of postings that were read."""
+    d = postings.numbers(queries)
+    kind, ids, read = d.dtype, postings.ids, 0
+    bound = np.maximum(queries * postings.high, queries * postings.low)
+    # queries that share their heaviest terms share most of their essential ones
+    alike = np.lexsort(np.argsort(-bound, axis=1, kind="stable")[:, :6].T[::-1])
+    # thresholds rise from one stretch of documents to the next
+    stretches = [x for x in _STRETCHES if x < len(ids)] + [len(ids)]
+    for first, end in zip([0, *stretches], stretches):
+        theta = np.maximum(top.threshold(), -(2**62))  # so that a bound can be taken off
+        for at in range(0, len(queries), _GROUP):
+            part = alike[at : at + _GROUP]
+            essential, others = essential_terms(bound[part], theta[part])
+            partial = queries[np.ix_(part, essential)].astype(kind) @ d[essential, first:end]
+            read += partial.size * len(essential)
+            rest = bound[np.ix_(part, others)].sum(axis=1)
+            alive = partial >= (theta[part] - rest)[:, None]
+            for j, q in enumerate(part):
+                docs = np.flatnonzero(alive[j])
+                score, open_bound = partial[j][docs], int(rest[j])
+                docs += first
+                terms = others[np.argsort(-bound[q, others], kind="stable")]
+                for t in range(0, len(terms), _TERMS_AT_ONCE):
+                    if not len(docs):
+                        break
+                    some = terms[t : t + _TERMS_AT_ONCE]
+                    score = score + queries[q, some].astype(kind) @ d[some[:, None], docs]
+                    read += len(some) * len(docs)
+                    open_bound -= int(bound[q, some].sum())
+                    stay = score >= theta[q] - open_bound
+                    docs, score = docs[stay], score[stay]
+                fresh = ids[docs] != query_ids[q]
+                if fresh.any():
+                    top.offer(q, score[fresh].astype(np.int64), ids[docs[fresh]])
+    return read
+
+
+def essential_terms(bound: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Essential and other terms of a group: the others are those of the least bounds whose sum stays below the threshold of each query."""
+    weight = (bound / np.maximum(theta, 1)[:, None]).max(axis=0)
+    order = np.argsort(weight, kind="stable")
+    n = int((np.cumsum(bound[:, order], axis=1) < theta[:, None]).all(axis=0).sum())
+    return np.sort(order[n:]), order[:n]
 
 
 def maxscore_top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, shard_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
     """The k best rows for each query: query_id, rank from 1, vec_id, score."""
     rows = stored(term_weights(vectors, scale), "weights")
-    docs = blocks(rows, shard_rows)
-    shards = max(1, -(-rows.count() // shard_rows))
-    queries = blocks(rows.where(F.col("vec_id") % query_every == 0), query_rows).select(F.col("shard").alias("q_block"), F.col("ids").alias("q_ids"), F.col("terms").alias("q_terms"), F.col("weights").alias("q_weights"))
+    asked = rows.where(F.col("vec_id") % query_every == 0)
+    n, m = rows.count(), asked.count()
+    shards = max(1, -(-n // max(shard_rows, min(MOST_ROWS, n // 64))))
+    queries = blocks(asked, max(1, -(-m // query_rows))).select(*[F.col(c).alias(f"q_{c}") for c in _BLOCK_ARROW.names])
     queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    pairs = docs.join(queries.hint("merge"), "shard").select("q_block", "q_ids", "q_terms", "q_weights", "shard", "ids", "terms", "weights")
+    pairs = blocks(rows, shards).join(queries.hint("merge"), "shard").sortWithinPartitions("q_shard", "shard")
+    names = _BLOCK_ARROW.names[1:]
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    def result(query_ids, top):
-        found = top.scores.ravel() > -(2**63)
-        return batch(schema, np.repeat(query_ids, k)[found], top.ids.ravel()[found], top.scores.ravel()[found])
+    def meet(batches):
+        # a query block takes its tops from one shard to the next that the task sees
+        now, query_ids, top = None, None, None
+
+        def result():
+            found = top.scores.ravel() > -(2**63)
+            return batch(schema, np.repeat(query_ids, k)[found], top.ids.ravel()[found], top.scores.ravel()[found])
 
-    def search(batches):
-        now, top, query_ids = None, None, None
         for b in batches:
             for r in b.to_pylist():
                 width = max(r["q_terms"], r["terms"])
-                q_ids, q = _unpacked(r["q_ids"], r["q_terms"], r["q_weights"], width)
-                d_ids, d = _unpacked(r["ids"], r["terms"], r["weights"], width)
-                if now != r["q_block"]:
-                    if top is not None:
-                        yield result(query_ids, top)
-                    now, top, query_ids = r["q_block"], TopK(len(q_ids), k), q_ids
-                search_block(d_ids, d, q_ids, q, top)
-        if top is not None:
-            yield result(query_ids, top)
-
-    found = pairs.sortWithinPartitions("q_block", "shard").mapInArrow(search, "query_id long, vec_id long, score long")
+                if now is not None and now != r["q_shard"]:
+                    yield result()
+                query_ids, lists = _unpacked(*(r[f"q_{c}"] for c in names), width)
+                if now != r["q_shard"]:
+                    now, top = r["q_shard"], TopK(len(query_ids), k)
+                search(Postings(*_unpacked(*(r[c] for c in names), width)), query_ids, lists.T.astype(np.int64), top)
+        if now is not None:
+            yield result()
+
+    found = pairs.mapInArrow(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -9,7 +9,8 @@ less than one sequence for each class, a number of pieces that does not depend o
 capacities); one group packs it first-fit, longest first.
 
 Padding is below 1/least of the rest pieces' share plus one or two sequences in all. Null and empty texts hold the end id only. Rows that
-repeat a doc_id are packed each on its own. An empty table gives no sequence.
+repeat, or share a doc_id, are packed each on its own; pieces of one length need no order among themselves. A very long text is a
+batch of its own. An empty table gives no sequence. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import batch, sliced, stored
+from docmill.llm.common import batch, by_bytes, sliced, stored
 
 _CACHED_WORDS = 800_000
 _PIECES = "task long, cls int, nth long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -55,7 +56,8 @@ class Words(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        # the same vocabulary as ranks is faster on short plain words; anything else goes to the tokenizer itself
+        # the same vocabulary as ranks is faster on short plain words (the tests prove equal ids over the vocabulary and the words of a
+        # table); anything else goes to the tokenizer itself
         ids = self.ranks.encode_ordinary(text) if self.ranks is not None and len(text) < 64 and max(text) < "\u0250" and "<|" not in text else self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
@@ -107,7 +109,7 @@ def pack_pieces(capacity: int, least: int, end_id: int, name: str, ranks_name: s
         end = np.array([end_id], "<u4").tobytes()
         waiting: dict[int, list[tuple]] = {}
         sequence = 0
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, 1)):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = memoryview(words.document(text or "") + end)

@@ -6,9 +6,13 @@ to its bound, floor or ceiling of rows/shards; what overflows a full shard conti
 plan of the overflow needs only the number of rows in each cell, a table of fixed size; the rest are joins, sums and
 row numbers. The law is ``rows``: shard sizes are at most one apart.
 
-Equal texts are ordered within their group by a salt and doc_id, and a group is counted in ``salts`` parts, so that a
-group which holds a third of all rows is neither one task nor one shard. Null texts count as empty. Repeated rows are
-rows of their own.
+Equal texts are ordered within their group by a salt (the hash of doc_id, or a number drawn for a row without one) and doc_id, and a group is counted in ``salts`` parts, so that a
+group which holds a third of all rows is neither one task nor one shard; salts are
+written out with the rows, so a task that runs again finds the same. Null texts count as empty. Repeated rows are rows of their own, in
+any order: they are the same. Very long texts are hashed where they are read. An empty table gives an empty result. Only doc_id and
+text are read, so other columns may have any names.
+
+When a shard is added, rows move for two reasons: cells that the new virtual nodes take over, and the lower bound of all others.
 """
 
 from __future__ import annotations
@@ -70,7 +74,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, vnodes: int = 64, cell_bits: i
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("bytes"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("point"))
-    rows = rows.select("doc_id", (F.col("bytes") + 1).alias("size"), "text_crc32", "point", F.shiftrightunsigned("point", 64 - cell_bits).cast("int").alias("cell"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    rows = rows.select("doc_id", (F.col("bytes") + 1).alias("size"), "text_crc32", "point", F.shiftrightunsigned("point", 64 - cell_bits).cast("int").alias("cell"), F.when(F.col("doc_id").isNull(), F.floor(F.rand(9) * salts)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(salts))).cast("int").alias("salt"))
     rows = stored(rows, "ring")
     parts = rows.groupBy("cell", "point", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("cell").orderBy("point", "salt").rowsBetween(Window.unboundedPreceding, -1))

@@ -2,14 +2,17 @@
 
 A fingerprint has one bit for each of the 64 bits of XXH64 (seed 42) over the shingles of a text: 1 where over half of the
 shingles have it set. Equal fingerprints are one point. A vantage-point tree over a bounded sample of the points cuts the
-64-bit space into shards of about ``shard_points``: a point belongs to the side of each node that its Hamming distance to
-the vantage point says, and visits both sides where the triangle inequality lets a point within ``radius`` lie beyond the
-boundary. So each pair within ``radius`` meets in the home shard of either point. Within a shard a local tree prunes the
-same way before distances are counted. A shard sends only the edges of a spanning forest of its links, so no pair of
-different fingerprints is lost and a dense group of n copies costs n edges, not n squared.
-
-Null and empty texts have no words and fingerprint zero, which links like any other. Rows that share a doc_id are rows of
-their own; rows without one get a component but never name it, unless it holds no id at all.
+64-bit space into shards of about ``shard_points``: a point goes to the side of each node that its Hamming distance d to
+the vantage point says, d <= r (the node's radius) inwards and d > r outwards. By the triangle inequality a pair within
+``radius`` is cut only where its outer point has d <= r + radius, so points of that rim are copied inwards, and nothing is
+copied outwards: every pair meets in a shard. Within a shard a local tree prunes the same way before distances are counted.
+A shard sends only the edges of a spanning forest of its links, so no pair of different fingerprints is lost and a dense
+group of n copies costs n edges, not n squared.
+
+Null and empty texts have no words and fingerprint zero, which links like any other. A very long text is one list of hashes
+at a time. Ties need no rule: an edge is an edge. Rows that share a doc_id, and rows that repeat, are rows of their own; rows
+without an id get a component but never name it, unless it holds no id at all. An empty table gives an empty result. Only
+doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import NO_ID, batch, stored, texts
+from docmill.llm.common import KEY, batch, packed, stored, texts, unpacked
 from docmill.llm.components import components
 
 #: At most so many fingerprints are brought to the driver to place the vantage points.
@@ -42,8 +45,7 @@ def shingle_hashes(text: bytes, shingle: int = 3) -> np.ndarray:
     return np.fromiter([digest(joined[i:j], 42) for i, j in zip(starts, stops)], dtype="<u8", count=n)
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    hashes = shingle_hashes(text, shingle)
+def fingerprint_of(hashes: np.ndarray) -> int:
     n = len(hashes)
     if not n:
         return 0
@@ -53,15 +55,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp) of every row, and its ``keys`` (longs); fp is the fingerprint as a signed long."""
-    schema = pa.schema([(name, pa.int64()) for name in ("doc_id", "fp", *keys)])
+def fingerprints(rows: DataFrame, shingle: int = 3) -> DataFrame:
+    """(id, fp) of rows of an id (long) and a text; fp is the fingerprint as a signed long."""
+    name = rows.columns[0]
+    schema = pa.schema([(name, pa.int64()), ("fp", pa.int64())])
 
-    def rows(batches):
+    def prints(batches):
         for b in batches:
-            yield batch(schema, b.column(0), np.array([fingerprint(t, shingle) for t in texts(b.column(1))], np.uint64).view(np.int64), *b.columns[2:])
+            yield batch(schema, b.column(0), np.array([fingerprint_of(shingle_hashes(t, shingle)) for t in texts(b.column(1))], np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keys).mapInArrow(rows, ", ".join(f"{name} long" for name in schema.names))
+    return rows.mapInArrow(prints, f"{name} long, fp long")
 
 
 def distance(a, b):
@@ -84,16 +87,15 @@ class VantageTree:
                 self.radii[node] = np.sort(d)[(len(d) - 1) // 2]
                 groups[2 * node], groups[2 * node + 1] = here[d <= self.radii[node]], here[d > self.radii[node]]
 
-    def route(self, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of each point, a shard it has to do with, and whether that is its home."""
-        index, node, home = np.arange(len(x)), np.ones(len(x), np.int64), np.ones(len(x), bool)
+    def route(self, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each point and a shard it has to do with; at least one each."""
+        index, node = np.arange(len(x)), np.ones(len(x), np.int64)
         for _ in range(self.depth):
             d, r = distance(x[index], self.points[node]), self.radii[node]
-            inner, outer = d - radius <= r, d + radius > r
+            inner, outer = d <= r + radius, d > r
             index = np.concatenate([index[inner], index[outer]])
-            home = np.concatenate([home[inner] & (d <= r)[inner], home[outer] & (d > r)[outer]])
             node = np.concatenate([2 * node[inner], 2 * node[outer] + 1])
-        return index, node, home
+        return index, node
 
 
 def _forest(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -112,98 +114,104 @@ def _forest(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             label = up
 
 
-def _close_pairs(points, homes, guests, radius, rng):
-    """Index arrays of all pairs (home, guest) within radius, in pieces, by a local vantage-point tree."""
-    if not len(homes) or not len(guests):
+def _across(points, left, right, radius, rng):
+    """Index arrays of all pairs (left, right) within radius, in pieces, by a local vantage-point tree."""
+    if not len(left) or not len(right):
         return
-    split = None
-    if len(homes) > 256 and len(homes) * len(guests) > _PAIRS_AT_ONCE // 8:
-        center = points[homes[rng.integers(len(homes))]]
-        dh = distance(points[homes], center)
-        r = np.sort(dh)[(len(dh) - 1) // 2]
-        if 0 < (dh > r).sum():
-            split = center, dh, r
-    if split:
-        center, dh, r = split
-        dg = distance(points[guests], center)
-        yield from _close_pairs(points, homes[dh <= r], guests[dg - radius <= r], radius, rng)
-        yield from _close_pairs(points, homes[dh > r], guests[dg + radius > r], radius, rng)
-        return
-    step = max(1, _PAIRS_AT_ONCE // len(homes))
-    for i in range(0, len(guests), step):
-        part = guests[i : i + step]
-        g, h = np.nonzero(distance(points[part][:, None], points[homes][None, :]) <= radius)
-        yield homes[h], part[g]
-
-
-def shard_forest(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
-    """For each point the index of its root, over all links of home points to any point of the shard."""
+    if min(len(left), len(right)) > 256:
+        center = points[left[rng.integers(len(left))]]
+        dl, dr = distance(points[left], center), distance(points[right], center)
+        r = np.sort(dl)[(len(dl) - 1) // 2]
+        if (dl > r).any():
+            yield from _across(points, left[dl <= r], right[dr <= r + radius], radius, rng)
+            yield from _across(points, left[dl > r], right[dr > r - radius], radius, rng)
+            return
+    step = max(1, _PAIRS_AT_ONCE // len(left))
+    for i in range(0, len(right), step):
+        part = right[i : i + step]
+        g, h = np.nonzero(distance(points[part][:, None], points[left][None, :]) <= radius)
+        yield left[h], part[g]
+
+
+def _within(points, own, radius, rng):
+    """The same of all pairs of own: each half of a node by itself, and the rims of the halves across."""
+    if len(own) > 512:
+        d = distance(points[own], points[own[rng.integers(len(own))]])
+        r = np.sort(d)[(len(d) - 1) // 2]
+        if (d > r).any():
+            yield from _within(points, own[d <= r], radius, rng)
+            yield from _within(points, own[d > r], radius, rng)
+            yield from _across(points, own[(d <= r) & (d > r - radius)], own[(d > r) & (d <= r + radius)], radius, rng)
+            return
+    yield from _across(points, own, own, radius, rng)
+
+
+def shard_forest(points: np.ndarray, radius: int) -> np.ndarray:
+    """For each point the index of its root, over all links of the shard."""
     label = np.arange(len(points))
-    for u, v in _close_pairs(points, np.flatnonzero(home), np.arange(len(points)), radius, np.random.default_rng(1)):
+    for u, v in _within(points, np.arange(len(points)), radius, np.random.default_rng(1)):
         label = _forest(label, u, v)
     return label
 
 
-def fingerprint_links(points: DataFrame, radius: int = 2, shard_points: int = 4096) -> DataFrame:
+def fingerprint_links(points: DataFrame, radius: int = 2, shard_points: int = 32_768) -> DataFrame:
     """Edges (a, b) of a spanning forest of each shard over the distinct fingerprints (fp) of points."""
     n = points.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_points))))
-    sample = points.orderBy(F.xxhash64("fp")).limit(TREE_SAMPLE).collect()
+    sample = points.orderBy(F.xxhash64("fp")).limit(TREE_SAMPLE).collect() if depth else []
     tree = VantageTree(np.array([r.fp for r in sample], np.int64).view(np.uint64), depth)
-    routed_schema = pa.schema([("shard", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())])
+    routed_schema = pa.schema([("shard", pa.int64()), ("fp", pa.int64())])
     edge_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def route(batches):
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
-            index, node, home = tree.route(fp.view(np.uint64), radius)
-            yield batch(routed_schema, node, fp[index], home)
+            index, node = tree.route(fp.view(np.uint64), radius)
+            yield batch(routed_schema, node, fp[index])
 
     def link(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy()
-        root = shard_forest(fp.view(np.uint64), table.column("home").to_numpy(), radius)
+        root = shard_forest(fp.view(np.uint64), radius)
         linked = np.flatnonzero(root != np.arange(len(fp)))
         return pa.table([fp[linked], fp[root[linked]]], schema=edge_schema)
 
-    routed = points.select("fp").mapInArrow(route, "shard long, fp long, home boolean")
+    routed = points.select("fp").mapInArrow(route, "shard long, fp long")
     return routed.groupBy("shard").applyInArrow(link, "a long, b long")
 
 
-def _classes(docs: DataFrame, shingle: int, radius: int, shard_points: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """fingerprints() with the root fingerprint of the row's component and the component's least doc_id."""
-    of = stored(fingerprints(docs, shingle, keys), "fingerprints")
-    points = stored(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    roots = components(fingerprint_links(points, radius, shard_points))
-    rooted = points.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(rooted.join(named.hint("merge"), "root").select("fp", "root", "component_id"), "classes")
-    return of.join(classes.hint("merge"), "fp")
+def fingerprint_roots(of: DataFrame, radius: int, shard_points: int) -> DataFrame:
+    """(fp, least, root): each fingerprint of (id, fp), its least id, and the least fingerprint of its component."""
+    points = stored(of.groupBy("fp").agg(F.min(of.columns[0]).alias("least")), "points")
+    roots = components(fingerprint_links(points, radius, shard_points)).withColumnRenamed("node", "fp")
+    return points.join(roots.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, shard_points: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, shard_points: int = 32_768) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id (least doc_id of its component)."""
-    return _classes(docs, shingle, radius, shard_points).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-#: Key of a row: its id (nulls last), hashes of its text and of the whole row.
-KEYS = ("__rid", "__th", "__row")
+    of = stored(fingerprints(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), shingle), "fingerprints")
+    rooted = fingerprint_roots(of, radius, shard_points)
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = stored(rooted.join(named.hint("merge"), "root").select("fp", "component_id"), "classes")
+    return of.join(classes.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def row_keyed(docs: DataFrame) -> DataFrame:
-    rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.withColumns(dict(zip(KEYS, (rid, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.xxhash64(*docs.columns)))))
+    """packed() with a hash of the whole row (__row_hash), so that rows of one id and text stay apart by their other columns."""
+    return packed(docs).withColumn("__row_hash", F.xxhash64("__row"))
 
 
-def least_rows(keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of row_keyed() that are the least of their component by KEYS, without these; classes has KEYS and root.
-    Rows that are equal in all columns count once."""
-    heads = classes.groupBy("root").agg(F.min(F.struct(*KEYS)).alias("head")).select("head.*")
-    kept = stored(keyed.join(heads.hint("merge"), list(KEYS), "left_semi"), "kept")
-    return kept.dropDuplicates(list(KEYS)).drop(*KEYS)
+def least_rows(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of row_keyed() rows, one for each root of their text (__th), that of the least id (no id last), text hash and row hash; roots has
+    (__th, root) of texts that are not their own. Rows that are equal in all columns count once."""
+    keys = [*KEY, "__row_hash"]
+    classes = keyed.select(*keys).join(roots.hint("merge"), "__th", "left").select(*keys, F.coalesce("root", "__th").alias("root"))
+    heads = classes.groupBy("root").agg(F.min(F.struct(*keys)).alias("head")).select("head.*")
+    return unpacked(keyed.join(heads.hint("merge"), keys, "left_semi").dropDuplicates(keys))
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, shard_points: int = 4096) -> DataFrame:
-    """docs, all columns, with one row of each component: that of the least doc_id (nulls last), then the least hash of the
-    text, then of the row. Ids need not be distinct or present: rows of different components never stand for each other."""
+def keep_one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, shard_points: int = 32_768) -> DataFrame:
+    """docs, all columns, with one row of each component of fingerprints, chosen as in least_rows()."""
     keyed = row_keyed(docs)
-    return least_rows(keyed, _classes(keyed, shingle, radius, shard_points, KEYS))
+    of = stored(fingerprints(keyed.select("__th", F.col("__row.text").cast("string").alias("text")), shingle).dropDuplicates(["__th"]), "fingerprints")
+    roots = of.join(fingerprint_roots(of, radius, shard_points).hint("merge"), "fp").select("__th", F.col("root").alias("root"))
+    return least_rows(keyed, roots)
