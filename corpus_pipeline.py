@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the columns of
 documents; a stage that changes a text sets n_chars to its new length.
+
+What holds for all stages: null and empty texts are texts without words or lines of their own; rows without an id, rows that share an
+id and rows that repeat are rows of their own, told apart by their texts; whole texts count, however long; other columns may be null
+and have any names; an empty table gives an empty result. What a stage does with them is in its docstring.
 """
 
 from __future__ import annotations
@@ -22,23 +26,30 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose probability of being toxic is below the operator's REJECT. Null and empty texts stay; each row is judged by its own text."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten documents or more hold go from all of them, as in the operator's query; rows stay, if need be with an empty text. So
+    of a group of ten equal documents or more nothing is left but empty texts, of which the next stage keeps one."""
     return _counted(drop_lines(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One of each group of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more: the row of the least id (no id last), then
+    of the least hash of its text and of the row. Texts without words are one group; equal rows count once."""
     return keep_one_of_similar(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it whole, and its first words if in part. Rows without words have nothing to take and go; a null
+    source is a source of its own."""
     return _counted(mixed_rows(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows; repeated rows are packed each. A text without words is its end id."""
     return harmonic_pack(docs)
 
 
