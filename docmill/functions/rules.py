@@ -20,6 +20,8 @@ class Metric:
     unit: str = ""
     cap: int = 5
     pair: bool = False
+    #: A text value must be longer than this.
+    longer_than: int = 0
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,7 @@ _LABELS = (r"(?i)\b(champion device|best device|optimized device|control device|
 
 OLED = RulePack(
     metrics={
-        "structure": Metric((r"((?:ITO|Glass)\s*/\s*[A-Za-z0-9:+()._\-\s]{1,40}(?:\s*/\s*[A-Za-z0-9:+()._\-\s]{1,40}){2,8})",), cap=3),
+        "structure": Metric((r"((?:ITO|Glass)\s*/\s*[A-Za-z0-9:+()._\-\s]{1,40}(?:\s*/\s*[A-Za-z0-9:+()._\-\s]{1,40}){2,8})",), cap=3, longer_than=10),
         "eqe": Metric((r"(?i)EQE[^0-9<≥>]*?" + _PERCENT, r"(?i)external quantum efficiency[^0-9<≥>]*?" + _PERCENT, r"(?i)max(?:imum)?\s+EQE[^0-9]*?" + _PERCENT), 0.1, 80, 2, "%"),
         "cie": Metric((r"(?i)CIE[^0-9]*?" + _PAIR, r"(?i)" + _PAIR + r"[^)]*CIE", r"(?i)色度坐标[^0-9]*?" + _PAIR, r"(?i)color\s*coordinates?[^0-9]*?" + _PAIR, r"(?i)\b(?:x|y)\s*=\s*([0-9]?\.[0-9]+)\s*,?\s*(?:x|y)\s*=\s*([0-9]?\.[0-9]+)"), 0, 1, 4, pair=True),
         "lifetime": Metric((r"(?i)T[⑤5]0[^0-9]*?" + _HOURS, r"(?i)LT[⑤5]0[^0-9]*?" + _HOURS, r"(?i)lifetime[^0-9]*?([0-9]+\.?[0-9]*)\s*(?:h|hour|hours)"), 1, 50_000, 1, " h"),
@@ -79,7 +81,7 @@ SOLAR_CELL = RulePack(
         "jsc": Metric((r"(?i)Jsc[^0-9]*?([0-9]+\.?[0-9]*)\s*(?:mA/cm²|mA cm⁻²|mA·cm⁻²)", r"(?i)short.circuit current[^0-9]*?([0-9]+\.?[0-9]*)\s*(?:mA/cm²|mA cm⁻²)"), 0, 100, 2, " mA/cm²"),
         "voc": Metric((r"(?i)Voc[^0-9]*?([0-9]+\.?[0-9]*)\s*V", r"(?i)open.circuit voltage[^0-9]*?([0-9]+\.?[0-9]*)\s*V"), 0, 10, 2, " V"),
         "ff": Metric((r"(?i)FF[^0-9]*?([0-9]+\.?[0-9]*)\s*%?", r"(?i)fill factor[^0-9]*?([0-9]+\.?[0-9]*)\s*%?"), 0, 100, 2, "%"),
-        "structure": Metric((r"((?:FTO|ITO|Glass)\s*/\s*[A-Za-z0-9:+()._\-\s]{1,50}(?:\s*/\s*[A-Za-z0-9:+()._\-\s]{1,50}){2,10})",), cap=3),
+        "structure": Metric((r"((?:FTO|ITO|Glass)\s*/\s*[A-Za-z0-9:+()._\-\s]{1,50}(?:\s*/\s*[A-Za-z0-9:+()._\-\s]{1,50}){2,10})",), cap=3, longer_than=10),
     },
     signals={"pce": 2, "structure": 2, "jsc": 1, "voc": 1, "ff": 1},
     labels=_LABELS,
@@ -96,33 +98,56 @@ SOLAR_CELL = RulePack(
     important=("stability", "hysteresis"),
 )
 
-# What follows is our own: packs for two more domains, and one for general documents such as the test tables.
+_MAH, _WH, _MOLAR = r"(?:mAh/g|mAh\s*g⁻¹)", r"(?:Wh/kg|Wh\s*kg⁻¹)", r"(?:nM|μM|mM|ppb|ppm)"
+_NUMBER = r"([0-9]+\.?[0-9]*)"
 
 BATTERY = RulePack(
     metrics={
-        "capacity": Metric((r"(?i)capacity[^0-9]*?([0-9]+\.?[0-9]*)\s*mAh", r"(?i)([0-9]+\.?[0-9]*)\s*mAh\s*g"), 0, 10_000, 1, " mAh/g"),
-        "cycling_stability": Metric((r"(?i)([0-9]+)\s*cycles",), 1, 1_000_000, 0, " cycles"),
-        "energy_density": Metric((r"(?i)([0-9]+\.?[0-9]*)\s*Wh\s*/?\s*kg",), 0, 5000, 1, " Wh/kg"),
-        "coulombic_efficiency": Metric((r"(?i)coulombic efficiency[^0-9]*?" + _PERCENT,), 0, 100.5, 2, "%"),
+        "capacity": Metric((r"(?i)" + _NUMBER + r"\s*(?:mAh/g|mAh\s*g⁻¹|mAh·g⁻¹)", r"(?i)capacity[^0-9]*?" + _NUMBER + r"\s*" + _MAH, r"(?i)specific capacity[^0-9]*?" + _NUMBER + r"\s*" + _MAH), 0, 10_000, 1, " mAh/g"),
+        "cycling_stability": Metric((r"(?i)([0-9]+\.?[0-9]*\s*%\s*(?:after|for)\s*[0-9]+\s*cycles?)", r"(?i)([0-9]+\s*cycles?[^0-9]*?[0-9]+\.?[0-9]*\s*%)", r"(?i)(capacity retention[^0-9]*?[0-9]+\.?[0-9]*\s*%)")),
+        "energy_density": Metric((r"(?i)" + _NUMBER + r"\s*(?:Wh/kg|Wh\s*kg⁻¹|Wh·kg⁻¹)", r"(?i)energy density[^0-9]*?" + _NUMBER + r"\s*" + _WH), 0, 5000, 1, " Wh/kg"),
+        "coulombic_efficiency": Metric((r"(?i)Coulombic efficiency[^0-9]*?" + _NUMBER + r"\s*%", r"(?i)CE[^0-9]*?" + _NUMBER + r"\s*%"), 0, 100.5, 2, "%"),
     },
     signals={"capacity": 2, "cycling_stability": 1, "energy_density": 1},
     labels=_LABELS,
+    classes={"Li-ion": (r"(?i)Li.ion\s+battery", r"(?i)lithium.ion\s+battery", r"LIB"), "Solid-state": (r"(?i)solid.state\s+battery", r"(?i)solid\s+electrolyte", r"(?i)all.solid.state"), "Li-S": (r"(?i)lithium.sulfur", r"(?i)Li.S\s+battery"), "Na-ion": (r"(?i)sodium.ion", r"(?i)Na.ion\s+battery")},
+    tags={
+        "材料改性": ("material modification", "doping", "coating", "surface modification"),
+        "界面工程": ("interface engineering", "sei", "interphase", "interface layer"),
+        "电解质优化": ("electrolyte optimization", "electrolyte additive", "solid electrolyte"),
+        "结构设计": ("structure design", "nanostructure", "hierarchical structure"),
+        "粘结剂优化": ("binder optimization", "binder design"),
+    },
     critical=("capacity", "cycling_stability"),
     important=("energy_density", "coulombic_efficiency"),
 )
 
 SENSOR = RulePack(
     metrics={
-        "sensitivity": Metric((r"(?i)sensitivity[^0-9]*?([0-9]+\.?[0-9]*)",), 0, 1e9, 2),
-        "detection_limit": Metric((r"(?i)(?:detection limit|LOD)[^0-9]*?([0-9]+\.?[0-9]*\s*(?:ppm|ppb|nM|μM|mM))",)),
-        "response_time": Metric((r"(?i)response time[^0-9]*?([0-9]+\.?[0-9]*)\s*s",), 0, 100_000, 1, " s"),
+        "sensitivity": Metric((r"(?i)sensitivity[^0-9]*?" + _NUMBER + r"\s*(?:μA/mM|μA\s*mM⁻¹|mA/mM|V/pH)", r"(?i)" + _NUMBER + r"\s*(?:μA/mM|μA\s*mM⁻¹|mA/mM|V/pH)\s*(?:cm⁻²|cm²)?"), 0, 1e9, 2),
+        "detection_limit": Metric((r"(?i)LOD[^0-9]*?([0-9]+\.?[0-9]*\s*" + _MOLAR + ")", r"(?i)limit of detection[^0-9]*?([0-9]+\.?[0-9]*\s*" + _MOLAR + ")", r"(?i)detection limit[^0-9]*?([0-9]+\.?[0-9]*\s*" + _MOLAR + ")")),
+        "linear_range": Metric((r"(?i)linear range[^0-9]*?" + _NUMBER + r"\s*[-–]\s*" + _NUMBER + r"\s*(?:nM|μM|mM|M)", r"(?i)" + _NUMBER + r"\s*[-–]\s*" + _NUMBER + r"\s*(?:nM|μM|mM|M)"), decimals=2, pair=True),
+        "response_time": Metric((r"(?i)response time[^0-9]*?" + _NUMBER + r"\s*s", r"(?i)" + _NUMBER + r"\s*s\s*response"), 0, 100_000, 1, " s"),
     },
     signals={"sensitivity": 2, "detection_limit": 2, "response_time": 1},
     labels=_LABELS,
+    classes={"Electrochemical": (r"(?i)electrochemical\s+sensor", r"(?i)amperometric", r"(?i)potentiometric", r"(?i)voltammetric"), "Optical": (r"(?i)optical\s+sensor", r"(?i)fluorescence", r"(?i)colorimetric", r"(?i)surface plasmon"), "Biosensor": (r"(?i)biosensor", r"(?i)biological\s+sensor", r"(?i)enzyme\s+sensor"), "Gas sensor": (r"(?i)gas\s+sensor", r"(?i)chemiresistor", r"(?i)MOX\s+sensor")},
+    tags={
+        "材料选择": ("material selection", "sensing material", "recognition element"),
+        "表面修饰": ("surface modification", "surface functionalization", "coating"),
+        "信号放大": ("signal amplification", "amplification strategy", "enhancement"),
+        "纳米材料": ("nanomaterial", "nanoparticle", "nanocomposite"),
+        "生物识别": ("biorecognition", "enzyme", "antibody", "aptamer"),
+    },
     critical=("sensitivity", "detection_limit", "target_analyte"),
     important=("selectivity", "response_time", "linear_range"),
 )
 
+#: Types of the document's own fields that are not text. Fixed values.
+DOCUMENT_TYPES = {"impact_factor": T.DoubleType(), "impact_factor_year": T.IntegerType(), "year": T.IntegerType()}
+
+# What follows is our own: a pack for general documents such as the test tables.
+
 CORPUS = RulePack(
     metrics={
         "license": Metric((r"(Apache License|MIT License|General Public License|CC BY[A-Z-]*|[Aa]ll [Rr]ights [Rr]eserved)",), cap=3),
@@ -147,6 +172,7 @@ def register_pack(name: str, pack: RulePack) -> None:
     PACKS[name] = pack
 
 
-def pack_schema(name: str) -> T.StructType:
-    """The record of a pack: a label, its metrics, notes; all texts."""
-    return T.StructType([T.StructField(n, T.StringType()) for n in ("label", *PACKS[name].metrics, "notes")])
+def pack_schema(name: str, document: tuple[str, ...] = ()) -> T.StructType:
+    """The record of a pack: fields of the document, typed, then a label, its metrics and notes, which are texts."""
+    fields = [T.StructField(n, DOCUMENT_TYPES.get(n, T.StringType())) for n in document]
+    return T.StructType(fields + [T.StructField(n, T.StringType()) for n in ("label", *PACKS[name].metrics, "notes")])

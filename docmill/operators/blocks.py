@@ -90,10 +90,10 @@ def cut_tail_noise(blocks: DataFrame, noise: tuple[str, ...]) -> DataFrame:
 
 
 def anchor_tables(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks with tables replaced by [TABLE_nnnn], and the anchors (doc_id, anchor, idx, text, before, after)."""
+    """Blocks (with path) with tables replaced by [TABLE_nnnn], and the anchors (doc_id, anchor, idx, path, text, before, after)."""
     number = F.row_number().over(Window.partitionBy("doc_id", "type").orderBy("idx"))
     rows = neighbor_text(blocks).withColumn("anchor", F.when(F.col("type") == "table", F.format_string("TABLE_%04d", number)))
-    anchors = rows.where("anchor is not null").select("doc_id", "anchor", "idx", "text", "before", "after")
+    anchors = rows.where("anchor is not null").select("doc_id", "anchor", "idx", "path", "text", "before", "after")
     blocks = rows.withColumn("text", F.when(F.col("anchor").isNull(), F.col("text")).otherwise(F.concat(F.lit("["), "anchor", F.lit("]"))))
     return blocks.withColumn("type", F.when(F.col("anchor").isNull(), F.col("type")).otherwise("table_anchor")).drop("before", "after"), anchors
 
@@ -154,7 +154,7 @@ def heading_context(kept: DataFrame, headings: DataFrame) -> DataFrame:
     """Of headings (doc_id, idx, title) the nearest earlier one for each title on the path of a kept block: (doc_id, idx)."""
     wanted = kept.select("doc_id", F.col("idx").alias("__at"), F.explode("path").alias("title"))
     named = headings.select("doc_id", F.col("idx").alias("__h"), "title")
-    met = wanted.join(named, ["doc_id", "title"]).where("__h < __at")
+    met = wanted.join(named.hint("merge"), ["doc_id", "title"]).where("__h < __at")
     return met.groupBy("doc_id", "title", "__at").agg(F.max("__h").alias("idx")).select("doc_id", "idx").distinct()
 
 
@@ -220,6 +220,15 @@ def extract_pipe_tables(docs: DataFrame) -> DataFrame:
 
 def reduction_stats(docs: DataFrame, condensed: DataFrame) -> DataFrame:
     """(doc_id, original, cleaned, reduction): the share of characters that condensing took away."""
-    rows = docs.select("doc_id", F.length("text").alias("original")).join(condensed.select("doc_id", F.length("condensed").alias("cleaned")), "doc_id", "left")
+    rows = docs.select("doc_id", F.length("text").alias("original")).join(condensed.select("doc_id", F.length("condensed").alias("cleaned")).hint("merge"), "doc_id", "left")
     cleaned = F.coalesce("cleaned", F.lit(0))
     return rows.select("doc_id", "original", cleaned.alias("cleaned"), F.when(F.col("original") > 0, 1 - cleaned / F.col("original")).alias("reduction"))
+
+
+def removed_titles(blocks: DataFrame, kept: DataFrame) -> DataFrame:
+    """(doc_id, titles): the titles of the sections, that is the last headings on the paths, of which no block was kept, in order."""
+    title = F.try_element_at(F.col("path"), F.lit(-1))
+    first = blocks.where(F.size("path") > 0).groupBy("doc_id", title.alias("title")).agg(F.min("idx").alias("idx"))
+    left = kept.where(F.size("path") > 0).select("doc_id", title.alias("title")).distinct()
+    gone = first.join(left.hint("merge"), ["doc_id", "title"], "left_anti")
+    return gone.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "title"))), lambda x: x["title"]).alias("titles"))

@@ -25,13 +25,13 @@ def agreement(observations: DataFrame, tol: float = TOLERANCE, keys: tuple[str,
     """Observations with agree, the number of the entity's observations within tol, itself among them.
 
     No pairs are made: equal values are counted first, which combines before the shuffle, and a range frame over each entity's different values sums
-    the counts. Values are compared in millionths, so a difference of just tol agrees, unlike in floating point; values over 9e12 take no part."""
-    scale = 1_000_000
-    band = round(tol * scale)
-    rows = observations.withColumn("__v", F.round(F.col("value") * scale).try_cast("long"))
+    the counts. Values are compared as decimals of six places, so a difference of just tol agrees, unlike in floating point; infinite ones, NaN and null
+    take no part."""
+    rows = observations.withColumn("__v", F.round("value", 6).try_cast("decimal(38,6)"))
     counts = rows.where("__v is not null").groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
-    near = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__v").rangeBetween(-band, band))
-    return rows.join(counts.select(*keys, "__v", near.alias("agree")), [*keys, "__v"]).drop("__v")
+    band = f"CAST({tol:.6f} AS DECIMAL(38,6))"
+    near = F.expr(f"sum(__n) OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY __v RANGE BETWEEN {band} PRECEDING AND {band} FOLLOWING)")
+    return rows.join(counts.select(*keys, "__v", near.alias("agree")).hint("merge"), [*keys, "__v"]).drop("__v")
 
 
 def consensus(observations: DataFrame, tol: float = TOLERANCE, *order: str) -> DataFrame:
@@ -49,7 +49,7 @@ def merge_sources(observations: DataFrame, *order: str) -> DataFrame:
 
 
 def decide_value(observations: DataFrame, tol: float = TOLERANCE) -> DataFrame:
-    """(entity, value, status, sources): the decision table.
+    """(entity, rule, value, status, sources): the decision table. sources: that of the value and of the secondaries within tol of it, strongest first.
 
     1 a secondary agrees with the primary; 2 authoritative secondaries agree among themselves; 3 any do; 4 the primary alone; 5 no primary, secondaries agree;
     6 the strongest observation, with its own status."""
@@ -78,7 +78,26 @@ def decide_value(observations: DataFrame, tol: float = TOLERANCE) -> DataFrame:
         .when(F.col("rule") == 5, "OK_SECONDARY_VALIDATED")
         .otherwise(F.col("s.status"))
     )
-    return x.select("entity", "rule", value.alias("value"), status.alias("status"))
+    decided = x.select("entity", "rule", value.alias("value"), status.alias("status"))
+    near_it = usable.join(decided.where("value is not null").select("entity", F.col("value").alias("__v")).hint("merge"), "entity").where(F.abs(F.col("value") - F.col("__v")) <= tol)
+    names = near_it.groupBy("entity", "source").agg(F.min(F.struct((F.col("value") != F.col("__v")).alias("other"), "p")).alias("o")).groupBy("entity")
+    names = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "source"))), lambda r: r["source"]), "+").alias("sources"))
+    return decided.join(names.hint("merge"), "entity", "left")
+
+
+def merged_sources(current: Column, new: Column, old_sources: Column, new_sources: Column) -> Column:
+    """The sources of a value after a decision: of two values within a millionth those of both, each once in order, else the new one's."""
+    both = F.array_join(F.array_distinct(F.filter(F.concat(F.split(old_sources, r"\+"), F.split(new_sources, r"\+")), lambda s: s != "")), "+")
+    same = (F.abs(current - new) < 1e-6) & (old_sources != "") & (new_sources != "")
+    return F.when(F.coalesce(same, F.lit(False)), both).otherwise(new_sources)
+
+
+def apply_provenance(current: Column, new: Column, status: Column, old: tuple[Column, Column, Column], found: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    """Sources, url and year after a decision; old and found are each (sources, url, year). The url is the new one where there is one; sources and
+    year change only with a status that starts with OK and a value."""
+    good = F.coalesce(status.startswith("OK"), F.lit(False)) & new.isNotNull()
+    sources = F.when(good, merged_sources(current, new, old[0], found[0])).otherwise(old[0])
+    return sources, F.coalesce(F.nullif(found[1], F.lit("")), old[1]), F.when(good, found[2]).otherwise(old[2])
 
 
 def apply_decision(current: Column, new: Column, status: Column, old_status: Column, correct: bool = True) -> tuple[Column, Column]:

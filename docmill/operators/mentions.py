@@ -38,7 +38,8 @@ def metric_values(text: Column, metric: Metric) -> Column:
             continue
         raw = F.regexp_extract_all(text, F.lit(p), F.lit(1))
         if metric.decimals is None:
-            found.append(F.transform(raw, lambda v: F.nullif(F.regexp_replace(squeeze(v), r"^[ .;,)(]+|[ .;,)(]+$", ""), F.lit(""))))
+            cleaned = F.transform(raw, lambda v: F.regexp_replace(squeeze(v), r"^[ .;,)(]+|[ .;,)(]+$", ""))
+            found.append(F.filter(cleaned, lambda v: F.length(v) > metric.longer_than))
         else:
             found.append(F.transform(raw, lambda v: F.when(_in_range(v.try_cast("double"), metric), _shown(v.try_cast("decimal(20,6)"), metric))))
     # most texts match no pattern: the cheap test spares them the arrays
@@ -61,6 +62,7 @@ def record_label(text: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def signal_score(text: Column, pack: RulePack) -> Column:
+    """The weights of the signal metrics that the text has a value of, and 1 for a label."""
     parts = [F.when(F.size(metric_values(text, pack.metrics[n])) > 0, w).otherwise(0) for n, w in pack.signals.items()]
     return reduce(add, parts) + F.when(record_label(text, pack.labels).isNotNull(), 1).otherwise(0)
 
@@ -68,20 +70,18 @@ def signal_score(text: Column, pack: RulePack) -> Column:
 def segments(docs: DataFrame, pack: RulePack, most: int = 20) -> DataFrame:
     """(doc_id, pos, text): paragraphs with a signal of 2 and more, then maximal runs of sentences with any; each text once, the first ``most``.
 
-    Sentences end at [.!?] before white space; a mark is put there first, so that no look-behind is needed."""
-    paragraphs = docs.select("doc_id", F.posexplode(F.split("text", "\n[ \t]*\n")).alias("at", "s")).select("doc_id", F.lit(0).alias("kind"), "at", F.trim("s").alias("s"))
-    paragraphs = paragraphs.where((F.col("s") != "") & (signal_score(F.col("s"), pack) >= 2))
+    All within the row of the document: nothing is shuffled, and only hits are exploded. Sentences end at [.!?] before white space; a mark is
+    put there first, so that no look-behind is needed."""
+    paragraphs = F.filter(F.transform(F.split("text", "\n[ \t]*\n"), lambda s: F.trim(s)), lambda s: (s != "") & (signal_score(s, pack) >= 2))
     marked = F.regexp_replace("text", "([.!?])[ \n\t]+", "$1" + _MARK)
-    sentences = docs.select("doc_id", F.posexplode(F.split(marked, _MARK)).alias("at", "s")).withColumn("s", F.trim("s")).where("s <> ''")
-    order = Window.partitionBy("doc_id").orderBy("at")
-    sentences = sentences.withColumn("hit", signal_score(F.col("s"), pack) > 0)
-    sentences = sentences.withColumn("run", F.sum((~F.col("hit")).cast("int")).over(order)).where("hit")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), " ")
-    runs = sentences.groupBy("doc_id", "run").agg(F.min("at").alias("at"), joined.alias("s")).select("doc_id", F.lit(1).alias("kind"), "at", "s")
-    every = paragraphs.unionByName(runs).withColumn("same", squeeze("s"))
-    first = every.groupBy("doc_id", "same").agg(F.min(F.struct("kind", "at", "s")).alias("x"))
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("x.kind", "x.at")) - 1
-    return first.select("doc_id", pos.alias("pos"), F.col("x.s").alias("text")).where(F.col("pos") < most)
+    cut = F.filter(F.transform(F.split(marked, _MARK), lambda s: F.trim(s)), lambda s: s != "")
+    # runs: sentences without a signal become the mark, the rest is joined and cut at marks again
+    kept = F.transform(cut, lambda s: F.when(signal_score(s, pack) > 0, s).otherwise(_MARK))
+    runs = F.filter(F.transform(F.split(F.array_join(kept, " "), f" ?{_MARK} ?"), lambda s: F.trim(s)), lambda s: s != "")
+    every = docs.select("doc_id", F.concat(paragraphs, runs).alias("s"))
+    every = every.select("doc_id", "s", F.transform("s", lambda s: squeeze(s)).alias("same"))
+    first = F.filter("s", lambda _, i: F.array_position("same", F.col("same")[i]) == i + 1)
+    return every.select("doc_id", F.posexplode(F.slice(first, 1, most)).alias("pos", "text"))
 
 
 def _record(text: Column, pack: RulePack) -> list[Column]:
@@ -114,7 +114,7 @@ def candidate_records(docs: DataFrame, pack: RulePack, most: int = 6) -> DataFra
 
 def document_fallback_record(docs: DataFrame, records: DataFrame, pack: RulePack) -> DataFrame:
     """The records, and for documents without any one record of the whole text's first values."""
-    rest = docs.join(records.select("doc_id").distinct(), "doc_id", "left_anti")
+    rest = docs.join(records.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
     one = rest.select("doc_id", F.lit(0).alias("pos"), *_record(F.coalesce("text", F.lit("")), pack), F.lit(None).cast("string").alias("notes"))
     return records.unionByName(one.where(F.coalesce(*pack.metrics).isNotNull()))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from json import loads
 from operator import add, or_
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.functions.text import squeeze
 
@@ -88,31 +92,42 @@ def title_score(t: Column, place: Column, heading: Column) -> Column:
 
 
 def title_lines(docs: DataFrame, most: int = 40) -> DataFrame:
-    """(doc_id, at, place, title, heading, bad): the first lines, cleaned, blank ones left out."""
-    rows = docs.select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, most)).alias("at", "line"))
-    rows = rows.select("doc_id", "at", F.ltrim("line").startswith("#").alias("heading"), normalize_title(F.col("line")).alias("title")).where("title <> ''")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
-    return rows.withColumn("place", place).withColumn("bad", bad_title(F.col("title")))
+    """(doc_id, lines): the first lines as an array of (title, heading, bad), cleaned, blank ones left out. All of a document stays in its row."""
+    cleaned = F.transform(F.slice(F.split("text", "\n"), 1, most), lambda line: F.struct(normalize_title(line).alias("title"), F.ltrim(line).startswith("#").alias("heading")))
+    rows = docs.select("doc_id", F.filter(cleaned, lambda x: x["title"] != "").alias("lines"))
+    return rows.select("doc_id", F.transform("lines", lambda x: F.struct(x["title"], x["heading"], bad_title(x["title"]).alias("bad"))).alias("lines"))
+
+
+def _scored(title: Column, score: Column, place: Column) -> Column:
+    return F.struct(title.alias("title"), score.alias("score"), place.cast("int").alias("place"))
+
+
+def _blocks(lines: Column) -> Column:
+    """The first one, two and three good lines in a row, of the first eight lines, joined and scored."""
+    head = F.slice(lines, 1, 8)
+    begin = F.array_position(F.transform(head, lambda x: x["bad"]), False)
+    rest = F.when(begin > 0, F.slice(head, F.greatest(begin, F.lit(1)).cast("int"), 8)).otherwise(F.slice(head, 1, 0))
+    end = F.array_position(F.transform(rest, lambda x: x["bad"]), True)
+    good = F.slice(F.when(end > 0, F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(rest), 1, 3)
+    counts = F.when(F.size(good) > 0, F.sequence(F.lit(1), F.size(good))).otherwise(F.array().cast("array<int>"))
+    joined = F.transform(counts, lambda n: F.array_join(F.transform(F.slice(good, F.lit(1), n), lambda x: x["title"]), " "))
+    fine = F.filter(joined, lambda t: F.length(t).between(20, 260) & ~bad_title(t))
+    return F.transform(fine, lambda t: _scored(t, title_score(t, F.lit(0), F.lit(True)) + 2, F.lit(-1)))
 
 
 def title_blocks(lines: DataFrame) -> DataFrame:
     """X11: (doc_id, title, score): the first one, two and three good lines in a row joined, 20 to 260 characters long, scored as headings and 2 more."""
-    w = Window.partitionBy("doc_id").orderBy("place")
-    head = lines.where("place < 8").withColumn("begun", F.sum((~F.col("bad")).cast("int")).over(w))
-    head = head.withColumn("stop", F.max(F.when(F.col("bad") & (F.col("begun") > 0), 1).otherwise(0)).over(w))
-    good = head.where("not bad and stop = 0").withColumn("n", F.row_number().over(w)).where("n <= 3")
-    so_far = F.array_join(F.collect_list("title").over(w.rowsBetween(Window.unboundedPreceding, 0)), " ")
-    joined = good.select("doc_id", so_far.alias("title")).where(F.length("title").between(20, 260))
-    return joined.where(~bad_title(F.col("title"))).select("doc_id", "title", (title_score(F.col("title"), F.lit(0), F.lit(True)) + 2).alias("score"), F.lit(-1).alias("place"))
+    return lines.select("doc_id", F.inline(_blocks(F.col("lines"))))
 
 
 def rank_titles(docs: DataFrame, with_blocks: bool = True) -> DataFrame:
-    """(doc_id, title, score): the best title of each document; ties go to the earlier and then to the smaller text."""
-    lines = title_lines(docs)
-    single = lines.where("place < 20 and not bad").select("doc_id", "title", title_score(F.col("title"), F.col("place"), F.col("heading")).alias("score"), "place")
-    every = (single.unionByName(title_blocks(lines)) if with_blocks else single).where("score > 0")
-    best = F.max_by(F.struct("title", "score"), F.struct("score", -F.col("place"), F.lit(0) - F.length("title"), "title"))
-    return every.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.title", "b.score")
+    """(doc_id, title, score): the best title of each document; ties go to the earlier, then to the shorter and then to the larger text."""
+    numbered = F.transform("lines", lambda x, i: F.struct(x["title"], x["heading"], x["bad"], i.alias("place")))
+    single = F.transform(F.filter(F.slice(numbered, 1, 20), lambda x: ~x["bad"]), lambda x: _scored(x["title"], title_score(x["title"], x["place"], x["heading"]), x["place"]))
+    every = F.concat(single, _blocks(F.col("lines"))) if with_blocks else single
+    order = F.transform(F.filter(every, lambda x: x["score"] > 0), lambda x: F.struct(x["score"], (-x["place"]).alias("early"), (-F.length(x["title"])).alias("short"), x["title"]))
+    best = title_lines(docs).select("doc_id", F.array_max(order).alias("b"))
+    return best.where("b is not null").select("doc_id", "b.title", "b.score")
 
 
 def author_candidates(text: Column, known: Column | None = None, most: int = 10) -> Column:
@@ -202,21 +217,49 @@ def value_year_from_text(text: Column, label: str = r"(?:journal\s+)?impact\s+fa
     return F.coalesce(*tries)
 
 
-def json_value_search(df: DataFrame, key: str, json: str, names: tuple[str, ...] = ("journalimpactfactor", "impactfactor", "jif", "jifvalue"), stem: str = "jif", depth: int = 3, low: float = 0.1, high: float = 200.0) -> DataFrame:
-    """P25: (key, year, value): of all values at up to ``depth`` levels of objects whose key is one of the names or starts with the stem, the one of the latest
-    year and then the largest. The year stands in the key or beside it."""
-    year_keys = ("citationReportYear", "reportYear", "year", "jifYear")
-    level = df.select(key, F.from_json(json, "map<string,string>").alias("m"))
-    found = None
-    for n in range(depth):
-        beside = F.coalesce(*[F.try_element_at("m", F.lit(k)).try_cast("int") for k in year_keys])
-        cells = level.select(key, beside.alias("y"), F.explode("m").alias("k", "v"))
-        low_key = F.lower("k")
-        named = low_key.isin(*names) | low_key.startswith(stem) | low_key.contains("impactfactor")
-        value = F.regexp_extract("v", r"^[^{\[]*?([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
-        year = F.coalesce(F.regexp_extract("k", "(20[0-9]{2})", 1).try_cast("int"), F.when(F.col("y").between(2000, 2100), F.col("y")))
-        hits = cells.where(named & ~low_key.endswith("year")).select(key, year.alias("year"), value.alias("value")).where(F.col("value").between(low, high))
-        found = hits if found is None else found.unionByName(hits)
-        level = cells.where(F.col("v").startswith("{")).select(key, F.from_json("v", "map<string,string>").alias("m")).where("m is not null")
-    best = F.max_by(F.struct("year", "value"), F.struct(F.coalesce("year", F.lit(0)), "value"))
-    return found.groupBy(key).agg(best.alias("b")).select(key, "b.year", "b.value")
+def _json_hits(value, names: tuple[str, ...], stem: str, inside: str, low: float, high: float):
+    """(year, value) of every named number in objects and arrays of any depth."""
+    open_ = [value]
+    while open_:
+        x = open_.pop()
+        if isinstance(x, list):
+            open_ += x
+        if not isinstance(x, dict):
+            continue
+        open_ += x.values()
+        beside = str(next((x[k] for k in YEAR_KEYS if x.get(k)), ""))
+        beside = int(beside) if re.fullmatch(r"\s*[0-9]+\s*", beside) and 2000 <= int(beside) <= 2100 else None
+        for key, v in x.items():
+            key = key.lower()
+            if isinstance(v, (dict, list)) or not (key in names or key.startswith(stem) or inside in key):
+                continue
+            number = re.search(r"[0-9]+(?:\.[0-9]+)?", str(v))
+            if number and low <= float(number.group()) <= high:
+                named = None if key in names else re.search("20[0-9]{2}", key)
+                yield int(named.group()) if named else beside, float(number.group())
+
+
+#: Keys of an object that tell the year of its values, in order. Fixed values.
+YEAR_KEYS = ("citationReportYear", "reportYear", "year", "jifYear")
+
+
+def json_value_search(df: DataFrame, key: str, json: str, names: tuple[str, ...] = ("journalimpactfactor", "impactfactor", "jif", "jifvalue"), stem: str = "jif", inside: str = "impactfactor", low: float = 0.1, high: float = 200.0) -> DataFrame:
+    """P25: (key, year, value): of all values, in objects and arrays of any depth, whose key is one of the names, starts with the stem or holds ``inside``, the one
+    of the latest year and then the largest. The year stands in the key or beside it. One pass: depth has no bound, so the walk is a function of the row;
+    texts that are no JSON have no values."""
+    kind = df.schema[key].dataType
+
+    def walk(batches):
+        for b in batches:
+            found = []
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    value = loads(text or "")
+                except ValueError:
+                    continue
+                hits = list(_json_hits(value, names, stem, inside, low, high))
+                if hits:
+                    found.append((k, *max(hits, key=lambda h: (h[0] or 0, h[1]))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else ((), (), ()), (b.schema[0].type, pa.int32(), pa.float64()))], names=[key, "year", "value"])
+
+    return df.select(key, F.col(json).cast("string")).mapInArrow(walk, T.StructType([T.StructField(key, kind), T.StructField("year", T.IntegerType()), T.StructField("value", T.DoubleType())]))

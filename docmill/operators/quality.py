@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,12 @@ def noisy_ratio(df: DataFrame, notes: str, phrases: tuple[str, ...] = NOISE_PHRA
     return rows.withColumn("percent", F.when(F.col("records") > 0, F.round(F.col("noisy") * 100.0 / F.col("records"), 1)))
 
 
+def noisy_examples(df: DataFrame, key: str, notes: str, phrases: tuple[str, ...] = NOISE_PHRASES, most: int = 5) -> DataFrame:
+    """A2: (key, notes) of the first noisy records by key; the limit is the feature."""
+    low = F.lower(F.coalesce(notes, F.lit("")))
+    return df.where(reduce(lambda a, b: a | b, [low.contains(p) for p in phrases])).select(key, notes).orderBy(key).limit(most)
+
+
 def field_accuracy(pred: DataFrame, truth: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(field, compared, percent): how often prediction and truth are equal, nulls equal to each other."""
     other = truth.select(key, *[F.col(f).alias(f"__{f}") for f in fields])

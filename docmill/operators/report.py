@@ -70,12 +70,17 @@ def prompt_table(df: DataFrame, template: str, fields: dict[str, Column], exampl
 
 
 def parse_json_responses(c: str | Column) -> Column:
-    """The JSON object in an answer: all of it, else in a fenced block, else from the first to the last brace; null if none parses."""
+    """The JSON object in an answer: all of it, else the first fenced block that parses, else from the first to the last brace; null if none parses."""
     c = F.trim(col(c))
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    braces = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    tries = [F.when(x.rlike(r"(?s)^\s*\{"), F.get_json_object(x, "$")) for x in (c, fenced, braces)]
-    return F.coalesce(*tries)
+    fenced = F.regexp_extract_all(c, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), F.lit(1))
+    tries = F.concat(F.array(c), fenced, F.array(F.regexp_extract(c, r"(?s)\{.*\}", 0)))
+    return F.try_element_at(F.filter(F.transform(tries, lambda x: F.when(x.rlike(r"(?s)^\s*\{"), F.get_json_object(x, "$"))), lambda x: x.isNotNull()), F.lit(1))
+
+
+def split_responses(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(parsed, quarantine): rows with their JSON object in place of the answer, and the rows without one as they are."""
+    rows = df.withColumn("__json", parse_json_responses(column))
+    return rows.where("__json is not null").withColumn(column, F.col("__json")).drop("__json"), rows.where("__json is null").drop("__json")
 
 
 def relevance_score(rules: list[tuple[Column, int]]) -> Column:

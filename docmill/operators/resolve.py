@@ -30,7 +30,7 @@ def resolve_entities(keys: DataFrame, dim_keys: DataFrame, ids: DataFrame, id_:
     """Ids with status, method, matched: the strongest kind of key with a hit decides; one hit is OK, several MULTI_MATCH, none NO_MATCH.
 
     One join on (kind, value); per id the least priority with hits and the hits at it. Of several the least dim_id is shown as matched."""
-    hits = keys.join(dim_keys.select("kind", "value", dim_id).distinct(), ["kind", "value"]).groupBy(id_, "prio", "kind").agg(F.count_distinct(dim_id).alias("n"), F.min(dim_id).alias("matched"))
+    hits = keys.join(dim_keys.select("kind", "value", dim_id).distinct().hint("merge"), ["kind", "value"]).groupBy(id_, "prio", "kind").agg(F.count_distinct(dim_id).alias("n"), F.min(dim_id).alias("matched"))
     best = hits.groupBy(id_).agg(F.min_by(F.struct("kind", "n", "matched"), "prio").alias("b"))
     rows = ids.select(id_).join(best, id_, "left")
     status = F.when(F.col("b").isNull(), "NO_MATCH").when(F.col("b.n") == 1, "OK").otherwise("MULTI_MATCH")
@@ -46,31 +46,48 @@ def select_candidate(candidates: DataFrame, id_: str, ours: str, title: str, ran
 
 
 def lookup_curated(df: DataFrame, column: str, dim: DataFrame, key: str = "alias") -> DataFrame:
-    """Df with the dimension's columns by canonical title; several aliases may name one entity."""
-    named = dim.withColumn("__k", canonical_title(key)).drop(key).dropDuplicates(["__k"])
+    """Df with the dimension's columns by canonical title; several aliases may name one entity. Of rows with one title the least counts."""
+    rest = [c for c in dim.columns if c != key]
+    named = dim.groupBy(canonical_title(key).alias("__k")).agg(F.min(F.struct(*rest)).alias("__r")).select("__k", "__r.*")
     return df.withColumn("__k", canonical_title(column)).join(named, "__k", "left").drop("__k")
 
 
-def lookup_contains(df: DataFrame, id_: str, column: str, dim: DataFrame, most_words: int = 10_000) -> DataFrame:
+def _grams(text: Column) -> Column:
+    """All pieces of one to three characters, each once."""
+    every = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    return F.array_distinct(F.concat(*[every(n) for n in (1, 2, 3)]))
+
+
+def _within(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs of short (s) and long (l) of which the first stands in the second, met by the short one's first three characters, or fewer if it has no more."""
+    heads = short.select("s", F.left("s", F.lit(3)).alias("gram"))
+    met = long.select("l", F.explode(_grams(F.col("l"))).alias("gram")).join(heads.hint("merge"), "gram")
+    return met.where(F.col("l").contains(F.col("s"))).select("s", "l")
+
+
+def lookup_contains(df: DataFrame, id_: str, column: str, dim: DataFrame) -> DataFrame:
     """(id, column, key, ordinal): the dimension row (key, ordinal) that equals the name, else the first that contains it or stands in it.
 
-    A pair test cannot be a key join, so the dimension is a bounded word list: over ``most_words`` rows are refused. Names are looked up once each."""
-    words = dim.select("key", "ordinal").limit(most_words + 1)
-    if words.count() > most_words:
-        raise ValueError(f"lookup_contains takes a word list of at most {most_words} rows")
-    names = df.select(column).where(F.trim(column) != "").distinct()
-    low, key = F.lower(column), F.lower("key")
-    met = names.join(F.broadcast(words), low.contains(key) | key.contains(low))
-    best = met.groupBy(column).agg(F.min(F.struct((low != key).alias("loose"), "ordinal", "key")).alias("b"))
-    return df.select(id_, column).join(best, column, "left").select(id_, column, F.col("b.key").alias("key"), F.col("b.ordinal").alias("ordinal"))
+    A text that stands in another shares its first characters with one of the other's pieces, so the pairs come from a key join, and each is then
+    tested; both tables may be large. Names are looked up once each; empty ones and empty keys meet nothing."""
+    words = dim.select("key", "ordinal", F.lower("key").alias("k")).where("k <> ''")
+    names = df.select(column).where(F.trim(column) != "").distinct().withColumn("n", F.lower(column))
+    keys, low = words.select("k").distinct(), names.select("n").distinct()
+    pairs = _within(keys.withColumnRenamed("k", "s"), low.withColumnRenamed("n", "l")).select(F.col("s").alias("k"), F.col("l").alias("n"))
+    pairs = pairs.unionByName(_within(low.withColumnRenamed("n", "s"), keys.withColumnRenamed("k", "l")).select(F.col("l").alias("k"), F.col("s").alias("n"))).distinct()
+    met = names.join(pairs.hint("merge"), "n").join(words.hint("merge"), "k")
+    best = met.groupBy(column).agg(F.min(F.struct((F.col("n") != F.col("k")).alias("loose"), "ordinal", "key")).alias("b"))
+    return df.select(id_, column).join(best.hint("merge"), column, "left").select(id_, column, F.col("b.key").alias("key"), F.col("b.ordinal").alias("ordinal"))
 
 
 def apply_corrections(base: DataFrame, feedback: DataFrame, key: str, order: str, texts: list[str] = (), numbers: list[str] = ()) -> DataFrame:
-    """Base with the latest correction of each key: texts where the new one is not blank, numbers where there is one; corrected tells."""
-    latest = feedback.groupBy(key).agg(F.max_by(F.struct(*texts, *numbers), order).alias("__new"))
-    rows = base.join(latest, key, "left").withColumn("corrected", F.col("__new").isNotNull())
+    """Base with the latest correction of each key: texts where the new one is not blank, numbers where there is one. corrected tells, and for the
+    audit: corrected_at (the order of that correction), corrections (how many there were), changed (the columns that it changed)."""
+    latest = feedback.groupBy(key).agg(F.max_by(F.struct(*texts, *numbers), order).alias("__new"), F.max(order).alias("corrected_at"), F.count("*").alias("__n"))
+    rows = base.join(latest.hint("merge"), key, "left").withColumn("corrected", F.col("__new").isNotNull())
     new = {c: F.coalesce(F.nullif(F.trim(F.col(f"__new.{c}")), F.lit("")), F.col(c)) for c in texts} | {c: F.coalesce(F.col(f"__new.{c}"), F.col(c)) for c in numbers}
-    return rows.withColumns(new).drop("__new")
+    changed = F.array_compact(F.array(*[F.when(~v.eqNullSafe(F.col(c)), F.lit(c)) for c, v in new.items()]))
+    return rows.withColumns(new | {"corrections": F.coalesce("__n", F.lit(0)), "changed": changed}).drop("__new", "__n")
 
 
 def backfill(primary: DataFrame, secondary: DataFrame, key: str, columns: list[str], years: list[str] = ()) -> DataFrame:

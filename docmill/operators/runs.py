@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Error group, what its texts contain, and advice; the first that matches counts.
+#: Error group, what its texts contain, and advice of our own; the first that matches counts. Groups and words are fixed values, save that the parser's
+#: group goes by the word parser.
 ERROR_GROUPS = (
-    ("credential", ("token", "api key", "credential", "401", "403"), "check keys and permissions"),
-    ("network", ("network", "timeout", "dns", "socket", "connection"), "check the connection, or run without remote services"),
+    ("credential", ("token", "api key", "credential", "鉴权", "401", "403"), "check keys and permissions"),
+    ("network", ("network", "timeout", "连接", "联网", "dns", "socket"), "check the connection, or run without remote services"),
     ("parser", ("parser",), "check the parser's settings"),
-    ("file", ("pdf", "ocr", "page", "file"), "check that the file opens and has text"),
+    ("file", ("pdf", "ocr", "page", "文件"), "check that the file opens and has text"),
 )
 OTHER_ADVICE = "read the log of the failed item"
 
 
-def run_stats(df: DataFrame, run: str, status: Column, item: str, most: int = 100) -> DataFrame:
-    """A3: per run: total, success, error, and the first items of each kind, by name."""
+def run_stats(df: DataFrame, run: str, status: Column, item: str, renamed: Column | None = None, most: int = 100) -> DataFrame:
+    """A3: per run: total, success, error, renamed, and the first ``most`` different items of each status, by name; the limit is the feature.
+
+    Items are ranked by a window that keeps only the first of each run and status before it shuffles, so no run is gathered whole."""
+    rows = df.withColumn("__status", status)
+    counts = rows.groupBy(run).agg(F.count("*").alias("total"), F.count_if(F.col("__status") == "success").alias("success"), F.count_if(F.col("__status") == "error").alias("error"), F.count_if(F.lit(False) if renamed is None else renamed).alias("renamed"))
+    ranked = rows.where(F.col("__status").isin("success", "error")).select(run, "__status", item).distinct().withColumn("__n", F.row_number().over(Window.partitionBy(run, "__status").orderBy(item))).where(F.col("__n") <= most)
     def items(s):
-        return F.slice(F.array_sort(F.collect_set(F.when(status == s, F.col(item)))), 1, most)
-    return df.groupBy(run).agg(F.count("*").alias("total"), F.count_if(status == "success").alias("success"), F.count_if(status == "error").alias("error"), items("error").alias("error_items"))
+        return F.array_sort(F.collect_list(F.when(F.col("__status") == s, F.col(item))))
+    lists = ranked.groupBy(run).agg(items("success").alias("success_items"), items("error").alias("error_items"))
+    return counts.join(lists.hint("merge"), run, "left")
 
 
 def classify_error(text: Column, groups=ERROR_GROUPS) -> Column:

@@ -166,9 +166,9 @@ def _b3(t):
     return B.cut_tail_noise(_paths(t), NOISE).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.max("idx").alias("last"))
 
 
-@query("b4_anchor_tables", _with(_OUTLINE, _BLOCKS, _PATH, _ANCHOR) + " SELECT doc_id, anchor, idx, text, before, after FROM n0 WHERE anchor IS NOT NULL")
+@query("b4_anchor_tables", _with(_OUTLINE, _BLOCKS, _PATH, _ANCHOR) + " SELECT doc_id, anchor, idx, array_to_string(path, ' > ') AS path, text, before, after FROM n0 WHERE anchor IS NOT NULL")
 def _b4(t):
-    return B.anchor_tables(_paths(t))[1]
+    return B.anchor_tables(_paths(t))[1].withColumn("path", F.array_join("path", " > "))
 
 
 @query("b5_neighbor_text", _with(_OUTLINE, _BLOCKS, _PATH, _ANCHOR) + " SELECT doc_id, idx, before, after FROM n0 WHERE type = 'heading'")

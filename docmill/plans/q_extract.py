@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docmill.functions.rules import CORPUS, OLED, PACKS
+from docmill.functions.rules import CORPUS, OLED, PACKS, Metric, RulePack, pack_schema, register_pack
 from docmill.operators import mentions as M
 from docmill.operators import meta as D
 from docmill.plans.registry import query
 
 
+_SQ = "trim(regexp_replace({}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -43,26 +46,28 @@ m AS ({_MENTIONS.replace('FROM documents', 'FROM u')}), e AS (SELECT doc_id, met
 SELECT source, metric, count(*) AS mentions, count(DISTINCT e.doc_id) AS docs FROM e JOIN u USING (doc_id) GROUP BY source, metric""",
 )
 def entry(t):
-    """Distinct documents by fingerprint, their mentions, counted by source and metric, most mentions first."""
-    docs = t("documents")
-    first = docs.groupBy(F.md5(F.encode("text", "UTF-8")).alias("fp")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = docs.join(first, "doc_id", "left_semi")
+    """Distinct documents by fingerprint, their mentions, counted by source and metric, most mentions first.
+
+    Mentions are counted where a text is read; only fingerprints and counts are shuffled, and of each fingerprint the least document stays."""
     text = F.coalesce("text", F.lit(""))
-    cells = F.array(*[F.struct(F.lit(n).alias("metric"), M.metric_values(text, m).alias("v")) for n, m in CORPUS.metrics.items()])
-    found = rows.select("doc_id", "source", F.explode(cells).alias("m")).where(F.size("m.v") > 0)
-    counts = found.groupBy("source", F.col("m.metric").alias("metric")).agg(F.sum(F.size("m.v")).alias("mentions"), F.count_distinct("doc_id").alias("docs"))
+    sizes = F.struct(*[F.size(M.metric_values(text, m)).alias(n) for n, m in CORPUS.metrics.items()])
+    rows = t("documents").select(F.md5(F.encode("text", "UTF-8")).alias("fp"), "doc_id", F.struct("source", sizes.alias("sizes")).alias("d"))
+    first = rows.groupBy("fp").agg(F.min_by("d", "doc_id").alias("d"))
+    cells = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"d.sizes.{n}").alias("n")) for n in CORPUS.metrics])
+    found = first.select("d.source", F.inline(cells)).where("n > 0")
+    counts = found.groupBy("source", "metric").agg(F.sum("n").alias("mentions"), F.count("*").alias("docs"))
     return counts.orderBy(F.col("mentions").desc(), "source", "metric")
 
 
 def _packed(docs):
     """Documents with a measured sentence made of their own ids, so that domain packs have something to find."""
     n = F.col("doc_id")
-    said = F.concat(F.lit(" The device reached an EQE of "), (n % 70 + 1).cast("string"), F.lit(".5 % and PCE of "), (n % 30 + 1).cast("string"), F.lit(" % with capacity of "), (n % 900 + 1).cast("string"), F.lit(" mAh after "), (n % 500 + 2).cast("string"), F.lit(" cycles. Response time was "), (n % 60 + 1).cast("string"), F.lit(" s."))
-    return docs.select("doc_id", F.concat(F.left("text", F.lit(200)), said).alias("text"))
+    said = F.concat(F.lit(" The device reached an EQE of "), (n % 70 + 1).cast("string"), F.lit(".5 % and PCE of "), (n % 30 + 1).cast("string"), F.lit(" % with capacity of "), (n % 900 + 1).cast("string"), F.lit(" mAh/g, 90.5 % after "), (n % 500 + 2).cast("string"), F.lit(" cycles. Linear range 0.5 - "), (n % 40 + 1).cast("string"), F.lit(" mM. Response time was "), (n % 60 + 1).cast("string"), F.lit(" s."))
+    return docs.select("doc_id", F.concat("text", said).alias("text"))
 
 
-_PACKED = "p AS (SELECT doc_id, left(text, 200) || ' The device reached an EQE of ' || (doc_id % 70 + 1) || '.5 % and PCE of ' || (doc_id % 30 + 1) || ' % with capacity of ' || (doc_id % 900 + 1) || ' mAh after ' || (doc_id % 500 + 2) || ' cycles. Response time was ' || (doc_id % 60 + 1) || ' s.' AS text FROM documents)"
-_DOMAIN = [("oled", "eqe"), ("solar_cell", "pce"), ("battery", "capacity"), ("battery", "cycling_stability"), ("sensor", "response_time")]
+_PACKED = "p AS (SELECT doc_id, text || ' The device reached an EQE of ' || (doc_id % 70 + 1) || '.5 % and PCE of ' || (doc_id % 30 + 1) || ' % with capacity of ' || (doc_id % 900 + 1) || ' mAh/g, 90.5 % after ' || (doc_id % 500 + 2) || ' cycles. Linear range 0.5 - ' || (doc_id % 40 + 1) || ' mM. Response time was ' || (doc_id % 60 + 1) || ' s.' AS text FROM documents)"
+_DOMAIN = [("oled", "eqe"), ("solar_cell", "pce"), ("battery", "capacity"), ("battery", "cycling_stability"), ("battery", "energy_density"), ("sensor", "sensitivity"), ("sensor", "detection_limit"), ("sensor", "response_time")]
 
 
 @query("x2_rule_packs", f"WITH {_PACKED}, m AS (" + " UNION ALL ".join(f"SELECT doc_id, '{pk}' AS pack, '{n}' AS metric, {_values('text', PACKS[pk].metrics[n])} AS vals FROM p" for pk, n in _DOMAIN) + ") SELECT doc_id, pack, metric, vals[1] AS value FROM m WHERE len(vals) > 0")
@@ -72,11 +77,27 @@ def _x2(t):
     return docs.select("doc_id", F.inline(cells)).where("value is not null")
 
 
+_CODES = RulePack(metrics={"code": Metric((r"\b([A-Za-z]+[0-9]+)\b",), cap=3), "share": Metric((r"([0-9]+) ?%",), 0, 101, 1, "%")}, signals={"code": 1})
+
+
+@query("e1_register_pack", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS metric, CAST(generate_subscripts({_values('text', m)}, 1) - 1 AS INTEGER) AS pos, unnest({_values('text', m)}) AS value FROM documents" for n, m in _CODES.metrics.items()) + ")")
+def _e1(t):
+    register_pack("codes", _CODES)
+    return M.extract_mentions(t("documents"), PACKS["codes"])
+
+
+@query("e3_pack_schema", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS year, value AS impact_factor, event_type AS label FROM events")
+def _e3(t):
+    """Records of the corpus pack with document fields, read back from JSON by the pack's schema: years and factors are numbers."""
+    schema = pack_schema("corpus", ("year", "impact_factor"))
+    json = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("year"), F.col("value").alias("impact_factor"), F.col("event_type").alias("label")))
+    return t("events").select("event_id", F.from_json(json, schema).alias("r")).select("event_id", "r.year", "r.impact_factor", "r.label")
+
+
 def _first(text, name):
     return f"({_values(text, CORPUS.metrics[name])})[1]"
 
 
-_SQ = "trim(regexp_replace({}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
 _LABEL = "coalesce(" + ", ".join(f"nullif({_SQ.format(f'regexp_extract(s, {_q(p)}, 1)')}, '')" for p in CORPUS.labels) + ")"
 _SIGNAL = " + ".join(f"CASE WHEN len({_values('s', CORPUS.metrics[n])}) > 0 THEN {w} ELSE 0 END" for n, w in CORPUS.signals.items()) + f" + CASE WHEN {_LABEL} IS NOT NULL THEN 1 ELSE 0 END"
 _SEGMENTS = f"""
@@ -151,12 +172,36 @@ def _x9(t):
     return M.evidence_sentences(t("documents"), CORPUS)
 
 
-@query("x10_rank_titles")
+def _sql_count(t: str, pattern: str) -> str:
+    return f"(length({t}) - length(regexp_replace({t}, {_q(pattern)}, '', 'g')))"
+
+
+def _sql_title(line: str) -> str:
+    out = _SQ.format(f"regexp_replace(trim({line}), {_q(chr(94) + r'[#*\-' + chr(92) + 's]+')}, '', 'g')")
+    for pattern in ("^[ \"'`|]+|[ \"'`|]+$", r"(?i)^(?:article )?title\s*[:-]\s*", r"\s*\[[^\]]+\]\s*$", r"(?i)\s*\(\s*(?:article|review|communication)\s*\)\s*$", r"(?i)\s*doi\s*:\s*10\.[^\s]+$", "^[ ,.;]+|[ ,;]+$"):
+        out = f"regexp_replace({out}, {_q(pattern)}, '', 'g')"
+    return out
+
+
+_N_WORDS = "len(list_filter(string_split_regex(title, ' +'), lambda w: w <> ''))"
+_NAMES = r"^(?:[A-Z][a-zA-Z'`-]+(?:\s+[A-Z][a-zA-Z'`-]+){0,2}\s*[,*]?\s*){3,}$"
+_LOW_STOPS = (*D.TITLE_STOPS, r"@|http|www\.|\.pdf$", r"^[a-z]\s*(?:[a-z]\s+){4,}$", r"\b(?:university|college|institute|school|laboratory|department)\b", r"\b(?:figure|table)\s+[0-9]+\b|\b(?:orcid|supporting information)\b")
+_BAD = f"(NOT length(title) BETWEEN 15 AND 300 OR {' OR '.join(f'regexp_matches(lower(title), {_q(p)})' for p in _LOW_STOPS)} OR regexp_matches(title, {_q(_NAMES)}) OR ({_sql_count('title', ',')} >= 3 AND NOT regexp_matches(title, '[:;]')) OR (regexp_matches(lower(title), {_q(chr(92) + r'b(?:j[.]' + chr(92) + 's*[a-z]|adv[.]|nano lett[.]|chem[.])')}) AND {_N_WORDS} <= 6) OR {_sql_count('title', '[0-9]')} > greatest(4, length(title) // 8))"
+_ALPHA, _UPPER = _sql_count("title", r"\p{L}"), _sql_count("title", r"\p{Lu}")
+_TITLE_SCORE = f"(CASE WHEN heading THEN 5 ELSE 0 END + CASE WHEN place = 0 THEN 4 WHEN place <= 2 THEN 2 ELSE 0 END + CASE WHEN {_N_WORDS} BETWEEN 6 AND 28 THEN 4 ELSE 0 END + CASE WHEN length(title) BETWEEN 40 AND 180 THEN 4 ELSE 0 END + CASE WHEN {_ALPHA} >= 20 AND {_ALPHA} * 100 >= length(title) * 45 THEN 3 ELSE 0 END + CASE WHEN {_UPPER} * 100 < greatest({_ALPHA}, 1) * 45 THEN 2 ELSE 0 END + CASE WHEN contains(title, ':') THEN 1 ELSE 0 END + CASE WHEN ends_with(title, '.') THEN -2 ELSE 0 END)"
+_TITLES = f"""l0 AS (SELECT doc_id, string_split(text, chr(10))[1:40] AS v FROM documents), l1 AS (SELECT doc_id, generate_subscripts(v, 1) AS pl, unnest(v) AS line FROM l0),
+l2 AS (SELECT doc_id, pl, starts_with(ltrim(line), '#') AS heading, {_sql_title('line')} AS title FROM l1), l3 AS (SELECT doc_id, heading, title, row_number() OVER (PARTITION BY doc_id ORDER BY pl) - 1 AS place, {_BAD} AS bad FROM l2 WHERE title <> ''),
+b0 AS (SELECT *, sum(CAST(NOT bad AS INT)) OVER (PARTITION BY doc_id ORDER BY place) AS begun FROM l3 WHERE place < 8), b1 AS (SELECT *, max(CAST(bad AND begun > 0 AS INT)) OVER (PARTITION BY doc_id ORDER BY place) AS stop FROM b0),
+b2 AS (SELECT doc_id, row_number() OVER w AS n, string_agg(title, ' ') OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS title, 0 AS place, true AS heading FROM b1 WHERE NOT bad AND stop = 0 WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+blk AS (SELECT doc_id, title, CAST({_TITLE_SCORE} + 2 AS INTEGER) AS score FROM b2 WHERE n <= 3 AND length(title) BETWEEN 20 AND 260 AND NOT {_BAD})"""
+
+
+@query("x10_rank_titles", f"WITH {_TITLES}, s AS (SELECT doc_id, title, CAST({_TITLE_SCORE} AS INTEGER) AS score, place FROM l3 WHERE place < 20 AND NOT bad UNION ALL SELECT doc_id, title, score, -1 FROM blk) SELECT doc_id, title, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place, length(title), title DESC) = 1")
 def _x10(t):
     return D.rank_titles(t("documents").select("doc_id", "text"))
 
 
-@query("x11_title_blocks")
+@query("x11_title_blocks", f"WITH {_TITLES} SELECT * FROM blk")
 def _x11(t):
     return D.title_blocks(D.title_lines(t("documents").select("doc_id", "text"))).select("doc_id", "title", "score")
 
@@ -180,7 +225,7 @@ def _numbered(docs):
     tail = F.concat(F.lpad((n + 7).cast("string"), 4, "3"), F.lit("-"), F.lpad((n % 991).cast("string"), 4, "4"))
     said = F.when(n % 3 == 0, F.concat(F.lit(" Print ISSN "), body, F.lit(" Online ISSN "), tail)).when(n % 3 == 1, F.concat(F.lit(" "), body, F.lit(" and "), tail)).otherwise("")
     said = F.concat(said, F.lit(" (impact factor: "), (n % 40 + 1).cast("string"), F.lit(".5) "), F.when(n % 2 == 0, F.concat(F.lit("in "), (n % 20 + 2005).cast("string"), F.lit(". published "), (n % 20 + 2005).cast("string"))).otherwise(""), F.lit(" end. "))
-    return docs.select("doc_id", F.concat(said, F.left("text", F.lit(100))).alias("text"))
+    return docs.select("doc_id", F.concat(said, "text").alias("text"))
 
 
 _NUMBERED = """n AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 4, '1') || '-' || lpad(CAST(doc_id % 997 AS VARCHAR), 4, '2') AS body, lpad(CAST(doc_id + 7 AS VARCHAR), 4, '3') || '-' || lpad(CAST(doc_id % 991 AS VARCHAR), 4, '4') AS tail,
@@ -212,7 +257,16 @@ def _x16(t):
     return _numbered(t("documents")).select("doc_id", D.value_from_head(F.col("text")).alias("value"))
 
 
-@query("x17_modal_year")
+_YEARS = "list_concat(" * (len(D.YEARS) - 1) + f"regexp_extract_all(h, {_q(D.YEARS[0])}, 1)" + "".join(f", regexp_extract_all(h, {_q(p)}, 1))" for p in D.YEARS[1:])
+
+
+@query(
+    "x17_modal_year",
+    f"""WITH t AS (SELECT o_custkey AS doc_id, string_agg('published ' || (year(o_orderdate) + 18), '; ' ORDER BY o_orderkey) AS text FROM orders GROUP BY 1),
+e AS (SELECT doc_id, 0 AS side, left(text, 3000) AS h FROM t UNION ALL SELECT doc_id, 1, right(text, 3000) FROM t WHERE length(text) > 6000), f AS (SELECT doc_id, side, {_YEARS} AS ys FROM e),
+g AS (SELECT doc_id, side, generate_subscripts(ys, 1) AS i, CAST(unnest(ys) AS INTEGER) AS y FROM f), c AS (SELECT doc_id, y, count(*) AS n, min(side * 100000 + i) AS pl FROM g WHERE y BETWEEN 2010 AND 2026 GROUP BY 1, 2)
+SELECT doc_id, y AS year, n AS times FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pl) = 1""",
+)
 def _x17(t):
     orders = t("orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.year("o_orderdate").alias("y")))), lambda x: F.concat(F.lit("published "), (x["y"] + 18).cast("string"))), "; ").alias("text"))
     return D.modal_year(orders)
@@ -250,5 +304,5 @@ def _p24(t):
 )
 def _p25(t):
     k = F.get_json_object("props", "$.k").cast("int")
-    deep = F.concat(F.lit('{"profile": {"metrics": {"jcr": {"citationReportYear": '), (2020 + k % 5).cast("string"), F.lit(', "jif": '), (k % 100 + 1).cast("string"), F.lit('.5}}}, "indicators": {"jif2022": "'), (k % 50).cast("string"), F.lit('.5", "jif2019": '), (k % 90 + 1).cast("string"), F.lit("}}"))
-    return D.json_value_search(t("events").select("event_id", deep.alias("j")), "event_id", "j", depth=4)
+    deep = F.concat(F.lit('{"profile": {"metrics": {"jcr": {"citationReportYear": '), (2020 + k % 5).cast("string"), F.lit(', "jif": '), (k % 100 + 1).cast("string"), F.lit('.5}}}, "indicators": [{"x": [{"jif2022": "'), (k % 50).cast("string"), F.lit('.5", "jif2019": '), (k % 90 + 1).cast("string"), F.lit("}]}]}"))
+    return D.json_value_search(t("events").select("event_id", deep.alias("j")), "event_id", "j")

@@ -60,9 +60,9 @@ def _j3(t):
     return R.resolve_entities(keys, dims, t("customer"), "c_custkey", "n_nationkey")
 
 
-@query("j4_select_candidate", "SELECT s_suppkey, p_partkey, 'brand_selected' AS method FROM supplier JOIN part ON s_suppkey % 25 = p_partkey % 25 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY p_partkey % 40 <> s_suppkey % 40, p_partkey) = 1")
+@query("j4_select_candidate", "SELECT s_suppkey, p_partkey, 'brand_selected' AS method FROM (SELECT DISTINCT l_suppkey AS s_suppkey, l_partkey AS p_partkey FROM lineitem) QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY p_partkey % 40 <> s_suppkey % 40, p_partkey) = 1")
 def _j4(t):
-    pairs = t("supplier").join(t("part"), F.col("s_suppkey") % 25 == F.col("p_partkey") % 25)
+    pairs = t("lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey")).distinct()
     pairs = pairs.select("s_suppkey", "p_partkey", F.concat(F.lit("Name & "), (F.col("s_suppkey") % 40).cast("string")).alias("ours"), F.concat(F.lit("name and "), (F.col("p_partkey") % 40).cast("string")).alias("title"), F.lit("brand").alias("method"))
     return R.select_candidate(pairs, "s_suppkey", "ours", "title", "p_partkey").select("s_suppkey", "p_partkey", "method")
 
@@ -118,10 +118,10 @@ _RANKED = """r AS (SELECT l_partkey AS entity, CASE l_suppkey % 6 WHEN 0 THEN 'L
  'http://x/' || l_orderkey AS url, CASE WHEN l_suppkey % 6 = 0 THEN 'primary' ELSE 'secondary' END AS role, l_orderkey, l_linenumber FROM lineitem)"""
 
 
-@query("a11_merge_sources", f"WITH {_RANKED}, f AS (SELECT entity, source, min(p) AS p FROM r GROUP BY entity, source), n AS (SELECT entity, string_agg(source, '+' ORDER BY p, source) AS sources FROM f GROUP BY entity), u AS (SELECT entity, url, year FROM r QUALIFY row_number() OVER (PARTITION BY entity ORDER BY p, source, l_orderkey, l_linenumber, url, year) = 1) SELECT entity, sources, url FROM n JOIN u USING (entity)")
+@query("a11_merge_sources", f"WITH {_RANKED}, f AS (SELECT entity, source, min(p) AS p FROM r GROUP BY entity, source), n AS (SELECT entity, string_agg(source, '+' ORDER BY p, source) AS sources FROM f GROUP BY entity), u AS (SELECT entity, url, year FROM r QUALIFY row_number() OVER (PARTITION BY entity ORDER BY p, source, l_orderkey, l_linenumber, url, year) = 1) SELECT entity, sources, url, year FROM n JOIN u USING (entity)")
 def _a11(t):
     rows = _ranked(t).withColumn("p", C.source_priority(F.col("source")))
-    return C.merge_sources(rows, "p", "source", "l_orderkey", "l_linenumber").select("entity", "sources", "url")
+    return C.merge_sources(rows, "p", "source", "l_orderkey", "l_linenumber").select("entity", "sources", "url", "year")
 
 
 _DECIDE = f"""WITH {_RANKED}, u AS (SELECT * FROM r WHERE status = 'OK'), pri AS (SELECT entity, value AS pv FROM u WHERE role = 'primary' QUALIFY row_number() OVER (PARTITION BY entity ORDER BY p, source, value) = 1),
@@ -133,9 +133,10 @@ au AS (SELECT entity, value AS auth FROM au0 QUALIFY row_number() OVER (PARTITIO
 nr AS (SELECT entity, count(*) FILTER (abs(value - pv) <= 0.6) AS near FROM sec JOIN pri USING (entity) GROUP BY entity), ns AS (SELECT entity, count(*) AS n_second FROM sec GROUP BY entity),
 st AS (SELECT entity, value, status FROM r QUALIFY row_number() OVER (PARTITION BY entity ORDER BY status <> 'OK', p, -year, -value) = 1),
 x AS (SELECT st.*, pv, auth, anyv, n_second, CASE WHEN pv IS NOT NULL AND coalesce(near, 0) > 0 THEN 1 WHEN pv IS NOT NULL AND auth IS NOT NULL THEN 2 WHEN pv IS NOT NULL AND anyv IS NOT NULL THEN 3 WHEN pv IS NOT NULL THEN 4 WHEN anyv IS NOT NULL THEN 5 ELSE 6 END AS rule
- FROM st LEFT JOIN pri USING (entity) LEFT JOIN au USING (entity) LEFT JOIN an USING (entity) LEFT JOIN nr USING (entity) LEFT JOIN ns USING (entity))
-SELECT entity, rule, CASE WHEN rule IN (1, 4) THEN pv WHEN rule = 2 THEN auth WHEN rule IN (3, 5) THEN anyv ELSE value END AS value, CASE WHEN rule = 1 THEN 'OK_VALIDATED' WHEN rule IN (2, 3) THEN 'OK_VALIDATED_SECONDARY' WHEN rule = 4 AND coalesce(n_second, 0) > 0 THEN 'OK_PRIMARY_UNCONFIRMED'
- WHEN rule = 4 THEN 'OK_PRIMARY_ONLY' WHEN rule = 5 THEN 'OK_SECONDARY_VALIDATED' ELSE status END AS status FROM x"""
+ FROM st LEFT JOIN pri USING (entity) LEFT JOIN au USING (entity) LEFT JOIN an USING (entity) LEFT JOIN nr USING (entity) LEFT JOIN ns USING (entity)),
+dec AS (SELECT entity, rule, CASE WHEN rule IN (1, 4) THEN pv WHEN rule = 2 THEN auth WHEN rule IN (3, 5) THEN anyv ELSE value END AS value, CASE WHEN rule = 1 THEN 'OK_VALIDATED' WHEN rule IN (2, 3) THEN 'OK_VALIDATED_SECONDARY' WHEN rule = 4 AND coalesce(n_second, 0) > 0 THEN 'OK_PRIMARY_UNCONFIRMED'
+ WHEN rule = 4 THEN 'OK_PRIMARY_ONLY' WHEN rule = 5 THEN 'OK_SECONDARY_VALIDATED' ELSE status END AS status FROM x), ns1 AS (SELECT entity, u.source, min(u.value <> dec.value) AS other, min(u.p) AS p FROM u JOIN dec USING (entity) WHERE abs(u.value - dec.value) <= 0.6 GROUP BY ALL),
+ns2 AS (SELECT entity, string_agg(source, '+' ORDER BY other, p, source) AS sources FROM ns1 GROUP BY entity) SELECT dec.*, sources FROM dec LEFT JOIN ns2 USING (entity)"""
 
 
 @query("a12_decide_value", _DECIDE)
@@ -195,12 +196,12 @@ def _j10(t):
 
 @query(
     "j9_apply_corrections",
-    """WITH f AS (SELECT o_custkey AS c_custkey, o_orderpriority AS seg, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS bal FROM orders WHERE o_orderkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
-SELECT c_custkey, coalesce(CASE WHEN f.c_custkey IS NOT NULL AND seg <> '5-LOW' THEN seg END, c_mktsegment) AS c_mktsegment, coalesce(bal, c_acctbal) AS c_acctbal, f.c_custkey IS NOT NULL AS corrected FROM customer LEFT JOIN f USING (c_custkey)""",
+    """WITH f AS (SELECT o_custkey AS c_custkey, o_orderpriority AS seg, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS bal, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
+SELECT c_custkey, coalesce(CASE WHEN f.c_custkey IS NOT NULL AND seg <> '5-LOW' THEN seg END, c_mktsegment) AS c_mktsegment, coalesce(bal, c_acctbal) AS c_acctbal, f.c_custkey IS NOT NULL AS corrected, o_orderkey AS corrected_at, coalesce(n, 0) AS corrections FROM customer LEFT JOIN f USING (c_custkey)""",
 )
 def _j9(t):
     feedback = t("orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.when(F.col("o_orderpriority") == "5-LOW", "  ").otherwise(F.col("o_orderpriority")).alias("c_mktsegment"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")).alias("c_acctbal"))
-    return R.apply_corrections(t("customer"), feedback, "c_custkey", "o_orderkey", ["c_mktsegment"], ["c_acctbal"]).select("c_custkey", "c_mktsegment", "c_acctbal", "corrected")
+    return R.apply_corrections(t("customer"), feedback, "c_custkey", "o_orderkey", ["c_mktsegment"], ["c_acctbal"]).select("c_custkey", "c_mktsegment", "c_acctbal", "corrected", "corrected_at", "corrections")
 
 
 @query("j11_backfill", "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, url) AS lang, CASE WHEN page_id * 10 BETWEEN 1900 AND 2100 THEN CAST(page_id * 10 AS INTEGER) END AS year FROM documents LEFT JOIN pages ON doc_id = page_id")
@@ -226,6 +227,20 @@ def _a2(t):
     return Q.noisy_ratio(t("documents"), "text", _BOILER)
 
 
+@query("a2_noisy_examples", "SELECT doc_id, text FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{w}')" for w in _BOILER) + " ORDER BY doc_id LIMIT 5")
+def _a2e(t):
+    return Q.noisy_examples(t("documents"), "doc_id", "text", _BOILER)
+
+
+@query("a12_provenance", """WITH x AS (SELECT o_orderkey AS k, o_custkey % 5 AS a, o_custkey % 3 AS b FROM orders) SELECT k, CASE WHEN k % 4 = 0 THEN 'LETPUB+WOS' WHEN a = b THEN CASE WHEN k % 2 = 1 THEN 'LETPUB+MJL' ELSE 'LETPUB+WOS+MJL' END ELSE CASE WHEN k % 2 = 1 THEN 'LETPUB+MJL' ELSE 'WOS+MJL' END END AS sources,
+CASE WHEN k % 3 = 0 THEN 'old' ELSE 'new' || k END AS url, CASE WHEN k % 4 = 0 THEN 2020 ELSE 2023 END AS year FROM (SELECT *, k % 2 FROM x)""")
+def _a12p(t):
+    k, a, b = F.col("o_orderkey"), F.col("o_custkey") % 5, F.col("o_custkey") % 3
+    found = F.when(k % 2 == 1, "LETPUB+MJL").otherwise("WOS+MJL"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("new"), k.cast("string"))), F.lit(2023)
+    sources, url, year = C.apply_provenance(a.cast("double"), b.cast("double"), F.when(k % 4 == 0, "NO_MATCH").otherwise("OK_VALIDATED"), (F.when((k % 4 != 0) & (k % 2 == 1), "LETPUB").otherwise("LETPUB+WOS"), F.lit("old"), F.lit(2020)), found)
+    return t("orders").select(k.alias("k"), sources.alias("sources"), url.alias("url"), year.alias("year"))
+
+
 @query("a7_collapse_records", "SELECT l_orderkey, string_agg('[' || l_partkey || '] ' || l_returnflag, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS l_returnflag, coalesce(string_agg(CASE WHEN l_linestatus = 'O' THEN '[' || l_partkey || '] ' || l_linestatus END, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey), '') AS open FROM lineitem GROUP BY 1")
 def _a7(t):
     rows = t("lineitem").withColumn("open", F.when(F.col("l_linestatus") == "O", F.col("l_linestatus")))

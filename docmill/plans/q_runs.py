@@ -11,6 +11,7 @@ from docmill.functions.rules import CORPUS
 from docmill.functions.text import fingerprint
 from docmill.operators import mentions as M
 from docmill.operators import runs as R
+from docmill.plans.q_extract import _values
 from docmill.plans.registry import query
 from docmill.sources import files as S
 from docmill.streaming import streams as T
@@ -26,10 +27,10 @@ def _shared(df: DataFrame) -> str:
     return f"{root or tempfile.gettempdir()}/docmill-{uuid.uuid4().hex}"
 
 
-@query("a3_run_stats", "SELECT user_id % 20 AS run, count(*) AS total, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS error, (list(event_id ORDER BY event_id) FILTER (event_type = 'error'))[1:5] AS error_items FROM events GROUP BY 1")
+@query("a3_run_stats", "SELECT user_id % 20 AS run, count(*) AS total, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_id % 7 = 0) AS renamed, (list(event_id ORDER BY event_id) FILTER (event_type <> 'error'))[1:5] AS success_items, (list(event_id ORDER BY event_id) FILTER (event_type = 'error'))[1:5] AS error_items FROM events GROUP BY 1")
 def _a3(t):
     rows = t("events").select((F.col("user_id") % 20).alias("run"), F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"), "event_id")
-    return R.run_stats(rows, "run", F.col("status"), "event_id", 5)
+    return R.run_stats(rows, "run", F.col("status"), "event_id", F.col("event_id") % 7 == 0, 5)
 
 
 _GROUPS = (("credential", ("license", "rights"), "check rights"), ("network", ("http", "www."), "check links"), ("parser", ("###", "!!"), "check marks"), ("file", ("0", "1"), "check numbers"))
@@ -81,14 +82,16 @@ def _o5(t):
     return R.chunk(t("documents"), 8, "doc_id", within="source").select("source", "chunk", "doc_id")
 
 
-@query("s1_scan_corpus", "SELECT lang || '-' || source AS folder, count(*) AS lines, md5(string_agg(text, chr(10) ORDER BY text)) AS digest FROM (SELECT lang, source, replace(left(text, 40), chr(10), ' ') AS text FROM documents WHERE lang <> 'fr') GROUP BY 1")
+@query("s1_scan_corpus", "SELECT lang || '-' || source AS folder, count(*) AS lines, sum(length(text)) AS chars, min(md5(text)) AS low, max(md5(text)) AS high FROM (SELECT lang, source, translate(text, chr(10) || chr(13), '  ') AS text FROM documents WHERE lang <> 'fr') GROUP BY 1")
 def _s1(t):
-    docs = t("documents").select("lang", "source", F.translate(F.left("text", F.lit(40)), "\n", " ").alias("value"))
+    """Whole texts, a line each, in many files a folder, so that a hot folder is no single task's; what is read is summed up a line at a time."""
+    docs = t("documents").select("lang", "source", F.translate("text", "\n\r", "  ").alias("value"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"))
     path = _shared(docs)
-    docs.repartition("lang", "source").select("value", "lang", "source").write.partitionBy("lang", "source").text(path)
+    docs.repartition("lang", "source", "part").select("value", "lang", "source").write.partitionBy("lang", "source").text(path)
     found = S.scan_corpus(docs.sparkSession, path, "part-*", exclude=["lang=fr"])
-    lines = found.select(F.regexp_extract("path", "lang=([^/]*)/source=([^/]*)/", 1).alias("l"), F.regexp_extract("path", "lang=([^/]*)/source=([^/]*)/", 2).alias("s"), F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("line"))
-    return lines.groupBy(F.concat("l", F.lit("-"), "s").alias("folder")).agg(F.count("*").alias("lines"), F.md5(F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("digest"))
+    folder = F.concat(F.regexp_extract("path", "lang=([^/]*)/source=([^/]*)/", 1), F.lit("-"), F.regexp_extract("path", "lang=([^/]*)/source=([^/]*)/", 2)).alias("folder")
+    lines = found.select(folder, F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("line"))
+    return lines.groupBy("folder").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"), F.min(F.md5("line")).alias("low"), F.max(F.md5("line")).alias("high"))
 
 
 def _store(t):
@@ -120,13 +123,15 @@ def _s5(t):
     return S.read_csv(rows.sparkSession, path, rows.schema).select("conv_id", "turn", F.md5("text").alias("digest"))
 
 
-@query("s3_read_tables_csv", "SELECT n_regionkey AS caption, count(*) AS n, string_agg(n_name, '|' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
+@query("s3_read_tables_csv", "SELECT p_partkey % 100 AS caption, count(*) AS n, sum(p_retailprice) AS price, min(p_name) AS low, max(p_type) AS high FROM part GROUP BY 1")
 def _s3(t):
-    rows = t("nation").withColumn("part", F.col("n_regionkey"))
+    rows = t("part").select((F.col("p_partkey") % 100).alias("part"), "p_partkey", "p_name", "p_type", "p_retailprice")
     path = _shared(rows)
-    rows.repartition("part").sortWithinPartitions("n_nationkey").select("part", "n_nationkey", "n_name", "n_regionkey").write.partitionBy("part").option("header", True).csv(path)
-    cells = S.read_tables_csv(rows.sparkSession, path).select(F.col("cells")[2].cast("int").alias("caption"), F.col("cells")[0].cast("int").alias("k"), F.col("cells")[1].alias("name"))
-    return cells.groupBy("caption").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]), "|").alias("names"))
+    rows.repartition("part").write.partitionBy("part").option("header", True).csv(path)
+    cells = S.read_tables_csv(rows.sparkSession, path).select("header", "cells")
+    at = lambda name: F.element_at("cells", F.array_position("header", name).cast("int"))
+    rows = cells.select((at("p_partkey").cast("long") % 100).alias("caption"), at("p_retailprice").cast("double").alias("price"), at("p_name").alias("name"), at("p_type").alias("kind"))
+    return rows.groupBy("caption").agg(F.count("*").alias("n"), F.sum("price").alias("price"), F.min("name").alias("low"), F.max("kind").alias("high"))
 
 
 def _run_log(t):
@@ -160,7 +165,7 @@ def _s9(t):
     return fine.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(bad).select("name", "reject_reason")
 
 
-@query("t1_ingest_stream", None)
+@query("t1_ingest_stream", f"WITH v AS (SELECT md5(text) AS fingerprint, {_values('text', CORPUS.metrics['number'])} AS vals FROM documents) SELECT fingerprint, CAST(min(len(vals)) AS BIGINT) AS n FROM v GROUP BY 1")
 def _t1(t):
     docs = t("documents")
     spark, path = docs.sparkSession, _shared(docs)
@@ -183,18 +188,29 @@ def _t2(t):
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n", F.round("total", 4).alias("total"))
 
 
-@query("t2_progress_stream", None)
+@query("t2_progress_stream", "SELECT date_trunc('day', ts) AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def _t2s(t):
+    """Only what the stream has written: a late event of no kind moves the watermark past all windows, which closes them."""
     events = t("events")
     spark, path = events.sparkSession, _shared(events)
-    events.repartition(4).write.parquet(f"{path}/in")
-    counts = T.progress_counts(T.stream_table(spark, f"{path}/in", events.schema), late="40 days")
-    out = counts.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    out.awaitTermination()
-    # windows that the watermark has not closed are still open; the table's own counts complete them
+    late = events.agg(F.max("ts").alias("ts")).select(*[(F.col("ts") + F.expr("INTERVAL 100 DAYS") if c == "ts" else F.lit(None)).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+    for rows in (events.repartition(4), late):
+        rows.write.mode("append").parquet(f"{path}/in")
+        counts = T.progress_counts(T.stream_table(spark, f"{path}/in", events.schema, files_at_once=10_000), late="1 day")
+        counts.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     closed = spark.read.schema(counts.schema).parquet(f"{path}/out")
-    still = T.progress_counts(events).join(closed, ["start", "kind"], "left_anti")
-    return closed.unionByName(still).select("start", "kind", "n")
+    return closed.select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n", F.round("total", 4).alias("total"))
+
+
+@query("t3_latest_stream", "SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-19' AND ts <= TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def _t3s(t):
+    rows = t("events").where("ts <= timestamp_ntz'2024-01-20'").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    spark, path = rows.sparkSession, _shared(rows)
+    rows.repartition(4).write.parquet(f"{path}/in")
+    store = S.ResultStore(spark, f"{path}/store", rows.drop("user_id").schema)
+    T.latest_stream(T.stream_table(spark, f"{path}/in", rows.schema, files_at_once=1), "user_id", "ts", store, f"{path}/checkpoint").awaitTermination()
+    alive = T.ttl_lookup(store.read().drop("stored_at"), "fingerprint", "ts", F.lit("2024-01-20").cast("timestamp"))
+    return alive.select(F.col("fingerprint").alias("user_id"), "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("t3_ttl_lookup", "SELECT user_id, max(event_id) AS event_id, max(ts) AS ts FROM (SELECT * FROM events WHERE ts > TIMESTAMP '2024-01-19' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) GROUP BY 1")

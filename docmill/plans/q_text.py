@@ -179,7 +179,7 @@ def _p17(t):
 @query("p18_parse_json_responses", "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events")
 def _p18(t):
     p, i = F.col("props"), F.col("event_id") % 4
-    answer = F.when(i == 0, p).when(i == 1, F.concat(F.lit("Here:\n```json\n"), p, F.lit("\n```\nDone"))).when(i == 2, F.concat(F.lit("I found "), p, F.lit(" in it"))).otherwise("none")
+    answer = F.when(i == 0, p).when(i == 1, F.concat(F.lit("Draft:\n```json\n{not json}\n```\nHere:\n```json\n"), p, F.lit("\n```\nDone"))).when(i == 2, F.concat(F.lit("I found "), p, F.lit(" in it"))).otherwise("none")
     return t("events").select("event_id", F.get_json_object(R.parse_json_responses(answer), "$.k").cast("int").alias("k"))
 
 
@@ -218,17 +218,14 @@ def _p23(t):
     return t("pages").select("page_id", R.relevance_score(rules).alias("score"))
 
 
-@query("o1_sort_report", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN p_partkey % 5 > 0 THEN p_retailprice END, 0.0) DESC, p_partkey) AS INTEGER) AS place FROM part QUALIFY place <= 100")
+@query("o1_sort_report", "SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN p_retailprice END AS v FROM part ORDER BY coalesce(v, 0.0) DESC, p_partkey")
 def _o1(t):
-    top = R.sort_report(t("part").withColumn("v", F.when(F.col("p_partkey") % 5 > 0, F.col("p_retailprice"))), "v", "p_partkey").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("v", F.lit(0.0)).desc(), "p_partkey"))).select("p_partkey", "place")
+    return R.sort_report(t("part").select("p_partkey", F.when(F.col("p_partkey") % 5 > 0, F.col("p_retailprice")).alias("v")), "v", "p_partkey")
 
 
-@query("o2_sort_table", "SELECT * FROM (SELECT s_suppkey, 'number' AS kind FROM supplier ORDER BY CASE WHEN s_suppkey % 7 > 0 THEN s_acctbal END DESC NULLS FIRST, s_suppkey LIMIT 50) UNION ALL SELECT * FROM (SELECT s_suppkey, 'text' AS kind FROM supplier ORDER BY lower(coalesce(s_name, '')), s_suppkey LIMIT 20)")
+@query("o2_sort_table", "SELECT s_suppkey, CASE WHEN s_suppkey % 7 > 0 THEN s_acctbal END AS v FROM supplier ORDER BY v DESC NULLS FIRST, s_suppkey")
 def _o2(t):
-    rows = t("supplier").withColumn("v", F.when(F.col("s_suppkey") % 7 > 0, F.col("s_acctbal")))
-    number = R.sort_table(rows, "v", True, "s_suppkey").limit(50).select("s_suppkey", F.lit("number").alias("kind"))
-    return number.unionByName(R.sort_table(rows, "s_name", False, "s_suppkey").limit(20).select("s_suppkey", F.lit("text").alias("kind")))
+    return R.sort_table(t("supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 > 0, F.col("s_acctbal")).alias("v")), "v", True, "s_suppkey")
 
 
 @query("u1_union_results_errors", "SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS value, CASE WHEN event_type = 'error' THEN props END AS message FROM events")
@@ -243,9 +240,9 @@ def _u3(t):
     return t("conversations").groupBy("conv_id").agg(F.array_join(F.array_distinct(ordered), ",").alias("roles"))
 
 
-@query("u4_difference", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("u4_difference", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000)")
 def _u4(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t("customer").join(t("orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("w1_keep_first", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")

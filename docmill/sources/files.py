@@ -39,7 +39,7 @@ def read_tables_csv(spark: SparkSession, path: str) -> DataFrame:
     plain = F.transform(raw, lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(F.trim(c)))
     rows = lines.select("path", "caption", "pos", plain.alias("cells"))
     header = rows.where("pos = 0").select("path", F.col("cells").alias("header"))
-    return rows.where("pos > 0").join(header, "path").select("path", "caption", "pos", "header", "cells")
+    return rows.where("pos > 0").join(header.hint("merge"), "path").select("path", "caption", "pos", "header", "cells")
 
 
 def write_json(results: DataFrame, path: str) -> None:
@@ -66,10 +66,16 @@ def write_errors(errors: DataFrame, path: str) -> None:
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Run events, one JSON object a line; lines that are none are left out."""
+    """Run events, one JSON object a line; lines that are none are left out (see malformed_lines)."""
     return spark.read.schema(RUN_EVENT).option("mode", "DROPMALFORMED").json(path)
 
 
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of a run log that are no JSON objects, as read_run_log leaves out; count them before trusting a log."""
+    rows = spark.read.text(path).select(F.col("value").alias("line"))
+    return rows.where((F.trim("line") != "") & ~F.coalesce(F.get_json_object("line", "$").startswith("{"), F.lit(False)))
+
+
 class ResultStore:
     """One result for each content fingerprint; the latest counts. Appending is one write, reading one aggregation."""
 
@@ -81,14 +87,20 @@ class ResultStore:
         rows = results.withColumn("stored_at", F.current_timestamp() if at is None else at)
         rows.select(*self.schema.names).write.mode("append").parquet(self.path)
 
-    def read(self) -> DataFrame:
+    def _rows(self) -> DataFrame:
         try:
-            rows = self.spark.read.schema(self.schema).parquet(self.path)
+            return self.spark.read.schema(self.schema).parquet(self.path)
         except Exception as e:  # nothing stored yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], self.schema)
-        return latest_by_key(rows, "fingerprint", "stored_at")
+
+    def read(self) -> DataFrame:
+        return latest_by_key(self._rows(), "fingerprint", "stored_at")
+
+    def keys(self) -> DataFrame:
+        """The fingerprints that are stored, each as often as it is; reads one column and aggregates nothing."""
+        return self._rows().select("fingerprint")
 
 
 def latest_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -24,8 +24,10 @@ def ingest_stream(docs: DataFrame, extract: Callable[[DataFrame], DataFrame], st
     extract gives rows with the store's columns, fingerprint among them. A batch that runs again finds its own fingerprints stored."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        fresh = rows.withColumn("fingerprint", fingerprint("text")).dropDuplicates(["fingerprint"])
-        store.append(extract(pending(fresh, store.read())))
+        new = pending(rows.withColumn("fingerprint", fingerprint("text")), store.keys())
+        # rows of one fingerprint have one text; of their other columns the least count
+        rest = [c for c in new.columns if c != "fingerprint"]
+        store.append(extract(new.groupBy("fingerprint").agg(F.min(F.struct(*rest)).alias("r")).select("fingerprint", "r.*")))
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -46,6 +48,18 @@ def ttl_lookup(observations: DataFrame, key: str, ts: str, now: Column, seconds:
     return latest.select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def latest_stream(observations: DataFrame, key: str, ts: str, store: ResultStore, checkpoint: str) -> StreamingQuery:
+    """T3 on a stream: each batch appends the latest observation of each of its keys to the store, whose reading takes the latest of all; ttl_lookup()
+    on what is read says which are alive. The store's schema holds the observations' columns but the key, which is its fingerprint."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        rest = [c for c in rows.columns if c != key]
+        latest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(ts, *[c for c in rest if c != ts])).alias("r"))
+        store.append(latest.select(F.col(key).cast("string").alias("fingerprint"), "r.*"), F.col(ts).cast("timestamp"))
+
+    return observations.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def distinct_stream(docs: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
     """T1, in the stream: the first document of each fingerprint within the watermark."""
     rows = docs.withColumn("__ts", F.col(ts).cast("timestamp")).withColumn("fingerprint", fingerprint("text"))

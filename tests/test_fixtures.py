@@ -162,7 +162,7 @@ def test_facets(spark, words, numbers, n):
 
 def test_json_values(spark):
     rows = [(1, '{"journalProfile":{"metrics":{"jcr":{"citationReportYear":2024,"jif":50.5}}}}'), (2, '{"journalProfile":{"indicators":{"jif2024":"49.9","jif2023":"47.1"}}}'), (3, '{"a": 1}')]
-    got = {r.id: (r.year, r.value) for r in meta.json_value_search(spark.createDataFrame(rows, "id long, j string"), "id", "j", depth=4).collect()}
+    got = {r.id: (r.year, r.value) for r in meta.json_value_search(spark.createDataFrame(rows, "id long, j string"), "id", "j").collect()}
     assert got == {1: (2024, 50.5), 2: (2024, 49.9)}
 
 
