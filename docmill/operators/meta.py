@@ -92,10 +92,12 @@ def title_score(t: Column, place: Column, heading: Column) -> Column:
 
 
 def title_lines(docs: DataFrame, most: int = 40) -> DataFrame:
-    """(doc_id, lines): the first lines as an array of (title, heading, bad), cleaned, blank ones left out. All of a document stays in its row."""
+    """(doc_id, lines): the first lines as an array of (title, heading, bad), cleaned, blank ones left out. All of a document stays in its row; the
+    array is exploded out of an array of one, so that what uses it several times does not work it out several times."""
     cleaned = F.transform(F.slice(F.split("text", "\n"), 1, most), lambda line: F.struct(normalize_title(line).alias("title"), F.ltrim(line).startswith("#").alias("heading")))
     rows = docs.select("doc_id", F.filter(cleaned, lambda x: x["title"] != "").alias("lines"))
-    return rows.select("doc_id", F.transform("lines", lambda x: F.struct(x["title"], x["heading"], bad_title(x["title"]).alias("bad"))).alias("lines"))
+    judged = F.transform("lines", lambda x: F.struct(x["title"], x["heading"], bad_title(x["title"]).alias("bad")))
+    return rows.select("doc_id", F.explode(F.array(judged)).alias("lines"))
 
 
 def _scored(title: Column, score: Column, place: Column) -> Column:
@@ -126,8 +128,8 @@ def rank_titles(docs: DataFrame, with_blocks: bool = True) -> DataFrame:
     single = F.transform(F.filter(F.slice(numbered, 1, 20), lambda x: ~x["bad"]), lambda x: _scored(x["title"], title_score(x["title"], x["place"], x["heading"]), x["place"]))
     every = F.concat(single, _blocks(F.col("lines"))) if with_blocks else single
     order = F.transform(F.filter(every, lambda x: x["score"] > 0), lambda x: F.struct(x["score"], (-x["place"]).alias("early"), (-F.length(x["title"])).alias("short"), x["title"]))
-    best = title_lines(docs).select("doc_id", F.array_max(order).alias("b"))
-    return best.where("b is not null").select("doc_id", "b.title", "b.score")
+    # at most one element; a filter on it would work the arrays out a second time
+    return title_lines(docs).select("doc_id", F.inline(F.array_compact(F.array(F.array_max(order))))).select("doc_id", "title", "score")
 
 
 def author_candidates(text: Column, known: Column | None = None, most: int = 10) -> Column:
