@@ -62,7 +62,7 @@ def bad_title(t: Column) -> Column:
         or_,
         [
             ~F.length(t).between(15, 300),
-            *[low.rlike(p) for p in TITLE_STOPS],
+            low.rlike("|".join(f"(?:{p})" for p in TITLE_STOPS)),
             low.rlike(r"@|http|www\.|\.pdf$"),
             low.rlike(r"^[a-z]\s*(?:[a-z]\s+){4,}$"),
             low.rlike(r"\b(?:university|college|institute|school|laboratory|department)\b"),
@@ -92,10 +92,10 @@ def title_score(t: Column, place: Column, heading: Column) -> Column:
 
 
 def title_lines(docs: DataFrame, most: int = 40) -> DataFrame:
-    """(doc_id, lines): the first lines as an array of (title, heading, bad), cleaned, blank ones left out. All of a document stays in its row; the
+    """(doc_id, lines): the first 20 that are not blank of the first lines, cleaned, as an array of (title, heading, bad). All of a document stays in its row; the
     array is exploded out of an array of one, so that what uses it several times does not work it out several times."""
     cleaned = F.transform(F.slice(F.split("text", "\n"), 1, most), lambda line: F.struct(normalize_title(line).alias("title"), F.ltrim(line).startswith("#").alias("heading")))
-    rows = docs.select("doc_id", F.filter(cleaned, lambda x: x["title"] != "").alias("lines"))
+    rows = docs.select("doc_id", F.slice(F.filter(cleaned, lambda x: x["title"] != ""), 1, 20).alias("lines"))
     judged = F.transform("lines", lambda x: F.struct(x["title"], x["heading"], bad_title(x["title"]).alias("bad")))
     return rows.select("doc_id", F.explode(F.array(judged)).alias("lines"))
 
