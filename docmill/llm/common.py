@@ -70,17 +70,23 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def by_bytes(b: pa.RecordBatch, text: int, most: int = 16 << 20):
-    """The batch in pieces whose texts (column number text) hold about ``most`` bytes; a longer text is a piece of its own."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def pieces_of(text: pa.Array, most: int):
+    """(first, rows) of pieces of an array of texts that hold about ``most`` bytes; a longer text is a piece of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
-    while at < b.num_rows:
+    while at < len(ends):
         before = ends[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield b.slice(at, stop - at)
+        yield at, stop - at
         at = stop
 
 
+def by_bytes(b: pa.RecordBatch, text: int, most: int = 8 << 20):
+    """The batch in pieces_of() its texts, column number text."""
+    for first, rows in pieces_of(b.column(text), most):
+        yield b.slice(first, rows)
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -35,7 +35,7 @@ SIGMAS = 5
 TILE = 2048
 #: Least shingle hashes of a text that a tile holds.
 SKETCH = 1024
-_HELD_SHINGLES = 4_000_000
+_HELD_SHINGLES = 1_000_000
 
 
 class Bands:
@@ -98,7 +98,7 @@ def signed(text: DataFrame, shingle: int, law: Bands) -> DataFrame:
     schema = pa.schema([("__th", pa.int64()), ("fp", pa.int64()), ("buckets", pa.list_(pa.int64()))])
 
     def sign(batches):
-        for b in (part for whole in batches for part in by_bytes(whole, 1)):
+        for b in (part for whole in batches for part in by_bytes(whole, 1, 4 << 20)):
             prints, found = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, law.bands), np.uint64)
             for i, t in enumerate(texts(b.column(1))):
                 hashes = shingle_hashes(t, shingle)
@@ -115,7 +115,7 @@ def sketched(text: DataFrame, shingle: int, law: Bands) -> DataFrame:
     schema = pa.schema([("__th", pa.int64()), ("sig", pa.binary()), ("sketch", pa.binary()), ("n", pa.int64())])
 
     def sketch(batches):
-        for b in (part for whole in batches for part in by_bytes(whole, 1)):
+        for b in (part for whole in batches for part in by_bytes(whole, 1, 4 << 20)):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in texts(b.column(1))]
             yield batch(schema, b.column(0), [law.sign(h)[1] for h in sets], [h[:SKETCH].tobytes() for h in sets], [len(h) for h in sets])
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import batch, mix64, named, stored, texts, unpacked
+from docmill.llm.common import batch, by_bytes, mix64, named, pieces_of, stored, texts, unpacked
 
 SAMPLE = 8000
 GRADES = 4
@@ -38,7 +38,7 @@ SIGNIFICANT = 14.0
 REJECT = 0.3
 #: Least distance of neighbouring thresholds.
 LEAST_GAP = 1e-3
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 100_000
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
@@ -243,7 +243,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
     def rate(batches):
         cache: dict = {}
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, 1, 4 << 20)):
             done = [_severity(model, t, cache) for t in texts(b.column(1))]
             yield batch(schema, b.column(0), [x[0] for x in done], [x[1] for x in done], [x[2] for x in done], [x[1] >= REJECT for x in done])
 
@@ -259,6 +259,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     def keep(batches):
         cache: dict = {}
         for b in batches:
-            yield b.filter(pa.array([_severity(model, t, cache)[1] < REJECT for t in texts(b.column(0).field(at).cast(pa.string()))], pa.bool_()))
+            text = b.column(0).field(at).cast(pa.string())
+            for first, n in pieces_of(text, 4 << 20):
+                yield b.slice(first, n).filter(pa.array([_severity(model, t, cache)[1] < REJECT for t in texts(text.slice(first, n))], pa.bool_()))
 
     return unpacked(rows.mapInArrow(keep, rows.schema))
