@@ -24,9 +24,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Where the session sets no bytes of an Arrow batch: these. Ten thousand rows of long texts, the limit that Spark has by itself, fill a task's memory.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: cuts lineage, gives true sizes, survives lost executors."""
     spark = df.sparkSession
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
     path = f"{scratch_dir(spark)}/docmill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm.common import batch, by_bytes, sliced, stored
 
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 150_000
 _PIECES = "task long, cls int, nth long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
 _PIECES_ARROW = pa.schema([(n, pa.int32() if n == "cls" else pa.int64()) for n in ("task", "cls", "nth", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 _OUT = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -109,7 +109,7 @@ def pack_pieces(capacity: int, least: int, end_id: int, name: str, ranks_name: s
         end = np.array([end_id], "<u4").tobytes()
         waiting: dict[int, list[tuple]] = {}
         sequence = 0
-        for b in (part for whole in batches for part in by_bytes(whole, 1)):
+        for b in (part for whole in batches for part in by_bytes(whole, 1, 2 << 20)):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = memoryview(words.document(text or "") + end)
