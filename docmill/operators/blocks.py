@@ -1,208 +1,153 @@
 """Structure of documents: blocks, heading paths, tables, scores, selection within a budget.
 
-All operators work on tables of lines or blocks with windows over doc_id, so a chain of them shares one exchange. A window never holds more than
-one document.
+A document and its blocks are one row, (doc_id, text, blocks), from outlines() on: a chain of operators works on the array in that row and exchanges
+nothing, however many documents there are, and documents may share an id. exploded() gives a row for each block. Tables that already are rows of blocks
+(doc_id, idx, ...) are taken as well: they are gathered by doc_id first, and answered as rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add, or_
+import functools
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions.lexicons import FIGURE_CAPTION, LIST_MARK, SECTION_TITLES, TABLE_RULE, BlockLexicon
-from docmill.functions.text import _last_place
+from docmill.functions import outline as O  # noqa: E741
+from docmill.functions.lexicons import SECTION_TITLES, BlockLexicon
 
 LEVELS = range(1, 7)
 
 
-def _up_to_here(*order: str) -> Window:
-    return Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def outlines(docs: DataFrame) -> DataFrame:
+    """B1: (doc_id, text, blocks). A blank line ends a block, and so does a change of type; a heading is a block of its own.
 
+    Types: heading, table (pipe lines from a header line with a rule below it), figure_caption, list, paragraph. A null text has no blocks."""
+    return docs.select("doc_id", "text", O.blocks_of(F.col("text")).alias("blocks"))
 
-def _count_of(flag: Column, order: str) -> Column:
-    return F.sum(flag.cast("int")).over(_up_to_here(order))
 
+def _each(outline: DataFrame, array: Column, *names: str) -> DataFrame:
+    """A row for each struct of an array. The outer generator with a filter behind it, as Spark would put a filter on the array below the plain one and there work out
+    the whole chain of the array again, twice for each operator in it."""
+    rows = outline.select("doc_id", F.explode_outer(array).alias("__x")).where("__x is not null")
+    return rows.select("doc_id", *([f"__x.{n}" for n in names] or ["__x.*"]))
 
-def text_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line) with every line break as \\n."""
-    breaks = F.regexp_replace("text", "\r\n|[\r\x0B\f\u0085 ]", "\n")
-    return docs.select("doc_id", F.posexplode(F.split(breaks, "\n")).alias("pos", "line"))
+
+def _one(outline: DataFrame, value: Column, name: str) -> DataFrame:
+    """(doc_id, value) of documents whose value is not null; a filter on the value itself would be worked out apart, as above."""
+    return outline.select("doc_id", F.explode_outer(F.array(value)).alias(name)).where(F.col(name).isNotNull())
+
+
+def exploded(outline: DataFrame) -> DataFrame:
+    """A row for each block."""
+    return _each(outline, F.col("blocks"))
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """Rows of blocks as (doc_id, blocks), in the order of idx."""
+    rest = [c for c in rows.columns if c not in ("doc_id", "idx")]
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", *rest))).alias("blocks"))
+
+
+def _on_either(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on outlines that also takes and gives rows of blocks."""
+
+    @functools.wraps(operator)
+    def apply(blocks: DataFrame, *more, **named) -> DataFrame:
+        if "blocks" in blocks.columns:
+            return operator(blocks, *more, **named)
+        return exploded(operator(gathered(blocks), *more, **named))
+
+    return apply
+
+
+def _outline(blocks: DataFrame) -> DataFrame:
+    return blocks if "blocks" in blocks.columns else gathered(blocks)
 
 
 def split_blocks(docs: DataFrame) -> DataFrame:
-    """B1: blocks (doc_id, idx, type, text, level, title). A blank line ends a block, and so does a change of type; a heading is a block of its own.
-
-    Types: heading, table (pipe lines from a header line with a rule below it), figure_caption, list, paragraph."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    rows = text_lines(docs).withColumn("bare", F.trim("line"))
-    rows = rows.select(
-        "*",
-        (F.col("bare") == "").alias("blank"),
-        F.col("line").rlike(r"^#{1,6}[ \t]+[^ \t]").alias("head"),
-        (F.col("bare").startswith("|") & F.coalesce(F.lead("bare").over(order).rlike(TABLE_RULE), F.lit(False))).alias("opens"),
-        ((F.col("bare") != "") & F.col("bare").contains("|") & ~F.col("bare").startswith("#")).alias("pipe"),
-        F.col("bare").rlike(FIGURE_CAPTION).alias("cap"),
-        F.col("bare").rlike(LIST_MARK).alias("item"),
-    )
-    rows = rows.withColumn("island", _count_of(~F.col("pipe"), "pos"))
-    first_open = F.min(F.when(F.col("opens"), F.col("pos"))).over(Window.partitionBy("doc_id", "island"))
-    rows = rows.withColumn("table", F.coalesce(F.col("pipe") & (F.col("pos") >= first_open), F.lit(False)))
-    rows = rows.withColumn("chunk", _count_of(F.col("blank") | F.col("head") | F.col("table"), "pos"))
-    first_cap = F.min(F.when(F.col("cap") & ~F.col("blank") & ~F.col("head") & ~F.col("table"), F.col("pos"))).over(Window.partitionBy("doc_id", "chunk"))
-    kind = F.when(F.col("blank"), F.lit(None)).when(F.col("head"), "heading").when(F.col("table"), "table").when(F.col("pos") >= first_cap, "figure_caption").when(F.col("item"), "list").otherwise("paragraph")
-    rows = rows.withColumn("type", kind)
-    starts = F.col("type").isNotNull() & ((F.col("type") == "heading") | ~F.coalesce(F.lag("type").over(order) == F.col("type"), F.lit(False)))
-    rows = rows.withColumn("block", _count_of(starts, "pos")).where("type is not null")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("type") == "table", F.col("line")).otherwise(F.col("bare")).alias("t")))), lambda x: x["t"]), "\n")
-    blocks = rows.groupBy("doc_id", "block").agg(F.first("type").alias("type"), text.alias("text"))
-    level = F.when(F.col("type") == "heading", F.length(F.regexp_extract("text", "^#+", 0)))
-    title = F.when(F.col("type") == "heading", F.trim(F.regexp_replace("text", r"^#+[ \t]*", "")))
-    return blocks.select("doc_id", (F.col("block") - 1).cast("int").alias("idx"), "type", "text", level.alias("level"), title.alias("title"))
+    """B1 as rows: (doc_id, idx, type, text, level, title, section)."""
+    return exploded(outlines(docs))
 
 
+@_on_either
 def heading_path(blocks: DataFrame) -> DataFrame:
     """B2: blocks with path, the open headings above each block and its own. Of each level the last heading counts, if no higher one came after it."""
-    w = _up_to_here("idx")
-    columns = []
-    for n in LEVELS:
-        here = F.last(F.when(F.col("level") == n, F.struct("idx", "title")), ignorenulls=True).over(w)
-        above = F.last(F.when(F.col("level") < n, F.col("idx")), ignorenulls=True).over(w)
-        columns.append(F.when(here["idx"] > F.coalesce(above, F.lit(-1)), here["title"]))
-    return blocks.withColumn("path", F.array_compact(F.array(*columns)))
-
-
-def is_noise_title(title: Column, noise: tuple[str, ...]) -> Column:
-    return F.coalesce(title.rlike(rf"(?i)^[0-9. ]*(?:{'|'.join(noise)})"), F.lit(False))
+    return blocks.withColumn("blocks", O.with_path(F.col("blocks")))
 
 
+@_on_either
 def cut_tail_noise(blocks: DataFrame, noise: tuple[str, ...]) -> DataFrame:
     """Blocks before the first heading of the last run of noise headings."""
-    whole = Window.partitionBy("doc_id")
-    bad = F.col("type").eqNullSafe("heading") & is_noise_title(F.col("title"), noise)
-    good = F.col("type").eqNullSafe("heading") & ~is_noise_title(F.col("title"), noise)
-    rows = blocks.withColumn("__last", F.max(F.when(bad, F.col("idx"))).over(whole))
-    rows = rows.withColumn("__good", F.max(F.when(good & (F.col("idx") < F.col("__last")), F.col("idx"))).over(whole))
-    rows = rows.withColumn("__cut", F.min(F.when(bad & (F.col("idx") > F.coalesce("__good", F.lit(-1))), F.col("idx"))).over(whole))
-    return rows.where(F.col("__cut").isNull() | (F.col("idx") < F.col("__cut"))).drop("__last", "__good", "__cut")
+    return blocks.withColumn("blocks", O.before_tail_noise(F.col("blocks"), noise))
 
 
 def anchor_tables(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blocks (with path) with tables replaced by [TABLE_nnnn], and the anchors (doc_id, anchor, idx, path, text, before, after)."""
-    number = F.row_number().over(Window.partitionBy("doc_id", "type").orderBy("idx"))
-    rows = neighbor_text(blocks).withColumn("anchor", F.when(F.col("type") == "table", F.format_string("TABLE_%04d", number)))
-    anchors = rows.where("anchor is not null").select("doc_id", "anchor", "idx", "path", "text", "before", "after")
-    blocks = rows.withColumn("text", F.when(F.col("anchor").isNull(), F.col("text")).otherwise(F.concat(F.lit("["), "anchor", F.lit("]"))))
-    return blocks.withColumn("type", F.when(F.col("anchor").isNull(), F.col("type")).otherwise("table_anchor")).drop("before", "after"), anchors
+    rows = _outline(blocks)
+    found = rows.withColumn("blocks", O.with_anchors(O.with_neighbours(F.col("blocks"))))
+    anchors = _each(found, F.filter("blocks", lambda b: b["anchor"].isNotNull()), "anchor", "idx", "path", "text", "before", "after")
+    replaced = rows.withColumn("blocks", O.anchored(F.col("blocks")))
+    return replaced if "blocks" in blocks.columns else exploded(replaced), anchors
 
 
-def neighbor_text(blocks: DataFrame, kinds: tuple[str, ...] = ("paragraph", "figure_caption", "list")) -> DataFrame:
+@_on_either
+def neighbor_text(blocks: DataFrame, kinds: tuple[str, ...] = O.SAID) -> DataFrame:
     """Blocks with before and after, the nearest texts of the given kinds."""
-    said = F.when(F.col("type").isin(*kinds) & (F.trim("text") != ""), F.col("text"))
-    order = Window.partitionBy("doc_id").orderBy("idx")
-    before = F.last(said, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(said, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    return blocks.withColumns({"before": before, "after": after})
-
-
-def _hits(words: tuple[str, ...], text: Column) -> Column:
-    return reduce(add, [text.contains(w).cast("int") for w in words], F.lit(0))
-
-
-def _any(words: tuple[str, ...], text: Column) -> Column:
-    return reduce(or_, [text.contains(w) for w in words], F.lit(False))
+    return blocks.withColumn("blocks", O.with_neighbours(F.col("blocks"), kinds))
 
 
+@_on_either
 def score_blocks(blocks: DataFrame, lexicon: BlockLexicon) -> DataFrame:
-    """Blocks (with path) with score: words, measured values, titles, captions and lists add, noisy titles take away. Table anchors have 100.
-
-    Counted in tenths, so that the sum is exact."""
-    low, context = F.lower("text"), F.lower(F.array_join("path", " "))
-    own = F.try_element_at(F.col("path"), F.lit(-1))
-    parameters, structures = _hits(lexicon.parameters, low), _hits(lexicon.structures, low)
-    metrics = reduce(add, [F.col("text").rlike(p).cast("int") for p in lexicon.metrics], F.lit(0))
-    heading = F.col("type") == "heading"
-    tenths = (
-        parameters * 25 + structures * 20 + metrics * 30
-        + F.when(_any(lexicon.priority_titles, context), 18).otherwise(0)
-        + F.when(heading & _any(lexicon.priority_titles, F.lower(F.coalesce(own, low))), 12).otherwise(0)
-        + F.when(F.col("type") == "figure_caption", 20).otherwise(0)
-        + F.when(F.col("type") == "list", 4).otherwise(0)
-        + F.when(F.col("text").rlike("[0-9]") & (parameters + structures > 0), 15).otherwise(0)
-        - F.when(_any(lexicon.noisy_titles, context), 10).otherwise(0)
-        - F.when(is_noise_title(F.coalesce(own, F.col("text")), lexicon.noise), 60).otherwise(0)
-    )
-    return blocks.withColumn("score", F.when(F.col("type") == "table_anchor", 1000).otherwise(tenths) / 10)
+    """Blocks (with path) with score: words, measured values, titles, captions and lists add, noisy titles take away. Table anchors have 100."""
+    return blocks.withColumn("blocks", O.with_score(F.col("blocks"), lexicon))
 
 
+@_on_either
 def select_with_neighbours(blocks: DataFrame, k: int = 1, least: float = 3.0, noise: tuple[str, ...] = ("\\A(?!)",)) -> DataFrame:
     """Kept blocks with mandatory. Seeds score at least ``least``; they and k neighbours on either side stay, noise sections aside. Mandatory: table
     anchors with their neighbours, and scores of least + 2 and more."""
-    near = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(-k, k)
-    noisy = is_noise_title(F.try_element_at(F.col("path"), F.lit(-1)), noise)
-    rows = blocks.withColumn("__noisy", noisy).withColumn("__anchor", (F.col("type") == "table_anchor") & ~F.col("__noisy"))
-    rows = rows.withColumn("__seed", ~F.col("__noisy") & ((F.col("score") >= least) | F.col("__anchor")))
-    keep = F.max(F.col("__seed").cast("int")).over(near) == 1
-    must = (F.max(F.col("__anchor").cast("int")).over(near) == 1) | (F.col("score") >= least + 2)
-    rows = rows.withColumns({"__keep": keep, "mandatory": must})
-    return rows.where(F.col("__keep") & ~F.col("__noisy")).drop("__noisy", "__anchor", "__seed", "__keep")
-
-
-def heading_context(kept: DataFrame, headings: DataFrame) -> DataFrame:
-    """Of headings (doc_id, idx, title) the nearest earlier one for each title on the path of a kept block: (doc_id, idx)."""
+    return blocks.withColumn("blocks", O.selected(F.col("blocks"), k, least, noise))
+
+
+def heading_context(kept: DataFrame, headings: DataFrame | None = None) -> DataFrame:
+    """The nearest earlier heading for each title on the path of a kept block: (doc_id, idx).
+
+    kept: an outline with all its blocks in ``blocks`` and the kept ones in ``kept``; or rows of kept blocks, and the headings (doc_id, idx, title) as rows."""
+    if headings is None:
+        return kept.select("doc_id", F.explode_outer(O.context_of(F.col("kept"), F.col("blocks"))).alias("idx")).where("idx is not null")
     wanted = kept.select("doc_id", F.col("idx").alias("__at"), F.explode("path").alias("title"))
     named = headings.select("doc_id", F.col("idx").alias("__h"), "title")
     met = wanted.join(named.hint("merge"), ["doc_id", "title"]).where("__h < __at")
     return met.groupBy("doc_id", "title", "__at").agg(F.max("__h").alias("idx")).select("doc_id", "idx").distinct()
 
 
+@_on_either
 def trim_to_budget(kept: DataFrame, max_blocks: int = 80, max_chars: int = 24_000) -> DataFrame:
-    """Optional blocks go, lowest (score, length, idx) first, until both budgets hold; a block costs its length and 2.
-
-    A greedy loop as running sums: an optional block goes if, without those before it, there are still too many blocks or characters."""
-    whole = Window.partitionBy("doc_id")
-    cost = F.length("text") + 2
-    rows = kept.withColumn("__n", F.count("*").over(whole)).withColumn("__t", F.sum(cost).over(whole))
-    before = Window.partitionBy("doc_id", "mandatory").orderBy("score", F.length("text"), "idx").rowsBetween(Window.unboundedPreceding, -1)
-    gone, chars = F.count("*").over(before), F.coalesce(F.sum(cost).over(before), F.lit(0))
-    rows = rows.withColumn("__over", (F.col("__n") - gone > max_blocks) | (F.col("__t") - chars > max_chars))
-    return rows.where(F.col("mandatory") | ~F.col("__over")).drop("__n", "__t", "__over")
+    """Optional blocks go, lowest (score, length, idx) first, until both budgets hold; a block costs its length and 2."""
+    return kept.withColumn("blocks", O.trimmed(F.col("blocks"), max_blocks, max_chars))
 
 
 def compose_condensed(kept: DataFrame, max_chars: int = 24_000) -> DataFrame:
-    """One text a document, table anchors first, then the blocks in order, cut at max_chars on a blank line."""
-    parts = F.array_sort(F.collect_list(F.struct((F.col("type") != "table_anchor").alias("later"), "idx", "text")))
-    text = F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n")
-    rows = kept.groupBy("doc_id").agg(text.alias("condensed"))
-    head = F.left("condensed", F.lit(max_chars))
-    cut = _last_place(head, "\n\n")
-    return rows.withColumn("condensed", F.when(F.length("condensed") <= max_chars, F.col("condensed")).when(cut > 0, F.left(head, cut)).otherwise(head))
-
-
-def section_kind(title: Column, titles: dict[str, tuple[str, ...]] = SECTION_TITLES) -> Column:
-    rule = reduce(lambda w, kv: w.when(title.rlike(rf"(?i)^[0-9. ]*(?:{'|'.join(kv[1])})"), kv[0]), titles.items(), F.when(title.isNull(), "other"))
-    return rule.otherwise("other")
+    """(doc_id, condensed): one text a document, table anchors first, then the blocks in order, cut at max_chars on a blank line."""
+    return _one(_outline(kept), O.condensed(F.col("blocks"), max_chars), "condensed")
 
 
 def section_rollup(blocks: DataFrame, titles: dict[str, tuple[str, ...]] = SECTION_TITLES) -> DataFrame:
     """(doc_id, section, n_blocks, text): blocks (with path) by the kind of their top heading, joined in order."""
-    rows = blocks.withColumn("section", section_kind(F.try_element_at(F.col("path"), F.lit(1)), titles))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n\n")
-    return rows.groupBy("doc_id", "section").agg(F.count("*").alias("n_blocks"), text.alias("text"))
+    return _each(_outline(blocks), O.rolled_up(F.col("blocks"), titles))
 
 
 def flat_sections(blocks: DataFrame) -> DataFrame:
     """(doc_id, pos, title, content): each heading with what follows it; what comes before the first, or all, is "Document"."""
-    rows = blocks.withColumn("pos", _count_of(F.col("type") == "heading", "idx"))
-    said = F.when(F.col("type") != "heading", F.struct("idx", "text"))
-    content = F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["text"]), "\n\n")
-    return rows.groupBy("doc_id", "pos").agg(F.coalesce(F.max("title"), F.lit("Document")).alias("title"), content.alias("content"))
+    return _each(_outline(blocks), O.sections_of(F.col("blocks")))
 
 
 def find_section(sections: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, title, content) of the first section whose title matches."""
+    """(doc_id, title, content) of the first section whose title matches. Takes outlines, or the rows of flat_sections."""
+    if "blocks" in sections.columns:
+        hit = F.get(F.filter(O.sections_of(F.col("blocks")), lambda s: s["title"].rlike(pattern)), F.lit(0))
+        return _one(sections, hit, "s").select("doc_id", "s.title", "s.content")
     hit = sections.where(F.col("title").rlike(pattern)).groupBy("doc_id").agg(F.min_by(F.struct("title", "content"), "pos").alias("s"))
     return hit.select("doc_id", "s.title", "s.content")
 
@@ -218,15 +163,23 @@ def extract_pipe_tables(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "pos", (F.size(rows) - 2).alias("n_rows"), F.concat_ws("|", cells).alias("header"))
 
 
-def reduction_stats(docs: DataFrame, condensed: DataFrame) -> DataFrame:
-    """(doc_id, original, cleaned, reduction): the share of characters that condensing took away."""
-    rows = docs.select("doc_id", F.length("text").alias("original")).join(condensed.select("doc_id", F.length("condensed").alias("cleaned")).hint("merge"), "doc_id", "left")
-    cleaned = F.coalesce("cleaned", F.lit(0))
-    return rows.select("doc_id", "original", cleaned.alias("cleaned"), F.when(F.col("original") > 0, 1 - cleaned / F.col("original")).alias("reduction"))
+def reduction_stats(docs: DataFrame, condensed: DataFrame | None = None) -> DataFrame:
+    """(doc_id, original, cleaned, reduction): the share of characters that condensing took away.
+
+    docs: with text and condensed in one row, or with text alone and the condensed texts in a table of their own."""
+    if condensed is not None:
+        docs = docs.select("doc_id", "text").join(condensed.select("doc_id", "condensed").hint("merge"), "doc_id", "left")
+    rows = docs.select("doc_id", F.length("text").alias("original"), F.coalesce(F.length("condensed"), F.lit(0)).alias("cleaned"))
+    return rows.withColumn("reduction", F.when(F.col("original") > 0, 1 - F.col("cleaned") / F.col("original")))
+
 
+def removed_titles(blocks: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """(doc_id, titles): the titles of the sections, that is the last headings on the paths, of which no block was kept, in order. Documents that
+    lost none are left out.
 
-def removed_titles(blocks: DataFrame, kept: DataFrame) -> DataFrame:
-    """(doc_id, titles): the titles of the sections, that is the last headings on the paths, of which no block was kept, in order."""
+    blocks: an outline with all its blocks in ``blocks`` and the kept ones in ``kept``; or rows of all blocks, and rows of the kept ones."""
+    if kept is None:
+        return _one(blocks, O.let(O.removed_of(F.col("blocks"), F.col("kept")), lambda x: F.when(F.size(x) > 0, x)), "titles")
     title = F.try_element_at(F.col("path"), F.lit(-1))
     first = blocks.where(F.size("path") > 0).groupBy("doc_id", title.alias("title")).agg(F.min("idx").alias("idx"))
     left = kept.where(F.size("path") > 0).select("doc_id", title.alias("title")).distinct()

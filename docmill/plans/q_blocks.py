@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmill.functions import outline as O  # noqa: E741
 from docmill.functions.lexicons import CORPUS_LEXICON, FIGURE_CAPTION, LIST_MARK, TABLE_RULE
 from docmill.operators import blocks as B
 from docmill.plans.registry import Tables, query
@@ -130,7 +131,7 @@ def _with(*parts: str) -> str:
 
 
 def _paths(t: Tables) -> DataFrame:
-    return B.heading_path(B.split_blocks(outline(t("documents"))))
+    return B.heading_path(B.outlines(outline(t("documents"))))
 
 
 def _scored(t: Tables) -> DataFrame:
@@ -158,12 +159,14 @@ def _b1c(t):
 
 @query("b2_heading_path", _with(_OUTLINE, _BLOCKS, _PATH) + " SELECT doc_id, idx, array_to_string(path, ' > ') AS path FROM p1")
 def _b2(t):
-    return _paths(t).select("doc_id", "idx", F.array_join("path", " > ").alias("path"))
+    return B.exploded(_paths(t)).select("doc_id", "idx", F.array_join("path", " > ").alias("path"))
 
 
 @query("b3_cut_tail_noise", _with(_OUTLINE, _BLOCKS, _PATH, _CUT) + " SELECT doc_id, count(*) AS blocks, max(idx) AS last FROM c3 GROUP BY doc_id")
 def _b3(t):
-    return B.cut_tail_noise(_paths(t), NOISE).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.max("idx").alias("last"))
+    left = B.cut_tail_noise(_paths(t), NOISE)
+    ends = left.select("doc_id", F.size("blocks").cast("long").alias("blocks"), F.explode_outer(F.slice("blocks", -1, 1)).alias("end"))
+    return ends.where("end is not null").select("doc_id", "blocks", F.col("end")["idx"].alias("last"))
 
 
 @query("b4_anchor_tables", _with(_OUTLINE, _BLOCKS, _PATH, _ANCHOR) + " SELECT doc_id, anchor, idx, array_to_string(path, ' > ') AS path, text, before, after FROM n0 WHERE anchor IS NOT NULL")
@@ -173,17 +176,17 @@ def _b4(t):
 
 @query("b5_neighbor_text", _with(_OUTLINE, _BLOCKS, _PATH, _ANCHOR) + " SELECT doc_id, idx, before, after FROM n0 WHERE type = 'heading'")
 def _b5(t):
-    return B.neighbor_text(_paths(t)).where("type = 'heading'").select("doc_id", "idx", "before", "after")
+    return B.exploded(B.neighbor_text(_paths(t))).where("type = 'heading'").select("doc_id", "idx", "before", "after")
 
 
 @query("b6_score_blocks", _with(_OUTLINE, _BLOCKS, _PATH, _ANCHOR, _SCORE) + " SELECT doc_id, idx, type, CAST(score AS DOUBLE) AS score FROM s2")
 def _b6(t):
-    return _scored(t).select("doc_id", "idx", "type", "score")
+    return B.exploded(_scored(t)).select("doc_id", "idx", "type", "score")
 
 
 @query("b7_select_with_neighbours", _with(_OUTLINE, _BLOCKS, _PATH, _ANCHOR, _SCORE, _KEPT) + " SELECT doc_id, idx, mandatory FROM k3")
 def _b7(t):
-    return _kept(t).select("doc_id", "idx", "mandatory")
+    return B.exploded(_kept(t)).select("doc_id", "idx", "mandatory")
 
 
 @query(
@@ -192,12 +195,13 @@ def _b7(t):
     + " SELECT DISTINCT doc_id, idx FROM (SELECT w.doc_id, w.title, w.at, max(h.idx) AS idx FROM w JOIN b1 h ON h.type = 'heading' AND h.doc_id = w.doc_id AND h.title = w.title AND h.idx < w.at GROUP BY ALL)",
 )
 def _b8(t):
-    return B.heading_context(_kept(t), B.split_blocks(outline(t("documents"))).where("type = 'heading'"))
+    scored = _scored(t)
+    return B.heading_context(scored.withColumn("kept", O.selected(F.col("blocks"), 1, 3.0, NOISE)))
 
 
 @query("b9_trim_to_budget", _with(_OUTLINE, _BLOCKS, _PATH, _ANCHOR, _SCORE, _KEPT, _TRIM) + " SELECT doc_id, idx, CAST(score AS DOUBLE) AS score FROM t1")
 def _b9(t):
-    return _trimmed(t).select("doc_id", "idx", "score")
+    return B.exploded(_trimmed(t)).select("doc_id", "idx", "score")
 
 
 @query("b10_compose_condensed", _with(_OUTLINE, _BLOCKS, _PATH, _ANCHOR, _SCORE, _KEPT, _TRIM, _COMPOSE) + " SELECT doc_id, condensed FROM m2")
@@ -222,7 +226,7 @@ _FLAT = "f0 AS (SELECT *, sum(CAST(type = 'heading' AS INT)) OVER (PARTITION BY
 
 @query("b12_flat_sections", _with(_OUTLINE, _BLOCKS, _FLAT) + " SELECT * FROM f1")
 def _b12(t):
-    return B.flat_sections(B.split_blocks(outline(t("documents"))))
+    return B.flat_sections(B.outlines(outline(t("documents"))))
 
 
 @query(
@@ -240,9 +244,20 @@ def _b13(t):
     + " SELECT d.doc_id, length(d.text) AS original, coalesce(length(condensed), 0) AS cleaned, CASE WHEN length(d.text) > 0 THEN 1 - coalesce(length(condensed), 0) / length(d.text) END AS reduction FROM docs d LEFT JOIN m2 USING (doc_id)",
 )
 def _b14(t):
-    return B.reduction_stats(outline(t("documents")), B.compose_condensed(_trimmed(t), MAX_CHARS))
+    return B.reduction_stats(_trimmed(t).withColumn("condensed", O.condensed(F.col("blocks"), MAX_CHARS)))
 
 
 @query("b15_find_section", _with(_OUTLINE, _BLOCKS, _FLAT) + " SELECT doc_id, arg_min(title, pos) AS title, arg_min(content, pos) AS content FROM f1 WHERE regexp_matches(title, '(?i)ref|on') GROUP BY doc_id")
 def _b15(t):
-    return B.find_section(B.flat_sections(B.split_blocks(outline(t("documents")))), "(?i)ref|on")
+    return B.find_section(B.outlines(outline(t("documents"))), "(?i)ref|on")
+
+
+@query(
+    "b14_removed_titles",
+    _with(_OUTLINE, _BLOCKS, _PATH, _ANCHOR, _SCORE, _KEPT)
+    + """, g0 AS (SELECT doc_id, path[len(path)] AS title, min(idx) AS idx FROM s2 WHERE len(path) > 0 GROUP BY ALL), g1 AS (SELECT DISTINCT doc_id, path[len(path)] AS title FROM k3 WHERE len(path) > 0)
+ SELECT doc_id, string_agg(title, ' > ' ORDER BY idx) AS titles FROM g0 ANTI JOIN g1 USING (doc_id, title) GROUP BY doc_id""",
+)
+def _b14r(t):
+    gone = B.removed_titles(_scored(t).withColumn("kept", O.selected(F.col("blocks"), 1, 3.0, NOISE)))
+    return gone.select("doc_id", F.array_join("titles", " > ").alias("titles"))

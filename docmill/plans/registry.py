@@ -6,14 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docmill.sources.files import spread
+
 Tables = Callable[[str], DataFrame]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Tables of whole texts, which cost far more to read into than to move.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Reads a table of the folder by name."""
-    return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    def read(name: str) -> DataFrame:
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table) if name in TEXTS else table
+
+    return read
 
 
 def query(name: str, sql: str | None = None):

@@ -10,6 +10,18 @@ RUN_EVENT = T.StructType([T.StructField(n, t) for n, t in (("type", T.StringType
 ERROR = T.StructType([T.StructField(n, t) for n, t in (("ts", T.TimestampType()), ("file", T.StringType()), ("type", T.StringType()), ("message", T.StringType()), ("context", T.StringType()))])
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table too small to give every core a full split, dealt out by rows over all cores; any other as it is.
+
+    A file of one row group is one task, however dear its rows. Spark knows the size of the files without reading them, and a table of at least
+    a full split for each core never moves; columns and filters are still pushed into the scan."""
+    spark = table.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if size < cores * split else table
+
+
 def scan_corpus(spark: SparkSession, path: str, glob: str = "*.txt", recursive: bool = True, exclude: list[str] = ()) -> DataFrame:
     """(path, name, size, text) of the files under a folder whose names match, less those under excluded folders."""
     reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
