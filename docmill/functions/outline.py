@@ -7,7 +7,6 @@ but for heading paths, which copy pointers with the square of a document's headi
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 from operator import add, or_
 
@@ -15,16 +14,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docmill.functions.lexicons import FIGURE_CAPTION, LIST_MARK, SECTION_TITLES, TABLE_RULE, BlockLexicon
-from docmill.functions.text import _last_place
+from docmill.functions.text import _last_place, let
 
 SAID = ("paragraph", "figure_caption", "list")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is worked out once, also where body is used for every element of an array."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 # Classes of lines: blank b, heading h, opening line of a table o; caption c, list item i, other text t, and C, I, P for the same with a pipe in them.
 # A table runs from its opening line over all lines with pipes, a caption to the next blank line, heading or table.
 _BLOCK = r"h[^\n]*+|o[^\n]*+(?:\n[oCIP][^\n]*+)*+|[cC][^\n]*+(?:\n[cCiItP][^\n]*+)*+|[iI][^\n]*+(?:\n[iI][^\n]*+)*+|[tP][^\n]*+(?:\n[tP][^\n]*+)*+"

@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOLERANCE = 0.6
-#: Lower is stronger; the first three are authoritative. Fixed values.
-PRIORITY = {"WOS": 0, "MJL": 1, "CURATED": 2, "CRAWLER": 3, "LETPUB": 4}
+#: Sources by their whole names, lower is stronger. Fixed values.
+PRIORITY = {"WOS_JOURNALS_API": 0, "MJL_PROFILE_API": 1, "CURATED_FALLBACK": 2, "SEARCH_CRAWLER": 3, "LETPUB": 4}
+#: A source of any other name, and the last priority that counts as authoritative. Fixed values.
 OTHER, AUTHORITATIVE = 9, 2
 
 
-def source_priority(source: Column) -> Column:
+def source_priority(source: Column, priority: dict[str, int] = PRIORITY) -> Column:
     p = F.lit(OTHER)
-    for name, n in reversed(PRIORITY.items()):
-        p = F.when(F.upper(source).startswith(name), n).otherwise(p)
+    for name, n in priority.items():
+        p = F.when(source == name, n).otherwise(p)
     return p
 
 
@@ -25,13 +26,18 @@ def agreement(observations: DataFrame, tol: float = TOLERANCE, keys: tuple[str,
     """Observations with agree, the number of the entity's observations within tol, itself among them.
 
     No pairs are made: equal values are counted first, which combines before the shuffle, and a range frame over each entity's different values sums
-    the counts. Values are compared as decimals of six places, so a difference of just tol agrees, unlike in floating point; infinite ones, NaN and null
-    take no part."""
-    rows = observations.withColumn("__v", F.round("value", 6).try_cast("decimal(38,6)"))
-    counts = rows.where("__v is not null").groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    the counts. Values are compared as decimals of six places, so a difference of just tol agrees, unlike in floating point; those from 1e32 on agree where they are equal; infinite ones, NaN and
+    null take no part."""
+    value = F.col("value")
+    exact = F.round(value, 6).try_cast("decimal(38,6)")
+    # beyond what a decimal holds a double's steps are wider than any tolerance: only equal values agree
+    large = F.when(exact.isNull() & (F.abs(value) < float("inf")), value.cast("double"))
+    rows = observations.withColumn("__v", exact).withColumn("__k", F.coalesce(F.col("__v").cast("string"), large.cast("string")))
+    counts = rows.where("__k is not null").groupBy(*keys, "__v", "__k").agg(F.count("*").alias("__n"))
     band = f"CAST({tol:.6f} AS DECIMAL(38,6))"
     near = F.expr(f"sum(__n) OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY __v RANGE BETWEEN {band} PRECEDING AND {band} FOLLOWING)")
-    return rows.join(counts.select(*keys, "__v", near.alias("agree")).hint("merge"), [*keys, "__v"]).drop("__v")
+    counts = counts.select(*keys, "__k", F.when(F.col("__v").isNull(), F.col("__n")).otherwise(near).alias("agree"))
+    return rows.join(counts.hint("merge"), [*keys, "__k"]).drop("__v", "__k")
 
 
 def consensus(observations: DataFrame, tol: float = TOLERANCE, *order: str) -> DataFrame:
@@ -48,41 +54,54 @@ def merge_sources(observations: DataFrame, *order: str) -> DataFrame:
     return observations.groupBy("entity").agg(names.alias("sources"), *[v.alias(k) for k, v in first.items()])
 
 
-def decide_value(observations: DataFrame, tol: float = TOLERANCE) -> DataFrame:
-    """(entity, rule, value, status, sources): the decision table. sources: that of the value and of the secondaries within tol of it, strongest first.
+def decide_value(observations: DataFrame, tol: float = TOLERANCE, priority: dict[str, int] = PRIORITY, authoritative: int = AUTHORITATIVE) -> DataFrame:
+    """(entity, rule, value, status, sources, url, year): the decision table.
 
     1 a secondary agrees with the primary; 2 authoritative secondaries agree among themselves; 3 any do; 4 the primary alone; 5 no primary, secondaries agree;
-    6 the strongest observation, with its own status."""
-    rows = observations.withColumn("p", source_priority(F.col("source")))
-    usable = rows.where(F.col("status").eqNullSafe("OK") & F.col("value").isNotNull())
-    primary = usable.where("role = 'primary'").groupBy("entity").agg(F.min_by("value", F.struct("p", "source", "value")).alias("pv"), F.min("source").alias("ps"))
-    second = usable.where("role = 'secondary'").select("entity", "source", "value", F.coalesce("year", F.lit(0)).alias("year"), "p")
-    def first_of(df, name):
-        return consensus(df, tol, "p", "source", "value", "year").select("entity", F.col("value").alias(name))
-    authoritative, any_ = first_of(second.where(F.col("p") <= AUTHORITATIVE), "auth"), first_of(second, "any")
-    near = second.join(primary, "entity").groupBy("entity").agg(F.count_if(F.abs(F.col("value") - F.col("pv")) <= tol).alias("near"))
-    some = second.groupBy("entity").agg(F.count("*").alias("n_second"))
-    strongest = rows.groupBy("entity").agg(F.min_by(F.struct("value", "status"), F.struct(F.col("value").isNull(), F.coalesce(F.col("status") != "OK", F.lit(True)), "p", -F.coalesce("year", F.lit(0)), -F.coalesce("value", F.lit(0.0)))).alias("s"))
-    x = strongest
-    for other in (primary, authoritative, any_, near, some):
-        x = x.join(other, "entity", "left")
-    has = F.col("pv").isNotNull()
-    rule = F.when(has & (F.coalesce("near", F.lit(0)) > 0), F.lit(1)).when(has & F.col("auth").isNotNull(), 2).when(has & F.col("any").isNotNull(), 3).when(has, 4).when(F.col("any").isNotNull(), 5).otherwise(6)
-    x = x.withColumn("rule", rule)
-    value = F.when(F.col("rule").isin(1, 4), F.col("pv")).when(F.col("rule") == 2, F.col("auth")).when(F.col("rule").isin(3, 5), F.col("any")).otherwise(F.col("s.value"))
+    6 the strongest usable observation, else the strongest of all with its own status. Of several the strongest counts: by priority, then the latest year,
+    then the largest value, then source and url. Those that agree are the one that was chosen and all within tol of it.
+
+    sources, each once and in this order: whose value it is; those that confirm it, by strength; those it was held against (the primary under rules 2 and 3,
+    all secondaries under 4, the other ones under 5). url and year are the first there are in that order. Equal observations are counted before the shuffle;
+    after it an entity's rows stream through windows of one partitioning, and only its different sources are gathered."""
+    rows = observations.select("entity", "role", "source", F.col("value").cast("double").alias("value"), "year", "url", "status").withColumn("p", source_priority(F.col("source"), priority))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).repartition("entity")
+    ok = F.col("status").eqNullSafe("OK") & F.col("value").isNotNull()
+    second = ok & (F.col("role") == "secondary")
+    key = F.struct("p", (-F.coalesce("year", F.lit(0))).alias("y"), (-F.coalesce("value", F.lit(0.0))).alias("v"), "source", "url")
+    whole = Window.partitionBy("entity")
+    best = lambda which, what=key: F.min(F.when(which, what)).over(whole)
+    band = f"CAST({tol:.6f} AS DECIMAL(38,6))"
+    agree = lambda flag: F.expr(f"sum(CASE WHEN {flag} THEN n END) OVER (PARTITION BY entity ORDER BY exact RANGE BETWEEN {band} PRECEDING AND {band} FOLLOWING)")
+    rows = rows.withColumns({"key": key, "ok": ok, "second": F.coalesce(second, F.lit(False)), "exact": F.when(ok, F.round("value", 6).try_cast("decimal(38,6)"))})
+    rows = rows.withColumn("strong", F.col("second") & (F.col("p") <= authoritative))
+    rows = rows.withColumns({"n_any": agree("second"), "n_auth": agree("strong")})
+    rows = rows.withColumns({
+        "pri": best(F.col("ok") & (F.col("role") == "primary")), "any": best(F.col("second") & (F.col("n_any") >= 2)), "auth": best(F.col("strong") & (F.col("n_auth") >= 2)), "lone": best(F.col("second")),
+        "last": best(F.lit(True), F.struct(F.col("value").isNull().alias("none"), (~F.col("ok")).alias("bad"), "key", "value", "status", "url", "year")),
+    })
+    within = lambda chosen: F.coalesce(F.abs(F.col("value") + F.col(f"{chosen}.v")) <= tol, F.lit(False))  # noqa: E731  a key holds the value negated
+    rows = rows.withColumn("near", F.max(F.col("second") & within("pri")).over(whole))
+    has = F.col("pri").isNotNull()
+    rule = F.when(has & F.col("near"), 1).when(has & F.col("auth").isNotNull(), 2).when(has & F.col("any").isNotNull(), 3).when(has, 4).when(F.col("any").isNotNull(), 5).otherwise(6)
+    chosen = F.when(F.col("rule").isin(1, 4), F.col("pri")).when(F.col("rule") == 2, F.col("auth")).when(F.col("rule").isin(3, 5), F.col("any")).otherwise(F.col("lone"))
+    rows = rows.withColumn("rule", rule).withColumn("chosen", chosen)
+    own, primary, r = F.col("key").eqNullSafe(F.col("chosen")) & F.col("ok"), F.col("ok") & (F.col("key") == F.col("pri")), F.col("rule")
+    confirms = within("chosen") & F.when(r == 2, F.col("strong")).otherwise(F.col("second"))
+    place = F.when(own, 0).when(r.isin(1, 2, 3, 5) & confirms, 1).when(r.isin(2, 3) & primary | r.isin(4, 5) & F.col("second"), 2)
+    rows = rows.withColumn("at", F.when(place.isNotNull(), F.struct(place.alias("place"), "key")))
+    told = lambda some: [F.first("rule").alias("rule"), F.first("chosen").alias("chosen"), F.first("last").alias("last"), F.max(some).alias("some")]
+    first = lambda c, there: F.min_by(F.struct(F.col(c).alias("x")), F.when(there, F.col("at")))
+    by_source = rows.groupBy("entity", "source").agg(F.min("at").alias("at"), first("url", F.col("url") != "").alias("u"), F.min(F.when(F.col("url") != "", F.col("at"))).alias("ua"), first("year", F.col("year") != 0).alias("t"), F.min(F.when(F.col("year") != 0, F.col("at"))).alias("ta"), *told("second"))
+    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "source")))), lambda x: x["source"])
+    all_ = by_source.groupBy("entity").agg(F.array_join(names, "+").alias("sources"), F.min_by("u", "ua").alias("u"), F.min_by("t", "ta").alias("t"), *told("some"))
     status = (
-        F.when(F.col("rule") == 1, "OK_VALIDATED")
-        .when(F.col("rule").isin(2, 3), "OK_VALIDATED_SECONDARY")
-        .when((F.col("rule") == 4) & (F.coalesce("n_second", F.lit(0)) > 0), "OK_PRIMARY_UNCONFIRMED")
-        .when(F.col("rule") == 4, "OK_PRIMARY_ONLY")
-        .when(F.col("rule") == 5, "OK_SECONDARY_VALIDATED")
-        .otherwise(F.col("s.status"))
-    )
-    decided = x.select("entity", "rule", value.alias("value"), status.alias("status"))
-    near_it = usable.join(decided.where("value is not null").select("entity", F.col("value").alias("__v")).hint("merge"), "entity").where(F.abs(F.col("value") - F.col("__v")) <= tol)
-    names = near_it.groupBy("entity", "source").agg(F.min(F.struct((F.col("value") != F.col("__v")).alias("other"), "p")).alias("o")).groupBy("entity")
-    names = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "source"))), lambda r: r["source"]), "+").alias("sources"))
-    return decided.join(names.hint("merge"), "entity", "left")
+        F.when(r == 1, "OK_VALIDATED").when(r.isin(2, 3), "OK_VALIDATED_SECONDARY").when((r == 4) & F.col("some"), "OK_PRIMARY_UNCONFIRMED").when(r == 4, "OK_PRIMARY_ONLY").when(r == 5, "OK_SECONDARY_VALIDATED")
+        .when(F.col("chosen").isNotNull(), "OK").otherwise(F.col("last.status"))
+    )
+    value = F.when(F.col("chosen").isNotNull(), -F.col("chosen.v")).otherwise(F.col("last.value"))
+    usable = F.col("chosen").isNotNull()
+    return all_.select("entity", "rule", value.alias("value"), status.alias("status"), F.when(usable, F.col("sources")).alias("sources"), F.when(usable, F.col("u.x")).alias("url"), F.when(usable, F.col("t.x")).alias("year"))
 
 
 def merged_sources(current: Column, new: Column, old_sources: Column, new_sources: Column) -> Column:
@@ -102,12 +121,12 @@ def apply_provenance(current: Column, new: Column, status: Column, old: tuple[Co
 
 def apply_decision(current: Column, new: Column, status: Column, old_status: Column, correct: bool = True) -> tuple[Column, Column]:
     """A12, second part: value and status after a decision: set where there is none, or one out of 0.1 to 200, or, if correction is on, one that is 0.5 or more
-    off; a status that starts with OK_VALIDATED is never lowered."""
+    off; an old status that starts with OK_VALIDATED stays as it is."""
     good = F.coalesce(status.startswith("OK"), F.lit(False)) & new.isNotNull()
     bad = current.isNull() | (current <= 0) | ~current.between(0.1, 200)
     off = F.abs(current - new) >= 0.5 if correct else F.lit(False)
     value = F.when(good & (bad | off), new).otherwise(current)
-    keep = F.coalesce(old_status.startswith("OK_VALIDATED"), F.lit(False)) & ~F.coalesce(status.startswith("OK_VALIDATED"), F.lit(False))
+    keep = F.coalesce(old_status.startswith("OK_VALIDATED"), F.lit(False))
     return value, F.when(good & ~keep, status).otherwise(old_status)
 
 

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
-from json import loads
 from operator import add, or_
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from docmill.functions.text import squeeze
+from docmill.functions.text import let, squeeze
 
 #: Starts of lines that are no titles. Fixed values.
 TITLE_STOPS = (
@@ -219,49 +215,72 @@ def value_year_from_text(text: Column, label: str = r"(?:journal\s+)?impact\s+fa
     return F.coalesce(*tries)
 
 
-def _json_hits(value, names: tuple[str, ...], stem: str, inside: str, low: float, high: float):
-    """(year, value) of every named number in objects and arrays of any depth."""
-    open_ = [value]
-    while open_:
-        x = open_.pop()
-        if isinstance(x, list):
-            open_ += x
-        if not isinstance(x, dict):
-            continue
-        open_ += x.values()
-        beside = str(next((x[k] for k in YEAR_KEYS if x.get(k)), ""))
-        beside = int(beside) if re.fullmatch(r"\s*[0-9]+\s*", beside) and 2000 <= int(beside) <= 2100 else None
-        for key, v in x.items():
-            key = key.lower()
-            if isinstance(v, (dict, list)) or not (key in names or key.startswith(stem) or inside in key):
-                continue
-            number = re.search(r"[0-9]+(?:\.[0-9]+)?", str(v))
-            if number and low <= float(number.group()) <= high:
-                named = None if key in names else re.search("20[0-9]{2}", key)
-                yield int(named.group()) if named else beside, float(number.group())
-
-
 #: Keys of an object that tell the year of its values, in order. Fixed values.
 YEAR_KEYS = ("citationReportYear", "reportYear", "year", "jifYear")
 
 
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: A key with a plain value, a text or key that stands alone, the start or end of an object.
+_JSON_TOKEN = rf'{_TEXT}:(?:{_TEXT}|[^,{{}}\[\]"]++)|{_TEXT}|[{{}}]'
+
+
+def _json_best(text: Column, names: tuple[str, ...], stem: str, inside: str, low: float, high: float) -> Column:
+    """struct(year, value) of the best hit, year 0 where it has none: a fold over the tokens of one JSON text, with a stack of the objects that are open."""
+    hit, open_ = "struct<year:int,value:double>", f"struct<years:array<string>,named:struct<year:int,value:double>,plain:double>"
+    none = F.lit(None).cast(hit)
+    fresh = F.struct(F.array_repeat(F.lit(None).cast("string"), len(YEAR_KEYS)).alias("years"), none.alias("named"), F.lit(None).cast("double").alias("plain"))
+    start = F.struct(F.array().cast(f"array<{open_}>").alias("stack"), none.alias("best"))
+    largest = lambda *x: F.greatest(*x)  # noqa: E731  nulls are passed over
+    below = lambda s: F.slice(s["stack"], F.lit(1), F.size(s["stack"]) - 1)
+
+    def closed(s: Column) -> Column:
+        year = lambda t: F.when(t.rlike(r"^\s*[0-9]{1,9}\s*$") & F.trim(t).try_cast("int").between(2000, 2100), F.trim(t).try_cast("int"))
+
+        def end(o: Column) -> Column:
+            first = let(F.get(F.filter(o["years"], lambda y: y.isNotNull() & ~y.isin("", "0", "false", "null")), F.lit(0)), year)
+            plain = F.when(o["plain"].isNotNull(), F.struct(F.coalesce(first, F.lit(0)).alias("year"), o["plain"].alias("value")))
+            return F.struct(below(s).alias("stack"), largest(s["best"], o["named"], plain).alias("best"))
+
+        return let(F.element_at(s["stack"], -1), end)
+
+    def pair(s: Column, t: Column) -> Column:
+        key = F.regexp_extract(t, rf"^({_TEXT}):", 1)
+        bare = F.substring(key, F.lit(2), F.length(key) - 2)
+        value = F.substring(t, F.length(key) + 2, F.length(t))
+        said = F.when(value.startswith('"'), F.regexp_replace(F.substring(value, F.lit(2), F.length(value) - 2), r"\\u[0-9a-fA-F]{4}|\\.", " ")).otherwise(value)
+
+        def put(x: Column) -> Column:
+            low_ = F.lower(x["key"])
+            is_name = low_.isin(*names)
+            number = F.regexp_extract(x["said"], r"[0-9]+(?:\.[0-9]+)?", 0).try_cast("double")
+            good = (is_name | low_.startswith(stem) | low_.contains(inside)) & number.between(low, high)
+            year = F.when(~is_name, F.regexp_extract(low_, "20[0-9]{2}", 0).try_cast("int"))
+            o = F.element_at(s["stack"], -1)
+            years = F.array(*[F.when(x["key"] == k, x["said"]).otherwise(F.get(o["years"], F.lit(i))) for i, k in enumerate(YEAR_KEYS)])
+            named = largest(o["named"], F.when(good & year.isNotNull(), F.struct(year.alias("year"), number.alias("value"))))
+            plain = largest(o["plain"], F.when(good & year.isNull(), number))
+            return F.struct(F.concat(below(s), F.array(F.struct(years.alias("years"), named.alias("named"), plain.alias("plain")))).alias("stack"), s["best"].alias("best"))
+
+        matters = bare.isin(*YEAR_KEYS) | F.lower(bare).isin(*names) | F.lower(bare).startswith(stem) | F.lower(bare).contains(inside)
+        return F.when(matters, let(F.struct(bare.alias("key"), said.alias("said")), put)).otherwise(s)
+
+    def step(s: Column, t: Column) -> Column:
+        opened = F.struct(F.concat(s["stack"], F.array(fresh)).alias("stack"), s["best"].alias("best"))
+        return F.when(t == "{", opened).when(t == "}", closed(s)).when(t.endswith('"') & ~t.rlike(rf"^{_TEXT}:"), s).otherwise(pair(s, t))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_JSON_TOKEN), F.lit(0)), start, step, lambda s: s["best"])
+
+
 def json_value_search(df: DataFrame, key: str, json: str, names: tuple[str, ...] = ("journalimpactfactor", "impactfactor", "jif", "jifvalue"), stem: str = "jif", inside: str = "impactfactor", low: float = 0.1, high: float = 200.0) -> DataFrame:
     """P25: (key, year, value): of all values, in objects and arrays of any depth, whose key is one of the names, starts with the stem or holds ``inside``, the one
-    of the latest year and then the largest. The year stands in the key or beside it. One pass: depth has no bound, so the walk is a function of the row;
-    texts that are no JSON have no values."""
-    kind = df.schema[key].dataType
-
-    def walk(batches):
-        for b in batches:
-            found = []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    value = loads(text or "")
-                except ValueError:
-                    continue
-                hits = list(_json_hits(value, names, stem, inside, low, high))
-                if hits:
-                    found.append((k, *max(hits, key=lambda h: (h[0] or 0, h[1]))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else ((), (), ()), (b.schema[0].type, pa.int32(), pa.float64()))], names=[key, "year", "value"])
-
-    return df.select(key, F.col(json).cast("string")).mapInArrow(walk, T.StructType([T.StructField(key, kind), T.StructField("year", T.IntegerType()), T.StructField("value", T.DoubleType())]))
+    of the latest year and then the largest. The year stands in the key or beside it.
+
+    A text is read as a variant, brought to one form and walked within its row, in the JVM. Texts that are no JSON to their end, that repeat a key in an object, or
+    that Spark's reader refuses as too deep (1,000 levels) have no values."""
+    text = F.col(json).cast("string")
+    may = F.lower(text).contains(stem) | F.lower(text).contains(inside) | reduce(or_, [F.lower(text).contains(n) for n in names])
+    whole = (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1) & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
+    best = F.when(may & whole, let(F.to_json(F.try_parse_json(text)), lambda x: _json_best(x, names, stem, inside, low, high)))
+    # as a generated row, so that the filter is not worked out apart from the value
+    found = df.select(key, F.explode_outer(F.array(best)).alias("__b")).where("__b is not null")
+    return found.select(key, F.when(F.col("__b.year") > 0, F.col("__b.year")).alias("year"), F.col("__b.value").alias("value"))

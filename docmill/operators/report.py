@@ -70,11 +70,16 @@ def prompt_table(df: DataFrame, template: str, fields: dict[str, Column], exampl
 
 
 def parse_json_responses(c: str | Column) -> Column:
-    """The JSON object in an answer: all of it, else the first fenced block that parses, else from the first to the last brace; null if none parses."""
+    """The JSON object in an answer, in one form: all of it, else the first fenced block that is one, else from the first to the last brace; null if none is.
+
+    Each has to parse to its end: an object with anything but white space after it is refused, as are other values than objects."""
     c = F.trim(col(c))
-    fenced = F.regexp_extract_all(c, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), F.lit(1))
+    fenced = F.regexp_extract_all(c, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1))
     tries = F.concat(F.array(c), fenced, F.array(F.regexp_extract(c, r"(?s)\{.*\}", 0)))
-    return F.try_element_at(F.filter(F.transform(tries, lambda x: F.when(x.rlike(r"(?s)^\s*\{"), F.get_json_object(x, "$"))), lambda x: x.isNotNull()), F.lit(1))
+    # Spark's readers stop after the first value. What follows it would have to go on an array here and an object there, which nothing does
+    whole = lambda x: (F.json_array_length(F.concat(F.lit("["), x, F.lit("]"))) == 1) & F.try_parse_json(F.concat(F.lit('{"a":'), x, F.lit("}"))).isNotNull()
+    objects = F.transform(F.filter(tries, lambda x: x.rlike(r"(?s)^\s*\{.*\}\s*$") & whole(x)), lambda x: F.to_json(F.try_parse_json(x)))
+    return F.try_element_at(F.filter(objects, lambda x: x.isNotNull()), F.lit(1))
 
 
 def split_responses(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:

@@ -32,7 +32,7 @@ def resolve_entities(keys: DataFrame, dim_keys: DataFrame, ids: DataFrame, id_:
     One join on (kind, value); per id the least priority with hits and the hits at it. Of several the least dim_id is shown as matched."""
     hits = keys.join(dim_keys.select("kind", "value", dim_id).distinct().hint("merge"), ["kind", "value"]).groupBy(id_, "prio", "kind").agg(F.count_distinct(dim_id).alias("n"), F.min(dim_id).alias("matched"))
     best = hits.groupBy(id_).agg(F.min_by(F.struct("kind", "n", "matched"), "prio").alias("b"))
-    rows = ids.select(id_).join(best, id_, "left")
+    rows = ids.select(id_).join(best.hint("merge"), id_, "left")
     status = F.when(F.col("b").isNull(), "NO_MATCH").when(F.col("b.n") == 1, "OK").otherwise("MULTI_MATCH")
     return rows.select(id_, status.alias("status"), F.col("b.kind").alias("method"), F.col("b.matched").alias("matched"), F.coalesce("b.n", F.lit(0)).alias("n_candidates"))
 
@@ -52,31 +52,55 @@ def lookup_curated(df: DataFrame, column: str, dim: DataFrame, key: str = "alias
     return df.withColumn("__k", canonical_title(column)).join(named, "__k", "left").drop("__k")
 
 
+#: Texts that share a gram are dealt in parts of about so many.
+PART = 5_000
+
+
 def _grams(text: Column) -> Column:
-    """All pieces of one to three characters, each once."""
+    """The pieces of three characters of a text, each once; of a shorter one the whole."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+
+
+def _short_grams(text: Column) -> Column:
+    """The pieces of one and of two characters, each once."""
     every = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.array_distinct(F.concat(*[every(n) for n in (1, 2, 3)]))
+    return F.array_distinct(F.concat(every(1), every(2)))
+
+
+def met_within(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs of short (s) and long (l) that are to be tested, as l can only hold s if it holds the rarest gram of s: how often the grams of s stand in
+    long texts is counted first. A gram's long texts are dealt in parts of about PART, and its short ones are sent to each of the parts."""
+    wanted = short.select("s", F.explode(_grams(F.col("s"))).alias("gram"))
+    kinds = wanted.select("gram").distinct()
+    tiny = kinds.where(F.length("gram") < 3)
+    held = long.select("l", F.explode(_grams(F.col("l"))).alias("gram")).where(F.length("gram") == 3).join(kinds.hint("merge"), "gram", "left_semi")
+    held = held.unionByName(long.select("l", F.explode(_short_grams(F.col("l"))).alias("gram")).join(tiny.hint("merge"), "gram", "left_semi"))
+    times = held.groupBy("gram").count()
+    # a gram that no long text holds rules its short text out
+    known = wanted.join(times.hint("merge"), "gram", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0")
+    parts = F.ceil(F.col("g.n") / PART).cast("int")
+    rare = known.select("s", F.col("g.gram").alias("gram"), parts.alias("parts"))
+    dealt = held.join(rare.select("gram", "parts").distinct().hint("merge"), "gram").select("l", "gram", F.pmod(F.xxhash64("l"), F.col("parts")).cast("int").alias("part"))
+    return dealt.join(rare.select("s", "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).hint("merge"), ["gram", "part"]).select("s", "l")
 
 
 def _within(short: DataFrame, long: DataFrame) -> DataFrame:
-    """Pairs of short (s) and long (l) of which the first stands in the second, met by the short one's first three characters, or fewer if it has no more."""
-    heads = short.select("s", F.left("s", F.lit(3)).alias("gram"))
-    met = long.select("l", F.explode(_grams(F.col("l"))).alias("gram")).join(heads.hint("merge"), "gram")
-    return met.where(F.col("l").contains(F.col("s"))).select("s", "l")
+    """Pairs of short (s) and long (l) of which the first stands in the second."""
+    return met_within(short, long).where(F.col("l").contains(F.col("s")))
 
 
 def lookup_contains(df: DataFrame, id_: str, column: str, dim: DataFrame) -> DataFrame:
     """(id, column, key, ordinal): the dimension row (key, ordinal) that equals the name, else the first that contains it or stands in it.
 
-    A text that stands in another shares its first characters with one of the other's pieces, so the pairs come from a key join, and each is then
-    tested; both tables may be large. Names are looked up once each; empty ones and empty keys meet nothing."""
-    words = dim.select("key", "ordinal", F.lower("key").alias("k")).where("k <> ''")
-    names = df.select(column).where(F.trim(column) != "").distinct().withColumn("n", F.lower(column))
-    keys, low = words.select("k").distinct(), names.select("n").distinct()
-    pairs = _within(keys.withColumnRenamed("k", "s"), low.withColumnRenamed("n", "l")).select(F.col("s").alias("k"), F.col("l").alias("n"))
-    pairs = pairs.unionByName(_within(low.withColumnRenamed("n", "s"), keys.withColumnRenamed("k", "l")).select(F.col("l").alias("k"), F.col("s").alias("n"))).distinct()
-    met = names.join(pairs.hint("merge"), "n").join(words.hint("merge"), "k")
-    best = met.groupBy(column).agg(F.min(F.struct((F.col("n") != F.col("k")).alias("loose"), "ordinal", "key")).alias("b"))
+    A text that stands in another has its rarest three characters there, so the pairs come from a join on those, and each is then tested; both tables may be
+    large, and frequent beginnings meet nothing. Names are looked up once each; empty ones and empty keys meet nothing."""
+    words = dim.select("key", "ordinal", F.lower("key").alias("__k")).where("__k <> ''")
+    names = df.select(F.col(column).alias("__name")).where(F.trim("__name") != "").distinct().withColumn("__n", F.lower("__name"))
+    keys, low = words.select("__k").distinct(), names.select("__n").distinct()
+    pairs = _within(keys.withColumnRenamed("__k", "s"), low.withColumnRenamed("__n", "l")).select(F.col("s").alias("__k"), F.col("l").alias("__n"))
+    pairs = pairs.unionByName(_within(low.withColumnRenamed("__n", "s"), keys.withColumnRenamed("__k", "l")).select(F.col("l").alias("__k"), F.col("s").alias("__n"))).distinct()
+    met = names.join(pairs.hint("merge"), "__n").join(words.hint("merge"), "__k")
+    best = met.groupBy(F.col("__name").alias(column)).agg(F.min(F.struct((F.col("__n") != F.col("__k")).alias("loose"), "ordinal", "key")).alias("b"))
     return df.select(id_, column).join(best.hint("merge"), column, "left").select(id_, column, F.col("b.key").alias("key"), F.col("b.ordinal").alias("ordinal"))
 
 

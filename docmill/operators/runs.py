@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.sources.files import scratch_path
+
 #: Error group, what its texts contain, and advice of our own; the first that matches counts. Groups and words are fixed values, save that the parser's
 #: group goes by the word parser.
 ERROR_GROUPS = (
@@ -84,9 +89,33 @@ def chunk_size(n_files: int) -> int:
     return max(1, n_files) if n_files <= 5 else 5 if n_files <= 20 else 8 if n_files <= 50 else 10
 
 
-def chunk(df: DataFrame, n: int, *order: str, within: str | None = None) -> DataFrame:
-    """Df with chunk, numbered from 0, n rows each in order, within each value of a column.
+def running_before(df: DataFrame, group: list[str], order: list[str], value: Column, name: str = "before") -> DataFrame:
+    """Df with name, the sum of value over the rows of its group that come before it in order; rows equal in all of order come in any order.
+
+    On two levels, so that a group may hold any share of the rows: ranges of (group, order), of a partition's size each, are written out; their sums run
+    over the ranges of a group, a few rows; within a range the rows run. Nothing else than a range is ever one task's."""
+    keys = [*group, *order]
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.withColumn("__v", value).repartitionByRange(n, *keys).withColumn("__range", F.spark_partition_id())
+    # ranges are drawn from a sample: written, so that both uses see the same ones
+    path = scratch_path(df.sparkSession)
+    ranged.write.parquet(path)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    sums = ranged.groupBy(*group, "__range").agg(F.sum("__v").alias("__s"))
+    before = F.sum("__s").over(Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__range").alias("__r"), before.alias("__b"))
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)], F.col("__range") == F.col("__r"))
+    own = F.sum("__v").over(Window.partitionBy(*group, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = ranged.join(sums.hint("merge"), same).withColumn(name, F.coalesce("__b", F.lit(0)) + F.coalesce(own, F.lit(0)))
+    return rows.select(*df.columns, name)
 
-    Numbering needs a group of bounded size: give ``within``, such as a folder or a source."""
-    w = Window.partitionBy(*([within] if within else [])).orderBy(*order)
-    return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / n).cast("long"))
+
+def running_budget(df: DataFrame, group: list[str], order: list[str], cost: Column, budget: float) -> DataFrame:
+    """The rows of each group, in order, before whose start the budget was not yet used up."""
+    return running_before(df, group, order, cost, "__before").where(F.col("__before") < budget).drop("__before")
+
+
+def chunk(df: DataFrame, n: int, *order: str, within: str | None = None) -> DataFrame:
+    """Df with chunk, numbered from 0, n rows each in order, within each value of a column or in the whole table; neither needs to be of bounded size."""
+    rows = running_before(df, [within] if within else [], list(order), F.lit(1), "__n")
+    return rows.withColumn("chunk", F.floor(F.col("__n") / n).cast("long")).drop("__n")

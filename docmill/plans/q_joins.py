@@ -120,28 +120,38 @@ _RANKED = """r AS (SELECT l_partkey AS entity, CASE l_suppkey % 6 WHEN 0 THEN 'L
 
 @query("a11_merge_sources", f"WITH {_RANKED}, f AS (SELECT entity, source, min(p) AS p FROM r GROUP BY entity, source), n AS (SELECT entity, string_agg(source, '+' ORDER BY p, source) AS sources FROM f GROUP BY entity), u AS (SELECT entity, url, year FROM r QUALIFY row_number() OVER (PARTITION BY entity ORDER BY p, source, l_orderkey, l_linenumber, url, year) = 1) SELECT entity, sources, url, year FROM n JOIN u USING (entity)")
 def _a11(t):
-    rows = _ranked(t).withColumn("p", C.source_priority(F.col("source")))
+    rows = _ranked(t).withColumn("p", C.source_priority(F.col("source"), _STRENGTH))
     return C.merge_sources(rows, "p", "source", "l_orderkey", "l_linenumber").select("entity", "sources", "url", "year")
 
 
-_DECIDE = f"""WITH {_RANKED}, u AS (SELECT * FROM r WHERE status = 'OK'), pri AS (SELECT entity, value AS pv FROM u WHERE role = 'primary' QUALIFY row_number() OVER (PARTITION BY entity ORDER BY p, source, value) = 1),
-sec AS (SELECT entity, source, value, year, p FROM u WHERE role = 'secondary'),
-ag AS (SELECT a.entity, a.source, a.value, a.year, a.p FROM sec a JOIN sec b ON a.entity = b.entity AND abs(a.value - b.value) <= 0.6 GROUP BY ALL HAVING count(*) >= 2),
-au0 AS (SELECT a.entity, a.source, a.value, a.year, a.p FROM sec a JOIN sec b ON a.entity = b.entity AND a.p <= 2 AND b.p <= 2 AND abs(a.value - b.value) <= 0.6 GROUP BY ALL HAVING count(*) >= 2),
-an AS (SELECT entity, value AS anyv FROM ag QUALIFY row_number() OVER (PARTITION BY entity ORDER BY p, source, value, year) = 1),
-au AS (SELECT entity, value AS auth FROM au0 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY p, source, value, year) = 1),
-nr AS (SELECT entity, count(*) FILTER (abs(value - pv) <= 0.6) AS near FROM sec JOIN pri USING (entity) GROUP BY entity), ns AS (SELECT entity, count(*) AS n_second FROM sec GROUP BY entity),
-st AS (SELECT entity, value, status FROM r QUALIFY row_number() OVER (PARTITION BY entity ORDER BY status <> 'OK', p, -year, -value) = 1),
-x AS (SELECT st.*, pv, auth, anyv, n_second, CASE WHEN pv IS NOT NULL AND coalesce(near, 0) > 0 THEN 1 WHEN pv IS NOT NULL AND auth IS NOT NULL THEN 2 WHEN pv IS NOT NULL AND anyv IS NOT NULL THEN 3 WHEN pv IS NOT NULL THEN 4 WHEN anyv IS NOT NULL THEN 5 ELSE 6 END AS rule
- FROM st LEFT JOIN pri USING (entity) LEFT JOIN au USING (entity) LEFT JOIN an USING (entity) LEFT JOIN nr USING (entity) LEFT JOIN ns USING (entity)),
-dec AS (SELECT entity, rule, CASE WHEN rule IN (1, 4) THEN pv WHEN rule = 2 THEN auth WHEN rule IN (3, 5) THEN anyv ELSE value END AS value, CASE WHEN rule = 1 THEN 'OK_VALIDATED' WHEN rule IN (2, 3) THEN 'OK_VALIDATED_SECONDARY' WHEN rule = 4 AND coalesce(n_second, 0) > 0 THEN 'OK_PRIMARY_UNCONFIRMED'
- WHEN rule = 4 THEN 'OK_PRIMARY_ONLY' WHEN rule = 5 THEN 'OK_SECONDARY_VALIDATED' ELSE status END AS status FROM x), ns1 AS (SELECT entity, u.source, min(u.value <> dec.value) AS other, min(u.p) AS p FROM u JOIN dec USING (entity) WHERE abs(u.value - dec.value) <= 0.6 GROUP BY ALL),
-ns2 AS (SELECT entity, string_agg(source, '+' ORDER BY other, p, source) AS sources FROM ns1 GROUP BY entity) SELECT dec.*, sources FROM dec LEFT JOIN ns2 USING (entity)"""
+_STRENGTH = {"WOS": 0, "MJL": 1, "CURATED": 2, "CRAWLER": 3, "LETPUB": 4}
+_BY = "ORDER BY p, -coalesce(year, 0), -value, source, url"
+_DECIDE = f"""WITH {_RANKED}, u AS (SELECT DISTINCT entity, role, source, value, year, url, p FROM r WHERE status = 'OK' AND value IS NOT NULL),
+pri AS (SELECT * FROM u WHERE role = 'primary' QUALIFY row_number() OVER (PARTITION BY entity {_BY}) = 1),
+sec AS (SELECT *, (SELECT count(*) FROM r WHERE r.status = 'OK' AND r.role = 'secondary' AND r.entity = u.entity AND abs(r.value - u.value) <= 0.6) AS n_any,
+ p <= 2 AS strong, (SELECT count(*) FROM r WHERE r.status = 'OK' AND r.role = 'secondary' AND r.p <= 2 AND r.entity = u.entity AND abs(r.value - u.value) <= 0.6) AS n_auth FROM u WHERE role = 'secondary'),
+an AS (SELECT * FROM sec WHERE n_any >= 2 QUALIFY row_number() OVER (PARTITION BY entity {_BY}) = 1),
+au AS (SELECT * FROM sec WHERE strong AND n_auth >= 2 QUALIFY row_number() OVER (PARTITION BY entity {_BY}) = 1),
+lone AS (SELECT * FROM sec QUALIFY row_number() OVER (PARTITION BY entity {_BY}) = 1),
+near AS (SELECT DISTINCT sec.entity FROM sec JOIN pri ON sec.entity = pri.entity AND abs(sec.value - pri.value) <= 0.6),
+st AS (SELECT entity, value, status FROM r QUALIFY row_number() OVER (PARTITION BY entity ORDER BY value IS NULL, status <> 'OK', p, -coalesce(year, 0), -value, source, url) = 1),
+x AS (SELECT st.entity, st.value AS lv, st.status AS ls, CASE WHEN pri.entity IS NOT NULL AND near.entity IS NOT NULL THEN 1 WHEN pri.entity IS NOT NULL AND au.entity IS NOT NULL THEN 2 WHEN pri.entity IS NOT NULL AND an.entity IS NOT NULL THEN 3
+ WHEN pri.entity IS NOT NULL THEN 4 WHEN an.entity IS NOT NULL THEN 5 ELSE 6 END AS rule, pri.value AS pv, au.value AS av, an.value AS nv, lone.value AS sv,
+ row(pri.source, pri.value, pri.year, pri.url) AS pk, row(au.source, au.value, au.year, au.url) AS ak, row(an.source, an.value, an.year, an.url) AS nk, row(lone.source, lone.value, lone.year, lone.url) AS lk
+ FROM st LEFT JOIN pri USING (entity) LEFT JOIN au USING (entity) LEFT JOIN an USING (entity) LEFT JOIN lone USING (entity) LEFT JOIN near USING (entity)),
+y AS (SELECT entity, rule, lv, ls, sv, CASE WHEN rule IN (1, 4) THEN pv WHEN rule = 2 THEN av WHEN rule IN (3, 5) THEN nv ELSE sv END AS cv, CASE WHEN rule IN (1, 4) THEN pk WHEN rule = 2 THEN ak WHEN rule IN (3, 5) THEN nk ELSE lk END AS ck, pk FROM x),
+m AS (SELECT y.entity, u.source, u.url, u.year, u.p, u.value, CASE WHEN row(u.source, u.value, u.year, u.url) = ck THEN 0 WHEN rule IN (1, 2, 3, 5) AND role = 'secondary' AND (rule <> 2 OR u.p <= 2) AND abs(u.value - cv) <= 0.6 THEN 1
+ WHEN rule IN (2, 3) AND role = 'primary' AND row(u.source, u.value, u.year, u.url) = pk OR rule IN (4, 5) AND role = 'secondary' THEN 2 END AS place FROM u JOIN y USING (entity)),
+o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY place, p, -coalesce(year, 0), -value, source, url) AS n FROM m WHERE place IS NOT NULL),
+q AS (SELECT entity, string_agg(source, '+' ORDER BY n) AS sources FROM (SELECT entity, source, min(n) AS n FROM o GROUP BY entity, source) GROUP BY entity),
+w AS (SELECT entity, arg_min(url, n) FILTER (url <> '') AS url, arg_min(year, n) FILTER (year <> 0) AS year FROM o GROUP BY entity)
+SELECT entity, rule, coalesce(cv, lv) AS value, CASE WHEN rule = 1 THEN 'OK_VALIDATED' WHEN rule IN (2, 3) THEN 'OK_VALIDATED_SECONDARY' WHEN rule = 4 THEN CASE WHEN sv IS NULL THEN 'OK_PRIMARY_ONLY' ELSE 'OK_PRIMARY_UNCONFIRMED' END
+ WHEN rule = 5 THEN 'OK_SECONDARY_VALIDATED' WHEN cv IS NOT NULL THEN 'OK' ELSE ls END AS status, sources, url, year FROM y LEFT JOIN q USING (entity) LEFT JOIN w USING (entity)"""
 
 
 @query("a12_decide_value", _DECIDE)
 def _a12(t):
-    return C.decide_value(_ranked(t))
+    return C.decide_value(_ranked(t), priority=_STRENGTH)
 
 
 @query("a13_weighted_pick", f"WITH {_RANKED}, s AS (SELECT *, (CASE source WHEN 'MJL' THEN 4 WHEN 'CRAWLER' THEN 3 WHEN 'CURATED' THEN 2 WHEN 'BLOG' THEN 1 ELSE 0 END) * 0.7::DOUBLE + year / 2024.0::DOUBLE * 0.3::DOUBLE AS score FROM r) SELECT entity, source, value, year, score FROM s QUALIFY row_number() OVER (PARTITION BY entity ORDER BY NOT value BETWEEN 0.1 AND 200, score DESC, value DESC, source) = 1")

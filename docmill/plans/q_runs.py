@@ -19,12 +19,7 @@ from docmill.streaming import streams as T
 
 def _shared(df: DataFrame) -> str:
     """A new folder under the shared scratch folder, or a temporary one in local mode."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if root is None and not df.sparkSession.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import uuid
-
-    return f"{root or tempfile.gettempdir()}/docmill-{uuid.uuid4().hex}"
+    return S.scratch_path(df.sparkSession)
 
 
 @query("a3_run_stats", "SELECT user_id % 20 AS run, count(*) AS total, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_id % 7 = 0) AS renamed, (list(event_id ORDER BY event_id) FILTER (event_type <> 'error'))[1:5] AS success_items, (list(event_id ORDER BY event_id) FILTER (event_type = 'error'))[1:5] AS error_items FROM events GROUP BY 1")
@@ -79,7 +74,7 @@ def _o4(t):
 
 @query("o5_chunk", "SELECT source, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 8) AS BIGINT) AS chunk, doc_id FROM documents")
 def _o5(t):
-    return R.chunk(t("documents"), 8, "doc_id", within="source").select("source", "chunk", "doc_id")
+    return R.chunk(t("documents").select("source", "doc_id"), 8, "doc_id", within="source").select("source", "chunk", "doc_id")
 
 
 @query("s1_scan_corpus", "SELECT lang || '-' || source AS folder, count(*) AS lines, sum(length(text)) AS chars, min(md5(text)) AS low, max(md5(text)) AS high FROM (SELECT lang, source, translate(text, chr(10) || chr(13), '  ') AS text FROM documents WHERE lang <> 'fr') GROUP BY 1")
@@ -217,3 +212,34 @@ def _t3s(t):
 def _t3(t):
     rows = t("events").select("user_id", "ts", "event_id")
     return T.ttl_lookup(rows, "user_id", "ts", F.lit("2024-01-20").cast("timestamp"))
+
+
+@query("t1_distinct_stream", "SELECT DISTINCT md5(props) AS fingerprint FROM events")
+def _t1d(t):
+    """Repeats within the watermark, of which all of one batch are; only the stream's output counts."""
+    rows = t("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("text"))
+    spark, path = rows.sparkSession, _shared(rows)
+    rows.repartition(4).write.parquet(f"{path}/in")
+    found = T.distinct_stream(T.stream_table(spark, f"{path}/in", rows.schema), "ts").select("fingerprint")
+    found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/out")
+
+
+_TTL_HOURS = 6
+
+
+@query(
+    "t3_expired_stream",
+    f"""WITH e AS (SELECT user_id, event_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL {_TTL_HOURS} HOURS, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS life FROM e), l AS (SELECT user_id, life, max(ts) AS ts, max(row(ts, event_id)) AS last, count(*) AS n FROM s GROUP BY ALL)
+SELECT user_id, last[2] AS event_id, ts + INTERVAL {_TTL_HOURS} HOURS AS expired_at, n FROM l WHERE ts + INTERVAL {_TTL_HOURS} HOURS <= (SELECT max(ts) FROM events)""",
+)
+def _t3e(t):
+    """The lives of values that had ended when the stream had seen all; what is still alive is in its state alone."""
+    rows = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    spark, path = rows.sparkSession, _shared(rows)
+    rows.repartition(4).sortWithinPartitions("ts").write.parquet(f"{path}/in")
+    ended = T.expired_stream(T.stream_table(spark, f"{path}/in", rows.schema), "user_id", "ts", 3600 * _TTL_HOURS)
+    ended.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(ended.schema).parquet(f"{path}/out")
+    return out.select("user_id", "event_id", F.col("expired_at").cast("timestamp_ntz").alias("expired_at"), "n")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from docmill.functions import text as X
 from docmill.operators import report as R
+from docmill.operators import runs as U
 from docmill.plans.registry import query
 
 _S = "[ \\t\\n\\r\\f\\x0B]"
@@ -176,11 +177,25 @@ def _p17(t):
     return rows.select("conv_id", "turn", "prompt")
 
 
-@query("p18_parse_json_responses", "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events")
+_ANSWERS = """a AS (SELECT event_id, json_extract_string(props, '$.k') AS k, event_id % 6 AS i FROM events)"""
+
+
+def _answers(t):
+    p, i = F.col("props"), F.col("event_id") % 6
+    fenced = F.concat(F.lit("Draft:\n```json\n{not json}\n```\nHere:\n```json\n"), p, F.lit("\n```\nDone"))
+    two = F.concat(p, F.lit(" and "), p)
+    return t("events").select("event_id", F.when(i == 0, p).when(i == 1, fenced).when(i == 2, F.concat(F.lit("I found "), p, F.lit(" in it"))).when(i == 3, "none").when(i == 4, two).otherwise(F.concat(p, F.lit(" }"))).alias("answer"))
+
+
+@query("p18_parse_json_responses", f"WITH {_ANSWERS} SELECT event_id, CASE WHEN i < 3 THEN CAST(k AS INTEGER) END AS k FROM a")
 def _p18(t):
-    p, i = F.col("props"), F.col("event_id") % 4
-    answer = F.when(i == 0, p).when(i == 1, F.concat(F.lit("Draft:\n```json\n{not json}\n```\nHere:\n```json\n"), p, F.lit("\n```\nDone"))).when(i == 2, F.concat(F.lit("I found "), p, F.lit(" in it"))).otherwise("none")
-    return t("events").select("event_id", F.get_json_object(R.parse_json_responses(answer), "$.k").cast("int").alias("k"))
+    return _answers(t).select("event_id", F.get_json_object(R.parse_json_responses("answer"), "$.k").cast("int").alias("k"))
+
+
+@query("p18_quarantine", f"WITH {_ANSWERS} SELECT event_id, i < 3 AS parsed FROM a")
+def _p18q(t):
+    parsed, refused = R.split_responses(_answers(t), "answer")
+    return parsed.select("event_id", F.lit(True).alias("parsed")).unionByName(refused.select("event_id", F.lit(False).alias("parsed")))
 
 
 @query(
@@ -303,9 +318,8 @@ def _w5(t):
 
 @query("w6_running_budget", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 60")
 def _w6(t):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, -1)
-    rows = t("lineitem").withColumn("before", F.coalesce(F.sum("l_quantity").over(w), F.lit(0.0)))
-    return rows.where("before < 60").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    return U.running_budget(t("lineitem").select("l_orderkey", *order, "l_quantity"), ["l_orderkey"], order, F.col("l_quantity"), 60).select("l_orderkey", *order)
 
 
 @query("w8_nearest_of_type", "SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, first_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM events")

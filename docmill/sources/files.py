@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +13,14 @@ RUN_EVENT = T.StructType([T.StructField(n, t) for n, t in (("type", T.StringType
 ERROR = T.StructType([T.StructField(n, t) for n, t in (("ts", T.TimestampType()), ("file", T.StringType()), ("type", T.StringType()), ("message", T.StringType()), ("context", T.StringType()))])
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder under the shared one that spark.checkpoint.dir names, or a temporary one in local mode, where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root or tempfile.gettempdir()}/docmill-{uuid.uuid4().hex}"
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A table too small to give every core a full split, dealt out by rows over all cores; any other as it is.
 
@@ -89,30 +100,46 @@ def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 class ResultStore:
-    """One result for each content fingerprint; the latest counts. Appending is one write, reading one aggregation."""
+    """One result for each content fingerprint; the latest counts. Rows are dealt into folders by the first characters of their fingerprint, so that who
+    asks for some fingerprints reads the folders of those only. Appending is one write, reading one aggregation; compacted() gives a store of a file a folder."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, prefix: int = 1):
+        self.spark, self.path, self.prefix = spark, path, prefix
         self.schema = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("stored_at", T.TimestampType()), *schema.fields])
 
+    def _prefix(self) -> Column:
+        return F.left("fingerprint", F.lit(self.prefix))
+
+    def _write(self, rows: DataFrame, path: str) -> None:
+        rows.select(*self.schema.names, self._prefix().alias("prefix")).write.mode("append").partitionBy("prefix").parquet(path)
+
     def append(self, results: DataFrame, at: Column | None = None) -> None:
-        rows = results.withColumn("stored_at", F.current_timestamp() if at is None else at)
-        rows.select(*self.schema.names).write.mode("append").parquet(self.path)
+        self._write(results.withColumn("stored_at", F.current_timestamp() if at is None else at), self.path)
 
-    def _rows(self) -> DataFrame:
+    def rows(self, fingerprints: DataFrame | None = None) -> DataFrame:
+        """All that was ever appended, or that of the folders which some fingerprints belong to; there are at most 16 to the power of prefix folders."""
         try:
-            return self.spark.read.schema(self.schema).parquet(self.path)
+            rows = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("prefix", T.StringType())])).parquet(self.path)
         except Exception as e:  # nothing stored yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], self.schema)
+        if fingerprints is not None:
+            rows = rows.where(F.col("prefix").isin([p for (p,) in fingerprints.select(self._prefix()).distinct().collect()]))
+        return rows.select(*self.schema.names)
 
     def read(self) -> DataFrame:
-        return latest_by_key(self._rows(), "fingerprint", "stored_at")
+        return latest_by_key(self.rows(), "fingerprint", "stored_at")
 
-    def keys(self) -> DataFrame:
+    def keys(self, fingerprints: DataFrame | None = None) -> DataFrame:
         """The fingerprints that are stored, each as often as it is; reads one column and aggregates nothing."""
-        return self._rows().select("fingerprint")
+        return self.rows(fingerprints).select("fingerprint")
+
+    def compacted(self, path: str) -> ResultStore:
+        """The latest row of each fingerprint as a store of its own, one file a folder. This one stays as it is, so a failed run loses nothing."""
+        other = ResultStore(self.spark, path, T.StructType(self.schema.fields[2:]), self.prefix)
+        self._write(self.read().repartition(self._prefix()), path)
+        return other
 
 
 def latest_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:

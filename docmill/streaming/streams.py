@@ -20,11 +20,13 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType, glob: str
 
 def ingest_stream(docs: DataFrame, extract: Callable[[DataFrame], DataFrame], store: ResultStore, checkpoint: str) -> StreamingQuery:
     """Documents as they arrive: those whose fingerprint the store lacks are extracted, once each, and appended.
+    Of the store a batch reads the folders of its own fingerprints.
 
     extract gives rows with the store's columns, fingerprint among them. A batch that runs again finds its own fingerprints stored."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        new = pending(rows.withColumn("fingerprint", fingerprint("text")), store.keys())
+        rows = rows.withColumn("fingerprint", fingerprint("text"))
+        new = pending(rows, store.keys(rows))
         # rows of one fingerprint have one text; of their other columns the least count
         rest = [c for c in new.columns if c != "fingerprint"]
         store.append(extract(new.groupBy("fingerprint").agg(F.min(F.struct(*rest)).alias("r")).select("fingerprint", "r.*")))
@@ -60,6 +62,21 @@ def latest_stream(observations: DataFrame, key: str, ts: str, store: ResultStore
     return observations.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def expired_stream(observations: DataFrame, key: str, ts: str, seconds: int = 86_400, late: str = "0 seconds") -> DataFrame:
+    """T3 with a time to live in the state: (key, the other columns, expired_at, n), one row for each life of a key's value. A life lasts from an
+    observation until none has come for the time to live; its row has the last observation (of one time the largest of the other columns), when it expired, and
+    how many there were. Rows come when the watermark passes their end, and with that leave the state, which holds the keys that are alive and nothing else.
+
+    late: how much later than newer ones an observation may come. Works on a table alike, where all lives are told."""
+    rest = [c for c in observations.columns if c not in (key, ts)]
+    rows = observations.withColumn("__ts", F.col(ts).cast("timestamp"))
+    if observations.isStreaming:
+        rows = rows.withWatermark("__ts", late)
+    last = F.max(F.struct("__ts", *rest)).alias("r")
+    lives = rows.groupBy(F.session_window("__ts", f"{seconds} seconds").alias("w"), key).agg(last, F.count("*").alias("n"))
+    return lives.select(key, *[F.col(f"r.{c}").alias(c) for c in rest], F.col("w.end").alias("expired_at"), "n")
+
+
 def distinct_stream(docs: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
     """T1, in the stream: the first document of each fingerprint within the watermark."""
     rows = docs.withColumn("__ts", F.col(ts).cast("timestamp")).withColumn("fingerprint", fingerprint("text"))

@@ -144,7 +144,8 @@ def test_decisions(spark):
         ("5", "WOS", 7.0, 2023, "OK", None, "secondary"), ("5", "BLOG", 7.1, 2023, "OK", None, "secondary"),
         ("6", "MJL", 18.9, 2023, "OK", None, "secondary"), ("6b", "MJL", None, None, "NO_ACCESS", None, "secondary"),
     ]
-    got = {r.entity: (r.rule, r.value, r.status) for r in consensus.decide_value(spark.createDataFrame(rows, obs)).collect()}
+    strength = {"WOS": 0, "MJL": 1, "CURATED": 2, "CRAWLER": 3, "LETPUB": 4}
+    got = {r.entity: (r.rule, r.value, r.status) for r in consensus.decide_value(spark.createDataFrame(rows, obs), priority=strength).collect()}
     assert got == {
         "1": (1, 10.0, "OK_VALIDATED"), "2": (2, 5.0, "OK_VALIDATED_SECONDARY"), "3": (3, 5.0, "OK_VALIDATED_SECONDARY"), "4": (4, 10.0, "OK_PRIMARY_ONLY"), "4b": (4, 10.0, "OK_PRIMARY_UNCONFIRMED"),
         "5": (5, 7.0, "OK_SECONDARY_VALIDATED"), "6": (6, 18.9, "OK"), "6b": (6, None, "NO_ACCESS"),
