@@ -163,6 +163,14 @@ def extract_pipe_tables(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "pos", (F.size(rows) - 2).alias("n_rows"), F.concat_ws("|", cells).alias("header"))
 
 
+def pipe_table(header: Column, rows: Column) -> Column:
+    """B13, the inverse: a Markdown table of a header and an array of rows; short rows are filled up, long ones cut, a null cell is empty, no header gives an empty text."""
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | ", ""), F.lit(" |"))
+    fit = lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.size(header) - F.size(r), F.lit(0)))), F.lit(1), F.size(header))
+    whole = F.concat(F.array(line(header), line(F.array_repeat(F.lit("---"), F.size(header)))), F.transform(rows, lambda r: line(fit(r))))
+    return F.when(F.size(header) > 0, F.array_join(whole, "\n")).otherwise("")
+
+
 def reduction_stats(docs: DataFrame, condensed: DataFrame | None = None) -> DataFrame:
     """(doc_id, original, cleaned, reduction): the share of characters that condensing took away.
 

@@ -194,13 +194,18 @@ YEARS = (
 )
 
 
+def modal(rows: DataFrame, key: str, value: str, at: str) -> DataFrame:
+    """(key, value, n): the value that a key has most often; ties go to the one at the least place."""
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("n"), F.min(at).alias("__at"))
+    return counts.groupBy(key).agg(F.max_by(F.struct(value, "n"), F.struct("n", -F.col("__at"))).alias("b")).select(key, F.col("b")[value].alias(value), F.col("b.n").alias("n"))
+
+
 def modal_year(docs: DataFrame, first: int = 2010, last: int = 2026) -> DataFrame:
     """(doc_id, year, times): the year found most often in the first and, of texts over 6,000 characters, the last 3,000; ties go to the one seen first."""
     ends = F.array(F.left("text", F.lit(3000)), F.when(F.length("text") > 6000, F.right("text", F.lit(3000))).otherwise(""))
     found = F.flatten(F.transform(ends, lambda s: F.concat(*[F.regexp_extract_all(s, F.lit(p), F.lit(1)) for p in YEARS])))
     rows = docs.select("doc_id", F.posexplode(found).alias("at", "y")).withColumn("y", F.col("y").cast("int")).where(F.col("y").between(first, last))
-    counts = rows.groupBy("doc_id", "y").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    return counts.groupBy("doc_id").agg(F.max_by(F.struct("y", "n"), F.struct("n", -F.col("at"))).alias("b")).select("doc_id", F.col("b.y").alias("year"), F.col("b.n").alias("times"))
+    return modal(rows, "doc_id", "y", "at").select("doc_id", F.col("y").alias("year"), F.col("n").alias("times"))
 
 
 def value_year_from_text(text: Column, label: str = r"(?:journal\s+)?impact\s+factor", low: float = 0.1, high: float = 200.0) -> Column:

@@ -261,3 +261,14 @@ def _b15(t):
 def _b14r(t):
     gone = B.removed_titles(_scored(t).withColumn("kept", O.selected(F.col("blocks"), 1, 3.0, NOISE)))
     return gone.select("doc_id", F.array_join("titles", " > ").alias("titles"))
+
+
+@query(
+    "b13_pipe_table",
+    """SELECT r_name, '| name | key | note |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |' || CASE WHEN n_nationkey % 2 = 0 THEN ' even |' ELSE '  |' END, chr(10) ORDER BY n_nationkey) AS text
+FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
+)
+def _b13i(t):
+    cells = F.array_compact(F.array("n_name", F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, "even")))
+    rows = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", cells.alias("cells")))).alias("rows"))
+    return rows.select("r_name", B.pipe_table(F.array(F.lit("name"), F.lit("key"), F.lit("note")), F.transform("rows", lambda r: r["cells"])).alias("text"))

@@ -17,15 +17,28 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _sql_shown(v: str, m) -> str:
+    return f"CAST(CAST(round(TRY_CAST({v} AS DECIMAL(20,6)), {m.decimals}) AS DECIMAL(20,{m.decimals})) AS VARCHAR) || '{m.unit}'"
+
+
+def _sql_in_range(v: str, m) -> str:
+    number = f"TRY_CAST({v} AS DOUBLE)"
+    return " AND ".join([f"{number} IS NOT NULL"] + ([f"{number} > {m.low}"] if m.low is not None else []) + ([f"{number} < {m.high}"] if m.high is not None else []))
+
+
 def _values(text: str, m) -> str:
     """SQL for one metric's values."""
     parts = []
     for p in m.patterns:
         raw = f"regexp_extract_all({text}, {_q(p)}, 1)"
-        if m.decimals is None:
-            parts.append(f"list_transform({raw}, lambda v: nullif(regexp_replace(trim(regexp_replace(v, '[ \\t\\n\\r]+', ' ', 'g')), '^[ .;,)(]+|[ .;,)(]+$', '', 'g'), ''))")
+        if m.pair:
+            both = f"list_zip({raw}, regexp_extract_all({text}, {_q(p)}, 2))"
+            parts.append(f"list_transform({both}, lambda v: CASE WHEN {_sql_in_range('v[1]', m)} AND {_sql_in_range('v[2]', m)} THEN '(' || {_sql_shown('v[1]', m)} || ', ' || {_sql_shown('v[2]', m)} || ')' END)")
+        elif m.decimals is None:
+            bare = r"regexp_replace(trim(regexp_replace(v, '[ \t\n\r]+', ' ', 'g')), '^[ .;,)(]+|[ .;,)(]+$', '', 'g')"
+            parts.append(f"list_filter(list_transform({raw}, lambda v: {bare}), lambda v: length(v) > {m.longer_than})")
         else:
-            parts.append(f"list_transform({raw}, lambda v: CASE WHEN TRY_CAST(v AS DOUBLE) > {m.low} AND TRY_CAST(v AS DOUBLE) < {m.high} THEN CAST(CAST(round(TRY_CAST(v AS DECIMAL(20,6)), {m.decimals}) AS DECIMAL(20,{m.decimals})) AS VARCHAR) || '{m.unit}' END)")
+            parts.append(f"list_transform({raw}, lambda v: CASE WHEN {_sql_in_range('v', m)} THEN {_sql_shown('v', m)} END)")
     every = f"list_concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
     # the first of equal values stays, in order
     return f"(list_filter(list_filter({every}, lambda v: v IS NOT NULL), lambda v, i: list_position(list_filter({every}, lambda u: u IS NOT NULL), v) = i))[1:{m.cap}]"
@@ -59,15 +72,22 @@ def entry(t):
     return counts.orderBy(F.col("mentions").desc(), "source", "metric")
 
 
+#: A measured sentence: texts, and numbers made of the document's id as (divisor, added), so that the packs of all domains have something to find.
+_MEASURED = (
+    " The device reached an EQE of ", (70, 1), ".5 % and PCE of ", (30, 1), " % with capacity of ", (900, 1), " mAh/g, 90.5 % after ", (500, 2), " cycles. Linear range 0.5 - ", (40, 1), " mM. Response time was ", (60, 1), " s.",
+    " Its structure was ITO/PEDOT:PSS/Layer", (9, 1), "/TPBi/LiF/Al, CIE (0.", (60, 20), ", 0.", (50, 30), "), LT50 = ", (400, 3), " h, luminance of ", (9000, 100), " cd/m2, current efficiency of ", (80, 2), ".5 cd/A, power efficiency of ", (70, 2), ".25 lm/W.",
+    " Jsc of ", (25, 2), ".1 mA/cm2, Voc of 1.", (10, 0), " V, FF of ", (70, 10), ".5 %. Energy density of ", (400, 9), " Wh/kg, coulombic efficiency of ", (99, 1), ".2 %. Sensitivity of ", (700, 5), ".4, detection limit of 0.", (90, 10), " nM.",
+)
+
+
 def _packed(docs):
-    """Documents with a measured sentence made of their own ids, so that domain packs have something to find."""
     n = F.col("doc_id")
-    said = F.concat(F.lit(" The device reached an EQE of "), (n % 70 + 1).cast("string"), F.lit(".5 % and PCE of "), (n % 30 + 1).cast("string"), F.lit(" % with capacity of "), (n % 900 + 1).cast("string"), F.lit(" mAh/g, 90.5 % after "), (n % 500 + 2).cast("string"), F.lit(" cycles. Linear range 0.5 - "), (n % 40 + 1).cast("string"), F.lit(" mM. Response time was "), (n % 60 + 1).cast("string"), F.lit(" s."))
-    return docs.select("doc_id", F.concat("text", said).alias("text"))
+    said = [F.lit(x) if isinstance(x, str) else (n % x[0] + x[1]).cast("string") for x in _MEASURED]
+    return docs.select("doc_id", F.concat("text", *said).alias("text"))
 
 
-_PACKED = "p AS (SELECT doc_id, text || ' The device reached an EQE of ' || (doc_id % 70 + 1) || '.5 % and PCE of ' || (doc_id % 30 + 1) || ' % with capacity of ' || (doc_id % 900 + 1) || ' mAh/g, 90.5 % after ' || (doc_id % 500 + 2) || ' cycles. Linear range 0.5 - ' || (doc_id % 40 + 1) || ' mM. Response time was ' || (doc_id % 60 + 1) || ' s.' AS text FROM documents)"
-_DOMAIN = [("oled", "eqe"), ("solar_cell", "pce"), ("battery", "capacity"), ("battery", "cycling_stability"), ("battery", "energy_density"), ("sensor", "sensitivity"), ("sensor", "detection_limit"), ("sensor", "response_time")]
+_PACKED = "p AS (SELECT doc_id, text || " + " || ".join(f"'{x}'" if isinstance(x, str) else f"(doc_id % {x[0]} + {x[1]})" for x in _MEASURED) + " AS text FROM documents)"
+_DOMAIN = [(pk, n) for pk in ("oled", "solar_cell", "battery", "sensor") for n in PACKS[pk].metrics]
 
 
 @query("x2_rule_packs", f"WITH {_PACKED}, m AS (" + " UNION ALL ".join(f"SELECT doc_id, '{pk}' AS pack, '{n}' AS metric, {_values('text', PACKS[pk].metrics[n])} AS vals FROM p" for pk, n in _DOMAIN) + ") SELECT doc_id, pack, metric, vals[1] AS value FROM m WHERE len(vals) > 0")
@@ -206,9 +226,15 @@ def _x11(t):
     return D.title_blocks(D.title_lines(t("documents").select("doc_id", "text"))).select("doc_id", "title", "score")
 
 
-@query("x10_page_titles", "SELECT page_id, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)', 1), '[ \\t\\n\\r]+', ' ', 'g')) AS title FROM pages")
+_PAGE_TEXT = r"pg AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(regexp_replace(html, '<(?:style|script|title)[^>]*>[^<]*', '', 'g'), '</?(?:p|h1|div|li|br)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS text FROM pages)"
+
+
+@query("x10_page_titles", f"WITH {_PAGE_TEXT}, {_TITLES.replace('FROM documents', 'FROM pg')}, s AS (SELECT doc_id, title, CAST({_TITLE_SCORE} AS INTEGER) AS score, place FROM l3 WHERE place < 20 AND NOT bad) SELECT doc_id AS page_id, title, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place, title) = 1")
 def _x10p(t):
-    return t("pages").select("page_id", F.trim(F.regexp_replace(F.regexp_extract("html", "<h1[^>]*>([^<]*)", 1), "[ \t\n\r]+", " ")).alias("title"))
+    """Titles of pages, of whose blocks each is a line."""
+    bare = F.regexp_replace("html", "<(?:style|script|title)[^>]*>[^<]*", "")
+    text = F.regexp_replace(F.regexp_replace(bare, "</?(?:p|h1|div|li|br)[^>]*>", "\n"), "<[^>]*>", "")
+    return D.rank_titles(t("pages").select(F.col("page_id").alias("doc_id"), text.alias("text")), with_blocks=False).withColumnRenamed("doc_id", "page_id")
 
 
 _PAIR = "(?:^|[^A-Za-z])([A-Z][a-z]+ [A-Z][a-z]+)(?:$|[^A-Za-z])"
@@ -220,22 +246,27 @@ def _x12(t):
 
 
 def _numbered(docs):
+    """Documents with a sentence of numbers in them, at places from their start to past what the operators look at; the SQL twins read the same texts."""
     n = F.col("doc_id")
     body = F.concat(F.lpad(n.cast("string"), 4, "1"), F.lit("-"), F.lpad((n % 997).cast("string"), 4, "2"))
     tail = F.concat(F.lpad((n + 7).cast("string"), 4, "3"), F.lit("-"), F.lpad((n % 991).cast("string"), 4, "4"))
     said = F.when(n % 3 == 0, F.concat(F.lit(" Print ISSN "), body, F.lit(" Online ISSN "), tail)).when(n % 3 == 1, F.concat(F.lit(" "), body, F.lit(" and "), tail)).otherwise("")
     said = F.concat(said, F.lit(" (impact factor: "), (n % 40 + 1).cast("string"), F.lit(".5) "), F.when(n % 2 == 0, F.concat(F.lit("in "), (n % 20 + 2005).cast("string"), F.lit(". published "), (n % 20 + 2005).cast("string"))).otherwise(""), F.lit(" end. "))
-    return docs.select("doc_id", F.concat(said, "text").alias("text"))
+    at = (n * 37 % 6000).cast("int")
+    return docs.select("doc_id", F.concat(F.left("text", at), said, F.substring("text", at + 1, F.length("text"))).alias("text"))
 
 
-_NUMBERED = """n AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 4, '1') || '-' || lpad(CAST(doc_id % 997 AS VARCHAR), 4, '2') AS body, lpad(CAST(doc_id + 7 AS VARCHAR), 4, '3') || '-' || lpad(CAST(doc_id % 991 AS VARCHAR), 4, '4') AS tail,
- doc_id % 20 + 2005 AS y, doc_id % 40 + 1.5 AS v FROM documents)"""
+_NUMBERED = """n AS (SELECT doc_id, text, CAST(doc_id * 37 % 6000 AS INT) AS place, lpad(CAST(doc_id AS VARCHAR), 4, '1') || '-' || lpad(CAST(doc_id % 997 AS VARCHAR), 4, '2') AS body, lpad(CAST(doc_id + 7 AS VARCHAR), 4, '3') || '-' || lpad(CAST(doc_id % 991 AS VARCHAR), 4, '4') AS tail FROM documents),
+t AS (SELECT doc_id, left(text, place) || CASE doc_id % 3 WHEN 0 THEN ' Print ISSN ' || body || ' Online ISSN ' || tail WHEN 1 THEN ' ' || body || ' and ' || tail ELSE '' END || ' (impact factor: ' || (doc_id % 40 + 1) || '.5) '
+ || CASE WHEN doc_id % 2 = 0 THEN 'in ' || (doc_id % 20 + 2005) || '. published ' || (doc_id % 20 + 2005) ELSE '' END || ' end. ' || substr(text, place + 1) AS text FROM n)"""
+_ISSN = "([0-9]{4}-?[0-9]{3}[0-9Xx])"
+_ISSNS = rf"""i AS (SELECT doc_id, nullif(regexp_extract(left(text, 5000), '(?i)\b(?:e-?issn|electronic\s+issn|online\s+issn)\b[^0-9A-Za-z]{{0,10}}{_ISSN}', 1), '') AS e,
+ nullif(regexp_extract(left(text, 5000), '(?i)(?:^|[^-A-Za-z])(?:p-?issn|print\s+issn|issn\s*\(print\)|issn)\b[^0-9A-Za-z]{{0,10}}{_ISSN}', 1), '') AS p, regexp_extract_all(left(text, 5000), '\b{_ISSN}\b', 1) AS plain FROM t)"""
 
 
-@query("x13_issn_candidates", f"WITH {_NUMBERED} SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN body END AS issn, CASE WHEN doc_id % 3 < 2 AND tail <> body THEN tail END AS eissn FROM n WHERE doc_id % 3 < 2")
+@query("x13_issn_candidates", f"WITH {_NUMBERED}, {_ISSNS} SELECT doc_id, coalesce(p, plain[1]) AS issn, coalesce(e, CASE WHEN len(plain) > 1 THEN (list_filter(plain, lambda x: x <> coalesce(p, plain[1])))[1] END) AS eissn FROM i")
 def _x13(t):
-    rows = _numbered(t("documents"))
-    return rows.select("doc_id", D.issn_candidates(F.col("text")).alias("c")).select("doc_id", "c.issn", "c.eissn").where("doc_id % 3 < 2")
+    return _numbered(t("documents")).select("doc_id", D.issn_candidates(F.col("text")).alias("c")).select("doc_id", "c.issn", "c.eissn")
 
 
 @query("x14_normalize_name", "WITH p AS (SELECT p_partkey, lower(trim(p_name)) AS c FROM part) SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(c) ELSE upper(trim(regexp_replace(c, '[^a-z0-9]+', ' ', 'g'))) END AS name FROM p")
@@ -252,7 +283,7 @@ def _x15(t):
     return D.name_from_hints(rows, "t", {".org/": "Organisation", ".com/": "Company"}, F.when(F.col("page_id") % 2 == 0, F.lit("fallback"))).select("page_id", "name")
 
 
-@query("x16_value_from_head", f"WITH {_NUMBERED} SELECT doc_id, CAST(v AS DOUBLE) AS value FROM n")
+@query("x16_value_from_head", f"WITH {_NUMBERED}, v AS (SELECT doc_id, TRY_CAST(regexp_extract(left(text, 3000), '(?i)impact\\s+factor[^0-9]{{0,20}}([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) AS v FROM t) SELECT doc_id, CASE WHEN v > 0.1 AND v < 200 THEN v END AS value FROM v")
 def _x16(t):
     return _numbered(t("documents")).select("doc_id", D.value_from_head(F.col("text")).alias("value"))
 
@@ -274,8 +305,8 @@ def _x17(t):
 
 @query("x17_modal_order_year", "WITH c AS (SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n, min(o_orderkey) AS pl FROM orders GROUP BY ALL) SELECT o_custkey, y AS year, n AS times FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, pl) = 1")
 def _x17o(t):
-    counts = t("orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("at"))
-    return counts.groupBy("o_custkey").agg(F.max_by(F.struct("y", "n"), F.struct("n", -F.col("at"))).alias("b")).select("o_custkey", F.col("b.y").alias("year"), F.col("b.n").alias("times"))
+    rows = t("orders").select("o_custkey", F.year("o_orderdate").alias("y"), F.col("o_orderkey").alias("at"))
+    return D.modal(rows, "o_custkey", "y", "at").select("o_custkey", F.col("y").alias("year"), F.col("n").alias("times"))
 
 
 @query("x18_first_class", "SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"regexp_matches(text, {_q(p)})" for p in ps) + f" THEN '{n}'" for n, ps in CORPUS.classes.items()) + " END AS class FROM documents")
@@ -292,7 +323,12 @@ def _x19(t):
     return t("documents").select("doc_id", F.array_join(tags, ",").alias("tags"), M.tag_summary(tags).alias("summary"))
 
 
-@query("p24_value_year_from_text", f"WITH {_NUMBERED} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN y END AS year, CAST(v AS DOUBLE) AS value FROM n")
+_LABEL, _NUMBER = r"(?:journal\s+)?impact\s+factor", r"([0-9]+(?:\.[0-9]+)?)"
+_SHAPES = ((rf"(?i)(20[0-9]{{2}})[^0-9]{{0,20}}{_LABEL}[^0-9]{{0,20}}{_NUMBER}", 1, 2), (rf"(?i){_LABEL}[^0-9]{{0,20}}{_NUMBER}[^0-9]{{1,20}}(20[0-9]{{2}})", 2, 1), (rf"(?i){_LABEL}[^0-9]{{0,20}}{_NUMBER}", 0, 1))
+_TRIES = ", ".join(f"TRY_CAST(regexp_extract(text, {_q(p)}, {v}) AS DOUBLE) AS v{i}, " + (f"TRY_CAST(regexp_extract(text, {_q(p)}, {y}) AS INTEGER)" if y else "CAST(NULL AS INTEGER)") + f" AS y{i}" for i, (p, y, v) in enumerate(_SHAPES))
+
+
+@query("p24_value_year_from_text", f"WITH {_NUMBERED}, v AS (SELECT doc_id, {_TRIES} FROM t) SELECT doc_id, CASE WHEN v0 BETWEEN 0.1 AND 200 THEN y0 WHEN v1 BETWEEN 0.1 AND 200 THEN y1 END AS year, CASE WHEN v0 BETWEEN 0.1 AND 200 THEN v0 WHEN v1 BETWEEN 0.1 AND 200 THEN v1 WHEN v2 BETWEEN 0.1 AND 200 THEN v2 END AS value FROM v")
 def _p24(t):
     return _numbered(t("documents")).select("doc_id", D.value_year_from_text(F.col("text")).alias("x")).select("doc_id", "x.year", "x.value")
 

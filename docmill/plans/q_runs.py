@@ -243,3 +243,26 @@ def _t3e(t):
     ended.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema(ended.schema).parquet(f"{path}/out")
     return out.select("user_id", "event_id", F.col("expired_at").cast("timestamp_ntz").alias("expired_at"), "n")
+
+
+@query("s2_read_text_store", "SELECT md5(s_name) AS fingerprint, CASE WHEN s_suppkey % 3 = 0 THEN 'old ' ELSE 'new ' END || s_name AS text FROM supplier")
+def _s2(t):
+    """A text for each supplier under the legacy suffix, and for two of three another under the new one."""
+    rows = t("supplier").select(F.md5("s_name").alias("f"), "s_name", "s_suppkey")
+    old = rows.select(F.concat("f", F.lit(".md")).alias("name"), F.concat(F.lit("old "), "s_name").alias("value"))
+    new = rows.where("s_suppkey % 3 > 0").select(F.concat("f", F.lit(".text.md")).alias("name"), F.concat(F.lit("new "), "s_name").alias("value"))
+    path = _shared(rows)
+    old.unionByName(new).write.partitionBy("name").text(path)
+    found = S.read_text_store(rows.sparkSession, path, name=F.regexp_extract("path", "/name=([^/]*)/", 1))
+    return found.select("fingerprint", F.trim(F.regexp_replace("text", "\n$", "")).alias("text"))
+
+
+@query("s7_malformed_lines", "SELECT event_type, count(*) AS n FROM events WHERE event_id % 5 < 3 GROUP BY 1")
+def _s7m(t):
+    """Of five lines of a log one is cut, one is a bare word, one a list; two are events."""
+    i, p = F.col("event_id") % 5, F.concat(F.lit('{"type": "'), "event_type", F.lit('", "total": 1}'))
+    line = F.when(i == 0, F.concat(F.lit("cut "), F.left(p, F.lit(10)), F.col("event_type"))).when(i == 1, F.concat(F.lit("word "), "event_type")).when(i == 2, F.concat(F.lit('["'), "event_type", F.lit('"]'))).otherwise(p)
+    rows = t("events").select(line.alias("value"))
+    path = _shared(rows)
+    rows.write.text(path)
+    return S.malformed_lines(rows.sparkSession, path).groupBy(F.regexp_extract("line", "([a-z]+)[^a-z]*$", 1).alias("event_type")).agg(F.count("*").alias("n"))

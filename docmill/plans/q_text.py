@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions import text as X
 from docmill.operators import report as R
+from docmill.operators import rows as W
 from docmill.operators import runs as U
 from docmill.plans.registry import query
 
@@ -251,37 +251,34 @@ def _u1(t):
 
 @query("u3_ordered_distinct", "WITH f AS (SELECT conv_id, role, min(turn) AS pl FROM conversations GROUP BY conv_id, role) SELECT conv_id, string_agg(role, ',' ORDER BY pl) AS roles FROM f GROUP BY conv_id")
 def _u3(t):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
-    return t("conversations").groupBy("conv_id").agg(F.array_join(F.array_distinct(ordered), ",").alias("roles"))
+    return W.ordered_distinct(t("conversations"), ["conv_id"], "turn", "role").select("conv_id", F.array_join("values", ",").alias("roles"))
 
 
 @query("u4_difference", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000)")
 def _u4(t):
-    return t("customer").join(t("orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    urgent = t("orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 300000")
+    return W.difference(t("customer"), urgent, "c_custkey", "o_custkey").select("c_custkey")
 
 
 @query("w1_keep_first", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def _w1(t):
-    return t("documents").groupBy(X.fingerprint("text").alias("fp")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return W.keep_first(t("documents").select("doc_id", X.fingerprint("text").alias("fp")), [F.col("fp")], ["doc_id"]).select("doc_id")
 
 
 @query("w2_top_n", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) <= 2")
 def _w2(t):
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.col("l_extendedprice").desc(), "l_linenumber", "l_partkey", "l_suppkey"))
-    return t("lineitem").withColumn("n", n).where("n <= 2").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return W.top_n(t("lineitem"), ["l_orderkey"], 2, F.col("l_extendedprice").desc(), "l_linenumber", "l_partkey", "l_suppkey").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
 @query("w3_gaps_and_islands", "WITH f AS (SELECT conv_id, turn, role, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) <> role, true) AS s FROM conversations), g AS (SELECT *, sum(CAST(s AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM f) SELECT conv_id, CAST(island AS BIGINT) AS island, min(role) AS role, count(*) AS turns FROM g GROUP BY conv_id, island")
 def _w3(t):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = t("conversations").withColumn("s", F.coalesce(F.lag("role").over(w) != F.col("role"), F.lit(True)))
-    return rows.withColumn("island", F.sum(F.col("s").cast("int")).over(w)).groupBy("conv_id", "island").agg(F.min("role").alias("role"), F.count("*").alias("turns"))
+    return W.islands(t("conversations"), ["conv_id"], ["turn"], "role").groupBy("conv_id", "island").agg(F.min("role").alias("role"), F.count("*").alias("turns"))
 
 
 @query("w7_priority_pick", "SELECT l_partkey, l_suppkey AS source, l_extendedprice AS value FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey, year(l_shipdate) DESC, l_extendedprice DESC, l_orderkey, l_linenumber) = 1")
 def _w7(t):
-    w = Window.partitionBy("l_partkey").orderBy("l_suppkey", F.year("l_shipdate").desc(), F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber")
-    return t("lineitem").withColumn("n", F.row_number().over(w)).where("n = 1").select("l_partkey", F.col("l_suppkey").alias("source"), F.col("l_extendedprice").alias("value"))
+    rows = t("lineitem").select("l_partkey", F.col("l_suppkey").alias("source"), F.col("l_extendedprice").alias("value"), F.year("l_shipdate").alias("year"), "l_orderkey", "l_linenumber")
+    return W.priority_pick(rows, ["l_partkey"], [F.col("source"), -F.col("year"), -F.col("value"), F.col("l_orderkey"), F.col("l_linenumber")], ["source", "value"])
 
 
 @query("w9_duplicate_suffix", "SELECT p_partkey, CASE WHEN n > 0 THEN p_name || '_' || n ELSE p_name END AS p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS n FROM part)")
@@ -297,23 +294,20 @@ def _s5(t):
 @query("u2_union_distinct", "SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' UNION SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O'")
 def _u2(t):
     rows = t("lineitem")
-    return rows.where("l_returnflag = 'R'").select("l_orderkey").unionByName(rows.where("l_linestatus = 'O'").select("l_orderkey")).distinct()
+    return W.union_distinct(rows.where("l_returnflag = 'R'").select("l_orderkey"), rows.where("l_linestatus = 'O'").select("l_orderkey"))
 
 
-def _by_user():
-    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+_BY_USER = ["user_id"], ["ts", "event_id"]
 
 
 @query("w4_neighbourhood", "SELECT event_id, max(CAST(event_type = 'error' AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near_error FROM events")
 def _w4(t):
-    near = F.max((F.col("event_type") == "error").cast("int")).over(_by_user().rowsBetween(-2, 2))
-    return t("events").select("event_id", near.alias("near_error"))
+    return W.near(t("events"), *_BY_USER, F.col("event_type") == "error", 2, 2, name="near_error").select("event_id", "near_error")
 
 
 @query("w5_carry_forward", "SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_error FROM events")
 def _w5(t):
-    last = F.last(F.when(F.col("event_type") == "error", F.col("event_id")), ignorenulls=True).over(_by_user().rowsBetween(Window.unboundedPreceding, 0))
-    return t("events").select("event_id", last.alias("last_error"))
+    return W.carry_forward(t("events"), *_BY_USER, F.when(F.col("event_type") == "error", F.col("event_id")), name="last_error").select("event_id", "last_error")
 
 
 @query("w6_running_budget", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 60")
@@ -324,7 +318,4 @@ def _w6(t):
 
 @query("w8_nearest_of_type", "SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, first_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM events")
 def _w8(t):
-    error = F.when(F.col("event_type") == "error", F.col("event_id"))
-    before = F.last(error, ignorenulls=True).over(_by_user().rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(error, ignorenulls=True).over(_by_user().rowsBetween(1, Window.unboundedFollowing))
-    return t("events").select("event_id", before.alias("before"), after.alias("after"))
+    return W.nearest_of_type(t("events"), *_BY_USER, F.when(F.col("event_type") == "error", F.col("event_id"))).select("event_id", "before", "after")
\ No newline at end of file

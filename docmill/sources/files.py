@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,32 +42,74 @@ def scan_corpus(spark: SparkSession, path: str, glob: str = "*.txt", recursive:
     return rows.select(F.col("file_path").alias("path"), F.col("file_name").alias("name"), F.col("file_size").alias("size"), F.col("value").alias("text"))
 
 
-def read_text_store(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".text.md", ".md")) -> DataFrame:
-    """(fingerprint, text): files named by fingerprint and suffix; of several the one with the earliest suffix counts."""
-    rows = scan_corpus(spark, path, "*" + suffixes[-1][suffixes[-1].rindex(".") :])
+def read_text_store(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".text.md", ".md"), name: Column | None = None) -> DataFrame:
+    """(fingerprint, text): files named by fingerprint and suffix; of several the one with the earliest suffix counts.
+
+    name: where the name stands, if not in the file's own: an expression of path, such as the folder that a writer puts it in."""
+    own = name is None
+    rows = scan_corpus(spark, path, "*" + suffixes[-1][suffixes[-1].rindex(".") :] if own else "*").withColumn("name", F.col("name") if own else name)
     found = F.coalesce(*[F.when(F.col("name").endswith(s), F.struct(F.lit(i).alias("prio"), F.left("name", F.length("name") - len(s)).alias("fingerprint"))) for i, s in enumerate(suffixes)])
     rows = rows.withColumn("f", found).where("f is not null")
     return rows.groupBy(F.col("f.fingerprint").alias("fingerprint")).agg(F.min_by("text", F.struct("f.prio", "path")).alias("text"))
 
 
-def read_tables_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: (path, caption, pos, header, cells): the rows of CSV tables of any width; the first row of a file is its header, its stem the caption.
+# a cell is quoted, with quotes doubled, or holds no comma and no line break; quotes within it are its own
+_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,\n]*+|[^,\n]*+)'
+
+
+def _cells(record: Column) -> Column:
+    """The cells of a record; blanks around a plain one go."""
+    raw = F.regexp_extract_all(F.concat(F.regexp_replace(record, "\r$", ""), F.lit(",")), F.lit(f"({_CELL}),"), F.lit(1))
+    quoted = lambda c: F.concat(F.replace(F.regexp_extract(c, r'^"([^"]*+(?:""[^"]*+)*+)"', 1), F.lit('""'), F.lit('"')), F.regexp_replace(c, r'^"[^"]*+(?:""[^"]*+)*+"', ""))
+    return F.transform(raw, lambda c: F.when(c.startswith('"'), quoted(c)).otherwise(F.trim(c)))
 
-    Cells may be quoted, with quotes doubled; a line break ends a row."""
-    files = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(path, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("_metadata.file_name", r"\.csv$", "").alias("caption"), F.split(F.regexp_replace("value", "[\r\n]+$", ""), "\r?\n").alias("lines"))
-    lines = files.select("path", "caption", F.posexplode("lines").alias("pos", "line"))
-    # every cell is ended by a comma, the last one too
-    raw = F.regexp_extract_all(F.concat("line", F.lit(",")), F.lit('("(?:[^"]|"")*"|[^,]*),'), F.lit(1))
-    plain = F.transform(raw, lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(F.trim(c)))
-    rows = lines.select("path", "caption", "pos", plain.alias("cells"))
+
+def _with_header(rows: DataFrame) -> DataFrame:
     header = rows.where("pos = 0").select("path", F.col("cells").alias("header"))
     return rows.where("pos > 0").join(header.hint("merge"), "path").select("path", "caption", "pos", "header", "cells")
 
 
-def write_json(results: DataFrame, path: str) -> None:
-    """Nested results, one JSON object a line."""
-    results.write.mode("overwrite").json(path)
+def read_tables_csv(spark: SparkSession, path: str, large: int = 64 << 20) -> DataFrame:
+    """S3: (path, caption, pos, header, cells): the rows of CSV tables of any width; the first row of a file is its header, its stem the caption.
+
+    Cells may be quoted, with quotes doubled and line breaks kept. Blank lines are no rows. Files of up to ``large`` bytes are read whole, larger ones by lines in as
+    many tasks as they have splits, see read_large_csv."""
+    files = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+    small = files.text(path, wholetext=True).where(F.col("_metadata.file_size") <= large)
+    small = small.select(F.col("_metadata.file_path").alias("path"), _stem("_metadata.file_name"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
+    records = F.regexp_extract_all("value", F.lit(rf"(?=[^\n]){_CELL}(?:,{_CELL})*+"), F.lit(0))
+    rows = small.select("path", "caption", F.posexplode(records).alias("pos", "record")).select("path", "caption", F.col("pos").cast("long").alias("pos"), _cells(F.col("record")).alias("cells"))
+    return _with_header(rows).unionByName(read_large_csv(spark, path, large))
+
+
+def _stem(name: str) -> Column:
+    return F.regexp_replace(name, r"\.csv$", "").alias("caption")
+
+
+def read_large_csv(spark: SparkSession, path: str, over: int = 0) -> DataFrame:
+    """S3 for files of more than ``over`` bytes: lines are read in splits; the quotes of a split, odd or even, say whether the next begins within a cell, and
+    so which lines begin a record. A split is ordered and numbered by itself, and the sums of splits run over a few rows for each file; only the lines of one record,
+    where it has several, are put together by a shuffle. Quotes have to be balanced, as those around and within quoted cells are."""
+    lines = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(path).where(F.col("_metadata.file_size") > over)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), _stem("_metadata.file_name"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = lines.withColumn("q", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    own = Window.partitionBy("path", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    quotes = lines.groupBy("path", "split").agg(F.sum("q").alias("q")).select("path", "split", F.coalesce(F.sum("q").over(earlier), F.lit(0)).alias("q0"))
+    lines = lines.join(quotes.hint("merge"), ["path", "split"]).withColumn("inside", (F.col("q0") + F.coalesce(F.sum("q").over(own), F.lit(0))) % 2 == 1)
+    lines = lines.where(F.col("inside") | (F.trim("value") != "")).withColumn("opens", (~F.col("inside")).cast("long"))
+    opened = lines.groupBy("path", "split").agg(F.sum("opens").alias("n")).select("path", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"))
+    upto = Window.partitionBy("path", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.join(opened.hint("merge"), ["path", "split"]).withColumn("pos", F.col("n0") + F.sum("opens").over(upto) - 1)
+    record = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "at", "value"))), lambda x: x["value"]), "\n")
+    rows = lines.groupBy("path", "caption", "pos").agg(record.alias("record"))
+    return _with_header(rows.select("path", "caption", "pos", _cells(F.col("record")).alias("cells")))
+
+
+def write_json(results: DataFrame, path: str, by: str | None = None) -> None:
+    """Nested results, one JSON object a line; by a value from the largest on, none last, through the files in the order of their names."""
+    ordered = results if by is None else results.orderBy(F.desc_nulls_last(by))
+    ordered.write.mode("overwrite").json(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

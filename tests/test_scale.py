@@ -160,3 +160,35 @@ def test_expired_values_leave_the_state(spark, tmp_path):
     assert held[-1] == 1
     table = spark.createDataFrame([r for b in batches for r in b], schema)
     assert sorted(r.k for r in T.expired_stream(table, "k", "ts", 600).collect()) == ["a", "b", "c"]
+
+
+CSV = 'h1,h2,h3\r\n"a\nb, ""c""",2,x"y\r\n\r\nd,,"say ""hi"" \n\n there"\r\n  e ,"","f"g\n'
+
+
+@pytest.mark.parametrize("large, odd", [(1 << 20, 'x"y'), (0, "xy")])
+def test_csv_cells_keep_their_line_breaks(spark, tmp_path, large, odd):
+    """Read by lines, quotes have to be balanced."""
+    (tmp_path / "t.csv").write_text(CSV.replace('x"y', odd), newline="")
+    got = [(r.pos, r.header, r.cells) for r in S.read_tables_csv(spark, str(tmp_path), large).orderBy("pos").collect()]
+    head = ["h1", "h2", "h3"]
+    assert got == [(1, head, ['a\nb, "c"', "2", odd]), (2, head, ["d", "", 'say "hi" \n\n there']), (3, head, ["e", "", "fg"])]
+
+
+def test_a_large_csv_is_read_by_several_tasks(spark, tmp_path):
+    rows = [f'{i},"line {i}\n""more"" of it, {"x" * (i % 50)}",{i * i}' for i in range(20_000)]
+    (tmp_path / "big.csv").write_text("a,b,c\n" + "\n".join(rows) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        got = {r.pos: r.cells for r in S.read_tables_csv(spark, str(tmp_path), 0).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 20_000
+    assert all(got[i + 1] == [str(i), f'line {i}\n"more" of it, {"x" * (i % 50)}', str(i * i)] for i in range(20_000))
+
+
+def test_results_are_written_by_value(spark, tmp_path):
+    S.write_json(spark.createDataFrame([(1, 2.0), (2, None), (3, 9.0), (4, 5.0)], "i long, v double"), str(tmp_path / "r"), by="v")
+    said = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
+    assert re.findall(r'"i":(\d)', said) == ["3", "4", "1", "2"]
