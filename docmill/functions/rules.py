@@ -6,7 +6,11 @@ be added. Patterns are Java and RE2 alike: no look-around.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import cache
+from re import _constants as sre
+from re import _parser as sre_parser
 
 from pyspark.sql import types as T
 
@@ -37,6 +41,42 @@ class RulePack:
     important: tuple[str, ...] = ()
 
 
+def _needed(parts) -> frozenset[str] | None:
+    """Lower-case texts of two characters and more, one of which stands in whatever the parts of a pattern match; None where there are none. Of several such
+    sets the one whose shortest text is longest."""
+    found, run = [], ""
+
+    def end() -> None:
+        nonlocal run
+        if len(run) > 1:
+            found.append(frozenset([run]))
+        run = ""
+
+    for op, arg in parts:
+        if op is sre.LITERAL:
+            run += chr(arg).lower()
+        elif op is sre.IN and all(kind is sre.LITERAL for kind, _ in arg) and len({chr(x).lower() for _, x in arg}) == 1:
+            run += chr(arg[0][1]).lower()
+        elif op is not sre.AT:
+            end()
+            if op is sre.SUBPATTERN:
+                found.append(_needed(arg[3]))
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
+                found.append(_needed(arg[2]))
+            elif op is sre.BRANCH:
+                each = [_needed(b) for b in arg[1]]
+                found.append(frozenset().union(*each) if all(each) else None)
+    end()
+    return max((f for f in found if f), key=lambda f: min(map(len, f)), default=None)
+
+
+@cache
+def needed_words(patterns: tuple[str, ...]) -> frozenset[str] | None:
+    """Lower-case texts without any of which none of the patterns can match, whatever their case; None where a pattern needs no word."""
+    each = [_needed(sre_parser.parse(p, re.NOFLAG)) for p in patterns]
+    return frozenset().union(*each) if each and all(each) else None
+
+
 # The patterns, ranges, labels and word lists below are fixed values: results must equal those of the rules that they state.
 
 _PERCENT = r"([0-9]+\.?[0-9]*)\s*%"

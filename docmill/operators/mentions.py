@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.rules import Metric, RulePack
-from docmill.functions.text import squeeze
+from docmill.functions.rules import Metric, RulePack, needed_words
+from docmill.functions.text import let, squeeze
 
 _MARK = "\x01"
 
@@ -28,8 +28,20 @@ def _in_range(value: Column, metric: Metric) -> Column:
     return ok
 
 
-def metric_values(text: Column, metric: Metric) -> Column:
-    """X1 for one metric: all values in the order of patterns, in range, in one form, each once, at most cap."""
+def _may_match(low: Column, patterns: tuple[str, ...]) -> Column:
+    words = needed_words(patterns)
+    return F.lit(True) if words is None else reduce(or_, [low.contains(w) for w in sorted(words)])
+
+
+def gates(text: Column, pack: RulePack) -> Column:
+    """struct of whether a text can match a metric's patterns, and those of labels (column labels), at all: whether it holds one of the words that they need.
+    Worked out once for a text, it spares each of its sentences the patterns."""
+    groups = {n: m.patterns for n, m in pack.metrics.items()} | {"labels": pack.labels}
+    return let(F.lower(text), lambda low: F.struct(*[(_may_match(low, p) if p else F.lit(False)).alias(n) for n, p in groups.items()]))
+
+
+def metric_values(text: Column, metric: Metric, may: Column | None = None) -> Column:
+    """X1 for one metric: all values in the order of patterns, in range, in one form, each once, at most cap. may: what is known of the text from gates()."""
     found = []
     for p in metric.patterns:
         if metric.pair:
@@ -43,14 +55,16 @@ def metric_values(text: Column, metric: Metric) -> Column:
         else:
             found.append(F.transform(raw, lambda v: F.when(_in_range(v.try_cast("double"), metric), _shown(v.try_cast("decimal(20,6)"), metric))))
     # most texts match no pattern: the cheap test spares them the arrays
-    hit = reduce(lambda a, b: a | b, [text.rlike(p) for p in metric.patterns])
+    hit = reduce(or_, [text.rlike(p) for p in metric.patterns])
+    if may is not None:
+        hit = may & hit
     return F.when(hit, F.slice(F.array_distinct(F.array_compact(F.concat(*found))), 1, metric.cap)).otherwise(F.array().cast("array<string>"))
 
 
 def extract_mentions(docs: DataFrame, pack: RulePack) -> DataFrame:
     """Mentions (doc_id, metric, pos, value)."""
     text = F.coalesce("text", F.lit(""))
-    all_ = F.array(*[F.struct(F.lit(name).alias("metric"), metric_values(text, m).alias("values")) for name, m in pack.metrics.items()])
+    all_ = let(gates(text, pack), lambda g: F.array(*[F.struct(F.lit(name).alias("metric"), metric_values(text, m, g[name]).alias("values")) for name, m in pack.metrics.items()]))
     rows = docs.select("doc_id", F.explode(all_).alias("m"))
     return rows.select("doc_id", F.col("m.metric").alias("metric"), F.posexplode("m.values").alias("pos", "value"))
 
@@ -61,10 +75,17 @@ def record_label(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*tries) if tries else F.lit(None).cast("string")
 
 
-def signal_score(text: Column, pack: RulePack) -> Column:
-    """The weights of the signal metrics that the text has a value of, and 1 for a label."""
-    parts = [F.when(F.size(metric_values(text, pack.metrics[n])) > 0, w).otherwise(0) for n, w in pack.signals.items()]
-    return reduce(add, parts) + F.when(record_label(text, pack.labels).isNotNull(), 1).otherwise(0)
+def has_value(text: Column, metric: Metric) -> Column:
+    """Whether a text has a value of the metric; of single numbers none has to be brought to its form for that."""
+    if metric.pair or metric.decimals is None:
+        return F.size(metric_values(text, metric)) > 0
+    return reduce(or_, [text.rlike(p) & F.exists(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda v: _in_range(v.try_cast("double"), metric)) for p in metric.patterns])
+
+
+def signal_score(text: Column, pack: RulePack, may: Column) -> Column:
+    """The weights of the signal metrics that the text has a value of, and 1 for a label. may: the gates of the text or of one that it is a part of."""
+    parts = [F.when(may[n] & has_value(text, pack.metrics[n]), w).otherwise(0) for n, w in pack.signals.items()]
+    return reduce(add, parts) + F.when(may["labels"] & record_label(text, pack.labels).isNotNull(), 1).otherwise(0)
 
 
 def segments(docs: DataFrame, pack: RulePack, most: int = 20) -> DataFrame:
@@ -72,20 +93,24 @@ def segments(docs: DataFrame, pack: RulePack, most: int = 20) -> DataFrame:
 
     All within the row of the document: nothing is shuffled, and only hits are exploded. Sentences end at [.!?] before white space; a mark is
     put there first, so that no look-behind is needed."""
-    paragraphs = F.filter(F.transform(F.split("text", "\n[ \t]*\n"), lambda s: F.trim(s)), lambda s: (s != "") & (signal_score(s, pack) >= 2))
+    parts = F.filter(F.transform(F.split("text", "\n[ \t]*\n"), lambda s: F.trim(s)), lambda s: s != "")
+    paragraphs = lambda g: F.filter(parts, lambda s: signal_score(s, pack, g) >= 2)
     marked = F.regexp_replace("text", "([.!?])[ \n\t]+", "$1" + _MARK)
     cut = F.filter(F.transform(F.split(marked, _MARK), lambda s: F.trim(s)), lambda s: s != "")
     # runs: sentences without a signal become the mark, the rest is joined and cut at marks again
-    kept = F.transform(cut, lambda s: F.when(signal_score(s, pack) > 0, s).otherwise(_MARK))
-    runs = F.filter(F.transform(F.split(F.array_join(kept, " "), f" ?{_MARK} ?"), lambda s: F.trim(s)), lambda s: s != "")
-    every = docs.select("doc_id", F.concat(paragraphs, runs).alias("s"))
+    kept = lambda g: F.transform(cut, lambda s: F.when(signal_score(s, pack, g) > 0, s).otherwise(_MARK))
+    runs = lambda g: F.filter(F.transform(F.split(F.array_join(kept(g), " "), f" ?{_MARK} ?"), lambda s: F.trim(s)), lambda s: s != "")
+    # a text without any of the words that signals need has no segment and is not cut up
+    some = lambda g: reduce(or_, [g[n] for n in (*pack.signals, "labels")])
+    found = let(gates(F.col("text"), pack), lambda g: F.when(some(g), F.concat(paragraphs(g), runs(g))).otherwise(F.array().cast("array<string>")))
+    every = docs.select("doc_id", found.alias("s"))
     every = every.select("doc_id", "s", F.transform("s", lambda s: squeeze(s)).alias("same"))
     first = F.filter("s", lambda _, i: F.array_position("same", F.col("same")[i]) == i + 1)
     return every.select("doc_id", F.posexplode(F.slice(first, 1, most)).alias("pos", "text"))
 
 
 def _record(text: Column, pack: RulePack) -> list[Column]:
-    return [record_label(text, pack.labels).alias("label")] + [F.try_element_at(metric_values(text, m), F.lit(1)).alias(n) for n, m in pack.metrics.items()]
+    return [record_label(text, pack.labels).alias("label")] + [F.try_element_at(metric_values(text, m, _may_match(F.lower(text), m.patterns)), F.lit(1)).alias(n) for n, m in pack.metrics.items()]
 
 
 def signature(pack: RulePack) -> Column:

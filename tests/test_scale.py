@@ -192,3 +192,22 @@ def test_results_are_written_by_value(spark, tmp_path):
     S.write_json(spark.createDataFrame([(1, 2.0), (2, None), (3, 9.0), (4, 5.0)], "i long, v double"), str(tmp_path / "r"), by="v")
     said = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
     assert re.findall(r'"i":(\d)', said) == ["3", "4", "1", "2"]
+
+
+def test_needed_words_are_needed():
+    """Whatever matches a pattern holds one of the words: made from the patterns' own alternatives, in other cases too."""
+    from docmill.functions.rules import PACKS, needed_words
+
+    assert needed_words((r"(?i)EQE[^0-9]*?([0-9]+)\s*%", r"(?:ITO|Glass)/x")) == {"eqe", "ito", "glass"}
+    assert needed_words((r"[Vv]ersion ([0-9]+)",)) == {"version "} and needed_words(("([0-9]+)", "abc")) is None
+    assert needed_words((r"(?:ab)?cd(?:ef|gh)+x",)) in ({"cd"}, {"ef", "gh"}) and needed_words((r"a|bc",)) is None and needed_words(()) is None
+    said = ["Max EQE: 12.5 %", "LIMIT OF DETECTION was 3 nM", "FF of 70 %", "ff 70%", "Voc = 1.1 V", "capacity of 900 mAh/g", "12 cd/A", "3.5 LM/W", "Glass/ITO/PEDOT:PSS/Al", "all Rights reserved", "version 3", "CC BY-SA 4.0", "QLED-1", "Sample B", "sensitivity 5 μA/mM", "90 % after 500 cycles", "5 Wh/kg", "coulombic efficiency 99 %", "Jsc 20 mA/cm2", "response time 3 s"]
+    hits = 0
+    for pack in PACKS.values():
+        for patterns in [m.patterns for m in pack.metrics.values()] + [pack.labels]:
+            words = needed_words(patterns)
+            for text in said + [s.upper() for s in said] + [s.lower() for s in said]:
+                if words is not None and any(re.search(p, text) for p in patterns):
+                    hits += 1
+                    assert any(w in text.lower() for w in words), (patterns, text)
+    assert hits > 40
