@@ -8,6 +8,7 @@ from docmill.functions.rules import CORPUS, OLED, PACKS, Metric, RulePack, pack_
 from docmill.operators import mentions as M
 from docmill.operators import meta as D
 from docmill.plans.registry import query
+from docmill.sources.files import spread
 
 
 _SQ = "trim(regexp_replace({}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
@@ -341,4 +342,4 @@ def _p24(t):
 def _p25(t):
     k = F.get_json_object("props", "$.k").cast("int")
     deep = F.concat(F.lit('{"profile": {"metrics": {"jcr": {"citationReportYear": '), (2020 + k % 5).cast("string"), F.lit(', "jif": '), (k % 100 + 1).cast("string"), F.lit('.5}}}, "indicators": [{"x": [{"jif2022": "'), (k % 50).cast("string"), F.lit('.5", "jif2019": '), (k % 90 + 1).cast("string"), F.lit("}]}]}"))
-    return D.json_value_search(t("events").select("event_id", deep.alias("j")), "event_id", "j")
+    return D.json_value_search(spread(t("events")).select("event_id", deep.alias("j")), "event_id", "j")
