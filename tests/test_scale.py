@@ -211,3 +211,22 @@ def test_needed_words_are_needed():
                     hits += 1
                     assert any(w in text.lower() for w in words), (patterns, text)
     assert hits > 40
+
+
+def test_blocks_stay_in_the_row_of_their_document(spark):
+    """No exchange in the longest chain, documents that share an id stay apart, and a text of many lines takes no square of time."""
+    from docmill.functions.lexicons import DEVICE_LEXICON
+    from docmill.operators import blocks as B
+
+    text = "# A\n\none EQE 3%\n\n| a | b |\n| - | - |\n| 1 | 2 |\n\n## B\n\n- x\n- y\n\n"
+    df = spark.createDataFrame([(1, text), (1, text), (2, None), (3, ""), (4, text * 2_000)], "doc_id long, text string")
+    outline = B.anchor_tables(B.heading_path(B.outlines(df)))[0]
+    kept = B.trim_to_budget(B.select_with_neighbours(B.score_blocks(outline, DEVICE_LEXICON), 1, 3.0), 80, 24_000)
+    out = B.compose_condensed(kept)
+    assert "Exchange" not in plan_of(out)
+    rows = {}
+    for r in out.collect():
+        rows.setdefault(r.doc_id, []).append(r.condensed)
+    assert sorted(rows) == [1, 4] and len(rows[1]) == 2 and rows[1][0] == rows[1][1] and "[TABLE_0001]" in rows[1][0] and len(rows[4][0]) <= 24_000
+    counts = {r.doc_id: r["count"] for r in B.exploded(outline).groupBy("doc_id").count().collect()}
+    assert counts == {1: 10, 4: 10_000}
