@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maxscore_top_k(_table(spark, sf_dir, "embeddings"))
+    return maxscore_top_k(_table(spark, sf_dir, "embeddings")).drop("query_row")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
