@@ -28,11 +28,17 @@ def scratch_dir(spark: SparkSession) -> str:
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session now bounds Arrow batches. All operators that hand texts to Python begin with it, so none depends on what ran before."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES[0], None) is None:
+        conf.set(*BATCH_BYTES)
+    return df
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: cuts lineage, gives true sizes, survives lost executors."""
-    spark = df.sparkSession
-    if spark.conf.get(BATCH_BYTES[0], None) is None:
-        spark.conf.set(*BATCH_BYTES)
+    spark = bounded(df).sparkSession
     path = f"{scratch_dir(spark)}/docmill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -59,12 +65,12 @@ def row_key() -> list[Column]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """The key, doc_id and text of each row."""
-    return docs.select(*row_key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded(docs).select(*row_key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def packed(docs: DataFrame, *more: Column) -> DataFrame:
     """The key, all columns of docs as one struct (__row), and more: so no name of theirs meets one of ours. unpacked() undoes it."""
-    return docs.select(*row_key(), *more, F.struct(*map(named, docs.columns)).alias("__row"))
+    return bounded(docs).select(*row_key(), *more, F.struct(*map(named, docs.columns)).alias("__row"))
 
 
 def unpacked(rows: DataFrame) -> DataFrame:

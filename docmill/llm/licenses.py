@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import batch, texts
+from docmill.llm.common import batch, bounded, by_bytes, texts
 
 #: Bytes that belong to a word once A-Z are lower-cased.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -286,8 +286,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     def scan(batches):
         scanner = Scanner(rules())
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, 1)):
             done = [scanner.scan(t) for t in texts(b.column(1))]
             yield batch(schema, b.column(0), *map(list, zip(*done))) if done else batch(schema, *[[] for _ in schema])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

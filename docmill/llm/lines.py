@@ -4,10 +4,12 @@ Each task first looks at its own batch of documents (cut by bytes, so very long
 sends one summary row; all others send their (hash, document, position) rows. So a line that a third of all documents
 hold costs a few rows a batch, not one task. The rows are range-partitioned by hash, all rows of a hash in one range, and sorted
 by hash, document and position; one pass counts the documents of each key and streams out the lines to drop, buffering fewer than ``min_docs``
-documents. Only positions travel back, packed as one compressed bitmap a document.
+documents. With ``keep_first`` the first line of a frequent key stays, by document (least id, no id last, then hash of the text) and
+position; a batch that settles a key sends its own first line in the summary row, so the pass sees the first of all. Only positions travel back, packed as one compressed bitmap a document.
 
 Null and empty texts hold one empty line. Keys shorter than ``min_chars`` code points never count. Every row is a
-document of its own, also where doc_id repeats or is null or the whole row repeats. Lines are kept in their order; there are no
+document of its own, also where doc_id repeats or is null or the whole row repeats; rows of one id and text lose the same lines, so
+where one of them holds a first line, all do. Lines are kept in their order; there are no
 ties to break. An empty table gives an empty result. Other columns may have any names.
 """
 
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import KEY, KEY_ARROW, batch, by_bytes, keyed, named, row_key, sliced, texts
+from docmill.llm.common import KEY, KEY_ARROW, batch, bounded, by_bytes, keyed, named, row_key, sliced, texts
 
 _ROWS = "kind int, h1 long, h2 long, no boolean, rid long, th long, pos int, docs int"
 _ROWS_ARROW = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), *KEY_ARROW, ("pos", pa.int32()), ("docs", pa.int32())])
@@ -35,7 +37,7 @@ def line_key(line: bytes) -> bytes:
     return line.strip().lower()
 
 
-def _line_rows(min_docs: int, min_chars: int):
+def _line_rows(min_docs: int, min_chars: int, keep_first: bool):
     def rows(batches):
         for b in (part for whole in batches for part in by_bytes(whole, 3)):
             no, rid, th = (c.to_numpy(zero_copy_only=False) for c in b.columns[:3])
@@ -66,16 +68,23 @@ def _line_rows(min_docs: int, min_chars: int):
             first[1:] = (of[1:] != of[:-1]) | (doc[1:] != doc[:-1])
             local = n_docs[of] >= min_docs
             hot = np.flatnonzero(n_docs >= min_docs)
+            summary = [np.zeros(len(hot), bool), np.full(len(hot), -(2**63)), np.zeros(len(hot), np.int64), np.full(len(hot), -1, np.int32)]
+            if keep_first and len(hot):
+                # the first line of each settled key goes with its summary, not with the lines to drop
+                order = np.lexsort((pos, th[doc], rid[doc], no[doc], of))
+                at = order[np.searchsorted(of, np.arange(len(found)))]
+                own = at[of]
+                is_first = (no[doc] == no[doc[own]]) & (rid[doc] == rid[doc[own]]) & (th[doc] == th[doc[own]]) & (pos == pos[own])
+                summary = [no[doc[at[hot]]], rid[doc[at[hot]]], th[doc[at[hot]]], pos[at[hot]]]
+                stay = ~(local & is_first)
+                of, doc, pos, first, local = of[stay], doc[stay], pos[stay], first[stay], local[stay]
             spread = np.where(local, rid[doc] * np.int64(-7046029254386353131) + pos, digest[of, 0])
             out = batch(
                 _ROWS_ARROW,
                 np.concatenate([local.astype(np.int32), np.zeros(len(hot), np.int32)]),
                 np.concatenate([spread, digest[hot, 0]]),
                 np.concatenate([digest[of, 1], digest[hot, 1]]),
-                np.concatenate([no[doc], np.zeros(len(hot), bool)]),
-                np.concatenate([rid[doc], np.full(len(hot), -(2**63))]),
-                np.concatenate([th[doc], np.zeros(len(hot), np.int64)]),
-                np.concatenate([pos, np.full(len(hot), -1, np.int32)]),
+                *(np.concatenate(pair) for pair in zip((no[doc], rid[doc], th[doc], pos), summary)),
                 np.concatenate([first.astype(np.int32), n_docs[hot].astype(np.int32)]),
             )
             yield from sliced(out)
@@ -83,11 +92,11 @@ def _line_rows(min_docs: int, min_chars: int):
     return rows
 
 
-def _stream_drops(min_docs: int):
+def _stream_drops(min_docs: int, keep_first: bool):
     """Rows come sorted by kind, hash, document and position. An open run is buffered only until it reaches min_docs."""
 
     def drops(batches):
-        open_key, open_docs, held = None, 0, []
+        open_key, open_docs, open_head, held = None, 0, None, []
         for b in batches:
             kind, h1, h2, no, rid, th, pos, docs = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             n = len(h1)
@@ -97,12 +106,19 @@ def _stream_drops(min_docs: int):
             new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (kind[1:] != kind[:-1])
             starts = np.flatnonzero(new)
             total = np.add.reduceat(docs.astype(np.int64), starts)
+            heads = [c[starts].copy() for c in (no, rid, th, pos)]
             if open_key == (kind[0], h1[0], h2[0]):
                 total[0] += open_docs
+                for column, value in zip(heads, open_head):
+                    column[0] = value
             else:
                 held = []
             run = np.cumsum(new) - 1
-            drop = ((total[run] >= min_docs) | (kind == 1)) & (pos >= 0)
+            may_go = pos >= 0
+            if keep_first:
+                is_head = np.logical_and.reduce([c == head[run] for c, head in zip((no, rid, th, pos), heads)])
+                may_go &= ~is_head | (kind == 1)
+            drop = ((total[run] >= min_docs) | (kind == 1)) & may_go
             if held and total[0] >= min_docs:
                 for part in held:
                     yield part
@@ -112,9 +128,9 @@ def _stream_drops(min_docs: int):
             last = starts[-1]
             if len(starts) > 1:
                 held = []
-            open_key, open_docs = (kind[-1], h1[-1], h2[-1]), total[-1]
+            open_key, open_docs, open_head = (kind[-1], h1[-1], h2[-1]), total[-1], [head[-1] for head in heads]
             if open_docs < min_docs and kind[-1] == 0:
-                keep = np.flatnonzero(pos[last:] >= 0) + last
+                keep = np.flatnonzero(may_go[last:]) + last
                 if len(keep):
                     held.append(batch(_DROPS_ARROW, no[keep], rid[keep], th[keep], pos[keep]))
 
@@ -133,12 +149,12 @@ def _pack(batches):
         yield batch(schema, *b.columns[:3], counts, packed)
 
 
-def line_keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def line_keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """(__no, __rid, __th, n_dropped, keep) for each document that loses lines. keep: zlib of one bit a line, low bit first,
     1 for a line that stays; lines past its last bit stay."""
-    rows = keyed(docs).select(*KEY, "text").mapInArrow(_line_rows(min_docs, max(1, min_chars)), _ROWS)
-    rows = rows.withColumn("range", F.shiftrightunsigned("h1", 64 - _RANGE_BITS)).repartition("range").sortWithinPartitions("kind", "h1", "h2", "no", "rid", "pos")
-    drops = rows.drop("range").mapInArrow(_stream_drops(min_docs), "no boolean, rid long, th long, pos int")
+    rows = keyed(docs).select(*KEY, "text").mapInArrow(_line_rows(min_docs, max(1, min_chars), keep_first), _ROWS)
+    rows = rows.withColumn("range", F.shiftrightunsigned("h1", 64 - _RANGE_BITS)).repartition("range").sortWithinPartitions("kind", "h1", "h2", "no", "rid", "th", "pos")
+    drops = rows.drop("range").mapInArrow(_stream_drops(min_docs, keep_first), "no boolean, rid long, th long, pos int")
     dropped = drops.groupBy("no", "rid", "th").agg(F.collect_set("pos").alias("pos"))
     return dropped.mapInArrow(_pack, "no boolean, rid long, th long, n_dropped long, keep binary").withColumnsRenamed(dict(zip(("no", "rid", "th"), KEY)))
 
@@ -155,7 +171,7 @@ def kept_lines(text: bytes, keep: bytes | None) -> tuple[bytes, int, int]:
 
 def _digest(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
-    for b in batches:
+    for b in (part for whole in batches for part in by_bytes(whole, 1)):
         done = [kept_lines(t, k) for t, k in zip(texts(b.column(1)), b.column(2).to_pylist())]
         yield batch(schema, b.column(0), [x[1] for x in done], [x[2] for x in done], [hashlib.sha256(x[0]).hexdigest() for x in done])
 
@@ -167,14 +183,15 @@ def line_dedup_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     return joined.mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """docs, all columns, with the frequent lines taken out of text. A text that loses no line stays as it is, null included."""
-    maps = line_keep_bitmaps(docs, min_docs, min_chars).select(*KEY, "keep")
+def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+    """docs, all columns, with the frequent lines taken out of text, but for the first of each with keep_first. A text that loses no line
+    stays as it is, null included."""
+    maps = line_keep_bitmaps(docs, min_docs, min_chars, keep_first).select(*KEY, "keep")
     rest = F.struct(*[named(c) for c in docs.columns if c != "text"]).alias("__rest")
-    rows = docs.select(*row_key(), F.col("text").cast("string").alias("__text"), rest).join(maps.hint("merge"), list(KEY), "left").select("__text", "keep", "__rest")
+    rows = bounded(docs).select(*row_key(), F.col("text").cast("string").alias("__text"), rest).join(maps.hint("merge"), list(KEY), "left").select("__text", "keep", "__rest")
 
     def apply(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, 0)):
             old, keep = b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()
             new = [t if k is None else kept_lines(t or b"", k)[0] for t, k in zip(old, keep)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()).cast(pa.string()), b.column(2)], names=["__text", "__rest"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import batch, by_bytes
+from docmill.llm.common import batch, bounded, by_bytes
 
 WINDOW = 3
 SURGE = 80
@@ -218,5 +218,5 @@ def _extract(batches):
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page; one pass, nothing is shuffled."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    rows = bounded(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -2,7 +2,8 @@
 
 A fingerprint has one bit for each of the 64 bits of XXH64 (seed 42) over the shingles of a text: 1 where over half of the
 shingles have it set. Equal fingerprints are one point. A vantage-point tree over a bounded sample of the points cuts the
-64-bit space into shards of about ``shard_points``: a point goes to the side of each node that its Hamming distance d to
+64-bit space into shards of about ``shard_points``, counted as they arrive (up to some 1e8 points; above, the sample tells no finer
+shards and they grow with the table): a point goes to the side of each node that its Hamming distance d to
 the vantage point says, d <= r (the node's radius) inwards and d > r outwards. By the triangle inequality a pair within
 ``radius`` is cut only where its outer point has d <= r + radius, so points of that rim are copied inwards, and nothing is
 copied outwards: every pair meets in a shard. Within a shard a local tree prunes the same way before distances are counted.
@@ -23,11 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import KEY, batch, packed, stored, texts, unpacked
+from docmill.llm.common import KEY, batch, bounded, by_bytes, packed, stored, texts, unpacked
 from docmill.llm.components import components
 
 #: At most so many fingerprints are brought to the driver to place the vantage points.
 TREE_SAMPLE = 65_536
+#: Points of the sample in a shard from which on it may be split: fewer say nothing of its size.
+LEAST_SAMPLE = 16
+#: Vantage points tried for a node; the larger side of a cut may hold this share of the points.
+_VANTAGE_TRIES = 4
+_WORTH = 0.9
 _PAIRS_AT_ONCE = 1 << 21
 
 
@@ -61,10 +67,10 @@ def fingerprints(rows: DataFrame, shingle: int = 3) -> DataFrame:
     schema = pa.schema([(name, pa.int64()), ("fp", pa.int64())])
 
     def prints(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, 1)):
             yield batch(schema, b.column(0), np.array([fingerprint_of(shingle_hashes(t, shingle)) for t in texts(b.column(1))], np.uint64).view(np.int64))
 
-    return rows.mapInArrow(prints, f"{name} long, fp long")
+    return bounded(rows).mapInArrow(prints, f"{name} long, fp long")
 
 
 def distance(a, b):
@@ -72,30 +78,51 @@ def distance(a, b):
 
 
 class VantageTree:
-    """Vantage points and radii of a complete binary tree, in heap order from 1."""
+    """Vantage points, radii and children of a binary tree. A node is split while more points of the sample arrive at it than ``most``,
+    copies of the rims among them, so shards are even however deep the tree is; of a few vantage points and all radii it takes the one
+    whose sides are smallest. Where every cut would leave nearly all points on one side, as in a ball of near copies, it stays whole."""
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int = 7):
+    def __init__(self, sample: np.ndarray, radius: int, most: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.depth = depth
-        self.points = rng.integers(0, 2**63, 1 << depth, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 1 << depth, dtype=np.uint64)
-        self.radii = np.full(1 << depth, 32, np.int16)
-        groups = {1: sample}
-        for node in range(1, 1 << depth):
-            here = groups.pop(node, sample[:0])
-            if len(here):
-                d = distance(here, self.points[node])
-                self.radii[node] = np.sort(d)[(len(d) - 1) // 2]
-                groups[2 * node], groups[2 * node + 1] = here[d <= self.radii[node]], here[d > self.radii[node]]
-
-    def route(self, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        self.radius = radius
+        points, radii, inner, open_ = [np.uint64(0)], [0], [-1], [(0, sample)]
+        while open_:
+            node, here = open_.pop()
+            if len(here) <= most or (cut := self._cut(here, rng)) is None:
+                continue
+            center, r = cut
+            d = distance(here, center)
+            points[node], radii[node], inner[node] = center, r, len(points)
+            for side in (here[d <= r + radius], here[d > r]):
+                open_.append((len(points), side))
+                points.append(np.uint64(0))
+                radii.append(0)
+                inner.append(-1)
+        self.points, self.radii, self.inner = np.array(points, np.uint64), np.array(radii, np.int16), np.array(inner, np.int64)
+
+    def _cut(self, here: np.ndarray, rng) -> tuple[np.uint64, int] | None:
+        best = None
+        for center in rng.integers(0, 2**64, _VANTAGE_TRIES, dtype=np.uint64):
+            upto = np.cumsum(np.bincount(distance(here, center), minlength=65))
+            into, out = upto[np.minimum(np.arange(65) + self.radius, 64)], len(here) - upto
+            cost = into.astype(np.float64) ** 2 + out.astype(np.float64) ** 2
+            r = int(cost.argmin())
+            if max(into[r], out[r]) <= _WORTH * len(here) and (best is None or cost[r] < best[0]):
+                best = (cost[r], center, r)
+        return best and best[1:]
+
+    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each point and a shard it has to do with; at least one each."""
-        index, node = np.arange(len(x)), np.ones(len(x), np.int64)
-        for _ in range(self.depth):
+        index, node, done = np.arange(len(x)), np.zeros(len(x), np.int64), []
+        while len(index):
+            child = self.inner[node]
+            leaf = child < 0
+            done.append((index[leaf], node[leaf]))
+            index, node, child = index[~leaf], node[~leaf], child[~leaf]
             d, r = distance(x[index], self.points[node]), self.radii[node]
-            inner, outer = d <= r + radius, d > r
-            index = np.concatenate([index[inner], index[outer]])
-            node = np.concatenate([2 * node[inner], 2 * node[outer] + 1])
-        return index, node
+            within, beyond = d <= r + self.radius, d > r
+            index, node = np.concatenate([index[within], index[beyond]]), np.concatenate([child[within], child[beyond] + 1])
+        return tuple(np.concatenate(c) for c in zip(*done)) if done else (index, node)
 
 
 def _forest(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -157,16 +184,16 @@ def shard_forest(points: np.ndarray, radius: int) -> np.ndarray:
 def fingerprint_links(points: DataFrame, radius: int = 2, shard_points: int = 32_768) -> DataFrame:
     """Edges (a, b) of a spanning forest of each shard over the distinct fingerprints (fp) of points."""
     n = points.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_points))))
-    sample = points.orderBy(F.xxhash64("fp")).limit(TREE_SAMPLE).collect() if depth else []
-    tree = VantageTree(np.array([r.fp for r in sample], np.int64).view(np.uint64), depth)
+    sample = points.orderBy(F.xxhash64("fp")).limit(TREE_SAMPLE).collect() if n > shard_points else []
+    most = max(LEAST_SAMPLE, shard_points * len(sample) // max(1, n))
+    tree = VantageTree(np.array([r.fp for r in sample], np.int64).view(np.uint64), radius, most)
     routed_schema = pa.schema([("shard", pa.int64()), ("fp", pa.int64())])
     edge_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def route(batches):
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
-            index, node = tree.route(fp.view(np.uint64), radius)
+            index, node = tree.route(fp.view(np.uint64))
             yield batch(routed_schema, node, fp[index])
 
     def link(table: pa.Table) -> pa.Table:

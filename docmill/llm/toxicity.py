@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import batch, by_bytes, mix64, named, pieces_of, stored, texts, unpacked
+from docmill.llm.common import batch, bounded, by_bytes, mix64, named, pieces_of, stored, texts, unpacked
 
 SAMPLE = 8000
 GRADES = 4
@@ -247,14 +247,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
             done = [_severity(model, t, cache) for t in texts(b.column(1))]
             yield batch(schema, b.column(0), [x[0] for x in done], [x[1] for x in done], [x[2] for x in done], [x[1] >= REJECT for x in done])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rate, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rate, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs, all columns, less the toxic ones."""
     model = fit_toxicity(docs, labels, sample)
     at = docs.columns.index("text")
-    rows = docs.select(F.struct(*map(named, docs.columns)).alias("__row"))
+    rows = bounded(docs).select(F.struct(*map(named, docs.columns)).alias("__row"))
 
     def keep(batches):
         cache: dict = {}

@@ -71,6 +71,46 @@ def test_lines_keep_columns(docs):
     assert out.where("lower(text) like '%hot line%'").count() == 0
 
 
+def without_repeats(rows, min_docs):
+    """(id, text less all but the first of each line in min_docs rows or more) of rows (id, text); rows of one id and text are as one."""
+    holders, firsts = defaultdict(set), {}
+    place = lambda d, t: (d is None, d or 0, stable_hash(t))
+    for n, (d, text) in enumerate(rows):
+        for pos, line in enumerate(text.split(b"\n")):
+            if key := line.strip(b" \t\n\r\x0b\f").lower():
+                holders[key].add(n)
+                at = (*place(d, text), text, pos)
+                firsts[key] = min(firsts.get(key, at), at)
+    out = Counter()
+    for d, text in rows:
+        kept = []
+        for pos, line in enumerate(text.split(b"\n")):
+            key = line.strip(b" \t\n\r\x0b\f").lower()
+            if not key or len(holders[key]) < min_docs or firsts[key] == (*place(d, text), text, pos):
+                kept.append(line)
+        out[(d, b"\n".join(kept))] += 1
+    return out
+
+
+def stable_hash(text):
+    return xxhash.xxh64_intdigest(text, 42) - (1 << 64) * (xxhash.xxh64_intdigest(text, 42) >> 63)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_lines_that_keep_their_first(spark, docs, rows, parts):
+    """Whatever the batches: settled in one, met across several, or both."""
+    expected = without_repeats([(d, t) for d, t, _ in rows if d is not None], 10)
+    out = drop_lines(docs.where("doc_id is not null").repartition(parts), keep_first=True)
+    assert Counter((r.doc_id, (r.text or "").encode()) for r in out.collect()) == expected
+
+
+def test_copies_of_a_text_keep_one(spark):
+    rows = [(i, f"alpha {i % 2}\nbeta\nbeta") for i in range(60)] + [(7, "alpha 1\nbeta\nbeta")] * 3 + [(None, "beta")] * 30
+    for parts in (1, 7):
+        out = drop_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), keep_first=True)
+        assert Counter(map(tuple, out.where("text != ''").collect())) == Counter([(0, "alpha 0\nbeta"), (1, "alpha 1")])
+
+
 def test_substrings(docs, rows):
     big = 2**63 - 1
     first = {}
@@ -123,12 +163,23 @@ def test_one_row_of_each_component(spark):
     assert counted(keep_one_of_each(docs)) == expected
 
 
-@pytest.mark.parametrize("depth", [0, 3, 6])
-def test_vantage_tree_loses_no_pair(depth):
-    rng = np.random.default_rng(depth)
+def test_vantage_shards_are_even():
+    """No shard above twice its bound on points without structure, few copies, and a ball of near copies stays whole without end."""
+    x = np.random.default_rng(4).integers(0, 2**64, 400_000, dtype=np.uint64)
+    index, shard = VantageTree(x[: 1 << 16], 2, 1600 * (1 << 16) // len(x)).route(x)
+    assert np.unique(shard, return_counts=True)[1].max() <= 3200 and len(index) <= 8.5 * len(x)
+    ball = x[0] ^ np.unique(np.uint64(1) << np.arange(64, dtype=np.uint64))
+    index, shard = VantageTree(ball, 2, 16).route(ball)
+    assert set(index) == set(range(64))
+
+
+@pytest.mark.parametrize("most", [10_000, 40, 6])
+def test_vantage_tree_loses_no_pair(most):
+    rng = np.random.default_rng(most)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
     x = np.unique(np.concatenate([base, base ^ np.uint64(1 << 5), base ^ np.uint64((1 << 60) | 1), base ^ np.uint64(7)]))
-    index, shard = VantageTree(x[::7], depth).route(x, 2)
+    index, shard = VantageTree(x[::7], 2, most).route(x)
+    assert most > len(x) or len(np.unique(shard)) > 3
     assert set(index) == set(range(len(x)))
     label = np.arange(len(x))
     for s in np.unique(shard):
@@ -300,17 +351,39 @@ def usable_vectors(vectors):
     return found
 
 
+def usable_rows(vectors):
+    """(id, components) of each row that takes part."""
+    return [(r.vec_id, r.embedding) for r in vectors.collect() if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding)]
+
+
+def best_rows(rows, k, every):
+    """Answers of each query row, by plain products; rows that share id and weights ask once."""
+    weights = [(d, [int(np.floor(256.0 * x)) for x in v]) for d, v in rows]
+    expected, asked = Counter(), set()
+    for i, (q, w) in enumerate(weights):
+        if q % every == 0 and (q, *w) not in asked:
+            asked.add((q, *w))
+            scores = sorted((-sum(a * b for a, b in zip(w, v)), d) for j, (d, v) in enumerate(weights) if j != i)[:k]
+            expected.update((q, n + 1, d, -x) for n, (x, d) in enumerate(scores))
+    return expected
+
+
 def test_top_k(vectors):
-    found = {k: [int(np.floor(256.0 * x)) for x in v] for k, v in usable_vectors(vectors).items()}
-    for k, v in usable_vectors(vectors).items():
-        found[k] = [int(np.floor(256.0 * x)) for x in v]
-    expected = set()
-    for q in found:
-        if q % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(found[q], found[d])), d) for d in found if d != q)[:5]
-            expected |= {(q, i + 1, d, -s) for i, (s, d) in enumerate(scores)}
-    assert {tuple(r) for r in maxscore_top_k(vectors).collect()} == expected
-    assert {tuple(r) for r in maxscore_top_k(vectors, shard_rows=40, query_rows=3).collect()} == expected
+    expected = best_rows(usable_rows(vectors), 5, 50)
+    assert counted(maxscore_top_k(vectors).drop("query_row")) == expected
+    assert counted(maxscore_top_k(vectors, shard_rows=40, query_rows=3).drop("query_row")) == expected
+
+
+def test_top_k_of_rows_that_share_an_id(spark):
+    """Every row is a candidate for all but itself, also its equals and other rows of its id; a third of all rows share an id."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(200)] + [(100, rng.normal(size=6).tolist()) for _ in range(100)]
+    rows += [(50, [0.9] * 6)] * 12 + [(51, [0.9] * 6)] * 3 + [(150, [0.5] * 4), (150, [0.5] * 9)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found = maxscore_top_k(vectors, shard_rows=60, query_rows=20)
+    assert counted(found.drop("query_row")) == best_rows(rows, 5, 50)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "SortMergeJoin" not in plan
 
 
 def test_nearest(vectors):
