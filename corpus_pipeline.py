@@ -31,9 +31,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more hold go from all of them, as in the operator's query; rows stay, if need be with an empty text. So
-    of a group of ten equal documents or more nothing is left but empty texts, of which the next stage keeps one."""
-    return _counted(drop_lines(docs))
+    """Lines that ten documents or more hold stay once: in the document of the least id (no id last, then by a hash of the text), at their
+    first place. All others go; rows stay, if need be with an empty text. So of a group of ten equal documents or more one stays whole."""
+    return _counted(drop_lines(docs, keep_first=True))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
