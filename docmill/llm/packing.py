@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from docmill.llm.common import batch, by_bytes, sliced, stored
 
+#: Words whose ids a task keeps, and the longest of them: together a bound in bytes.
 _CACHED_WORDS = 150_000
+_CACHED_LENGTH = 64
 _PIECES = "task long, cls int, nth long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
 _PIECES_ARROW = pa.schema([(n, pa.int32() if n == "cls" else pa.int64()) for n in ("task", "cls", "nth", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 _OUT = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -50,9 +52,11 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or "<|" in word:
             raise _Odd
-        if len(self) > _CACHED_WORDS:
-            self.clear()
-        ids = self[word] = self.encode(" " + word)
+        ids = self.encode(" " + word)
+        if len(word) <= _CACHED_LENGTH:
+            if len(self) >= _CACHED_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:

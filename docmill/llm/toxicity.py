@@ -38,7 +38,9 @@ SIGNIFICANT = 14.0
 REJECT = 0.3
 #: Least distance of neighbouring thresholds.
 LEAST_GAP = 1e-3
+#: Words whose features a task keeps, and the longest of them: together a bound in bytes.
 _CACHED_WORDS = 100_000
+_CACHED_LENGTH = 64
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
@@ -80,9 +82,11 @@ class OrdinalModel:
         for w in words:
             known = cache.get(w)
             if known is None:
-                if len(cache) > _CACHED_WORDS:
-                    cache.clear()
-                known = cache[w] = tuple(f for f in features_of(w) if f in self.weights)
+                known = tuple(f for f in features_of(w) if f in self.weights)
+                if len(w) <= _CACHED_LENGTH:
+                    if len(cache) >= _CACHED_WORDS:
+                        cache.clear()
+                    cache[w] = known
             if known:
                 seen.update(known)
         return sum(self.weights[f] for f in sorted(seen))
