@@ -133,13 +133,15 @@ _NAMED = (
 
 #: Labels that with a version are names of products, too; they count only with the word license.
 _PRODUCTS = {"php", "elastic", "unicode", "w3c"}
+#: Short names that stand for many other things; with a version they count only beside the word license, or as what something is licensed under.
+_SHORT = {"ipl", "spl", "ecl", "efl"}
 
 #: Signatures of their own wording: label, pattern, keyword, priority, confidence.
 _SENTENCES = (
     ("mit", "(?:the )?mit licen[sc]e", "mit", 60, 0.9),
     ("mit", "(?:released|licensed|distributed|available) under (?:the |an )?mit(?: licen[sc]e)?", "mit", 64, 1.0),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby", 90, 1.0),
-    ("mit-0", "mit no attribution(?: licen[sc]e)?|mit 0", "mit", 66, 0.9),
+    ("mit-0", "mit no attribution(?: licen[sc]e)?|mit 0 licen[sc]e|(?:licen[sc]e|(?:licensed|released|distributed|available) under(?: the)?) mit 0", "mit", 66, 0.9),
     ("isc", "(?:the )?isc licen[sc]e", "isc", 60, 0.9),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "modify", 90, 1.0),
     ("bsd", "(?:the )?(?:new |modified |simplified |original )?bsd licen[sc]e", "bsd 0bsd", 50, 0.8),
@@ -188,7 +190,7 @@ _SENTENCES = (
 
 #: SPDX identifiers, as words.
 _SPDX = (
-    "mit", "isc", "apache 2 0", "bsd 2 clause", "bsd 3 clause", "gpl 2 0 only", "gpl 2 0 or later", "gpl 3 0 only", "gpl 3 0 or later", "lgpl 2 1 only", "lgpl 2 1 or later", "lgpl 3 0 only",
+    "mit", "mit 0", "ipl 1 0", "spl 1 0", "ecl 1 0", "ecl 2 0", "efl 1", "efl 2", "isc", "apache 2 0", "bsd 2 clause", "bsd 3 clause", "gpl 2 0 only", "gpl 2 0 or later", "gpl 3 0 only", "gpl 3 0 or later", "lgpl 2 1 only", "lgpl 2 1 or later", "lgpl 3 0 only",
     "lgpl 3 0 or later", "agpl 3 0 only", "agpl 3 0 or later", "mpl 2 0", "epl 2 0", "unlicense", "0bsd", "cc0 1 0", "cc by 4 0", "cc by sa 4 0", "bsl 1 0", "zlib", "wtfpl", "artistic 2 0", "ofl 1 1", "eupl 1 2", "ms pl", "cddl 1 0",
 )
 
@@ -204,7 +206,10 @@ def rules() -> list[Rule]:
         for v in versions:
             full = f"{label}-{v.replace(' ', '.')}"
             out.append(Rule(full, f"{name} licen[sc]e,? (?:version |v ?)?{v}", keyword, 72, 0.9))
-            if label not in _PRODUCTS:
+            if label in _SHORT:
+                short = f"{label} (?:version |v ?)?{v}"
+                out.append(Rule(full, f"{short} licen[sc]e|(?:licen[sc]e|(?:licensed|released|distributed|available) under(?: the)?) {short}", label, 68, 0.9))
+            elif label not in _PRODUCTS:
                 out.append(Rule(full, f"{label.replace('-', ' ')} (?:version |v ?)?{v}", label.split("-")[0], 68, 0.9))
             out.append(Rule(full, f"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?{name} licen[sc]e,? (?:version |v ?)?{v}", keyword, 74, 1.0))
         out.append(Rule(label, f"{name} licen[sc]e", keyword, 55, 0.8))

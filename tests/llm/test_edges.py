@@ -212,6 +212,15 @@ def test_top_k_of_large_weights_is_exact(spark):
     assert {tuple(r) for r in maxscore.maxscore_top_k(vectors, shard_rows=50).drop("query_row").collect()} == expected
 
 
+@pytest.mark.parametrize("short", ["mit 0", "ipl 1.0", "ecl 1.0", "efl 2", "spl 1.0"])
+def test_short_license_names_need_a_license_word(short):
+    scan = licenses.Scanner(licenses.rules()).scan
+    assert scan(f"the final score was {short} in the end".encode())[5:] == ("", 0.0)
+    label = short.replace(" ", "-")
+    for said in (f"it is licensed under the {short} as a whole", f"see the {short} license for more", f"spdx license identifier {short}"):
+        assert label in scan(said.encode())[5].split(","), said
+
+
 def test_license_scan_of_long_texts_takes_linear_time():
     scanner, one = licenses.Scanner(licenses.rules()), b"this is free and unencumbered software released into the public domain "
     took = []
