@@ -1,18 +1,21 @@
 """Approximate nearest neighbours on shifted Hilbert curves.
 
 Each curve projects the vectors on ``dims`` seeded orthonormal directions, shifts and scales the result into a grid, and
-orders the cells along a Hilbert curve. Spark range-partitions the rows by curve, key and id; the counts of the partitions
+orders the cells along a Hilbert curve. Spark range-partitions the rows by curve, key and number; the counts of the partitions
 give every row its place in its curve, and places are cut into windows of ``window`` rows. A query meets the rows of its own
 window and of ``reach`` neighbours on either side, whatever the keys: ties and dense cells cannot overfill a window. The
-reach is measured: the true neighbours of a bounded sample of queries are found by brute force, and the least reach, 1 at
-least, is taken at which ``RECALL`` of them would be met. Each window reranks by exact inner product in double precision and keeps its k best; the curves merge by
-one ranked shuffle. The work is rows * curves * (2 * reach + 1) * window / query_every products: linear
-in the input where near vectors are near on the curves, and up to that of brute force where the vectors have no structure.
+reach is measured: the true neighbours of a bounded sample of queries are found by brute force, and of the numbers of curves, 2 at
+least, each with the least reach at which ``RECALL`` of these neighbours would be met, that which meets the fewest rows is
+taken. Where the windows around any row are the whole table, one curve meets all rows and is enough. Each window reranks by
+exact inner product in double precision and keeps its k best; the curves merge by one ranked shuffle. The work is rows *
+curves * (2 * reach + 1) * window / query_every products: linear in the input where near vectors are near on the curves, and up
+to some twice that of brute force where the vectors have no structure.
 
 Every row is indexed; only the grid's bounds come from a bounded sample (``FIT_ROWS``). A vector that is null, all zero or
 holds a null or non-finite component takes no part, and nor does a row without an id; missing places of a shorter vector
-count as 0. Rows that repeat an id count once, with the least of their vectors. Ties go to the smaller id. An empty table gives an
-empty result. Only vec_id and embedding are read, so other columns may have any names, and there are no texts.
+count as 0. Rows that share an id are rows of their own, each a candidate for all others; queries that share one are told apart
+by query_row. Ties go to the smaller id. An empty table gives an empty result. Only vec_id and embedding are read, so other
+columns may have any names, and there are no texts.
 """
 
 from __future__ import annotations
@@ -83,9 +86,9 @@ def dense(lists: list, width: int) -> np.ndarray:
 
 
 def curve_windows(rows: DataFrame, fit: Curves, window: int) -> DataFrame:
-    """(curve, window, vec_id, place): every row's window and place in every curve."""
+    """(curve, window, row): every row's window in every curve."""
     n_curves = len(fit.axes)
-    schema = pa.schema([("vec_id", pa.int64()), ("curve", pa.int32()), ("key", pa.int64())])
+    schema = pa.schema([("row", pa.int64()), ("curve", pa.int32()), ("key", pa.int64())])
 
     def keys(batches):
         for b in batches:
@@ -93,80 +96,93 @@ def curve_windows(rows: DataFrame, fit: Curves, window: int) -> DataFrame:
             for c in range(n_curves):
                 yield batch(schema, b.column(0), np.full(len(x), c, np.int32), fit.key(c, x))
 
-    spread = stored(rows.mapInArrow(keys, "vec_id long, curve int, key long"), "keys")
+    spread = stored(rows.select("row", "x").mapInArrow(keys, "row long, curve int, key long"), "keys")
     parts = max(n_curves, rows.sparkSession.sparkContext.defaultParallelism)
-    ordered = stored(spread.repartitionByRange(parts, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id").select("curve", "key", "vec_id", F.spark_partition_id().alias("part")), "order")
+    ordered = stored(spread.repartitionByRange(parts, "curve", "key", "row").sortWithinPartitions("curve", "key", "row").select("curve", "key", "row", F.spark_partition_id().alias("part")), "order")
     counts = ordered.groupBy("curve", "part").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("curve", "part", before.alias("before"))
-    inside = F.row_number().over(Window.partitionBy("curve", "part").orderBy("key", "vec_id")) - 1
+    inside = F.row_number().over(Window.partitionBy("curve", "part").orderBy("key", "row")) - 1
     placed = ordered.withColumn("inside", inside).join(starts.hint("merge"), ["curve", "part"])
     place = (F.col("before") + F.col("inside")).cast("long")
-    return placed.select("curve", F.floor(place / window).cast("long").alias("window"), "vec_id")
+    return placed.select("curve", F.floor(place / window).cast("long").alias("window"), "row")
 
 
-def true_neighbours(rows: DataFrame, queries: list, width: int, k: int) -> dict[int, list[int]]:
-    """The k nearest of each of a few queries (vec_id, x), by brute force in one pass over rows."""
-    asked, q = np.array([r.vec_id for r in queries], np.int64), dense([r.x for r in queries], width)
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+def true_neighbours(rows: DataFrame, queries: list, k: int) -> dict[int, list[int]]:
+    """The k nearest rows of each of a few queries (row, x), by brute force in one pass over rows. What a row holds beyond the
+    longest query counts as a product with 0, so it may be cut."""
+    width = max(len(r.x) for r in queries)
+    asked, q = np.array([r.row for r in queries], np.int64), dense([r.x for r in queries], width)
+    schema = pa.schema([("query_row", pa.int64()), ("row", pa.int64()), ("score", pa.float64())])
 
     def best(batches):
-        ids, scores = np.zeros((len(asked), 0), np.int64), np.zeros((len(asked), 0))
+        names, scores = np.zeros((len(asked), 0), np.int64), np.zeros((len(asked), 0))
         for b in batches:
             own = b.column(0).to_numpy(zero_copy_only=False)
             score = q @ dense(b.column(1).to_pylist(), width).T
             score[asked[:, None] == own[None, :]] = -np.inf
-            ids, scores = np.hstack([ids, np.broadcast_to(own, score.shape)]), np.hstack([scores, score])
+            names, scores = np.hstack([names, np.broadcast_to(own, score.shape)]), np.hstack([scores, score])
             top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            ids, scores = np.take_along_axis(ids, top, 1), np.take_along_axis(scores, top, 1)
+            names, scores = np.take_along_axis(names, top, 1), np.take_along_axis(scores, top, 1)
         real = scores > -np.inf
-        yield batch(schema, np.repeat(asked, ids.shape[1])[real.ravel()], ids[real], scores[real])
+        yield batch(schema, np.repeat(asked, names.shape[1])[real.ravel()], names[real], scores[real])
 
-    found = rows.select("vec_id", "x").mapInArrow(best, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = rows.select("row", "x").mapInArrow(best, "query_row long, row long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), "row"))
     out: dict[int, list[int]] = {}
     for r in found.withColumn("rank", rank).where(F.col("rank") <= k).collect():
-        out.setdefault(r.query_id, []).append(r.vec_id)
+        out.setdefault(r.query_row, []).append(r.row)
     return out
 
 
-def measured_reach(rows: DataFrame, windows: DataFrame, width: int, k: int, query_every: int) -> int:
-    """Windows on either side that a query must meet, so that RECALL of the sample's true neighbours are met on some curve."""
-    queries = rows.where(F.col("vec_id") % query_every == 0).orderBy(F.xxhash64("vec_id", F.lit(1))).limit(REACH_QUERIES).collect()
-    if not queries:
-        return 1
-    near = true_neighbours(rows, queries, width, k)
-    ids = sorted({v for q, own in near.items() for v in (q, *own)})
-    wanted = rows.sparkSession.createDataFrame([(v,) for v in ids], "vec_id long")
-    at: dict[int, dict[int, int]] = {}
-    for r in windows.join(F.broadcast(wanted), "vec_id", "left_semi").collect():
-        at.setdefault(r.vec_id, {})[r.curve] = r.window
-    needed = sorted(min(abs(w - at[v][c]) for c, w in at[q].items()) for q, own in near.items() for v in own)
-    return max(1, needed[int(np.ceil(RECALL * len(needed))) - 1]) if needed else 1
+def measured_reach(rows: DataFrame, windows: DataFrame, curves: int, last: int, k: int, query_every: int) -> tuple[int, int]:
+    """(curves, reach): so many of the curves, and windows on either side that a query must meet in each, that RECALL of the sample's
+    true neighbours are met on some curve and the sample's queries meet the fewest windows in all."""
+    asked = rows.where(F.col("vec_id") % query_every == 0)
+    queries = asked.orderBy(F.xxhash64("vec_id", F.lit(1)), "x").limit(REACH_QUERIES).select("row", "x").collect()
+    near = true_neighbours(rows, queries, k) if queries else {}
+    if not near:
+        return curves, 1
+    names = sorted({v for q, own in near.items() for v in (q, *own)})
+    wanted = rows.sparkSession.createDataFrame([(v,) for v in names], "row long")
+    at = {v: np.zeros(curves, np.int64) for v in names}
+    for r in windows.join(F.broadcast(wanted), "row", "left_semi").collect():
+        at[r.row][r.curve] = r.window
+    away = np.array([np.abs(at[v] - at[q]) for q, own in near.items() for v in own])
+    asked_at = np.array([at[q] for q in near])
+    plans = []
+    for c in range(min(2, curves), curves + 1):
+        needed = np.sort(away[:, :c].min(axis=1))
+        reach = max(1, int(needed[int(np.ceil(RECALL * len(needed))) - 1]))
+        met = np.minimum(asked_at[:, :c] + reach, last) - np.maximum(asked_at[:, :c] - reach, 0) + 1
+        plans.append((int(met.sum()), -c, reach))
+    _, c, reach = min(plans)
+    return -c, reach
 
 
 def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, curves: int = 8, dims: int = 6, bits: int = 5, window: int = 1024, seed: int = 11) -> DataFrame:
-    """The k nearest found for each query: query_id, rank from 1, vec_id, score."""
+    """The k nearest found for each query: query_id, rank from 1, vec_id, score, query_row (number of the query's row)."""
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("x"))
-    rows = stored(rows.where(F.exists("x", lambda v: v != 0)).groupBy("vec_id").agg(F.min("x").alias("x")), "vectors")
-    sample = [r.x for r in rows.orderBy(F.xxhash64("vec_id")).limit(FIT_ROWS).collect()]
+    # written with its number, so that a row keeps it whatever is worked out again
+    rows = stored(rows.where(F.exists("x", lambda v: v != 0)).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    sample = [r.x for r in rows.orderBy(F.xxhash64("vec_id"), "x").limit(FIT_ROWS).collect()]
     width = max(map(len, sample), default=1)
     fit = Curves(dense(sample, width) if sample else np.zeros((1, 1)), curves, dims, bits, seed)
     windows = stored(curve_windows(rows, fit, window), "windows")
     last = windows.agg(F.coalesce(F.max("window"), F.lit(0))).first()[0]
-    reach = measured_reach(rows, windows, width, k, query_every) if last > 1 else 1
-    placed = windows.join(rows.hint("merge"), "vec_id")
+    used, reach = measured_reach(rows, windows, curves, last, k, query_every) if last > 1 else (1, 1)
+    placed = windows.where(F.col("curve") < used).join(rows.hint("merge"), "row")
     is_query = F.col("vec_id") % query_every == 0
     # a row goes to its own window; a query also to its neighbours, there as a query only
     homes = F.array(F.struct(F.col("window").alias("w"), F.lit(True).alias("home")))
     around = F.sequence(F.greatest(F.col("window") - reach, F.lit(0)), F.least(F.col("window") + reach, F.lit(last)))
     guests = F.transform(F.filter(around, lambda w: w != F.col("window")), lambda w: F.struct(w.alias("w"), F.lit(False).alias("home")))
-    dealt = placed.select("curve", F.explode(F.when(is_query, F.concat(homes, guests)).otherwise(homes)).alias("to"), "vec_id", "x")
-    dealt = dealt.select("curve", F.col("to.w").alias("window"), F.col("to.home").alias("home"), "vec_id", "x")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    dealt = placed.select("curve", F.explode(F.when(is_query, F.concat(homes, guests)).otherwise(homes)).alias("to"), "vec_id", "row", "x")
+    dealt = dealt.select("curve", F.col("to.w").alias("window"), F.col("to.home").alias("home"), "vec_id", "row", "x")
+    schema = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.float64())])
 
     def rerank(table: pa.Table) -> pa.Table:
-        ids, home = table.column("vec_id").to_numpy(), table.column("home").to_numpy()
+        ids, names, home = (table.column(c).to_numpy() for c in ("vec_id", "row", "home"))
         values = table.column("x").combine_chunks()
         values = values if isinstance(values, pa.Array) else pa.concat_arrays(values.chunks)
         lengths = values.value_lengths().to_numpy()
@@ -177,20 +193,20 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, curves: int
         for at in range(0, len(query) if len(cand) else 0, 256):
             q = query[at : at + 256]
             score = x[q] @ x[cand].T
-            score[ids[q][:, None] == ids[cand][None, :]] = -np.inf
+            score[names[q][:, None] == names[cand][None, :]] = -np.inf
             m = min(k, len(cand))
             edge = np.partition(score, len(cand) - m, axis=1)[:, len(cand) - m]
             i, j = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
-            order = np.lexsort((ids[cand[j]], -score[i, j], i))
+            order = np.lexsort((names[cand[j]], ids[cand[j]], -score[i, j], i))
             i, j = i[order], j[order]
             first = np.searchsorted(i, i)
             best = np.arange(len(i)) - first < k
             i, j = i[best], j[best]
             # summed anew, so that a pair's score does not depend on the window in which it was found
-            out.append((ids[q[i]], ids[cand[j]], (x[q[i]] * x[cand[j]]).sum(axis=1)))
-        return pa.table([np.concatenate([o[c] for o in out]) if out else [] for c in range(3)], schema=schema)
+            out.append((ids[q[i]], names[q[i]], ids[cand[j]], names[cand[j]], (x[q[i]] * x[cand[j]]).sum(axis=1)))
+        return pa.table([np.concatenate([o[c] for o in out]) if out else [] for c in range(5)], schema=schema)
 
-    found = dealt.groupBy("curve", "window").applyInArrow(rerank, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = dealt.groupBy("curve", "window").applyInArrow(rerank, "query_id long, query_row long, vec_id long, row long, score double")
+    found = found.groupBy("query_id", "query_row", "vec_id", "row").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), "vec_id", "row"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "query_row")

@@ -44,7 +44,7 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(_table(spark, sf_dir, "embeddings"))
+    return nearest(_table(spark, sf_dir, "embeddings")).drop("query_row")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

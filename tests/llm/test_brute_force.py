@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from docmill.llm import licenses, toxicity as tox
+from docmill.llm import hilbert, licenses, toxicity as tox
 from docmill.llm.hilbert import hilbert_key, nearest
 from docmill.llm.licenses import license_scan
 from docmill.llm.lines import drop_lines, line_dedup_digest
@@ -340,17 +341,6 @@ def vectors(request, spark):
     return spark.createDataFrame(rows if request.param == "awkward" else [], "vec_id long, embedding array<float>, rank int").repartition(4)
 
 
-def usable_vectors(vectors):
-    """One vector for each id, the least."""
-    found = {}
-    for r in vectors.collect():
-        v = r.embedding
-        if r.vec_id is None or not v or any(x is None or not np.isfinite(x) for x in v):
-            continue
-        found[r.vec_id] = min(found.get(r.vec_id, v), v)
-    return found
-
-
 def usable_rows(vectors):
     """(id, components) of each row that takes part."""
     return [(r.vec_id, r.embedding) for r in vectors.collect() if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding)]
@@ -386,17 +376,56 @@ def test_top_k_of_rows_that_share_an_id(spark):
     assert "CartesianProduct" not in plan and "SortMergeJoin" not in plan
 
 
-def test_nearest(vectors):
-    found = {k: v for k, v in usable_vectors(vectors).items() if any(v)}
+def nearest_of_rows(rows, k=20, query_every=20):
+    """(query_id, scores best first) of every query row, by brute force over rows (vec_id, vector); missing places count as 0."""
+    rows = [(i, v) for i, v in rows if any(v)]
+    best = [(q, sorted((sum(a * b for a, b in zip(x, y)) for o, (_, y) in enumerate(rows) if o != n), reverse=True)[:k]) for n, (q, x) in enumerate(rows) if q % query_every == 0]
+    return sorted(best)
+
+
+def scores_of_rows(found):
     got = defaultdict(list)
-    for r in nearest(vectors).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    assert set(got) == {q for q in found if q % 20 == 0}
-    for q, own in got.items():
-        scores = sorted((-sum(a * b for a, b in zip(found[q], found[d])), d) for d in found if d != q)[:20]
-        assert [r for r, _, _ in own] == list(range(1, len(scores) + 1))
-        # the whole table is within one window here, so nothing may be missed
-        assert np.allclose([s for _, _, s in own], [-s for s, _ in scores], atol=1e-9)
+    for r in found.orderBy("query_row", "rank").collect():
+        assert r["rank"] == len(got[r.query_id, r.query_row]) + 1
+        got[r.query_id, r.query_row].append((r.score, -r.vec_id))
+    assert all(own == sorted(own, reverse=True) for own in got.values())
+    return sorted((q, [s for s, _ in own]) for (q, _), own in got.items())
+
+
+def test_nearest(vectors):
+    expected, got = nearest_of_rows(usable_rows(vectors)), scores_of_rows(nearest(vectors))
+    assert [q for q, _ in got] == [q for q, own in expected if own]
+    # the whole table is within one window here, so nothing may be missed
+    for (_, own), (_, scores) in zip(got, expected):
+        assert np.allclose(own, scores, atol=1e-9)
+
+
+def test_nearest_of_rows_that_share_an_id(spark):
+    """Every row is a candidate for all but itself, also its equals and other rows of its id; a third of all rows share an id."""
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(120)] + [(40, rng.normal(size=6).tolist()) for _ in range(70)]
+    rows += [(60, [0.9] * 6)] * 3 + [(61, [0.9] * 6)] * 4 + [(80, [0.5] * 4), (80, [0.5] * 9)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got, expected = scores_of_rows(nearest(vectors)), nearest_of_rows(rows)
+    assert [q for q, _ in got] == [q for q, _ in expected] and len(got) == 6 + 70 + 3 + 2
+    # equal ids are ordered by their scores on both sides, up to rounding
+    for (_, own), (_, scores) in zip(got, expected):
+        assert np.allclose(own, scores, atol=1e-9)
+
+
+def test_no_more_is_met_than_two_curves_hold(spark):
+    """On vectors without structure the measured plan meets at most twice the table for each query, as two curves in full would."""
+    x = np.random.default_rng(4).normal(size=(3000, 48))
+    rows = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "vec_id long, row long, x array<double>").repartition(4)
+    fit = hilbert.Curves(x[:500], 8, 6, 5, 11)
+    windows = hilbert.curve_windows(rows, fit, 64).cache()
+    last = windows.agg(F.max("window")).first()[0]
+    curves, reach = hilbert.measured_reach(rows, windows, 8, last, 20, 20)
+    assert 2 <= curves <= 8 and reach >= 1
+    met = {}
+    for r in windows.where((F.col("row") % 20 == 0) & (F.col("curve") < curves)).collect():
+        met[r.row] = met.get(r.row, 0) + min(r.window + reach, last) - max(r.window - reach, 0) + 1
+    assert np.mean(list(met.values())) <= 2 * (last + 1)
 
 
 def test_nearest_recall_with_small_windows(spark):

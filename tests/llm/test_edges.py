@@ -278,7 +278,7 @@ def test_few_rows_move_when_a_shard_is_added(spark):
     before, after = ({r.doc_id: r.shard for r in ring.shard_rows(docs, shards=n).collect()} for n in (16, 17))
     moved = np.mean([before[d] != after[d] for d in before])
     # a 17th must move; the lower bound of all others pushes some more along the ring, a plain hash would move 16/17
-    assert 1 / 17 - 0.01 <= moved < 0.6
+    assert 1 / 17 - 0.01 <= moved < 0.15
 
 
 def test_ring_spreads_a_text_without_ids(spark):
