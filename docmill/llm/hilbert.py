@@ -6,8 +6,9 @@ give every row its place in its curve, and places are cut into windows of ``wind
 window and of ``reach`` neighbours on either side, whatever the keys: ties and dense cells cannot overfill a window. The
 reach is measured: the true neighbours of a bounded sample of queries are found by brute force, and of the numbers of curves, 2 at
 least, each with the least reach at which ``RECALL`` of these neighbours would be met, that which meets the fewest rows is
-taken. Where the windows around any row are the whole table, one curve meets all rows and is enough. Each window reranks by
-exact inner product in double precision and keeps its k best; the curves merge by one ranked shuffle. The work is rows *
+taken. Where the windows around any row are the whole table, one curve meets all rows and is enough. Blocks of so many windows as
+a query meets (``BLOCK_BYTES`` at most) rerank by exact inner product in double precision and keep each query's k best, so a query goes
+to few blocks however far it reaches; blocks and curves merge by one ranked shuffle. The work is rows *
 curves * (2 * reach + 1) * window / query_every products: linear in the input where near vectors are near on the curves, and up
 to some twice that of brute force where the vectors have no structure.
 
@@ -33,6 +34,10 @@ FIT_ROWS = 4096
 #: Queries on which the reach is measured, and the recall it is set for: somewhat over the 0.9 that all queries shall have.
 REACH_QUERIES = 128
 RECALL = 0.94
+#: Bytes of the vectors of a block, in double precision; a block has one window at least.
+BLOCK_BYTES = 64 << 20
+#: Products that are held at once.
+_PRODUCTS = 2 << 20
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -160,6 +165,16 @@ def measured_reach(rows: DataFrame, windows: DataFrame, curves: int, last: int,
     return -c, reach
 
 
+def met_pieces(asked_at: np.ndarray, home_at: np.ndarray, reach: int, queries: np.ndarray, homes: np.ndarray, x: np.ndarray):
+    """(queries, homes, vectors of these homes) of each window that asks, in pieces of bounded products; both sides are sorted by window."""
+    edges = np.append(np.flatnonzero(np.append(True, asked_at[1:] != asked_at[:-1])), len(asked_at)) if len(asked_at) else [0]
+    for i, j in zip(edges[:-1], edges[1:]):
+        low, high = np.searchsorted(home_at, asked_at[i] - reach), np.searchsorted(home_at, asked_at[i] + reach, side="right")
+        step = max(1, _PRODUCTS // max(1, high - low))
+        for p in range(i, j if low < high else i, step):
+            yield queries[p : min(p + step, j)], homes[low:high], x[low:high]
+
+
 def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, curves: int = 8, dims: int = 6, bits: int = 5, window: int = 1024, seed: int = 11) -> DataFrame:
     """The k nearest found for each query: query_id, rank from 1, vec_id, score, query_row (number of the query's row)."""
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("x"))
@@ -173,26 +188,27 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, curves: int
     used, reach = measured_reach(rows, windows, curves, last, k, query_every) if last > 1 else (1, 1)
     placed = windows.where(F.col("curve") < used).join(rows.hint("merge"), "row")
     is_query = F.col("vec_id") % query_every == 0
-    # a row goes to its own window; a query also to its neighbours, there as a query only
-    homes = F.array(F.struct(F.col("window").alias("w"), F.lit(True).alias("home")))
-    around = F.sequence(F.greatest(F.col("window") - reach, F.lit(0)), F.least(F.col("window") + reach, F.lit(last)))
-    guests = F.transform(F.filter(around, lambda w: w != F.col("window")), lambda w: F.struct(w.alias("w"), F.lit(False).alias("home")))
-    dealt = placed.select("curve", F.explode(F.when(is_query, F.concat(homes, guests)).otherwise(homes)).alias("to"), "vec_id", "row", "x")
-    dealt = dealt.select("curve", F.col("to.w").alias("window"), F.col("to.home").alias("home"), "vec_id", "row", "x")
+    size = max(1, min(2 * reach + 1, BLOCK_BYTES // (8 * window * width)))
+    block = lambda w: F.floor(w / size).cast("long")
+    # a row goes to the block of its own window; a query also to the others that it reaches, there as a query only
+    homes = F.array(F.struct(block(F.col("window")).alias("b"), F.lit(True).alias("home")))
+    around = F.sequence(block(F.greatest(F.col("window") - reach, F.lit(0))), block(F.least(F.col("window") + reach, F.lit(last))))
+    guests = F.transform(F.filter(around, lambda b: b != block(F.col("window"))), lambda b: F.struct(b.alias("b"), F.lit(False).alias("home")))
+    dealt = placed.select("curve", "window", F.explode(F.when(is_query, F.concat(homes, guests)).otherwise(homes)).alias("to"), "vec_id", "row", "x")
+    dealt = dealt.select("curve", F.col("to.b").alias("block"), "window", F.col("to.home").alias("home"), "vec_id", "row", "x")
     schema = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.float64())])
 
     def rerank(table: pa.Table) -> pa.Table:
-        ids, names, home = (table.column(c).to_numpy() for c in ("vec_id", "row", "home"))
+        ids, names, at, home = (table.column(c).to_numpy() for c in ("vec_id", "row", "window", "home"))
         values = table.column("x").combine_chunks()
         values = values if isinstance(values, pa.Array) else pa.concat_arrays(values.chunks)
         lengths = values.value_lengths().to_numpy()
         wide = int(lengths.max())
         x = values.flatten().to_numpy().reshape(len(ids), wide).astype(np.float64) if (lengths == wide).all() else dense(values.to_pylist(), wide)
-        cand, query = np.flatnonzero(home), np.flatnonzero(ids % query_every == 0)
-        out = []
-        for at in range(0, len(query) if len(cand) else 0, 256):
-            q = query[at : at + 256]
-            score = x[q] @ x[cand].T
+        homes, queries = (own[np.argsort(at[own], kind="stable")] for own in (np.flatnonzero(home), np.flatnonzero(ids % query_every == 0)))
+        x_homes, out = x[homes], []
+        for q, cand, x_cand in met_pieces(at[queries], at[homes], reach, queries, homes, x_homes):
+            score = x[q] @ x_cand.T
             score[names[q][:, None] == names[cand][None, :]] = -np.inf
             m = min(k, len(cand))
             edge = np.partition(score, len(cand) - m, axis=1)[:, len(cand) - m]
@@ -206,7 +222,7 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, curves: int
             out.append((ids[q[i]], names[q[i]], ids[cand[j]], names[cand[j]], (x[q[i]] * x[cand[j]]).sum(axis=1)))
         return pa.table([np.concatenate([o[c] for o in out]) if out else [] for c in range(5)], schema=schema)
 
-    found = dealt.groupBy("curve", "window").applyInArrow(rerank, "query_id long, query_row long, vec_id long, row long, score double")
+    found = dealt.groupBy("curve", "block").applyInArrow(rerank, "query_id long, query_row long, vec_id long, row long, score double")
     found = found.groupBy("query_id", "query_row", "vec_id", "row").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), "vec_id", "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "query_row")
