@@ -223,16 +223,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, shard_po
 
 
 def row_keyed(docs: DataFrame) -> DataFrame:
-    """packed() with a hash of the whole row (__row_hash), so that rows of one id and text stay apart by their other columns."""
-    return packed(docs).withColumn("__row_hash", F.xxhash64("__row"))
+    """packed() with a hash of the whole row (__row_hash), so that rows of one id and text stay apart by their other columns, and a second
+    hash of the text (__t2), by which unlike texts of one hash are told apart."""
+    text = F.coalesce(F.col("__row.text").cast("string"), F.lit(""))
+    return packed(docs).withColumn("__row_hash", F.xxhash64("__row")).withColumn("__t2", F.xxhash64(F.lit("second"), text))
 
 
 def least_rows(keyed: DataFrame, roots: DataFrame) -> DataFrame:
     """Of row_keyed() rows, one for each root of their text (__th), that of the least id (no id last), text hash and row hash; roots has
-    (__th, root) of texts that are not their own. Rows that are equal in all columns count once."""
+    (__th, root) of texts that are not their own. Rows that are equal in all columns count once. Where unlike texts share a __th, that of
+    the least second hash belongs to the root, and each of the others is a class of its own: a text is lost to none that only shares its hash."""
     keys = [*KEY, "__row_hash"]
-    classes = keyed.select(*keys).join(roots.hint("merge"), "__th", "left").select(*keys, F.coalesce("root", "__th").alias("root"))
-    heads = classes.groupBy("root").agg(F.min(F.struct(*keys)).alias("head")).select("head.*")
+    classes = keyed.select(*keys, "__t2").join(roots.hint("merge"), "__th", "left").withColumn("root", F.coalesce("root", "__th"))
+    # the join has dealt rows by __th, so the next two aggregations move none
+    texts_of = classes.groupBy("__th", "root", "__t2").agg(F.min(F.struct(*keys)).alias("head"))
+    texts_of = texts_of.groupBy("__th", "root").agg(F.sort_array(F.collect_list(F.struct("__t2", "head"))).alias("texts"))
+    one = texts_of.select("root", F.posexplode("texts").alias("n", "t")).select("root", F.when(F.col("n") > 0, F.col("t.__t2")).alias("own"), "t.head")
+    heads = one.groupBy("root", "own").agg(F.min("head").alias("head")).select("head.*")
     return unpacked(keyed.join(heads.hint("merge"), keys, "left_semi").dropDuplicates(keys))
 
 

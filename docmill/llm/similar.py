@@ -7,7 +7,8 @@ seeded permutations, and texts that agree in all rows of a band share a bucket.
 probability 1 - (1 - s**rows)**bands: with 52 bands of 8 rows 0.99993 at 0.8, more above, 0.18 at 0.5, 0.003 at 0.3. Every link is
 then checked on the shingles of the whole texts, whichever side it came from.
 
-Equal texts are one point. The pairs of a bucket are not listed: every point is compared with the least point of its bucket,
+Equal texts are one point; unlike texts that share the point's hash stay, see least_rows(). The pairs of a bucket are not listed:
+every point is compared with the least point of its bucket,
 and buckets whose points are then in one component drop out. In the others the points outside the largest component meet all
 points in tiles. A tile compares signatures, then sketches (the ``SKETCH`` least shingle hashes: all of them in most texts, and then
 the comparison is exact), and lists the pairs that reach the similarity less ``SIGMAS`` standard deviations where it is estimated,

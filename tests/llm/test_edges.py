@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docmill.llm import common, hilbert, licenses, maxscore, mixing, packing, queries, ring, substring
+from docmill.llm import common, hilbert, licenses, maxscore, mixing, packing, queries, ring, simhash, substring
 from docmill.llm.lines import drop_lines, line_dedup_digest
 from docmill.llm.mixing import mixed_rows
 from docmill.llm.similar import likely
@@ -317,6 +317,18 @@ def test_reach_follows_the_data(spark):
     assert np.mean([len(got[20 * q] & set(own.tolist())) / 20 for q, own in enumerate(best)]) >= 0.9
 
 
+def test_unlike_texts_of_one_hash_stay(spark):
+    """Rows whose first hashes are made equal: of each text one row stays, that of the least id; joined to a root only one of the texts is."""
+    rows = [(3, "one text"), (1, "one text"), (2, "another text"), (7, "another text"), (5, None), (6, ""), (9, "of its own"), (None, "another text")]
+    keyed = simhash.row_keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    shared = keyed.withColumn("__th", F.when(F.col("__row.text") == "of its own", F.lit(2)).otherwise(F.lit(1)).cast("long"))
+    none = spark.createDataFrame([], "__th long, root long")
+    assert sorted(r.doc_id for r in simhash.least_rows(shared, none).collect()) == [1, 2, 5, 9]
+    kept = sorted(r.doc_id for r in simhash.least_rows(shared, spark.createDataFrame([(1, 1), (2, 1)], "__th long, root long")).collect())
+    assert len(kept) == 3 and set(kept) < {1, 2, 5, 9}
+    assert sorted(r.doc_id for r in simhash.least_rows(keyed, none).collect()) == [1, 2, 5, 9]
+
+
 def test_targets_of_many_sources_match_the_loop(spark):
     rng = np.random.default_rng(5)
     sizes = {f"s{i:03d}": int(rng.integers(0, 400)) for i in range(200)}
