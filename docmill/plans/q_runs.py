@@ -247,13 +247,16 @@ def _t3e(t):
 
 @query("s2_read_text_store", "SELECT md5(s_name) AS fingerprint, CASE WHEN s_suppkey % 3 = 0 THEN 'old ' ELSE 'new ' END || s_name AS text FROM supplier")
 def _s2(t):
-    """A text for each supplier under the legacy suffix, and for two of three another under the new one."""
-    rows = t("supplier").select(F.md5("s_name").alias("f"), "s_name", "s_suppkey")
-    old = rows.select(F.concat("f", F.lit(".md")).alias("name"), F.concat(F.lit("old "), "s_name").alias("value"))
-    new = rows.where("s_suppkey % 3 > 0").select(F.concat("f", F.lit(".text.md")).alias("name"), F.concat(F.lit("new "), "s_name").alias("value"))
+    """A text for each supplier under the legacy suffix, and for two of three another under the new one. One supplier of a thousand has a file for each of its
+    texts, and one more the new text as a file and the legacy one in a bundle, where all other texts are."""
+    rows = t("supplier").select(F.md5("s_name").alias("f"), "s_name", (F.col("s_suppkey") % 1000).alias("i"), (F.col("s_suppkey") % 3).alias("m"))
+    old = rows.select(F.concat("f", F.lit(".md")).alias("name"), F.concat(F.lit("old "), "s_name").alias("text"), (F.col("i") == 7).alias("single"))
+    new = rows.where("m > 0").select(F.concat("f", F.lit(".text.md")).alias("name"), F.concat(F.lit("new "), "s_name").alias("text"), F.col("i").isin(7, 8).alias("single"))
     path = _shared(rows)
-    old.unionByName(new).write.partitionBy("name").text(path)
-    found = S.read_text_store(rows.sparkSession, path, name=F.regexp_extract("path", "/name=([^/]*)/", 1))
+    texts = old.unionByName(new)
+    texts.where("single").select("name", F.col("text").alias("value")).write.partitionBy("name").text(f"{path}/files")
+    S.write_text_bundles(texts.where("not single"), f"{path}/bundles")
+    found = S.read_text_store(rows.sparkSession, f"{path}/files", name=F.regexp_extract("path", "/name=([^/]*)/", 1), bundles=f"{path}/bundles")
     return found.select("fingerprint", F.trim(F.regexp_replace("text", "\n$", "")).alias("text"))
 
 

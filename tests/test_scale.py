@@ -230,3 +230,28 @@ def test_blocks_stay_in_the_row_of_their_document(spark):
     assert sorted(rows) == [1, 4] and len(rows[1]) == 2 and rows[1][0] == rows[1][1] and "[TABLE_0001]" in rows[1][0] and len(rows[4][0]) <= 24_000
     counts = {r.doc_id: r["count"] for r in B.exploded(outline).groupBy("doc_id").count().collect()}
     assert counts == {1: 10, 4: 10_000}
+
+
+def test_text_store_in_bundles(spark, tmp_path):
+    """Most texts stand in few files; a text counts by its name, whether it is a file or in a bundle."""
+    (tmp_path / "files").mkdir()
+    for name, said in (("a.text.md", "new"), ("b.md", "old"), ("c.md", "only"), ("d.txt", "other")):
+        (tmp_path / "files" / name).write_text(said)
+    bundled = [("a.md", "old"), ("b.text.md", "new"), ("e.md", "kept"), ("f.txt", "other")] + [(f"n{i}.md", f"text {i}") for i in range(1000)]
+    S.write_text_bundles(spark.createDataFrame(bundled, "name string, text string"), f"{tmp_path}/bundles")
+    got = S.read_text_store(spark, f"{tmp_path}/files", bundles=f"{tmp_path}/bundles").rdd.collectAsMap()
+    assert got == {"a": "new", "b": "new", "c": "only", "e": "kept"} | {f"n{i}": f"text {i}" for i in range(1000)}
+
+
+def test_text_store_query_writes_few_files(spark, tmp_path):
+    """1,000 suppliers and 1,667 texts are not as many files; none at all make an empty store."""
+    from pathlib import Path
+
+    from docmill.plans import catalog
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(Path(folder).rglob("*"))
+    assert catalog.QUERIES["s2_read_text_store"](spark, "/root/testdata/sf0.1").count() == 1000
+    assert sum(p.suffix in (".txt", ".parquet") for p in set(Path(folder).rglob("*")) - before) < 100
+    spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").limit(0).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert catalog.QUERIES["s2_read_text_store"](spark, str(tmp_path)).count() == 0
