@@ -255,3 +255,46 @@ def test_text_store_query_writes_few_files(spark, tmp_path):
     assert sum(p.suffix in (".txt", ".parquet") for p in set(Path(folder).rglob("*")) - before) < 100
     spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").limit(0).write.parquet(f"{tmp_path}/supplier.parquet")
     assert catalog.QUERIES["s2_read_text_store"](spark, str(tmp_path)).count() == 0
+
+
+def test_patterns_are_sought_by_pieces(spark):
+    """What is found from a pattern's first word on is what a search of the whole text finds: words across the border of two pieces, what stands before them longer
+    than a piece, characters that grow in lower case."""
+    from docmill.functions.rules import PACKS
+    from docmill.operators import mentions
+
+    bits = ["Max EQE: 12.5 % ", "LOD was 3 nM ", "FF of 70 % ", "900 mAh/g ", "12.5 cd/A ", "Glass/ITO/PEDOT:PSS/Al/Ag ", "CC BY-SA 4.0 ", "\u0130\U0001f600", "mail a.b@c.de ", "90 % after 500 cycles ", "CIE (0.3, 0.4) ", "linear range 0.5 - 7 mM "]
+    rng, texts = random.Random(5), ["", "12" + " " * 3000 + "mAh/g", "x" * 1020 + "EQE 5 %", "5" + " " * 2500 + "mAh/g 7 mAh/g", "\u0130" * 1100 + " 12 cd/A", "a" * 1500 + "@b.de"]
+    for _ in range(20):
+        texts.append("".join(rng.choice(bits) if rng.random() < 0.3 else "y" * rng.randrange(1, 700) + " " for _ in range(rng.randrange(12))))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(1)
+    patterns = sorted({p for pack in PACKS.values() for m in pack.metrics.values() for p in m.patterns})
+    plain = [F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in patterns]
+    pieces = mentions.within_pieces(F.col("text"), lambda sought: F.array(*[F.coalesce(F.regexp_extract_all(sought(p), F.lit(p), F.lit(0)), F.array().cast("array<string>")) for p in patterns]))
+    rows = df.select(F.array(*plain).alias("a"), pieces.alias("b")).collect()
+    assert sum(len(x) for r in rows for x in r.a) > 60
+    for r in rows:
+        for p, x, y in zip(patterns, r.a, r.b):
+            assert x == y, p
+
+
+def test_a_long_word_is_not_tried_at_each_of_its_characters(spark):
+    """300,000 letters without the sign of an address, once as a sentence and once as a whole text."""
+    import time
+
+    from docmill.functions.rules import CORPUS
+    from docmill.operators import mentions
+
+    docs = spark.createDataFrame([(1, "a number 5. " + "ab" * 150_000)], "doc_id long, text string")
+    began = time.time()
+    rows = mentions.document_fallback_record(docs, mentions.candidate_records(docs, CORPUS), CORPUS).collect()
+    assert [r.number for r in rows] == ["5.00"] and time.time() - began < 30
+
+
+def test_fallback_records_shuffle_no_text(spark):
+    from docmill.functions.rules import CORPUS
+    from docmill.operators import mentions
+
+    docs = spark.createDataFrame([(1, "Version 3 of it."), (2, "none"), (3, "mail to a@b.cd, then"), (None, "Version 4")], "doc_id long, text string")
+    rows = mentions.document_fallback_record(docs, mentions.candidate_records(docs, CORPUS).where("version is not null"), CORPUS)
+    assert "Join" not in plan_of(rows) and sorted((str(r.doc_id), r.version, r.address) for r in rows.collect()) == [("1", "3.0", None), ("3", None, "a@b.cd"), ("None", "4.0", None), ("None", "4.0", None)]
