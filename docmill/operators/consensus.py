@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.sources.files import parts_by_size
+
 TOLERANCE = 0.6
 #: Sources by their whole names, lower is stronger. Fixed values.
 PRIORITY = {"WOS_JOURNALS_API": 0, "MJL_PROFILE_API": 1, "CURATED_FALLBACK": 2, "SEARCH_CRAWLER": 3, "LETPUB": 4}
@@ -63,9 +65,10 @@ def decide_value(observations: DataFrame, tol: float = TOLERANCE, priority: dict
 
     sources, each once and in this order: whose value it is; those that confirm it, by strength; those it was held against (the primary under rules 2 and 3,
     all secondaries under 4, the other ones under 5). url and year are the first there are in that order. Equal observations are counted before the shuffle;
-    after it an entity's rows stream through windows of one partitioning, and only its different sources are gathered."""
+    after it an entity's rows stream through windows of one partitioning, and only its different sources are gathered. The partitions grow in number with the
+    input, not in size, as a task sorts its own several times."""
     rows = observations.select("entity", "role", "source", F.col("value").cast("double").alias("value"), "year", "url", "status").withColumn("p", source_priority(F.col("source"), priority))
-    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).repartition("entity")
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).repartition(parts_by_size(observations, 4 << 20), "entity")
     ok = F.col("status").eqNullSafe("OK") & F.col("value").isNotNull()
     second = ok & (F.col("role") == "secondary")
     key = F.struct("p", (-F.coalesce("year", F.lit(0))).alias("y"), (-F.coalesce("value", F.lit(0.0))).alias("v"), "source", "url")

@@ -1,5 +1,7 @@
 """Decisions of values, answers as JSON, agreement of large values: cases with a known answer."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +80,12 @@ def test_answers_parse_to_their_end(spark, answer, expected):
     assert df.select(R.parse_json_responses("a")).first()[0] == expected
     parsed, refused = R.split_responses(df, "a")
     assert (parsed.count(), refused.count()) == ((1, 0) if expected else (0, 1))
+
+
+def test_partitions_of_decisions_grow_with_the_input(spark, tmp_path):
+    """The partitions that an entity's rows are sorted in are as many as the size of the input asks for, and are not put together again."""
+    rows = spark.range(600_000).selectExpr("id AS entity", "md5(string(id)) AS source", "double(id % 50) AS value", "2020 AS year", "'OK' AS status", "sha2(string(id), 256) AS url", "'secondary' AS role")
+    rows.write.parquet(str(tmp_path / "o"))
+    plan = C.decide_value(spark.read.parquet(str(tmp_path / "o")))._jdf.queryExecution().executedPlan().toString()
+    parts = re.search(r"hashpartitioning\(entity#\w+, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert parts and int(parts[1]) > 8
