@@ -34,10 +34,15 @@ MIN_COUNT, LONGEST, TOP = 30, 4, 2000
 #: Drops a phrase that a longer candidate has in this share of its places, in percent.
 COVERED = 80
 FRONTIER = 2 * TOP
-#: Bits of each bitmap: 8 MB.
-BITS = 1 << 26
+#: Bits of each bitmap: 8 MB. A hash's place is its upper bits, so that the hashes of a range lie in a few blocks of the bitmap.
+PLACE_BITS = 26
+BITS = 1 << PLACE_BITS
 #: Bytes of text in one row of codes.
 PIECE = 8 << 20
+#: Rows of codes that are decoded at once.
+GROUP_ROWS = 8
+#: Parts that a language's best phrases are first sought in.
+PARTS = 32
 
 _BREAK = b"\n"
 _PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -67,7 +72,7 @@ def _encode(batches):
 
 def encoded(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return stored(rows.mapInArrow(_encode, "lang string, words array<string>, codes array<int>, n long"), "word-codes")
+    return stored(rows.mapInArrow(_encode, "lang string, words array<string>, codes array<int>, n long"), "word-codes", GROUP_ROWS)
 
 
 _COUNTS = "lang string, phrase string, c long"
@@ -105,22 +110,25 @@ def joined(*hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def places(hashes: np.ndarray) -> np.ndarray:
+    """Of unsigned hashes, in a bitmap."""
+    return (hashes >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+
+
 def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(BITS - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    at = places(hashes)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def bitmap(phrases: DataFrame) -> np.ndarray:
     """BITS bits, set at the hashes of (lang, phrase)."""
 
-    def places(batches):
+    def of_phrases(batches):
         for b in batches:
-            at = []
-            for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at.append(int(joined(*word_hashes(lang, phrase.encode().split(b" "))[:, None])[0]) & (BITS - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], names=["at"])
+            hashes = [joined(*word_hashes(lang, phrase.encode().split(b" "))[:, None])[0] for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(places(np.array(hashes, np.uint64)))], names=["at"])
 
-    at = phrases.select("lang", "phrase").mapInArrow(places, "at long")
+    at = phrases.select("lang", "phrase").mapInArrow(of_phrases, "at long")
     return _bits_of(at)
 
 
@@ -158,8 +166,8 @@ def _frequent_hashes(min_count: int):
             h, c = h[order], c[order]
             starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
             total = np.add.reduceat(c, starts) if len(starts) else np.zeros(0, np.int64)
-            at = h[starts[total >= min_count]].view(np.uint64) & np.uint64(BITS - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], names=["at"])
+            at = places(h[starts[total >= min_count]].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
 
     return frequent
 
@@ -261,6 +269,22 @@ def _covered(longer: DataFrame) -> DataFrame:
     return parts.select("lang", "c", F.explode(F.array_distinct(spans)).alias("phrase")).groupBy("lang", "phrase").agg(F.max("c").alias("around"))
 
 
+def scores_at(rows: DataFrame, place: int) -> DataFrame:
+    """lang, score: that of the row of this place among a language's rows, best first, where there are so many. What is ranked are the
+    different scores, a million for a language at most, not the rows."""
+    running = Window.partitionBy("lang").orderBy(F.desc("score"))
+    upto = rows.groupBy("lang", "score").agg(F.count("*").alias("rows")).select("lang", "score", F.sum("rows").over(running).alias("upto"))
+    return upto.where(F.col("upto") >= place).groupBy("lang").agg(F.max("score").alias("score"))
+
+
+def ranked(rows: DataFrame, top: int) -> DataFrame:
+    """The first ``top`` rows of each language with their rank, of the first of parts of it: no task sorts a whole language."""
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    part = Window.partitionBy("lang", "part").orderBy(*order)
+    first = rows.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top).drop("part", "rank")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+
+
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, frontier: int | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases of two to four words."""
     spark = docs.sparkSession
@@ -273,14 +297,12 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, fr
     two = stored(exact(codes.mapInArrow(_count_pairs(share(pair_bits)), _COUNTS)), "pairs")
     two_scored = stored(scored(two, one.unionByName(two)), "pair-scores")
     pair_bits = bitmap(two)
-    of_lang = Window.partitionBy("lang").orderBy(F.desc("score"))
     open_langs = {lang: None for (lang,) in two.select("lang").distinct().toLocalIterator()}
     wide, done = frontier or FRONTIER * top // TOP, []
     while open_langs:
-        place = two_scored.where(F.col("lang").isin(list(open_langs))).select("lang", "score", F.row_number().over(of_lang).alias("place"))
-        level = {lang: 0 for lang in open_langs} | {lang: s for lang, s in place.where(F.col("place") == wide).select("lang", "score").collect()}
+        mine = two_scored.where(F.col("lang").isin(list(open_langs)))
+        level = {lang: 0 for lang in open_langs} | dict(scores_at(mine, wide).collect())
         levels = F.create_map(*[F.lit(x) for pair in level.items() for x in pair])[F.col("lang")]
-        mine = two_scored.where(F.col("lang").isin(list(level)))
         pairs = mine.withColumn("level", levels)
         # l and r of a pair are the counts of its words
         first, last, active = (bitmap(pairs.where(x >= F.col("level"))) for x in (_share("l", "a"), _share("a", "r"), F.col("score")))
@@ -299,7 +321,5 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, fr
         wide *= 8
     if not done:
         return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
-    found = functools.reduce(DataFrame.unionByName, done)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    best = ranked(functools.reduce(DataFrame.unionByName, done), top)
     return best.join(totals.hint("merge"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -4,13 +4,17 @@ import math
 import re
 import time
 from collections import Counter, defaultdict
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from docmill.llm import treap
-from docmill.llm.collocations import collocations
+from docmill.llm.collocations import _frequent_hashes, collocations, encoded, ranked, scores_at
+from docmill.llm.common import to_ranges
 from docmill.llm.pages import extract_main_text, main_text, page_lines
 from docmill.llm.treap import Held, K2Treap, ranked_search, terms_of
 
@@ -161,3 +165,32 @@ def test_collocations_against_all_phrases(spark, top, frontier):
 def test_collocations_of_nothing(spark):
     assert collocations(spark.createDataFrame([], "doc_id long, lang string, text string")).collect() == []
     assert collocations(spark.createDataFrame([(1, None, None), (2, "en", "one two")], "doc_id long, lang string, text string")).collect() == []
+
+
+def test_codes_are_decoded_a_few_rows_at_once(spark):
+    """Spark's reader decodes a row group of up to 4,096 rows at once; rows of codes hold a megabyte of text."""
+    frame = spark.createDataFrame([(f"l{i % 40}", f"one two {i}") for i in range(400)], "lang string, text string").coalesce(1)
+    codes = encoded(frame)
+    groups = [meta.row_group(i).num_rows for f in codes.inputFiles() for meta in [pq.ParquetFile(urlparse(f).path).metadata] for i in range(meta.num_row_groups)]
+    assert sum(groups) == codes.count() == 40
+    assert max(groups) <= 8
+
+
+def test_hashes_of_a_range_lie_in_one_block_of_the_bitmap():
+    """Else each task has a row for every block, and the last sum gets as many times the bitmap as there are tasks."""
+    h = np.random.default_rng(1).integers(0, 2**64, 200_000, np.uint64)
+    schema = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("h", pa.list_(pa.int64())), ("c", pa.list_(pa.int64()))])
+    dealt = to_ranges(schema, 0, h, 12, h.view(np.int64), np.ones(len(h), np.int64))
+    at = [b.column(0).to_numpy() for b in _frequent_hashes(1)([dealt])]
+    assert sum(map(len, at)) == len(h)
+    assert all(len(np.unique(x // 32768)) == 1 for x in at)
+
+
+def test_ranks_and_scores_with_ties(spark):
+    rng = np.random.default_rng(3)
+    rows = [(lang, f"p{i}", int(a), int(s)) for lang, n in (("en", 700), ("de", 90), ("fr", 3)) for i, (a, s) in enumerate(rng.integers(0, 6, (n, 2)))]
+    frame = spark.createDataFrame(rows, "lang string, phrase string, a long, score long")
+    best = {lang: sorted((r for r in rows if r[0] == lang), key=lambda r: (-r[3], -r[2], r[1])) for lang in ("en", "de", "fr")}
+    assert dict(scores_at(frame, 50).collect()) == {lang: best[lang][49][3] for lang in ("en", "de")}
+    got = sorted((r.lang, r.rank, r.phrase) for r in ranked(frame, 60).collect())
+    assert got == sorted((lang, i + 1, r[1]) for lang, of in best.items() for i, r in enumerate(of[:60]))
